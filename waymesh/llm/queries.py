@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import lines, mixing, packing, quality, simhash, tokens
+from waymesh.llm import lines, mixing, packing, quality, simhash, tokens, toxicity, urls
 from waymesh.llm.text import table
 
 
@@ -19,6 +19,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_table(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -32,11 +38,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1, min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_token_counts, op6_quality, op7_mixing, op9_lines)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op6_quality, op7_mixing, op8_urls, op9_lines)}
 
-SQL = {"op6_quality": quality.QUALITY_SQL, "op7_mixing": mixing.MIX_SQL, "op9_lines": lines.LINES_SQL}
+SQL = {"op6_quality": quality.QUALITY_SQL, "op7_mixing": mixing.MIX_SQL, "op8_urls": urls.URLS_SQL, "op9_lines": lines.LINES_SQL}
