@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import lines, mixing, packing, quality, simhash, tokens, toxicity, urls
+from waymesh.llm import fingerprints, lines, mixing, packing, quality, simhash, tokens, toxicity, urls
 from waymesh.llm.text import table
 
 
@@ -48,6 +48,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op6_quality, op7_mixing, op8_urls, op9_lines)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op6_quality, op7_mixing, op8_urls, op9_lines, op10_fingerprints)}
 
 SQL = {"op6_quality": quality.QUALITY_SQL, "op7_mixing": mixing.MIX_SQL, "op8_urls": urls.URLS_SQL, "op9_lines": lines.LINES_SQL}
