@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import fingerprints, lines, mixing, packing, quality, simhash, tokens, toxicity, urls
+from waymesh.llm import fingerprints, lines, mixing, packing, quality, simhash, suffixes, tokens, toxicity, urls
 from waymesh.llm.text import table
 
 
@@ -29,6 +29,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_table(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), statistics=True)
     return judged.select("row.doc_id", *quality.STATISTICS, "base_failed", "kept")
@@ -52,6 +57,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op6_quality, op7_mixing, op8_urls, op9_lines, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op5_suffixes, op6_quality, op7_mixing, op8_urls, op9_lines, op10_fingerprints)}
 
 SQL = {"op6_quality": quality.QUALITY_SQL, "op7_mixing": mixing.MIX_SQL, "op8_urls": urls.URLS_SQL, "op9_lines": lines.LINES_SQL}
