@@ -100,10 +100,14 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "_mix", F.explode(copies).alias("_words"))
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(F.col("_words") < F.col("_mix.size"), F.array_join(F.slice(ends, 1, F.col("_words")), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return with_length(out.withColumn("text", text).select(*docs.columns))
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, as the length of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 #: DuckDB SQL for the mix of `documents`.
