@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.operators import spatial, topology, traces
+from waymesh.functions import geometry
+from waymesh.operators import lanes, routing, spatial, topology, traces
 from waymesh.plans.views import SNAP_SQL, SQL, edges, nodes, samples
 
 QUERIES: dict = {}
@@ -273,3 +274,217 @@ def endpoint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 select edge_a, edge_b, round(apart, 6) as apart from pr where apart < 20""")
 def near_parallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(topology.near_parallel_pairs(_strokes(spark, sf_dir), 10.0))
+
+
+@query(f"""with {_STROKES}, g as (select least(a, b) as a, greatest(a, b) as b, edge_id, ord, flip, x0, y0, x1, y1 from (
+    select *, 'c' || (floor(x0 / 200)::bigint) || '_' || (floor(y0 / 200)::bigint) as a, 'c' || (floor(x1 / 200)::bigint) || '_' || (floor(y1 / 200)::bigint) as b,
+           ('c' || (floor(x0 / 200)::bigint) || '_' || (floor(y0 / 200)::bigint)) > ('c' || (floor(x1 / 200)::bigint) || '_' || (floor(y1 / 200)::bigint)) as flip from st)),
+f as (select *, first_value(flip) over w as f0, first_value(edge_id) over w as e0, count(*) over (partition by a, b) as n from g window w as (partition by a, b order by ord))
+select e0 as edge_id, n as merged_edge_count, k::int as k, round(avg(case when flip = f0 or a = b then x0 + (x1 - x0) * k / 7 else x1 + (x0 - x1) * k / 7 end), 4) as x,
+       round(avg(case when flip = f0 or a = b then y0 + (y1 - y0) * k / 7 else y1 + (y0 - y1) * k / 7 end), 4) as y
+from f, (select unnest(range(0, 8)) as k) where n > 1 group by e0, n, k""")
+def duplicate_edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda k: F.concat(F.lit("c"), F.floor(F.element_at("polyline", k)["x"] / 200).cast("long"), F.lit("_"), F.floor(F.element_at("polyline", k)["y"] / 200).cast("long"))
+    strokes = _strokes(spark, sf_dir).withColumns({"start_node_id": node(1), "end_node_id": node(-1)})
+    merged = topology.merge_duplicate_edges(strokes, 8).where("merged_edge_count > 1")
+    return rounded(merged.select("edge_id", "merged_edge_count", F.posexplode("polyline").alias("k", "p")).select("edge_id", "merged_edge_count", "k", "p.x", "p.y"), 4)
+
+
+# routing
+
+ORIGINS = ("n0_0", "n12_12", "n24_3")
+_BACK = "select edge_id, end_node_id as u, start_node_id as v, 'reverse' as direction from edges"
+_ADJ = f"""{SQL.strip()}, adj as (select edge_id, start_node_id as u, end_node_id as v, 'forward' as direction from edges union all {_BACK})"""
+_REACHED = f"""{_ADJ}, walkers as (
+  select unnest(['n0_0', 'n12_12', 'n24_3']) as origin, 0 as hops),
+rc as (select origin, n.id as node, abs(n.a - o.a) * 100.0::double + abs(n.b - o.b) * 100.0::double as cost from walkers join nodes o on o.id = origin, nodes n)
+"""
+
+
+def _origins(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(o,) for o in ORIGINS], "origin string")
+
+
+def _start(origins: DataFrame) -> DataFrame:
+    return origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
+
+
+@query(f"with {_REACHED} select origin, node, cost from rc where cost <= 550")
+def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = routing.cheapest(routing.adjacency(edges(spark, sf_dir)), _start(_origins(spark)), 550.0)
+    return found.select("origin", F.col("state").alias("node"), "cost")
+
+
+@query(f"with {_REACHED} select origin, edge_id, direction, cost as start_cost, least(1, (550 - cost) / 100)::double as fraction from rc join adj on adj.u = rc.node where cost < 550")
+def reachable_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adj = routing.adjacency(edges(spark, sf_dir))
+    return routing.reachable_spans(adj, routing.cheapest(adj, _start(_origins(spark)), 550.0), 550.0)
+
+
+@query(f"""with {_REACHED}, far as (select 'n' || a || '_' || b as to_node from nodes where (a * 7 + b) % 50 = 0)
+select origin as from_node, to_node, cost, (cost / 100)::bigint as hops from rc join far on to_node = node""")
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = nodes(spark, sf_dir).where("(cast(x / 100 as bigint) * 7 + cast(y / 100 as bigint)) % 50 = 0").select(F.col("id").alias("to_node"))
+    pairs = far.withColumn("from_node", F.explode(F.array(*map(F.lit, ORIGINS))))
+    found = routing.paths(routing.adjacency(edges(spark, sf_dir)), pairs)
+    return found.select("from_node", "to_node", "cost", F.size("edges").cast("long").alias("hops"))
+
+
+_FACTS = "fx as (select edge_id, case when ord % 3 = 0 then 2 else 0 end as trace_count, (ord % 5 - 2)::double as slope, case when ord % 7 = 0 then 0.2::double when ord % 7 < 4 then 0.9::double end as conf from edges)"
+
+
+@query(f"""with {_ADJ}, {_FACTS}, sl as (select adj.*, trace_count, conf, slope * case when direction = 'forward' then 1 else -1 end as s from adj join fx using (edge_id))
+select edge_id, direction, round(100 * case when trace_count > 0 then 0.5::double else 2 end * (1 + case when s > 0 then s * 0.1::double else -s * 0.05::double end), 6) as cost from sl where conf is null or conf >= 0.5""")
+def weighted_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    r = F.col("ord") % 7
+    facts = e.select("edge_id", F.when(F.col("ord") % 3 == 0, 2).otherwise(0).alias("trace_count"), (F.col("ord") % 5 - 2).cast("double").alias("slope_deg"), F.when(r == 0, 0.2).when(r < 4, 0.9).alias("confidence"))
+    return rounded(routing.weighted(routing.adjacency(e), facts, uphill=0.1, downhill=0.05, min_confidence=0.5).select("edge_id", "direction", "cost"))
+
+
+@query(f"""with recursive {_ADJ}, mv as (
+  select a.edge_id || '/' || a.direction as u, b.edge_id || '/' || b.direction as v from adj a join adj b on a.v = b.u
+  where not (a.edge_id = b.edge_id) and not (a.direction = 'forward' and b.direction = 'reverse')),
+wk as (
+  select o as origin, edge_id || '/' || direction as state, 1 as hops from adj, (select unnest(['n0_0', 'n12_12', 'n24_3']) as o) where u = o
+  union select origin, mv.v, hops + 1 from wk join mv on mv.u = wk.state where hops < 5)
+select origin, node, min(cost) as cost from (
+  select origin, adj.v as node, hops * 100.0::double as cost from wk join adj on adj.edge_id || '/' || adj.direction = state union all select o, o, 0 from (select unnest(['n0_0', 'n12_12', 'n24_3']) as o)) group by 1, 2""")
+def restricted_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    adj = routing.adjacency(e)
+    a, b = adj.alias("a"), adj.alias("b")
+    turn = a.join(b, F.col("a.v") == F.col("b.u")).where("a.edge_id = b.edge_id or (a.direction = 'forward' and b.direction = 'reverse')")
+    rules = turn.select(F.col("a.v").alias("junction_node_id"), F.col("a.edge_id").alias("from_edge_id"), F.col("a.direction").alias("from_direction"), F.col("b.edge_id").alias("to_edge_id"), F.col("b.direction").alias("to_direction"), F.lit("no_turn").alias("restriction"))
+    return routing.restricted_costs(e, rules, _origins(spark), 500.0)
+
+
+@query()
+def lane_level_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return routing.lane_costs(e, e.select("edge_id", (1 + F.col("ord") % 3).cast("int").alias("lane_count")), _origins(spark), 400.0)
+
+
+@query(f"""with r as (select o_orderkey % 500 as k, o_orderkey as pos, (o_orderkey % 3)::int as src, o_orderpriority as restriction from orders),
+f as (select *, row_number() over (partition by k order by src, pos) as n from r)
+select 'tr' || k as id, restriction from f where n = 1""")
+def turn_restriction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("tr"), F.col("o_orderkey") % 500).alias("id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 3).alias("src"), F.col("o_orderpriority").alias("restriction"))
+    return routing.merge_restrictions(*(rows.where(F.col("src") == k).drop("src") for k in range(3)))
+
+
+# lanes and points
+
+_POINTS = f"""{SQL}, pts as (select key, min(x) as x, min(y) as y, min(z) as z from (select l_orderkey * 10 + l_linenumber as key, ((l_orderkey * 7919 + l_linenumber * 131) % 24000)::double / 10 as x,
+  ((l_partkey * 6007 + l_linenumber * 17) % 24000)::double / 10 as y, ((l_suppkey * 31 + l_linenumber) % 100)::double / 100 as z from lineitem) group by key)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), (((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 131) % 24000) / 10.0).cast("double").alias("x"),
+        (((F.col("l_partkey") * 6007 + F.col("l_linenumber") * 17) % 24000) / 10.0).cast("double").alias("y"), (((F.col("l_suppkey") * 31 + F.col("l_linenumber")) % 100) / 100.0).cast("double").alias("z"),
+    ).groupBy("key").agg(*(F.min(c).alias(c) for c in "xyz"))
+
+
+@query(f"""with {_POINTS}, pr as (
+  select e.edge_id, x, y, (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) as cr, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / 10000)) as u, x0, y0, x1, y1
+  from pts join edges e on x between least(x0, x1) - 5 and greatest(x0, x1) + 5 and y between least(y0, y1) - 5 and greatest(y0, y1) + 5)
+select edge_id, case when cr > 0 then 'left' else 'right' end as side, least(31, floor(u * 32))::int as bin, round(median(x), 6) as x, round(median(y), 6) as y, count(*) as n
+from pr where cr <> 0 and (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 <= 25 group by 1, 2, 3""")
+def lidar_side_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lanes.side_bins(_points(spark, sf_dir), edges(spark, sf_dir)))
+
+
+@query(f"with {_POINTS} select key, round(0.6::double * y + 0.8::double * z - 700, 6) as h from pts where 0.6::double * y + 0.8::double * z - 700 between 0 and 3")
+def height_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lanes.height_band(_points(spark, sf_dir), (0.0, 0.6, 0.8, 700.0), 0.0, 3.0).select("key", "h"))
+
+
+@query()
+def ground_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([lanes.ground_plane(_points(spark, sf_dir))], "a double, b double, c double, d double")
+
+
+_VALUES = "vs as (select 'e' || (l_orderkey % 1200) as edge_id, ((l_partkey * 37 + l_linenumber * 11) % 140 - 70)::double / 10 as value, l_orderkey % 3 as kind from lineitem)"
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("e"), F.col("l_orderkey") % 1200).alias("edge_id"), (((F.col("l_partkey") * 37 + F.col("l_linenumber") * 11) % 140 - 70) / 10.0).cast("double").alias("offset"), (F.col("l_orderkey") % 3).alias("kind"),
+    )
+
+
+@query(f"""with {_VALUES}, g as (select *, coalesce((value - lag(value) over w > 0.8)::int, 0) as wide from vs where kind = 0 window w as (partition by edge_id order by value)),
+c as (select edge_id, value, sum(wide) over (partition by edge_id order by value rows unbounded preceding) as cluster from g)
+select edge_id, cluster::bigint as cluster, round(avg(value), 6) as mean, count(*) as n from c group by 1, 2""")
+def lane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lanes.clusters_1d(_values(spark, sf_dir).where("kind = 0"), "edge_id", "offset", 0.8)
+    return rounded(found.groupBy("edge_id", "cluster").agg(F.avg("offset").alias("mean"), F.count("*").alias("n")))
+
+
+def _cluster_sql(kind: int, name: str) -> str:
+    return f"""{name} as (select edge_id, max(c) + 1 as {name} from (select edge_id, sum(w) over (partition by edge_id order by value rows unbounded preceding) as c from (
+      select *, coalesce((value - lag(value) over (partition by edge_id order by value) > 0.8)::int, 0) as w from vs where kind = {kind})) group by 1)"""
+
+
+@query(f"""with {SQL}, {_VALUES}, {_cluster_sql(0, "m")}, {_cluster_sql(1, "o")}
+select e.edge_id, greatest(1, least(6, coalesce(greatest(1, m - 1), case when e.ord % 4 = 0 then 2 end, o, 1)))::int as lane_count,
+       case when m is not null then 'lane_markings' when e.ord % 4 = 0 then 'osm_lanes' when o is not null then 'trace_offsets' else 'default' end as source
+from edges e left join m on m.edge_id = e.edge_id left join o on o.edge_id = e.edge_id""")
+def lane_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = _values(spark, sf_dir), edges(spark, sf_dir)
+    tags = e.where("ord % 4 = 0").select("edge_id", F.lit(2).alias("osm_lanes"))
+    return lanes.lane_counts(e, v.where("kind = 0"), tags, v.where("kind = 1"), 0.8)
+
+
+@query(f"""with {SQL}, {_VALUES}, es as (select edge_id, kind, avg(abs(value) + 0.5) as w, count(*) as b from vs where edge_id < 'e5' group by 1, 2),
+pe as (select edge_id, avg(w) as w, sum(b) as b, count(*) as n from es group by 1)
+select e.edge_id, round(coalesce(w, 1.75), 6) as half_width, round(least(coalesce(n, 0), 3) / 3.0::double * (1 - exp(-coalesce(b, 0) / 10.0::double)), 4) as confidence, coalesce(n, 0) as sources
+from edges e left join pe on pe.edge_id = e.edge_id""")
+def hd_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    estimates = _values(spark, sf_dir).where("edge_id < 'e5'").select("edge_id", F.col("kind").alias("source"), (F.abs("offset") + 0.5).alias("half_width"), F.lit(1).alias("bins"))
+    return rounded(lanes.refine(edges(spark, sf_dir), estimates))
+
+
+@query("""with n as (select p_partkey, (p_size % 6 + 1) as c from part)
+select p_partkey, i::int as lane, round(((c - 1) / 2.0::double - i) * 3.5, 6) as lane_offset from n, lateral (select unnest(range(0, c)) as i)""")
+def lane_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 6 + 1).alias("c"))
+    return rounded(rows.select("p_partkey", F.posexplode(lanes.lane_offsets(F.col("c"), 3.5)).alias("lane", "lane_offset")))
+
+
+@query("""with p as (select l_orderkey, l_linenumber, ((l_partkey % 640) - 320)::double / 500 as r, ((l_suppkey % 48) * 10 - 240)::double / 500 as d, (l_orderkey % 628)::double / 100 as yaw from lineitem),
+q as (select *, cos(0.1::double) - d * sin(0.1::double) as ahead, -(sin(0.1::double) + d * cos(0.1::double)) as up from p),
+s as (select *, case when abs(up) >= 1e-9 and -1.5::double / up > 0 then -1.5::double / up end as k from q)
+select l_orderkey, l_linenumber, round(k * (ahead * cos(yaw) + r * sin(yaw)), 6) as gx, round(k * (ahead * sin(yaw) - r * cos(yaw)), 6) as gy from s where k is not null""")
+def camera_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    gx, gy = lanes.pixel_to_ground((F.col("l_partkey") % 640).cast("double"), ((F.col("l_suppkey") % 48) * 10).cast("double"), {"fx": 500.0, "fy": 500.0, "cx": 320.0, "cy": 240.0, "pitch": 0.1}, F.lit(0.0), F.lit(0.0), F.lit(1.5), (F.col("l_orderkey") % 628) / 100.0)
+    return rounded(rows.select("l_orderkey", "l_linenumber", gx.alias("gx"), gy.alias("gy")).where("gx is not null"))
+
+
+@query(f"""with {SQL}, s as (select trace_id, ord, x, y, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from samples where ord <= 20 window w as (partition by trace_id order by ord)),
+a as (select *, sum(coalesce(step, 0)) over (partition by trace_id order by ord rows unbounded preceding) as s, sum(coalesce(step, 0)) over (partition by trace_id) as total,
+             first_value(x) over v as fx, first_value(y) over v as fy, last_value(x) over v as lx, last_value(y) over v as ly
+      from s window v as (partition by trace_id order by ord rows between unbounded preceding and unbounded following)),
+w as (select *, exp(-0.5::double * ((s - total * k / 9) / case when total > 0 then total / 10 else 1 end) ** 2) as w from a, (select unnest(range(0, 10)) as k))
+select trace_id, k::int as k, round(case k when 0 then any_value(fx) when 9 then any_value(lx) else sum(w * x) / sum(w) end, 4) as x, round(case k when 0 then any_value(fy) when 9 then any_value(ly) else sum(w * y) / sum(w) end, 4) as y from w group by trace_id, k""")
+def centerline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lanes.centerlines(samples(spark, sf_dir).where("ord <= 20"), ["trace_id"], 10), 4)
+
+
+@query()
+def rdp_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    lines = samples(spark, sf_dir).groupBy("trace_id").agg(order.alias("polyline"))
+    return lanes.simplify(lines, 20.0).select("trace_id", F.size("polyline").alias("points"))
+
+
+@query("""with p as (select s_suppkey, (s_suppkey * 37 % 2000 - 1000)::double as x, (s_suppkey * 53 % 2000 - 1000)::double as y from supplier)
+select s_suppkey, round(x, 6) as x, round(y, 6) as y, round(13.4::double + degrees(x / (6371000 * cos(radians(52.5::double)))), 9) as lon, round(52.5::double + degrees(y / 6371000), 9) as lat from p""")
+def lonlat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") * 37 % 2000 - 1000).cast("double").alias("x0"), (F.col("s_suppkey") * 53 % 2000 - 1000).cast("double").alias("y0"))
+    lon, lat = geometry.metres_to_lonlat(F.col("x0"), F.col("y0"), 52.5, 13.4)
+    rows = rows.withColumns({"lon": lon, "lat": lat})
+    x, y = geometry.lonlat_to_metres(F.col("lon"), F.col("lat"), 52.5, 13.4)
+    return rows.select("s_suppkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
