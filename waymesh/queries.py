@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geometry
-from waymesh.operators import lanes, routing, spatial, topology, traces
+from waymesh.operators import guidance, incremental, lanes, matching, routing, spatial, topology, traces
 from waymesh.plans.views import SNAP_SQL, SQL, edges, nodes, samples
+from waymesh.sources import documents
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -488,3 +489,41 @@ def lonlat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"lon": lon, "lat": lat})
     x, y = geometry.lonlat_to_metres(F.col("lon"), F.col("lat"), 52.5, 13.4)
     return rows.select("s_suppkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
+@query(f"""with {SQL}, ln as (select trace_id || '-' || ord as line_id, list_value((x, y), (lead(x) over w, lead(y) over w)) as p, x, y, lead(x) over w as zx, lead(y) over w as zy from samples window w as (partition by trace_id order by ord)),
+vt as (select line_id, unnest([1, 2]) as k, unnest([x, zx]) as x, unnest([y, zy]) as y from ln where zx is not null),
+ht as (select line_id, k, e.ord, e.edge_id from vt v join edges e on v.x between least(x0, x1) - 12 and greatest(x0, x1) + 12 and v.y between least(y0, y1) - 12 and greatest(y0, y1) + 12
+  where (v.x - x0 - greatest(0, least(1, ((v.x - x0) * (x1 - x0) + (v.y - y0) * (y1 - y0)) / 10000)) * (x1 - x0)) ** 2
+      + (v.y - y0 - greatest(0, least(1, ((v.x - x0) * (x1 - x0) + (v.y - y0) * (y1 - y0)) / 10000)) * (y1 - y0)) ** 2 <= 144),
+fu as (select line_id, ord, edge_id from ht group by 1, 2, 3 having count(distinct k) = 2)
+select l.line_id, (select arg_min(edge_id, ord) from fu where fu.line_id = l.line_id) as edge_id from ln l where zx is not null""")
+def incremental_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk = Window.partitionBy("trace_id").orderBy("ord")
+    rows = samples(spark, sf_dir).withColumns({"zx": F.lead("x").over(walk), "zy": F.lead("y").over(walk)}).where("zx is not null")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    lines = rows.select(F.concat("trace_id", F.lit("-"), "ord").alias("line_id"), F.array(point("x", "y"), point("zx", "zy")).alias("polyline"))
+    return incremental.absorb(lines, edges(spark, sf_dir), 12.0)
+
+
+@query(f"""with {_REACHED} select node as to_node, k::int as k, k * 100.0::double as start_m, 100.0::double as length_m, case when k = 0 then 'depart' when k = 3 then 'arrive' else 'straight' end as maneuver
+  from rc, (select unnest(range(0, 4)) as k) where origin = 'n0_0' and node = 'n4_0'""")
+def guidance_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([("n0_0", "n4_0")], "from_node string, to_node string")
+    e = edges(spark, sf_dir)
+    return guidance.guidance(routing.paths(routing.adjacency(e), pairs), e).select("to_node", "k", "start_m", "length_m", "maneuver")
+
+
+@query()
+def hmm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.hmm_match(samples(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query()
+def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.osm_xml(nodes(spark, sf_dir), edges(spark, sf_dir), 52.5, 13.4)
+
+
+@query()
+def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.map_features(nodes(spark, sf_dir), edges(spark, sf_dir), samples(spark, sf_dir), 52.5, 13.4, "grid")
