@@ -219,3 +219,17 @@ def test_plane_and_headings(spark):
     r = spark.range(1).select(x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat"), geometry.heading_change(F.lit(170.0), F.lit(-170.0)).alias("h"), geometry.heading_change(F.lit(0.0), F.lit(180.0)).alias("u")).first()
     assert math.isclose(r["lon"], 13.41) and math.isclose(r["lat"], 52.53) and 600 < r["x"] < 700 and 1100 < r["y"] < 1120
     assert (r["h"], r["u"]) == (20.0, 180.0)
+
+
+def test_build_a_graph_of_crossing_traces(spark):
+    from waymesh.plans.build import build_graph
+
+    rows = [("a", k, k, 10 * k, 0) for k in range(21)] + [("b", k, k, 100, 10 * k - 100) for k in range(21)]
+    rows += [("c", k, k, 10 * k, 2) for k in range(21)] + [("d", k, k, 150, 10 * k + 5) for k in range(11)]
+    graph = build_graph(make_samples(spark, rows))
+    nodes = {(round(r["x"], -1), round(r["y"], -1)): r["junction_hint"] for r in graph["nodes"].collect()}
+    assert nodes[100, 0] == "multi_branch" and nodes[150, 0] == "multi_branch"
+    assert {nodes[x, y] for x, y in ((0, 0), (200, 0), (100, -100), (100, 100), (150, 100))} == {"dead_end"}
+    assert sorted(r["merged_edge_count"] for r in graph["edges"].collect())[-1] >= 2
+    with pytest.raises(ValueError, match="no edges"):
+        build_graph(make_samples(spark, rows[:1]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions import geometry
 from waymesh.operators import guidance, incremental, lanes, matching, routing, spatial, topology, traces
+from waymesh.plans import build
 from waymesh.plans.views import SNAP_SQL, SQL, edges, nodes, samples
 from waymesh.sources import documents
 
@@ -527,3 +528,14 @@ def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.map_features(nodes(spark, sf_dir), edges(spark, sf_dir), samples(spark, sf_dir), 52.5, 13.4, "grid")
+
+
+@query(f"with {SQL} select 4::bigint as degree, 'crossroads' as junction_type, count(*) as n from nodes union all select 1, null, 4 * count(distinct a) from nodes")
+def grid_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nodes(spark, sf_dir).where("y = 0").select((F.col("x")).alias("c"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    low, high = F.lit(-20.0), F.lit(2420.0)
+    rows = n.select(F.concat(F.lit("h"), "c").alias("line"), F.array(point(low, F.col("c")), point(high, F.col("c"))).alias("polyline"))
+    columns = n.select(F.concat(F.lit("v"), "c").alias("line"), F.array(point(F.col("c"), low), point(F.col("c"), high)).alias("polyline"))
+    built = build.assemble(rows.unionByName(columns))
+    return built["nodes"].groupBy("degree", "junction_type").agg(F.count("*").alias("n"))
