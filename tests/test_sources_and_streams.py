@@ -133,3 +133,40 @@ def test_versions_follow_batches(spark, arriving, tmp_path):
     live.store_versions(stream, f"{tmp_path}/versions", f"{tmp_path}/checkpoint", update).awaitTermination(120)
     last = max((tmp_path / "versions").iterdir(), key=lambda p: int(p.name.split("=")[1]))
     assert {r["trace_id"]: r["count"] for r in spark.read.parquet(str(last)).collect()} == {r["trace_id"]: r["count"] for r in df.groupBy("trace_id").count().collect()}
+
+
+def test_osm_restrictions_find_their_edges(spark, tmp_path):
+    from waymesh.operators.restrictions import convert_restrictions
+
+    step = 0.001
+    doc = {"elements": [{"type": "node", "id": i, "lat": 52.0 + a * step, "lon": 13.0 + b * step} for i, (a, b) in enumerate([(0, 0), (-1, 0), (0, 1), (1, 0)])]
+           + [{"type": "way", "id": 10, "nodes": [1, 0]}, {"type": "way", "id": 11, "nodes": [0, 2]}, {"type": "way", "id": 12, "nodes": [0, 3]}]
+           + [{"type": "relation", "id": 20, "tags": {"type": "restriction", "restriction": "no_right_turn"}, "members": [{"type": "way", "ref": 10, "role": "from"}, {"type": "node", "ref": 0, "role": "via"}, {"type": "way", "ref": 11, "role": "to"}]},
+              {"type": "relation", "id": 21, "tags": {"type": "restriction", "restriction": "no_left_turn"}, "members": [{"type": "way", "ref": 10, "role": "from"}]}]}
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    nodes = spark.createDataFrame([("j", 0, 0.0, 0.0), ("s", 1, 0.0, -110.0), ("e", 2, 68.0, 0.0), ("n", 3, 0.0, 111.0)], "id string, ord long, x double, y double")
+    edges = spark.createDataFrame([(0, "js", "j", "s", [(0.0, 0.0), (0.0, -110.0)]), (1, "ej", "e", "j", [(68.0, 0.0), (0.0, 0.0)]), (2, "jn", "j", "n", [(0.0, 0.0), (0.0, 111.0)])], "ord long, edge_id string, start_node_id string, end_node_id string, polyline array<struct<x:double,y:double>>")
+    got = {r["relation_id"]: r for r in convert_restrictions(tables.overpass(spark, f"{tmp_path}/r.json"), nodes, edges, 52.0, 13.0).collect()}
+    assert tuple(got[20])[1:] == ("no_right_turn", "j", "js", "reverse", "ej", "reverse", None)
+    assert got[21]["skipped"] == "members_missing"
+
+
+def test_elevations_and_slopes(spark):
+    from waymesh.operators.restrictions import elevate
+
+    nodes = spark.createDataFrame([("a", 0, 0.0, 0.0), ("b", 1, 100.0, 0.0)], "id string, ord long, x double, y double")
+    edges = spark.createDataFrame([(0, "e", "a", "b", [(0.0, 0.0), (100.0, 0.0)])], "ord long, edge_id string, start_node_id string, end_node_id string, polyline array<struct<x:double,y:double>>")
+    samples = spark.createDataFrame([("t", 0, 1.0, 1.0, 10.0), ("t", 1, 99.0, 0.0, 110.0), ("t", 2, 500.0, 500.0, 0.0)], "trace_id string, ord long, x double, y double, z double")
+    high, rise = elevate(nodes, edges, samples)
+    assert {r["id"]: r["elevation_m"] for r in high.collect()} == {"a": 10.0, "b": 110.0} and abs(rise.first()["slope_deg"] - 45.0) < 1e-9
+
+
+def test_validation_names_what_is_broken(spark):
+    from waymesh.sources import validation
+
+    nodes = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, float("nan"))], "id string, x double, y double")
+    edges = spark.createDataFrame([("e", "a", "zz", [(0.0, 0.0)])], "edge_id string, start_node_id string, end_node_id string, polyline array<struct<x:double,y:double>>")
+    got = {tuple(r) for r in validation.check_graph(nodes, edges).collect()}
+    assert got == {("a", "y"), ("a", "id_unique"), ("e", "polyline"), ("e", "end_node_id_known")}
+    rules = spark.createDataFrame([("r", "j", "e", "forward", "f", "back", "no_turn", 2.0)], "id string, junction_node_id string, from_edge_id string, from_direction string, to_edge_id string, to_direction string, restriction string, confidence double")
+    assert {r["rule"] for r in validation.check_restrictions(rules).collect()} == {"to_direction", "restriction", "confidence"}
