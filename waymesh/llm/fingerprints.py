@@ -125,20 +125,22 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     digests whose canonical texts differ, all but the smallest text get the text's
     SHA-256 appended.
     """
-    return _fingerprint(_distinct_texts(docs))
+    return _fingerprint(_texts(docs))
 
 
-def _distinct_texts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """Rows (id, text, hash) as they are; only where texts are needed are repeated ones dropped."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
-    return rows.withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
+    return rows.withColumn("hash", F.xxhash64("text"))
 
 
 def _fingerprint(texts: DataFrame) -> DataFrame:
-    light = materialize(texts.select("id", "hash", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("digest")))
+    light = texts.select("id", "hash", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("digest"))
+    light = materialize(light.dropDuplicates(["id", "hash"]))
     shared = materialize(light.groupBy("digest").count().where("count > 1").select("digest"))
     alike = materialize(light.select("id", "hash", "digest").join(shared, "digest"))
-    members = texts.join(alike, ["id", "hash"]).select("id", "hash", "digest", canonical(F.col("text")).alias("canon"))
+    members = texts.dropDuplicates(["id", "hash"]).join(alike, ["id", "hash"]).select("id", "hash", "digest", canonical(F.col("text")).alias("canon"))
     bounds = members.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     # buckets in which bytes differ: none but by a collision of 128-bit hashes
     split = materialize(bounds.where("low <> high").select("digest", "low"))
@@ -156,8 +158,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     texts are empty, a null doc_id comes last, and rows that repeat doc_id and text
     are one document with one row.
     """
-    texts = _distinct_texts(docs)
+    texts = _texts(docs)
     light = materialize(_next_in_order(_fingerprint(texts)))
+    texts = texts.dropDuplicates(["id", "hash"])
     prints = light.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint"))
     light = light.join(prints, ["next_id", "next_hash"])
     gone = F.floor(F.col("n_chars") / 3).cast("int")
