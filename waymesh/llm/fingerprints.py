@@ -125,7 +125,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     digests whose canonical texts differ, all but the smallest text get the text's
     SHA-256 appended.
     """
-    return _fingerprint(_texts(docs))
+    texts = _texts(docs)
+    light = _digests(texts)
+    return _told_apart(light, texts.dropDuplicates(["id", "hash"]))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -135,17 +137,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("text"))
 
 
-def _fingerprint(texts: DataFrame) -> DataFrame:
+def _digests(texts: DataFrame) -> DataFrame:
+    """Rows (id, hash, n_chars, digest), each once; texts are digested where they are read."""
     light = texts.select("id", "hash", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("digest"))
-    light = materialize(light.dropDuplicates(["id", "hash"]))
+    return materialize(light.dropDuplicates(["id", "hash"]))
+
+
+def _told_apart(light: DataFrame, texts: DataFrame) -> DataFrame:
+    """Fingerprints of digests after a comparison of the bytes inside equal ones."""
     shared = materialize(light.groupBy("digest").count().where("count > 1").select("digest"))
     alike = materialize(light.select("id", "hash", "digest").join(shared, "digest"))
-    members = texts.dropDuplicates(["id", "hash"]).join(alike, ["id", "hash"]).select("id", "hash", "digest", canonical(F.col("text")).alias("canon"))
+    members = texts.join(alike, ["id", "hash"]).select("id", "hash", "digest", canonical(F.col("text")).alias("canon"))
     bounds = members.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     # buckets in which bytes differ: none but by a collision of 128-bit hashes
-    split = materialize(bounds.where("low <> high").select("digest", "low"))
+    split = bounds.where("low <> high").select("digest", "low")
     apart = members.join(split, "digest").where("canon <> low").select("id", "hash", F.concat(F.lit("-"), F.sha2("canon", 256)).alias("more"))
-    apart = materialize(apart)
     return light.join(apart, ["id", "hash"], "left").select("id", "hash", "n_chars", F.concat("digest", F.coalesce("more", F.lit(""))).alias("fingerprint"))
 
 
@@ -159,12 +165,15 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     are one document with one row.
     """
     texts = _texts(docs)
-    light = materialize(_next_in_order(_fingerprint(texts)))
+    light = _digests(texts)
+    follows = materialize(_next_in_order(light.select("id", "hash", "n_chars")))
+    # one shuffle of the texts serves the comparison of bytes, the heads and the whole
     texts = texts.dropDuplicates(["id", "hash"])
-    prints = light.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint"))
-    light = light.join(prints, ["next_id", "next_hash"])
+    prints = _told_apart(light, texts).select("id", "hash", "fingerprint")
+    light = follows.join(prints, ["id", "hash"])
+    light = light.join(prints.toDF("next_id", "next_hash", "next_fingerprint"), ["next_id", "next_hash"])
     gone = F.floor(F.col("n_chars") / 3).cast("int")
-    asked = light.select(F.col("next_id").alias("id"), F.col("next_hash").alias("hash"), F.col("id").alias("for_id"), F.col("hash").alias("for_hash"), gone.alias("gone"))
+    asked = follows.select(F.col("next_id").alias("id"), F.col("next_hash").alias("hash"), F.col("id").alias("for_id"), F.col("hash").alias("for_hash"), gone.alias("gone"))
     heads = texts.join(asked, ["id", "hash"]).select(F.col("for_id").alias("id"), F.col("for_hash").alias("hash"), F.substring(F.col("text"), F.lit(1), F.col("gone")).alias("head"))
     whole = texts.join(light, ["id", "hash"]).join(heads, ["id", "hash"])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - gone), F.col("head"))
