@@ -105,35 +105,42 @@ def cascade_order(docs: DataFrame, rules: Sequence = RULES, sample_rows: int = 5
 
 
 def judge(docs: DataFrame, rules: Sequence = RULES, sample_rows: int = 500, statistics: bool = False) -> DataFrame:
-    """The rows of `docs` as struct `row`, with `kept` and, on request, STATISTICS and base_failed.
+    """A row for each row of `docs`: `row`, a struct of all columns but the text, `text` and `kept`.
+
+    With `statistics`, `row` has the doc_id alone, and STATISTICS and base_failed stand
+    in for the text.
 
     A null text has no words. Rows are judged one by one, so repeated rows and ties
     need no rule, and an empty table gives an empty one.
     """
     order = [x[0] for x in cascade_order(docs, rules, sample_rows)]
-    ranked = sorted(rules, key=lambda r: order.index(r[0]))
-    tests = [test for _, test in ranked]
+    tests = [test for _, test in sorted(rules, key=lambda r: order.index(r[0]))]
     base = [test for name, test in rules if name in BASE]
 
+    def verdict(data: bytes) -> tuple:
+        doc = Doc(data)
+        found = (*(getattr(doc, s) for s in STATISTICS), any(test(doc) for test in base)) if statistics else ()
+        return (*found, not any(test(doc) for test in tests))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [Doc(data or b"") for data in as_bytes(batch.column(1))]
-            columns, names = [batch.column(0)], ["row"]
-            if statistics:
-                columns += [pa.array([getattr(d, s) for d in parsed], pa.int64()) for s in STATISTICS]
-                columns.append(pa.array([any(test(d) for test in base) for d in parsed], pa.bool_()))
-                names += [*STATISTICS, "base_failed"]
-            columns.append(pa.array([not any(test(d) for test in tests) for d in parsed], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "kept"])
+            # one document's words at a time
+            found = zip(*(verdict(data or b"") for data in as_bytes(batch.column(1))), strict=True) if batch.num_rows else [()] * len(kinds)
+            columns = [pa.array(values, kind) for values, kind in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([] if statistics else [batch.column(1)]), *columns], names=names)
 
-    rows = docs.select(F.struct(*([F.col("doc_id")] if statistics else [F.col(c) for c in docs.columns])).alias("row"), F.col("text").cast("string").alias("text"))
-    extra = ", ".join(f"{s} long" for s in STATISTICS) + ", base_failed boolean, " if statistics else ""
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {extra}kept boolean")
+    kinds = [*([pa.int64()] * len(STATISTICS) + [pa.bool_()] if statistics else []), pa.bool_()]
+    names = ["row", *([*STATISTICS, "base_failed"] if statistics else ["text"]), "kept"]
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(["doc_id"] if statistics else others)).alias("row"), F.col("text").cast("string").alias("text"))
+    extra = ", ".join(f"{s} long" for s in STATISTICS) + ", base_failed boolean" if statistics else "text string"
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {extra}, kept boolean")
 
 
 def keep_good(docs: DataFrame, rules: Sequence = RULES, sample_rows: int = 500) -> DataFrame:
     """The rows of `docs` that no rule rejects, with their columns."""
-    return judge(docs, rules, sample_rows).where("kept").select("row.*")
+    kept = judge(docs, rules, sample_rows).where("kept")
+    return kept.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -18,7 +18,7 @@ from waymesh.session import materialize
 
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks and parts of chunks that a worker remembers at most, and how long a chunk is at most.
-REMEMBERED, REMEMBERED_PARTS, LONGEST = 400_000, 1_000_000, 64
+REMEMBERED, REMEMBERED_PARTS, LONGEST = 300_000, 400_000, 64
 
 
 def tokenizer_path(name: str) -> str:
