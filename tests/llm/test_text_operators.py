@@ -117,6 +117,40 @@ def test_near_duplicates_leave_one_of_each_group(docs, none):
     assert simhash.deduplicate(none).columns == none.columns
 
 
+def jaccard_components(texts, k, similarity):
+    shingles = []
+    for text in texts:
+        words = WORDS.findall((text or "").translate(LOWER))
+        shingles.append({" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    return brute_components(range(len(texts)), lambda a, b: len(shingles[a] & shingles[b]) >= similarity * max(1e-9, len(shingles[a] | shingles[b])) or shingles[a] == shingles[b])
+
+
+def test_near_duplicates_are_those_of_exact_jaccard(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):  # replaced words bring similarities from 0.4 to 1
+        base = rng.integers(0, 5000, int(rng.integers(8, 150))).tolist()
+        texts.append(base)
+        for _ in range(4):
+            edited = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(1, 2 + len(base) // 25))):
+                edited[at] = int(rng.integers(5000, 9000))
+            texts.append(edited)
+    # a passage repeated so often that its shingles decide the fingerprint, in different sets
+    passage = rng.integers(0, 5000, 9).tolist() * 40
+    texts += [passage + rng.integers(0, 5000, 60).tolist() for _ in range(6)]
+    # sets of four and of five shingles, of similarity 0.8
+    for _ in range(20):
+        base = rng.integers(0, 5000, 9).tolist()
+        texts += [base, base[:8]]
+    texts = [" ".join(f"w{x}" for x in t) for t in texts] + ["", " ", "one two", "One  two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = jaccard_components(texts, 5, 0.8)
+    for chunk_sets in (2048, 2):  # whole components, and as pairs of chunks
+        found = simhash.near_duplicates(docs, 5, 0.8, chunk_sets=chunk_sets).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
 def test_length_table(docs, rows, none):
     lengths = [len(encode(r[1])) for r in rows]
     table = tokens.length_table(tokens.length_histogram(docs), band=64).collect()

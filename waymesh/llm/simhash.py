@@ -7,16 +7,20 @@ nodes down together, adds up the bits in which the paths differ and drops a pair
 once the error budget is exceeded. Each task returns a spanning forest of the
 links it has found, never all pairs, and the forests are joined to components by
 a distributed fixpoint.
+
+Where a similarity is asked for, these components are only where to look: inside
+them, shingle sets are compared exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.llm.text import ASCII_LOWER, as_bytes, whole_groups
@@ -30,6 +34,12 @@ CHUNK = 1 << 15
 WALK = 1 << 21
 #: Below so many pairs of leaves, two nodes are compared leaf by leaf.
 LEAVES = 32
+#: Smallest shingle hashes that candidates share one of: sets of similarity s share none with a chance of (1 - s) ** MINIMA.
+MINIMA = 8
+#: Standard deviations by which the fingerprints of a candidate pair may exceed the expected distance.
+DEVIATIONS = 6
+#: Documents, and shingles, of a chunk of candidates; two chunks meet in a task.
+CHUNK_SETS, CHUNK_SHINGLES = 2048, 1 << 20
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -173,66 +183,173 @@ def _forest_edges(lanes: int, budget: int):
             words = np.frombuffer(b"".join(part["fingerprint"].to_pylist()), ">u8").reshape(-1, lanes).astype(np.uint64)
             order = np.lexsort([*(words[:, k] for k in reversed(range(lanes))), task])
             task, node, words = task[order], node[order], words[order]
-            starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-            root = trie_forest(words, starts, np.append(starts[1:], len(task)), budget)
+            # equal fingerprints of a task are one leaf
+            first = np.concatenate([[True], (task[1:] != task[:-1]) | (words[1:] != words[:-1]).any(1)])
+            leaf = np.flatnonzero(first)
+            starts = np.flatnonzero(np.concatenate([[True], task[leaf][1:] != task[leaf][:-1]]))
+            root = leaf[trie_forest(words[leaf], starts, np.append(starts[1:], len(leaf)), budget)[np.cumsum(first) - 1]]
             linked = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
 
     return run
 
 
-def link_components(prints: DataFrame, lanes: int, budget: int, by_minima: bool = False, least_capacity: int = 4096) -> DataFrame:
+def _candidate_edges(keyed: DataFrame, lanes: int, budget: int, least_capacity: int) -> DataFrame:
+    """Spanning forests (a, b) of the rows (node, fingerprint, key) that share a key and differ in `budget` bits at most.
+
+    A key held by more rows than a task's fair share is dealt out as pairs of chunks.
+    """
+    capacity = max(least_capacity, 4 * keyed.count() // shuffle_partitions(keyed.sparkSession))
+    # keys above the capacity: fewer than a quarter of the shuffle partitions, or rows / least_capacity
+    hot = keyed.groupBy("key").count().where(F.col("count") > capacity).select("key", F.ceil(F.col("count") / capacity).cast("int").alias("chunks"))
+    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("pair", F.explode(_chunk_pairs("node"))).select(F.xxhash64("key", "pair").alias("task"), "node", "fingerprint")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_forest_edges(lanes, budget), "a long, b long")
+
+
+def _chunk_pairs(*by: str) -> Column:
+    """The pairs of chunks, of the row's number `chunks`, in which a row's own chunk takes part."""
+    own = F.pmod(F.xxhash64(*by), F.col("chunks")).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(own, o) * F.col("chunks") + F.greatest(own, o))
+
+
+def link_components(prints: DataFrame, lanes: int, budget: int, least_capacity: int = 4096) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) for rows (doc_id, fingerprint, minima).
 
-    Fingerprints link at `budget` differing bits or fewer. Without `by_minima` the
-    64 bits are cut into budget + 1 blocks (of which linked ones share at least one,
-    so that no link is lost); with it, candidates share one of their smallest shingle
-    hashes. A key held by more fingerprints than a task's fair share is dealt out as
-    pairs of chunks. Equal fingerprints are one leaf, so that copies are never paired.
+    Fingerprints link at `budget` differing bits or fewer. The 64 bits are cut into
+    budget + 1 blocks, of which linked ones share at least one, so that no link is
+    lost. Equal fingerprints are one leaf, so that copies are never paired.
     component_id is the smallest doc_id reachable; rows with a null doc_id link to
     nothing and have none. Rows that repeat a doc_id count as one document.
     """
-    spark = prints.sparkSession
+    if lanes != 1 or not 0 <= budget <= 15:
+        raise ValueError("blocks need 64-bit fingerprints and a budget of 0 to 15")
     prints = materialize(prints)
-    nodes = materialize(
-        prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.min("minima").alias("minima"))
-    )
-    if by_minima:
-        # a blank text has no shingles; as one leaf stands for all of them, nothing is lost
-        keyed = nodes.select("node", "fingerprint", F.explode("minima").alias("key"))
-    else:
-        if lanes != 1 or not 0 <= budget <= 15:
-            raise ValueError("blocks need 64-bit fingerprints and a budget of 0 to 15")
-        bits = F.conv(F.hex("fingerprint"), 16, 2)
-        bits = F.lpad(bits, 64, "0")
-        cuts = [round(64 * k / (budget + 1)) for k in range(budget + 2)]
-        keys = [F.xxhash64(F.lit(k), F.substring(bits, lo + 1, hi - lo)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        keyed = nodes.select("node", "fingerprint", F.explode(F.array(*keys)).alias("key"))
-    keyed = materialize(keyed)
-    capacity = max(least_capacity, 4 * keyed.count() // shuffle_partitions(spark))
-    # keys above the capacity: fewer than a quarter of the shuffle partitions, or rows / least_capacity
-    hot = keyed.groupBy("key").count().where(F.col("count") > capacity).select("key", F.ceil(F.col("count") / capacity).cast("int").alias("chunks"))
-    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(own, o) * F.col("chunks") + F.greatest(own, o))
-    dealt = dealt.withColumn("pair", F.explode(pairs)).select(F.xxhash64("key", "pair").alias("task"), "node", "fingerprint")
-    edges = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_forest_edges(lanes, budget), "a long, b long")
-    found = connected_components(edges)
-    labelled = materialize(nodes.select("node", "fingerprint").join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")))
-    return prints.select("doc_id", "fingerprint").join(labelled, "fingerprint", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id) of documents whose word shingles are that similar (Jaccard).
-
-    256-bit fingerprints estimate the angle between two shingle sets to about one
-    part in fifty; the budget is the share of bits in which sets of that similarity
-    differ, plus two standard deviations. Candidates share one of the four smallest
-    shingle hashes, which sets of similarity 0.8 miss with a chance of about 0.002.
+    nodes = materialize(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
+    bits = F.conv(F.hex("fingerprint"), 16, 2)
+    bits = F.lpad(bits, 64, "0")
+    cuts = [round(64 * k / (budget + 1)) for k in range(budget + 2)]
+    keys = [F.xxhash64(F.lit(k), F.substring(bits, lo + 1, hi - lo)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    keyed = materialize(nodes.select("node", "fingerprint", F.explode(F.array(*keys)).alias("key")))
+    found = connected_components(_candidate_edges(keyed, lanes, budget, least_capacity))
+    return _labelled(prints, nodes, found, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _labelled(prints: DataFrame, nodes: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """Rows of `prints` with the component_id of their class, whose column is `by`."""
+    labelled = materialize(nodes.select("node", by).join(found, "node", "left").select(by, F.coalesce("component", "node").alias("component_id")))
+    return prints.join(labelled, by, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def _class(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _shingle_classes(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """Rows (doc_id, class, size, fingerprint, minima): texts of one class have equal sets of shingles.
+
+    The size and the fingerprint are those of the set, the minima its MINIMA smallest
+    hashes (none for a blank text).
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("size", pa.int64()), ("fingerprint", pa.binary()), ("minima", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in as_bytes(batch.column(1)):
+                hashes = np.unique(shingle_hashes(data or b"", words))
+                rows.append((_class(hashes), len(hashes), simhash(hashes, lanes), hashes[:MINIMA].view(np.int64).tolist()))
+            columns = [pa.array([r[k] for r in rows], schema.types[k + 1]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, class binary, size long, fingerprint binary, minima array<long>")
+
+
+def _shingle_sets(asked: DataFrame, words: int) -> DataFrame:
+    """Rows (node, tasks, shingles), ascending 64-bit hashes, of rows (node, class, tasks, text) whose text is of the class."""
+    schema = pa.schema([("node", pa.int64()), ("tasks", pa.list_(pa.int64())), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for data, wanted in zip(as_bytes(batch.column(3)), batch.column(1).to_pylist(), strict=True):
+                hashes = np.unique(shingle_hashes(data or b"", words))
+                sets.append(hashes.tobytes() if _class(hashes) == wanted else None)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(schema.types[1]), pa.array(sets, pa.binary())], schema=schema)
+            yield out.filter(out.column(2).is_valid())
+
+    return asked.select("node", "class", "tasks", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, tasks array<long>, shingles binary")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """First set of each set's component when sets of that Jaccard similarity or more are joined; none is empty.
+
+    Each set is compared with all that nothing has joined yet, at once.
+    """
+    n = len(sets)
+    root, held, free = np.arange(n), np.arange(n), np.ones(n, bool)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    for seed in range(n):
+        queue = [seed] if free[seed] else []
+        free[seed] = False
+        while queue:
+            at, left = queue.pop(), int(np.count_nonzero(free))
+            if not left:
+                return root
+            if 2 * left < len(held):
+                held = np.flatnonzero(free)
+                flat = np.concatenate([own[k] for k in held])
+            mark[own[at]] = 1
+            shared = np.add.reduceat(mark[flat], np.cumsum(sizes[held]) - sizes[held])
+            mark[own[at]] = 0
+            near = held[free[held] & (shared / (sizes[held] + sizes[at] - shared) >= similarity)]
+            root[near], free[near] = seed, False
+            queue += near.tolist()
+    return root
+
+
+def _exact_edges(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "task"):
+            task, node, shingles = part["task"].to_numpy(), part["node"].to_numpy(), part["shingles"].to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+            root = np.concatenate([a + similar_sets([np.frombuffer(x, "<u8") for x in shingles[a:b]], similarity) for a, b in zip(starts, np.append(starts[1:], len(task)), strict=True)])
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk_sets: int = CHUNK_SETS) -> DataFrame:
+    """Rows (doc_id, component_id) of documents whose sets of word shingles are that similar (Jaccard), or linked by such.
+
+    Candidates share one of the smallest shingle hashes, and 256-bit fingerprints of
+    their sets differ in no more bits than sets of that similarity do by chance. In each
+    component of candidates all sets are then compared exactly (as sets of 64-bit
+    hashes), a large component as pairs of chunks. Equal sets, blank texts among them,
+    are one class; component_id is the smallest doc_id reachable, none for a null doc_id.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    budget = int(256 * share + 2 * np.sqrt(256 * share * (1 - share)))
-    return link_components(fingerprints(docs, words, 4, 4), 4, budget, by_minima=True).select("doc_id", "component_id")
+    budget = int(256 * share + DEVIATIONS * np.sqrt(256 * share * (1 - share)))
+    prints = materialize(_shingle_classes(docs, words, 4))
+    nodes = materialize(prints.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in ("size", "fingerprint", "minima"))))
+    # a blank text has no shingles; as one class holds all of them, nothing is lost
+    keyed = materialize(nodes.select("node", "fingerprint", F.explode("minima").alias("key")))
+    near = connected_components(_candidate_edges(keyed, 4, budget, 4096))
+    # a component's smallest node is not a row of its own there
+    near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
+    asked = materialize(nodes.where("size > 0").join(near, "node").select("node", "class", "size", "component"))
+    chunks = F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    dealt = asked.join(asked.groupBy("component").agg(chunks.alias("chunks")), "component")
+    dealt = dealt.select("node", "class", F.transform(_chunk_pairs("node", "class"), lambda pair: F.xxhash64("component", pair)).alias("tasks"))
+    sets = _shingle_sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(dealt, "node"), words)
+    sets = sets.select(F.explode("tasks").alias("task"), "node", "shingles").repartition("task").sortWithinPartitions("task")
+    links = sets.mapInArrow(_exact_edges(similarity), "a long, b long")
+    return _labelled(prints.select("doc_id", "class"), nodes, connected_components(links), "class").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
