@@ -93,3 +93,16 @@ def test_pipeline_stages_hand_on_documents(spark, rows, none, tmp_path):
     assert last == {(r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, f"{tmp_path}/in").collect()}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "").count() == 0, name
+
+
+def test_long_words_are_hashed_whole():
+    s = toxicity.Settings()
+    long = "語" * 60
+    (_, short_b), (_, long_b) = toxicity.gram_buckets([long.encode()], s), toxicity.gram_buckets([(long + "zqxvk").encode()], s)
+    inner = toxicity.gram_buckets([b"zqxvk"], s)[1]
+    assert set(inner.tolist()) & (set(long_b.tolist()) - set(short_b.tolist()))
+    # a weight on what follows the fortieth code point moves the score
+    weight = np.zeros(s.buckets, np.float32)
+    weight[inner] = 100
+    low, high = toxicity.Scorer(weight, -1.0, s).scores([long.encode(), (long + "zqxvk").encode()])
+    assert high > low

@@ -22,6 +22,8 @@ from waymesh.llm.text import ASCII_LOWER, as_bytes
 
 #: Words that a worker remembers, but for those of the documents at hand, and documents scored together.
 REMEMBERED, TOGETHER = 400_000, 64
+#: Bytes of the words that a worker remembers, and of those that it hashes at once, if they are several.
+REMEMBERED_BYTES, HASHED_BYTES = 1 << 25, 1 << 20
 TRIM = b".,;:!?\"'()[]{}|#*$%&<>"
 
 
@@ -35,7 +37,6 @@ class Settings:
     width: int = 8
     shortest: int = 3
     longest: int = 5
-    word_chars: int = 40
     window: int = 2
     epochs: int = 3
     rate: float = 0.5
@@ -45,10 +46,10 @@ class Settings:
 def gram_buckets(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of each word itself and of its character n-grams, with marks for its two ends.
 
-    All words are hashed together as one row of code points. A word of marks alone has
-    no buckets.
+    All words are hashed together as one row of code points, whole however long they are.
+    A word of marks alone has no buckets.
     """
-    texts = [w.translate(ASCII_LOWER).strip(TRIM).decode("utf-8", "replace")[: s.word_chars] for w in words]
+    texts = [w.translate(ASCII_LOWER).strip(TRIM).decode("utf-8", "replace") for w in words]
     texts = [f"<{t}>" if t else "" for t in texts]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -136,15 +137,21 @@ class Scorer:
     def __init__(self, weight: np.ndarray, bias: float, s: Settings):
         self.weight, self.bias, self.s = weight, bias, s
         self.known: dict[bytes, complex] = {}
+        self.held = 0
 
     def _learn(self, words: set[bytes]) -> None:
         new = list(words - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
+        self.held += sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
             new = list(words)
-        at, buckets = gram_buckets(new, self.s)
-        sums = np.bincount(at, self.weight[buckets], len(new)) + 1j * np.bincount(at, minlength=len(new))
-        self.known.update(zip(new, sums.tolist(), strict=True))
+            self.held = sum(map(len, new))
+        parts = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // HASHED_BYTES
+        for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(parts)) + 1):
+            some = [new[k] for k in part]
+            at, buckets = gram_buckets(some, self.s)
+            sums = np.bincount(at, self.weight[buckets], len(some)) + 1j * np.bincount(at, minlength=len(some))
+            self.known.update(zip(some, sums.tolist(), strict=True))
 
     def scores(self, texts: list[bytes]) -> list[float]:
         split = [x.split() for x in texts]
