@@ -106,3 +106,21 @@ def test_long_words_are_hashed_whole():
     weight[inner] = 100
     low, high = toxicity.Scorer(weight, -1.0, s).scores([long.encode(), (long + "zqxvk").encode()])
     assert high > low
+
+
+def test_training_reads_documents_to_their_end(spark):
+    rng = random.Random(8)
+    plain = [f"plain{k}" for k in range(40)]
+    rows = []
+    for k in range(120):  # toxic words come after word 900 alone
+        words = [rng.choice(plain) for _ in range(1000)]
+        if k % 2:
+            words[950:960] = ["zqxvk"] * 10
+        rows.append((k, " ".join(words), k % 2))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    s = toxicity.Settings()
+    weight, bias = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"), s)
+    toxic, clean = toxicity.Scorer(weight, bias, s).scores([b"plain1 plain2 zqxvk zqxvk zqxvk", b"plain1 plain2 plain3 plain4 plain5"])
+    assert toxic > 0.5 > clean
+    # a document that does not fit is left out, never cut
+    assert [r[1] for r in toxicity.within([(0, 0, b"a b", 1), (1, 1, b"a b c d", 0), (2, 2, b"a", 1)], 3)] == [0, 2]

@@ -29,10 +29,14 @@ TRIM = b".,;:!?\"'()[]{}|#*$%&<>"
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: labelled documents that the model is fitted on at most, the smallest hashes first."""
+    """sample_rows: labelled documents that the model is fitted on at most, the smallest hashes first.
+
+    sample_words: words of all of them together at most, of which a text has one for each
+    8 bytes at least; a document that does not fit is left out whole.
+    """
 
     sample_rows: int = 3000
-    sample_words: int = 800
+    sample_words: int = 2_400_000
     buckets: int = 1 << 17
     width: int = 8
     shortest: int = 3
@@ -91,7 +95,7 @@ def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
     averaged away; each window is the plain average of its words' embeddings.
     """
     rng = np.random.default_rng(s.seed)
-    bags = [_Bag(data.split()[: s.sample_words], s) for data in texts]
+    bags = [_Bag(data.split(), s) for data in texts]
     table = rng.normal(0, 1 / s.width, (s.buckets, s.width)).astype(np.float32)
     out = rng.normal(0, 1, s.width).astype(np.float32)
     g_table, g_out, g_bias = np.full(s.buckets, 1e-6, np.float32), np.full(s.width, 1e-6, np.float32), 1e-6
@@ -172,24 +176,36 @@ def _held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def within(rows: list[tuple], words: int) -> list[tuple]:
+    """The rows (order, id, text, label), from the first on, whose whole texts fit so many words together."""
+    out = []
+    for row in rows:
+        n = max(len(row[2].split()), len(row[2]) // 8)
+        if n <= words:
+            out.append(row)
+            words -= n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """The model of `labels.toxic`, from rows that are not held out.
 
-    At most `sample_rows` labelled documents are used, those with the smallest hashes
-    of their ids, and their first `sample_words` words; they go to one task, which
-    returns the weights. A document with several labels is toxic if one says so.
+    At most `sample_rows` labelled documents are used, those with the smallest hashes of
+    their ids, each with its whole text, as long as they fit `sample_words`; they go to
+    one task, which returns the weights. A document with several labels is toxic if one
+    says so.
     """
     train_ids = labels.where(~_held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train_ids = train_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
     # at most sample_rows ids
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train_ids), "doc_id")
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train_ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            ids, toxic = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows += [(i, (data or b"")[: 40 * s.sample_words], int(t)) for i, data, t in zip(ids, as_bytes(batch.column(1)), toxic, strict=True)]
-        rows.sort()
+            ids, toxic, order = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            rows += [(h, i, data or b"", int(t)) for h, i, data, t in zip(order, ids, as_bytes(batch.column(1)), toxic, strict=True)]
+        rows = sorted(x[1:] for x in within(sorted(rows), s.sample_words))
         weight, bias = train([x[1] for x in rows], np.array([x[2] for x in rows], float), s)
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
 
