@@ -182,8 +182,9 @@ def brute_cut(texts, length):
 def test_repeats_are_cut_as_by_brute_force(docs, rows, none):
     last = 1 << 62
     texts = {last if r[0] is None else r[0]: (r[1] or "").encode() for r in rows}
-    for length in (50, 17):
-        found = suffixes.remove_repeats(docs, length).collect()
+    # as blocks need them, then with all anchors and with some anchors common, in small blocks
+    for length, settings in ((50, {}), (17, {}), (50, {"common_blocks": 1, "block_bytes": 2000}), (17, {"common_runs": 3, "block_bytes": 6000})):
+        found = suffixes.remove_repeats(docs, length, **settings).collect()
         want = brute_cut(texts, length)
         assert len(found) == len(rows)
         for r in found:
