@@ -1,14 +1,17 @@
 """Exact document fingerprints of canonical text, with DataFrame functions only.
 
-Canonical text is Unicode-composed, lower-cased and has single spaces. Its
-fingerprint is a 128-bit xxhash; documents of equal hash are compared byte by byte,
-and where they differ the ones that are not the smallest get a longer fingerprint.
+Canonical text is in Unicode's composed form (NFC), case-folded and has single
+spaces. Its fingerprint is a 128-bit xxhash; documents of equal hash are compared
+byte by byte, and where they differ the ones that are not the smallest get a longer
+fingerprint.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,35 +20,66 @@ from waymesh.session import materialize
 
 #: Stands for a null doc_id in keys; such rows come last in descending order.
 NO_ID = -(1 << 63)
+#: Hangul: first letters, vowels and last letters, the syllables, and how many letters there are of each.
+LETTER, VOWEL, FINAL, SYLLABLE, VOWELS, FINALS, SYLLABLES = 0x1100, 0x1161, 0x11A7, 0xAC00, 21, 28, 11172
+#: Before this code point no character changes by composition.
+BEYOND = 0x300
+#: Characters that stand for the combining classes 1 to 254 while marks are ordered.
+RANKS = 0x10F000
+
+
+class _Tables(NamedTuple):
+    """What composition and case folding need, from the Unicode database.
+
+    full: canonical decomposition of each character that has one, Hangul left out.
+    pairs: for each character that composes with one before it, those and the results.
+    rank: combining class of each mark. joins: characters that may change what stands
+    before them; alone: others that do not stay as they are.
+    """
+
+    full: dict[str, str]
+    pairs: dict[str, tuple[str, str]]
+    rank: dict[str, int]
+    joins: set[str]
+    alone: set[str]
 
 
 @cache
-def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, int]]:
-    """Singletons, pairs that compose, and the combining classes of marks, from the Unicode database."""
-    single, pair, order = {}, {}, {}
-    for code in range(0x110000):
-        c = chr(code)
+def _tables() -> _Tables:
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not SYLLABLE <= c < SYLLABLE + SYLLABLES and not 0xD800 <= c < 0xE000]
+    full = {c: d for c in every if (d := unicodedata.normalize("NFD", c)) != c}
+    rank = {c: r for c in every if (r := unicodedata.combining(c))}
+    pairs: dict[str, tuple[str, str]] = {}
+    for c in full:
         parts = unicodedata.decomposition(c).split()
-        if parts and parts[0][0] != "<":
-            chars = [chr(int(x, 16)) for x in parts]
-            if len(chars) == 1:
-                single[c] = unicodedata.normalize("NFC", c)
-            elif unicodedata.normalize("NFC", c) == c:
-                pair["".join(chars)] = c
-        if unicodedata.combining(c):
-            order[c] = unicodedata.combining(c)
-    return {k: v for k, v in single.items() if len(v) == 1}, pair, order
-
-
-def _ranges(chars: dict[str, str]) -> list[tuple[str, str]]:
-    """First and last of each run of successive characters."""
-    runs: list[tuple[str, str]] = []
-    for c in sorted(chars):
-        if runs and ord(c) == ord(runs[-1][1]) + 1:
-            runs[-1] = (runs[-1][0], c)
+        if len(parts) == 2 and unicodedata.normalize("NFC", c) == c:
+            first, second = (chr(int(x, 16)) for x in parts)
+            firsts, wholes = pairs.get(second, ("", ""))
+            pairs[second] = (firsts + first, wholes + c)
+    letters = {chr(c) for c in (*range(VOWEL, VOWEL + VOWELS), *range(FINAL + 1, FINAL + FINALS))}
+    joins = {c for c in every if (d := full.get(c, c)[0]) in rank or d in pairs or d in letters}
+    alone = {c for c in full if unicodedata.normalize("NFC", c) != c} - joins
+    return _Tables(full, pairs, rank, joins, alone)
+
+
+def _class(chars: set[str]) -> str:
+    """The characters as ranges of a regular expression's character class."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
         else:
-            runs.append((c, c))
-    return runs
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with the value's expression in the plan once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _chars(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
 def _map(table: dict) -> Column:
@@ -53,44 +87,124 @@ def _map(table: dict) -> Column:
     return F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in table.items())), F.lit("\n"), F.lit("\t"))
 
 
+def _decomposed(char: Column) -> Column:
+    """A character's full canonical decomposition, looked up place by place."""
+    full = _tables().full
+    places = []
+    for k in range(max(map(len, full.values()))):
+        # characters without a k-th part come last, which translate() takes for deletions
+        having = sorted(full, key=lambda c: len(full[c]) <= k)
+        places.append(F.translate(char, "".join(having), "".join(full[c][k] for c in having if len(full[c]) > k)))
+    return F.when(places[0] != char, F.concat(*places)).otherwise(char)
+
+
+def _rank(char: Column) -> Column:
+    """The combining class of a character."""
+    rank = _tables().rank
+    # ranks travel as private characters; those of the text count as the letter a
+    own = "".join(chr(RANKS + r) for r in range(1, 255))
+    code = F.ascii(F.translate(char, own + "".join(rank), "a" * len(own) + "".join(chr(RANKS + r) for r in rank.values())))
+    return F.when(code.between(RANKS + 1, RANKS + 254), code - RANKS).otherwise(0)
+
+
+def _composite(first: Column, second: Column) -> Column:
+    """What two characters compose to, or null."""
+    pairs = _tables().pairs
+    firsts = F.element_at(_map({k: v[0] for k, v in pairs.items()}), second)
+    wholes = F.element_at(_map({k: v[1] for k, v in pairs.items()}), second)
+    listed = _let(F.instr(firsts, first), lambda place: F.when(place > 0, F.substring(wholes, place, F.lit(1))))
+    a, b = F.ascii(first), F.ascii(second)
+    syllable = F.when(a.between(LETTER, LETTER + 18) & b.between(VOWEL, VOWEL + VOWELS - 1), SYLLABLE + ((a - LETTER) * VOWELS + b - VOWEL) * FINALS)
+    syllable = syllable.when(a.between(SYLLABLE, SYLLABLE + SYLLABLES - 1) & ((a - SYLLABLE) % FINALS == 0) & b.between(FINAL + 1, FINAL + FINALS - 1), a + b - FINAL)
+    hangul = F.decode(F.unhex(F.hex(syllable)), "UTF-16BE")
+    return F.when(first != "", F.coalesce(listed, hangul))
+
+
 def compose(text: Column) -> Column:
-    """Text with canonical singletons replaced and marks ordered and composed with their base.
+    """Text in NFC: characters are decomposed, marks ordered by class and composed with what they follow.
 
-    Texts without marks and singletons, nearly all, are only searched for them.
-    Hangul syllables spelt as single jamo are left as they are.
+    Texts without a character that may change, nearly all, are only searched for one;
+    in others, only the stretches around such characters are taken apart.
     """
-    single, pair, order = _tables()
-    odd = "[\\p{M}" + "".join(f"{a}-{b}" for a, b in _ranges(single)) + "]"
-    pairs, classes = _map(pair), _map(order)
-
-    def composed(piece: Column) -> Column:
-        marks = F.regexp_extract(piece, r"^\P{M}(\p{M}+)", 1)
-        rest = F.substring(piece, F.length(marks) + 2, F.length(piece))
-        ranked = F.array_sort(
-            F.transform(F.split(marks, ""), lambda m, i: F.struct(F.coalesce(F.element_at(classes, m).cast("int"), F.lit(0)).alias("rank"), i.alias("at"), m.alias("mark")))
+    t = _tables()
+    # Latin letters are told apart first
+    joins, alone = (f"\\x{{{BEYOND:x}}}-\\x{{10FFFF}}&&[{_class(x)}]" for x in (t.joins, t.alone))
+
+    def composed(piece: Column, head: Column) -> Column:
+        chars = _chars(F.array_join(F.transform(_chars(head), _decomposed), ""))
+        ranked = F.transform(chars, lambda c, i: F.struct(_rank(c).alias("rank"), i.alias("at"), c.alias("char")))
+        start = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.lit("").alias("tail"), F.lit(0).alias("rank"))
+        done = F.aggregate(_let(ranked, ordered), start, step, lambda a: F.concat(a["out"], a["base"], a["tail"]))
+        return F.when(head == "", piece).otherwise(F.concat(done, F.substring(piece, F.length(head) + 1, F.length(piece))))
+
+    def ordered(ranked: Column) -> Column:
+        # a character of class zero begins a run, within which marks are ordered
+        run = lambda x: F.size(F.filter(F.slice(ranked, F.lit(1), x["at"] + 1), lambda y: y["rank"] == 0))
+        return F.array_sort(F.transform(ranked, lambda x: F.struct(run(x).alias("run"), x["rank"].alias("rank"), x["at"].alias("at"), x["char"].alias("char"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        state = lambda out, base, tail, rank: F.struct(out.alias("out"), base.alias("base"), tail.alias("tail"), rank.alias("rank"))
+        free = (acc["tail"] == "") | (acc["rank"] < x["rank"])
+        return _let(
+            F.when(free, _composite(acc["base"], x["char"])),
+            lambda whole: F.when(whole.isNotNull(), state(acc["out"], whole, acc["tail"], acc["rank"]))
+            .when(x["rank"] == 0, state(F.concat(acc["out"], acc["base"], acc["tail"]), x["char"], F.lit(""), F.lit(0)))
+            .otherwise(state(acc["out"], acc["base"], F.concat(acc["tail"], x["char"]), x["rank"])),
         )
 
-        def step(acc: Column, x: Column) -> Column:
-            into = F.element_at(pairs, F.concat(acc["base"], x["mark"]))
-            free = into.isNotNull() & ((acc["rank"] < x["rank"]) | (acc["tail"] == ""))
-            return F.when(free, F.struct(into.alias("base"), acc["tail"].alias("tail"), acc["rank"].alias("rank"))).otherwise(
-                F.struct(acc["base"].alias("base"), F.concat(acc["tail"], x["mark"]).alias("tail"), x["rank"].alias("rank"))
-            )
+    head = f"(?s)^(?:(?![{joins}]).[{joins}]+|[{alone}]|[{joins}]+)"
+    # never between the two halves of a character outside the basic plane
+    pieces = F.split(text, f"(?s)(?=.[{joins}])(?![{joins}])(?![\\x{{DC00}}-\\x{{DFFF}}])|(?=[{alone}])")
+    return F.when(_has(text, t.joins | t.alone), F.array_join(F.transform(pieces, lambda piece: _let(F.regexp_extract(piece, head, 0), lambda x: composed(piece, x))), "")).otherwise(text)
+
+
+def _has(text: Column, chars: set[str]) -> Column:
+    """Whether the text has one of the characters; deleting them looks each character up once."""
+    return F.translate(text, "".join(sorted(chars)), "") != text
+
+
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Full case folding, in NFC, of the characters that lower-casing leaves other than folded: all others, and those with an iota below."""
+    lows = {c for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 for c in chr(k).lower()}
+    folds = {c: unicodedata.normalize("NFC", c.casefold()) for c in sorted(lows)}
+    folds = {c: f for c, f in folds.items() if f != unicodedata.normalize("NFC", c)}
+    iota = {c for c in folds if "\u0345" in unicodedata.normalize("NFD", c)}
+    return {c: f for c, f in folds.items() if c not in iota}, {c: folds[c] for c in iota}
 
-        start = F.struct(F.substring(piece, 1, 1).alias("base"), F.lit("").alias("tail"), F.lit(-1).alias("rank"))
-        done = F.aggregate(ranked, start, step, lambda a: F.concat(a["base"], a["tail"]))
-        return F.when(marks == "", piece).otherwise(F.concat(done, rest))
 
-    replaced = F.translate(text, "".join(single), "".join(single.values()))
-    pieces = F.split(replaced, r"(?s)(?=\P{M}\p{M})")
-    # marks and singletons begin at U+0300, which is quick to rule out
-    found = F.regexp_like(text, F.lit(r"[^\x{0}-\x{2FF}]")) & F.regexp_like(text, F.lit(odd))
-    return F.when(found, F.array_join(F.transform(pieces, composed), "")).otherwise(text)
+def _replaced(text: Column, table: dict[str, str]) -> Column:
+    """Text with characters replaced."""
+    single, several = ({c: f for c, f in table.items() if (len(f) == 1) == one} for one in (True, False))
+    by = F.array(*(F.struct(F.lit(c).alias("char"), F.lit(f).alias("by")) for c, f in sorted(several.items())))
+    found = F.translate(text, "".join(single), "".join(single.values()))
+    return _let(found, lambda x: F.when(_has(x, set(several)), F.aggregate(by, x, lambda acc, y: F.replace(acc, y["char"], y["by"]))).otherwise(x))
 
 
 def canonical(text: Column) -> Column:
-    """Composed, lower-cased text with each run of white space as one space and none at its ends."""
-    return F.trim(F.regexp_replace(F.lower(compose(text)), r"[\s\p{Z}\x85]+", " "))
+    """Case-folded, composed text with each run of white space as one space and none at its ends.
+
+    Full case folding is lower case and what differs from it, sharp s and final sigma
+    among them. An iota below, which orders as a mark but folds to a letter, is folded
+    after composition, so that canonical caseless matches have one form.
+    """
+    folds, iota = _folds()
+    # sharp s is the one fold that is frequent in texts that need no more than lower case
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folds = {c: f for c, f in folds.items() if c != "ß"}
+    composed = compose(_replaced(low, folds))
+    # beyond Latin letters anything may change, and of those only a few
+    other = F.regexp_like(low, F.lit(f"[{_class({c for c in folds if c < chr(BEYOND)})}\\x{{{BEYOND:x}}}-\\x{{10FFFF}}]"))
+    folded = F.when(other, _let(composed, lambda x: _iota_folded(x, iota))).otherwise(low)
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x85]+", " "))
+
+
+def _iota_folded(text: Column, iota: dict[str, str]) -> Column:
+    """Each character with an iota below becomes the one without, the marks that follow, and an iota."""
+    chars = sorted(iota, key=lambda c: -len(iota[c]))  # the mark alone comes last and is deleted
+    apart = F.regexp_replace(text, f"([{_class(set(iota))}])([{_class(set(_tables().rank) - iota.keys())}]*)", "$1$2ι")
+    folded = F.translate(apart, "".join(chars), "".join(iota[c][:-1] for c in chars))
+    return F.when(_has(text, iota.keys()), folded).otherwise(text)
 
 
 def digest(canon: Column) -> Column:
@@ -139,8 +253,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _digests(texts: DataFrame) -> DataFrame:
     """Rows (id, hash, n_chars, digest), each once; texts are digested where they are read."""
-    light = texts.select("id", "hash", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("digest"))
-    return materialize(light.dropDuplicates(["id", "hash"]))
+    light = texts.select("id", "hash", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon"))
+    return materialize(light.select("id", "hash", "n_chars", digest(F.col("canon")).alias("digest")).dropDuplicates(["id", "hash"]))
 
 
 def _told_apart(light: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,9 +262,12 @@ def _told_apart(light: DataFrame, texts: DataFrame) -> DataFrame:
     shared = materialize(light.groupBy("digest").count().where("count > 1").select("digest"))
     alike = materialize(light.select("id", "hash", "digest").join(shared, "digest"))
     members = texts.join(alike, ["id", "hash"]).select("id", "hash", "digest", canonical(F.col("text")).alias("canon"))
+    # tasks compare their own members first, so that a digest is one row for each of them
     bounds = members.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     # buckets in which bytes differ: none but by a collision of 128-bit hashes
-    split = bounds.where("low <> high").select("digest", "low")
+    split = materialize(bounds.where("low <> high").select("digest", "low"))
+    if split.isEmpty():
+        return light.select("id", "hash", "n_chars", F.col("digest").alias("fingerprint"))
     apart = members.join(split, "digest").where("canon <> low").select("id", "hash", F.concat(F.lit("-"), F.sha2("canon", 256)).alias("more"))
     return light.join(apart, ["id", "hash"], "left").select("id", "hash", "n_chars", F.concat("digest", F.coalesce("more", F.lit(""))).alias("fingerprint"))
 
