@@ -72,7 +72,7 @@ def test_snap_radius_is_strict_and_ties_go_to_the_first(spark):
 def test_nearest_nodes_near_and_far(spark):
     nodes = make_nodes(spark, {f"n{k}": ((37 * k) % 113, (19 * k) % 89) for k in range(60)})
     asked = [(k, float((k * 53) % 140 - 10), float((k * 31) % 120 - 10)) for k in range(50)] + [(99, 5000.0, -7000.0)]
-    got = {r["key"]: (r["node_id"], r["d"]) for r in spatial.nearest_nodes(spark.createDataFrame(asked, "key long, x double, y double"), nodes, 5.0, 1).collect()}
+    got = {r["key"]: (r["node_id"], r["d"]) for r in spatial.nearest_nodes(spark.createDataFrame(asked, "key long, x double, y double"), nodes, 5.0).collect()}
     rows = nodes.collect()
     for k, x, y in asked:
         d, _, name = min(((x - r["x"]) ** 2 + (y - r["y"]) ** 2, r["ord"], r["id"]) for r in rows)
@@ -142,9 +142,8 @@ def test_routes_and_service_areas(spark, cross):
     _, edges = cross
     adj = routing.adjacency(edges)
     pairs = spark.createDataFrame([("n", "f"), ("c", "c"), ("n", "nowhere")], "from_node string, to_node string")
-    for found in (routing.paths(adj, pairs), routing.paths(adj, pairs, broadcast_rows=1)):
-        got = {(r["from_node"], r["to_node"]): (round(r["cost"], 6), r["edges"]) for r in found.collect()}
-        assert got == {("n", "f"): (330.0, ["cn/reverse", "ce/forward", "ef/forward"]), ("c", "c"): (0.0, [])}
+    got = {(r["from_node"], r["to_node"]): (round(r["cost"], 6), r["edges"]) for r in routing.paths(adj, pairs).collect()}
+    assert got == {("n", "f"): (330.0, ["cn/reverse", "ce/forward", "ef/forward"]), ("c", "c"): (0.0, [])}
     start = spark.createDataFrame([("c", "c", 0.0)], "origin string, state string, cost double")
     reached = routing.cheapest(adj, start, 165.0)
     assert {r["state"] for r in reached.collect()} == {"c", "e", "n", "w", "s"}
@@ -160,6 +159,75 @@ def test_routes_and_service_areas(spark, cross):
     assert [(r["maneuver"], r["start_m"]) for r in steps] == [("depart", 0.0), ("left", 100.0), ("arrive", 200.0)]
 
 
+def brute_routes(moves, origin):
+    """(cost, hops, last step, previous state) of every state, by rounds over moves (u, v, cost, step)."""
+    best, frontier = {origin: (0.0, 0, "", None)}, {origin}
+    while frontier:
+        step = {}
+        for u, v, w, name in moves:
+            if u in frontier:
+                label = (best[u][0] + w, best[u][1] + 1, name, u)
+                if v not in step or label < step[v]:
+                    step[v] = label
+        frontier = {v for v, label in step.items() if v not in best or label[0] < best[v][0] - 1e-9}
+        best |= {v: step[v] for v in frontier}
+    return best
+
+
+def walk_back(best, state):
+    steps = []
+    while best[state][3] is not None:
+        steps.append(best[state][2])
+        state = best[state][3]
+    return steps[::-1]
+
+
+def test_routes_over_free_edges_and_ties(spark):
+    """Random graphs with edges of no length and of equal lengths: every reachable pair has the brute-force route."""
+    rng = np.random.default_rng(12)
+    lines = []
+    for k in range(70):
+        a, b = rng.integers(0, 25, 2).tolist()
+        lines.append((f"e{k}", f"v{a}", f"v{b}", [(0.0, 0.0), (float(rng.choice([0, 0, 1, 1, 2, 5])), 0.0)]))
+    lines += [(f"c{k}", f"c{k}", f"c{k + 1}", [(0.0, 0.0), (float(k % 3 == 0), 0.0)]) for k in range(37)]  # a chain, mostly free
+    adj = routing.adjacency(make_edges(spark, lines))
+    names = sorted({x for i in lines for x in i[1:3]})
+    pairs = spark.createDataFrame([(o, t) for o in ("v0", "v7", "c0", "c20") for t in names], "from_node string, to_node string")
+    got = {(r["from_node"], r["to_node"]): (r["cost"], r["edges"]) for r in routing.paths(adj, pairs).collect()}
+    moves = [(r["u"], r["v"], r["cost"], f"{r['edge_id']}/{r['direction']}") for r in adj.collect()]
+    least = {}
+    for u, v, w, name in moves:
+        least[u, v] = min(least.get((u, v), (9e9, "")), (w, name))
+    moves = [(u, v, w, name) for (u, v), (w, name) in least.items()]
+    want = {}
+    for o in ("v0", "v7", "c0", "c20"):
+        best = brute_routes(moves, o)
+        want |= {(o, t): (best[t][0], walk_back(best, t)) for t in best}
+    assert got == want and len(got["c0", "c37"][1]) == 37
+
+
+def test_routes_under_turn_rules_and_on_lanes(spark, cross):
+    _, edges = cross
+    rules = spark.createDataFrame([("c", "cn", "reverse", "ce", "forward", "no_left_turn")], "junction_node_id string, from_edge_id string, from_direction string, to_edge_id string, to_direction string, restriction string")
+    pairs = spark.createDataFrame([("n", "f"), ("n", "w"), ("s", "s"), ("n", "nowhere")], "from_node string, to_node string")
+    got = {(r["from_node"], r["to_node"]): (round(r["cost"], 6), r["edges"]) for r in routing.restricted_paths(edges, rules, pairs).collect()}
+    assert got["n", "w"] == (200.0, ["cn/reverse", "cw/forward"]) and got["s", "s"] == (0.0, []) and len(got) == 3
+    # the ban is kept by turning round at the end of an arm
+    assert got["n", "f"][0] == 530.0 and got["n", "f"][1][-2:] == ["ce/forward", "ef/forward"] and got["n", "f"][1][1] != "ce/forward"
+    lanes = edges.where("edge_id in ('ce', 'ef')").select("edge_id", F.lit(2).alias("lane_count"))
+    found = {(r["from_node"], r["to_node"]): (round(r["cost"], 6), r["edges"]) for r in routing.lane_paths(edges, lanes, pairs).collect()}
+    assert found["n", "f"] == (330.0, ["cn/reverse/0", "ce/forward/0", "ef/forward/0"])
+
+
+def test_numbers_follow_the_order(spark):
+    from waymesh.plans.numbering import numbered
+
+    rows = [(k * 7919) % 1000 for k in range(500)]
+    got = numbered(spark.createDataFrame([(x,) for x in rows], "x long").repartition(5), F.desc("x")).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(500)) and [r["x"] for r in got] == sorted(rows, reverse=True)
+    assert numbered(spark.createDataFrame([], "x long"), "x").count() == 0
+
+
 def test_lane_changes_cost(spark, cross):
     _, edges = cross
     two = edges.where("edge_id = 'ce'").select("edge_id", F.lit(2).alias("lane_count"))

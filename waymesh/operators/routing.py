@@ -2,15 +2,15 @@
 
 A search keeps the cheapest cost of every (origin, state) and joins only what the last
 round improved with the adjacency, so many origins are searched at once and a round
-is one shuffle. States are nodes, or edges with a direction where turns matter.
+is one shuffle. States are nodes, edges with a direction where turns matter, or nodes
+with a lane. Each state remembers the move that reached it, from which routes are read.
 """
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import polyline_length
@@ -52,26 +52,82 @@ def weighted(adj: DataFrame, facts: DataFrame, observed_bonus: float = 0.5, unob
     return out.select("u", "v", "edge_id", "direction", (F.col("cost") * factor * hill).alias("cost"))
 
 
-def cheapest(adj: DataFrame, starts: DataFrame, max_cost: float | None = None, max_rounds: int = 100_000) -> DataFrame:
-    """Rows (origin, state, cost): cheapest cost from each start (origin, state, cost) over rows (u, v, cost).
+#: Rounds of a search whose improvements are kept apart before they are put together.
+APART = 12
+
 
-    A budget includes costs equal to it. Unknown states reach only themselves.
+def search(moves: DataFrame, starts: DataFrame, max_cost: float | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """Rows (origin, state, cost, hops, via, step): cheapest costs and the last move of a cheapest way.
+
+    moves: (u, v, cost, step), step naming the move. starts: (origin, state, cost), with
+    a column step where reaching the start is a move of its own. A budget includes costs
+    equal to it. Of ways of equal cost the one of fewest moves counts, then the one whose
+    last move has the smallest name. A state improves only by a lower cost, so moves
+    without cost are taken like any other and never go round. Unknown states reach
+    only themselves.
     """
-    best = materialize(starts.groupBy("origin", "state").agg(F.min("cost").alias("cost")))
-    frontier = best
-    adj = materialize(adj.groupBy("u", "v").agg(F.min("cost").alias("w")))
+    columns = ["origin", "state", "cost", "hops", "via", "step"]
+    first = F.col("step") if "step" in starts.columns else F.lit(None).cast("string")
+    begun = starts.groupBy("origin", "state").agg(F.min(F.struct("cost", first.alias("step"))).alias("b"))
+    begun = begun.select("origin", "state", "b.cost", F.when(F.col("b.step").isNull(), 0).otherwise(1).alias("hops"), F.lit(None).cast("string").alias("via"), "b.step")
+    if max_cost is not None:
+        begun = begun.where(F.col("cost") <= max_cost)
+    frontier = materialize(begun)
+    found = [frontier]
+    moves = materialize(moves.groupBy("u", "v").agg(F.min(F.struct("cost", "step")).alias("w")).select("u", "v", F.col("w.cost").alias("w"), F.col("w.step").alias("name")))
+    best = lambda: reduce(DataFrame.unionByName, found).groupBy("origin", "state").agg(F.min_by(F.struct(*columns[2:]), "cost").alias("b")).select("origin", "state", "b.*")
     for _ in range(max_rounds):
-        step = frontier.join(adj, F.col("state") == F.col("u")).select("origin", F.col("v").alias("state"), (F.col("cost") + F.col("w")).alias("cost"))
+        step = frontier.join(moves, F.col("state") == F.col("u")).select("origin", F.col("v").alias("state"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("state").alias("via"), F.col("name").alias("step"))
         if max_cost is not None:
             step = step.where(F.col("cost") <= max_cost)
-        step = step.groupBy("origin", "state").agg(F.min("cost").alias("new"))
-        frontier = materialize(step.join(best, ["origin", "state"], "left").where("cost is null or new < cost - 1e-9").select("origin", "state", F.col("new").alias("cost")))
+        step = step.groupBy("origin", "state").agg(F.min(F.struct("cost", "hops", "step", "via")).alias("b")).select("origin", "state", "b.*")
+        known = reduce(DataFrame.unionByName, found).groupBy("origin", "state").agg(F.min("cost").alias("known"))
+        frontier = materialize(step.join(known, ["origin", "state"], "left").where("known is null or cost < known - 1e-9").select(*columns))
         if frontier.isEmpty():
-            return best
-        best = materialize(best.join(frontier.select("origin", "state"), ["origin", "state"], "left_anti").unionByName(frontier))
+            return best()
+        found.append(frontier)
+        if len(found) > APART:
+            found = [materialize(best().select(*columns))]
     raise RuntimeError("the search did not end")
 
 
+def cheapest(adj: DataFrame, starts: DataFrame, max_cost: float | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """Rows (origin, state, cost): cheapest cost from each start (origin, state, cost) over rows (u, v, cost)."""
+    return search(adj.select("u", "v", "cost", F.lit("").alias("step")), starts, max_cost, max_rounds).select("origin", "state", "cost")
+
+
+def traced(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows (origin, state, steps): the moves of the ways to `ends` (origin, state), from the results of a search.
+
+    Ways are cut in halves at ancestors that lie a power of two of moves back, until
+    each piece is one move; so a way of n moves takes 2 log n rounds of joins, and no
+    row holds more than one move before the last.
+    """
+    found = materialize(found.join(found.join(ends.distinct(), ["origin", "state"]).select("origin").distinct(), "origin"))
+    back = found.where("via is not null").select("origin", "state", "via")
+    pieces = found.join(ends.distinct(), ["origin", "state"]).select("origin", F.col("state").alias("end"), "state", "hops", F.col("hops").alias("place"))
+    most = pieces.agg(F.max("hops")).first()[0] or 0
+    jumps = [back]
+    while 2 << len(jumps) <= 2 * most:
+        half, rest = jumps[-1], jumps[-1].select("origin", F.col("state").alias("via"), F.col("via").alias("far"))
+        jumps.append(materialize(half.join(rest, ["origin", "via"]).select("origin", "state", F.col("far").alias("via"))))
+    for k in reversed(range(len(jumps))):
+        size = 1 << k
+        # the last 2^k moves of a longer piece, and what comes before them
+        cut = pieces.join(jumps[k], ["origin", "state"], "left").withColumn("long", (F.col("hops") > size) & F.col("via").isNotNull())
+        head = F.struct(F.col("via").alias("state"), (F.col("hops") - size).alias("hops"), (F.col("place") - size).alias("place"))
+        tail = F.struct("state", F.least("hops", F.lit(size)).alias("hops"), "place")
+        parts = F.when(F.col("long"), F.array(tail, head)).otherwise(F.array(F.struct("state", "hops", "place")))
+        pieces = materialize(cut.select("origin", "end", F.explode(parts).alias("p")).select("origin", "end", "p.*"))
+    named = pieces.where("hops > 0").join(found.select("origin", "state", "step"), ["origin", "state"])
+    steps = named.groupBy("origin", F.col("end").alias("state")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "step"))), lambda s: s["step"]).alias("steps"))
+    return ends.distinct().join(found, ["origin", "state"], "left_semi").join(steps, ["origin", "state"], "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<string>")))
+
+
+def step_name(*parts: str | Column) -> Column:
+    return F.concat_ws("/", *parts)
+
+
 def reachable_spans(adj: DataFrame, reached: DataFrame, max_cost: float) -> DataFrame:
     """How far each directed edge is reached within the budget: (origin, edge_id, direction, start_cost, fraction)."""
     rows = reached.join(adj, F.col("state") == F.col("u"))
@@ -100,102 +156,89 @@ def turn_adjacency(adj: DataFrame, restrictions: DataFrame) -> DataFrame:
     ruled = only.select(approach).distinct().withColumn("_ruled", F.lit(True))
     right = only.withColumn("_right", F.lit(True))
     moves = moves.join(ruled, approach, "left").join(right, full, "left").where("_ruled is null or _right")
-    state = lambda e, d: F.concat_ws("/", e, d)
-    return moves.select(state("from_edge_id", "from_direction").alias("u"), state("to_edge_id", "to_direction").alias("v"), "cost")
+    ahead = step_name("to_edge_id", "to_direction")
+    return moves.select(step_name("from_edge_id", "from_direction").alias("u"), ahead.alias("v"), "cost", ahead.alias("step"))
+
+
+def _restricted(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None) -> tuple[DataFrame, DataFrame]:
+    """The search over directed edges, and its states' end nodes (state, node)."""
+    adj = adjacency(edges)
+    state = step_name("edge_id", "direction")
+    first = origins.join(adj, F.col("origin") == F.col("u")).select("origin", state.alias("state"), "cost", state.alias("step"))
+    return search(turn_adjacency(adj, restrictions), first, max_cost), adj.select(state.alias("state"), F.col("v").alias("node"))
 
 
 def restricted_costs(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None = None) -> DataFrame:
     """Rows (origin, node, cost) under turn rules: cheapest cost to each node from origins (origin: a node id)."""
-    adj = adjacency(edges)
-    first = origins.join(adj, F.col("origin") == F.col("u")).select("origin", F.concat_ws("/", "edge_id", "direction").alias("state"), "cost")
-    if max_cost is not None:
-        first = first.where(F.col("cost") <= max_cost)
-    found = cheapest(turn_adjacency(adj, restrictions), first, max_cost)
-    ends = adj.select(F.concat_ws("/", "edge_id", "direction").alias("state"), "v")
-    reached = found.join(ends, "state").groupBy("origin", F.col("v").alias("node")).agg(F.min("cost").alias("cost"))
+    found, ends = _restricted(edges, restrictions, origins, max_cost)
+    reached = found.join(ends, "state").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
     own = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
     return reached.unionByName(own).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
 
 
-def lane_costs(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost: float, swap_cost: float = 50.0) -> DataFrame:
-    """Rows (origin, node, lane, cost) where changing to a neighbour lane of the next edge costs `swap_cost` a lane.
+def _routes(found: DataFrame, ends: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (from_node, to_node, cost, edges) of pairs, from a search whose states end at nodes (state, node)."""
+    pairs = pairs.select("from_node", "to_node").distinct()
+    wanted = pairs.where("from_node <> to_node").join(ends, F.col("to_node") == F.col("node")).select(F.col("from_node").alias("origin"), "to_node", "state")
+    best = wanted.join(found.select("origin", "state", "cost", "hops"), ["origin", "state"]).groupBy("origin", "to_node").agg(F.min(F.struct("cost", "hops", "state")).alias("b"))
+    best = materialize(best.select("origin", "to_node", "b.cost", "b.state"))
+    ways = best.join(traced(found, best.select("origin", "state")), ["origin", "state"])
+    own = pairs.where("from_node = to_node").select("from_node", "to_node", F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("edges"))
+    return own.unionByName(ways.select(F.col("origin").alias("from_node"), "to_node", "cost", F.col("steps").alias("edges")))
+
+
+def _origins(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("from_node").alias("origin")).distinct()
+
 
-    lanes: (edge_id, lane_count); an edge without has one.
+def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cheapest routes of pairs (from_node, to_node) under turn rules: (from_node, to_node, cost, edges).
+
+    Turns are judged between an edge and the next; the first edge is free. Pairs
+    without a route are left out; a node to itself is an empty route.
     """
+    found, ends = _restricted(edges, restrictions, _origins(pairs), None)
+    return _routes(found, ends, pairs)
+
+
+def _lane_search(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost: float | None, swap_cost: float) -> tuple[DataFrame, DataFrame]:
     adj = adjacency(edges).join(lanes, "edge_id", "left").withColumn("n", F.greatest(F.lit(1), F.coalesce("lane_count", F.lit(1))))
     wide = adj.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     name = lambda n, lane: F.concat_ws("#", n, lane)
     before = F.sequence(F.lit(0), F.lit(max(1, lanes.agg(F.max("lane_count")).first()[0] or 1) - 1))
-    moves = wide.withColumn("old", F.explode(before)).select(name("u", "old").alias("u"), name("v", "lane").alias("v"), (F.col("cost") + swap_cost * F.abs(F.col("lane") - F.col("old"))).alias("cost"))
+    cost = F.col("cost") + swap_cost * F.abs(F.col("lane") - F.col("old"))
+    moves = wide.withColumn("old", F.explode(before)).select(name("u", "old").alias("u"), name("v", "lane").alias("v"), cost.alias("cost"), step_name("edge_id", "direction", F.col("lane").cast("string")).alias("step"))
     starts = origins.withColumn("lane", F.explode(before)).select("origin", name("origin", "lane").alias("state"), F.lit(0.0).alias("cost"))
-    found = cheapest(moves, starts, max_cost)
+    ends = moves.select(F.col("v").alias("state"), F.substring_index("v", "#", 1).alias("node")).distinct()
+    return search(moves, starts, max_cost), ends
+
+
+def lane_costs(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost: float | None = None, swap_cost: float = 50.0) -> DataFrame:
+    """Rows (origin, node, lane, cost) where changing to a neighbour lane of the next edge costs `swap_cost` a lane.
+
+    lanes: (edge_id, lane_count); an edge without has one. Any lane is free to start in.
+    """
+    found, _ = _lane_search(edges, lanes, origins, max_cost, swap_cost)
     parts = F.split("state", "#")
     return found.select("origin", parts[0].alias("node"), parts[1].cast("int").alias("lane"), "cost")
 
 
-def paths(adj: DataFrame, pairs: DataFrame, broadcast_rows: int = 500_000, max_rounds: int = 100_000) -> DataFrame:
+def lane_paths(edges: DataFrame, lanes: DataFrame, pairs: DataFrame, swap_cost: float = 50.0) -> DataFrame:
+    """Cheapest routes of pairs where lane changes cost: (from_node, to_node, cost, edges), edges as edge/direction/lane."""
+    found, ends = _lane_search(edges, lanes, _origins(pairs), None, swap_cost)
+    return _routes(found, ends, pairs)
+
+
+def paths(adj: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cheapest routes of pairs (from_node, to_node): (from_node, to_node, cost, edges), edges as edge/direction in order.
 
-    Pairs without a route are left out; a node to itself is an empty route. An
-    adjacency of at most `broadcast_rows` rows goes to the workers, which search once
-    for each origin; beyond that, all origins are searched at once by joins.
+    Pairs without a route are left out; a node to itself is an empty route. Of routes of
+    equal cost the one of fewest edges counts, then the one whose edges' names are
+    smaller, read from the end. All origins are searched at once.
     """
-    head = adj.select("u", "v", "cost", "edge_id", "direction").limit(broadcast_rows + 1).collect()
-    if len(head) <= broadcast_rows:
-        return _paths_by_worker(head, pairs)
-    return _paths_by_joins(adj, pairs, max_rounds)
-
-
-def _paths_by_worker(rows: list, pairs: DataFrame) -> DataFrame:
-    ways: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["edge_id"], r["direction"])):
-        ways.setdefault(r["u"], []).append((r["v"], r["cost"], f"{r['edge_id']}/{r['direction']}"))
-    shared = pairs.sparkSession.sparkContext.broadcast(ways)
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        origin, wanted, open_ = part["from_node"].iloc[0], set(part["to_node"]), set(part["to_node"])
-        queue, done, via = [(0.0, origin, None, None)], {}, {}
-        while queue and open_:
-            cost, node, before, step = heapq.heappop(queue)
-            if node in done:
-                continue
-            done[node], via[node] = cost, (before, step)
-            open_.discard(node)
-            for v, w, name in shared.value.get(node, ()):
-                if v not in done:
-                    heapq.heappush(queue, (cost + w, v, node, name))
-        found = []
-        for target in sorted(wanted & done.keys()):
-            steps, at = [], target
-            while at != origin:
-                at, step = via[at]
-                steps.append(step)
-            found.append((origin, target, done[target], steps[::-1]))
-        return pd.DataFrame(found, columns=["from_node", "to_node", "cost", "edges"])
-
-    return pairs.distinct().groupBy("from_node").applyInPandas(search, "from_node string, to_node string, cost double, edges array<string>")
-
-
-def _paths_by_joins(adj: DataFrame, pairs: DataFrame, max_rounds: int) -> DataFrame:
-    """A route is read backwards over edges that add up, the smallest name first where several do."""
-    origins = pairs.select(F.col("from_node").alias("origin")).distinct()
-    cost = cheapest(adj, origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")))
-    step = adj.select("u", "v", "cost", F.concat_ws("/", "edge_id", "direction").alias("step"))
-    a, b = cost.alias("a"), cost.alias("b")
-    into = a.join(step.alias("s"), F.col("a.state") == F.col("s.u")).join(b, (F.col("s.v") == F.col("b.state")) & (F.col("a.origin") == F.col("b.origin")))
-    into = into.where(F.abs(F.col("a.cost") + F.col("s.cost") - F.col("b.cost")) < 1e-6).where(F.col("a.cost") < F.col("b.cost"))
-    into = materialize(into.groupBy(F.col("a.origin").alias("o"), F.col("s.v").alias("node")).agg(F.min(F.struct("s.step", "s.u")).alias("via")))
-    walk = pairs.join(cost, (F.col("from_node") == F.col("origin")) & (F.col("to_node") == F.col("state"))).select("from_node", "to_node", "cost", F.col("to_node").alias("at"), F.array().cast("array<string>").alias("edges"))
-    done = None
-    for _ in range(max_rounds):
-        walk = materialize(walk)
-        ended = walk.where("at = from_node").select("from_node", "to_node", "cost", "edges")
-        done = ended if done is None else done.unionByName(ended)
-        walk = walk.where("at <> from_node")
-        if walk.isEmpty():
-            return done
-        walk = walk.join(into, (F.col("from_node") == F.col("o")) & (F.col("at") == F.col("node"))).select("from_node", "to_node", "cost", F.col("via.u").alias("at"), F.concat(F.array("via.step"), F.col("edges")).alias("edges"))
-    raise RuntimeError("the walk did not end")
+    origins = _origins(pairs)
+    found = search(adj.select("u", "v", "cost", step_name("edge_id", "direction").alias("step")), origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")))
+    return _routes(found, adj.select(F.col("v").alias("state"), F.col("v").alias("node")).distinct(), pairs)
 
 
 def merge_restrictions(*groups: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ def get_session(app: str = "waymesh", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -23,14 +24,15 @@ def get_session(app: str = "waymesh", **conf: str) -> SparkSession:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with checkpoint() in the cluster's shared folder.
 
-    The folder is spark.checkpoint.dir; one is made up only where that is unset,
-    as in tests on a single machine.
+    The folder is spark.checkpoint.dir. Where that is unset, one is made up on a single
+    machine, as in tests, and a cluster is an error: executors share no local folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waymesh-checkpoint-")
-        context.setCheckpointDir(shared)
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymesh-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
