@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.functions.geometry import distance, lonlat_to_metres
+from waymesh.functions.geometry import distance, lonlat_to_metres, polyline_length
 from waymesh.operators.spatial import nearest_nodes
 from waymesh.operators.topology import edge_ends
 
@@ -33,7 +33,7 @@ def convert_restrictions(elements: dict[str, DataFrame], nodes: DataFrame, edges
     x, y = lonlat_to_metres(F.col("lon"), F.col("lat"), lat0, lon0)
     places = elements["nodes"].select(F.col("id").alias("place"), x.alias("px"), y.alias("py")).dropDuplicates(["place"])
     rel = rel.join(places.select(F.col("place").alias("via"), F.col("px").alias("x"), F.col("py").alias("y")), "via", "left")
-    near = nearest_nodes(rel.where("x is not null").select(F.col("relation_id").alias("key"), "x", "y"), nodes, max_snap, 1).where(F.col("d") <= max_snap)
+    near = nearest_nodes(rel.where("x is not null").select(F.col("relation_id").alias("key"), "x", "y"), nodes, max_snap, within=True)
     rel = rel.join(near.select(F.col("key").alias("relation_id"), F.col("node_id").alias("junction_node_id")), "relation_id", "left")
 
     steps = elements["ways"].select(F.col("id").alias("way"), F.posexplode("nodes").alias("k", "place")).join(places, "place")
@@ -66,18 +66,21 @@ def convert_restrictions(elements: dict[str, DataFrame], nodes: DataFrame, edges
     return out.select("relation_id", "restriction", "junction_node_id", "from_edge_id", "from_direction", "to_edge_id", "to_direction", skipped.alias("skipped"))
 
 
-def elevate(nodes: DataFrame, edges: DataFrame, samples: DataFrame, size: float = 50.0) -> tuple[DataFrame, DataFrame]:
-    """Nodes with elevation_m of the nearest sample (trace_id, ord, x, y, z), and edges with slope_deg.
+def elevate(nodes: DataFrame, edges: DataFrame, samples: DataFrame, radius: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """Nodes with elevation_m, and edges with polyline_z and slope_deg, of the nearest samples (trace_id, ord, x, y, z).
 
-    The slope is the angle of the rise from start to end over the length.
+    Each vertex takes the height of its nearest sample, the first of a trace in order
+    where several are as near. The slope is the angle of the rise from the first to the
+    last vertex over the length, 0 on an edge without length.
     """
-    heights = samples.select(F.concat_ws("/", "trace_id", "ord").alias("id"), F.row_number().over(Window.orderBy("trace_id", "ord")).cast("long").alias("ord"), "x", "y", "z")
-    near = nearest_nodes(nodes.select(F.col("id").alias("key"), "x", "y"), heights.select("id", "ord", "x", "y"), size, 1)
-    found = near.join(heights.select(F.col("id").alias("node_id"), "z"), "node_id").select(F.col("key").alias("id"), F.col("z").alias("elevation_m"))
-    high = nodes.join(found, "id", "left")
-    from waymesh.functions.geometry import polyline_length
-
-    at = lambda c, name: high.select(F.col("id").alias(c), F.col("elevation_m").alias(name))
-    rise = edges.join(at("start_node_id", "_z0"), "start_node_id", "left").join(at("end_node_id", "_z1"), "end_node_id", "left")
-    slope = F.atan2(F.col("_z1") - F.col("_z0"), polyline_length("polyline")) * (180.0 / math.pi)
-    return high, rise.withColumn("slope_deg", slope).drop("_z0", "_z1")
+    heights = samples.select(F.concat_ws("/", "trace_id", "ord").alias("id"), F.struct("trace_id", "ord").alias("ord"), "x", "y", "z")
+
+    def height(points: DataFrame) -> DataFrame:
+        return nearest_nodes(points, heights.select("id", "ord", "x", "y"), radius).join(heights.select(F.col("id").alias("node_id"), "z"), "node_id").select("key", "z")
+
+    high = nodes.join(height(nodes.select(F.col("id").alias("key"), "x", "y")).select(F.col("key").alias("id"), F.col("z").alias("elevation_m")), "id", "left")
+    vertices = edges.select("edge_id", F.posexplode("polyline").alias("k", "p")).select(F.struct("edge_id", "k").alias("key"), "p.x", "p.y")
+    lines = height(vertices).groupBy("key.edge_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("key.k", "z"))), lambda s: s["z"]).alias("polyline_z"))
+    length = polyline_length("polyline")
+    slope = F.atan2(F.element_at("polyline_z", -1) - F.element_at("polyline_z", 1), length) * (180.0 / math.pi)
+    return high, edges.join(lines, "edge_id", "left").withColumn("slope_deg", F.when(length > 1e-6, slope).otherwise(0.0))

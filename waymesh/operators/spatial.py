@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.functions.geometry import distance, position_on_segment
+from waymesh.functions.geometry import crossing, distance, position_on_segment
+from waymesh.plans.components import connected_components
+from waymesh.plans.numbering import numbered
+from waymesh.session import materialize
 
 
 def segments(edges: DataFrame) -> DataFrame:
@@ -73,14 +76,30 @@ HIT = ("d2", "edge_ord", "seg_ord", "edge_id", "qx", "qy", "arc", "edge_len")
 
 
 def snap(samples: DataFrame, edges: DataFrame, radius: float = 15.0, keys: tuple[str, ...] = ("trace_id", "ord")) -> DataFrame:
-    """Samples with their nearest edge closer than `radius`: edge_id, edge_ord, seg_ord, d, qx, qy, arc.
+    """Samples with their nearest edge closer than `radius`: edge_id, edge_ord, seg_ord, d2, d, qx, qy, arc, edge_len.
 
     Equal distances go to the lower edge, then the lower segment, in order. Samples
-    without one keep nulls.
+    without one keep nulls. The segments near a cell are one row, as a list, so that
+    samples are joined once and neither grouped nor joined back; a radius of 0 or less
+    finds nothing.
     """
-    pairs = point_segment_pairs(samples.select(*keys, "x", "y"), segments(edges), radius)
-    best = pairs.groupBy(*keys).agg(F.min(F.struct(*HIT)).alias("hit")).select(*keys, *(F.col(f"hit.{c}") for c in HIT))
-    return samples.join(best.withColumn("d", F.sqrt("d2")), list(keys), "left")
+    size = 2.0 * radius if radius > 0 else 1.0
+    segs = segments(edges)
+    wide = spread(segs, *(F.col(c) for c in ("ax", "ay", "bx", "by")), max(0.0, radius), size).where(F.lit(radius > 0))
+    near = wide.groupBy("cx", "cy").agg(F.collect_list(F.struct(*segs.columns)).alias("_near"))
+    x, y = F.col("x"), F.col("y")
+
+    def hit(s: Column) -> Column:
+        t = position_on_segment(x, y, *(s[c] for c in ("ax", "ay", "bx", "by")))
+        qx, qy = s["ax"] + t * (s["bx"] - s["ax"]), s["ay"] + t * (s["by"] - s["ay"])
+        d2 = (x - qx) * (x - qx) + (y - qy) * (y - qy)
+        values = {"d2": d2, "qx": qx, "qy": qy, "arc": s["arc_start"] + t * s["seg_len"]}
+        return F.struct(*((values[c] if c in values else s[c]).alias(c) for c in HIT))
+
+    placed = samples.withColumns({"cx": cell(x, size), "cy": cell(y, size)}).join(near, ["cx", "cy"], "left")
+    best = F.array_min(F.filter(F.transform("_near", hit), lambda h: h["d2"] < radius * radius))
+    out = placed.withColumn("_hit", best).drop("cx", "cy", "_near")
+    return out.withColumns({c: F.col(f"_hit.{c}") for c in HIT}).drop("_hit").withColumn("d", F.sqrt("d2"))
 
 
 def candidates(samples: DataFrame, edges: DataFrame, radius: float = 20.0, limit: int = 5, keys: tuple[str, ...] = ("trace_id", "ord")) -> DataFrame:
@@ -91,41 +110,36 @@ def candidates(samples: DataFrame, edges: DataFrame, radius: float = 20.0, limit
     return best.withColumn("rank", rank).where(F.col("rank") <= limit).select(*keys, "rank", "edge_ord", "hit.*").withColumn("d", F.sqrt("d2"))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, size: float, rings: int = 2) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, radius: float, within: bool = False) -> DataFrame:
     """Each point (key, x, y) with its nearest node: node_id, node_ord, d; ties go to the lower order.
 
-    Nodes are looked for in the cells around a point's own, and in a wider square of
-    larger cells as long as a nearer node could lie outside the one searched; the
-    square at last covers all nodes. Each round is an equi-join on cells; only points
-    that are not settled go on.
+    Nodes are spread over the at most four cells that lie within `radius` of them, and a
+    point looks into its own. Points without a node that near go on with four times the
+    radius, until it covers all nodes, or are left out if nodes `within` the radius are
+    asked for. Without nodes all are null.
     """
-    from waymesh.session import materialize
-
     box = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).first()
     if not box["n"]:
         return points.select("key", F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("long").alias("node_ord"), F.lit(None).cast("double").alias("d"))
-    far = points.agg(F.max(F.greatest(F.abs(F.col("x") - box["x0"]), F.abs(F.col("x") - box["x1"]), F.abs(F.col("y") - box["y0"]), F.abs(F.col("y") - box["y1"])))).first()[0]
+    east, north = (F.greatest(F.abs(F.col(c) - box[f"{c}0"]), F.abs(F.col(c) - box[f"{c}1"])) for c in "xy")
+    far = points.agg(F.max(F.sqrt(east * east + north * north))).first()[0] or 0.0
     todo, done = points.select("key", "x", "y"), None
+    dots = nodes.select(F.col("id").alias("node_id"), F.col("ord").alias("node_ord"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
     while True:
-        around = F.sequence(F.lit(-rings), F.lit(rings))
-        wide = nodes.select(F.col("id").alias("node_id"), F.col("ord").alias("node_ord"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-        placed = wide.withColumns({"cx": cell(F.col("nx"), size), "cy": cell(F.col("ny"), size)})
-        asked = todo.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        asked = asked.withColumns({"cx": cell(F.col("x"), size) + F.col("_dx"), "cy": cell(F.col("y"), size) + F.col("_dy")}).drop("_dx", "_dy")
-        hits = asked.join(placed, ["cx", "cy"])
-        d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
+        size = 2.0 * radius
+        wide = spread(dots, F.col("nx"), F.col("ny"), F.col("nx"), F.col("ny"), radius, size)
+        hits = todo.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)}).join(wide, ["cx", "cy"]).where(d2 <= radius * radius)
         best = hits.groupBy("key").agg(F.min(F.struct(d2.alias("d2"), "node_ord", "node_id")).alias("hit"))
-        last = far is None or rings * size > far
-        sure = best if last else best.where(F.sqrt("hit.d2") <= rings * size)
-        settled = sure.select("key", "hit.node_id", "hit.node_ord", F.sqrt("hit.d2").alias("d"))
-        if last:
+        settled = best.select("key", "hit.node_id", "hit.node_ord", F.sqrt("hit.d2").alias("d"))
+        if within or radius > far:
             return settled if done is None else done.unionByName(settled)
         settled = materialize(settled)
         done = settled if done is None else done.unionByName(settled)
         todo = materialize(todo.join(settled, "key", "left_anti"))
         if todo.isEmpty():
             return done
-        size *= 4
+        radius *= 4
 
 
 def coverage(snapped: DataFrame) -> DataFrame:
@@ -144,10 +158,9 @@ def coverage(snapped: DataFrame) -> DataFrame:
 def segment_crossings(edges: DataFrame, size: float = 100.0) -> DataFrame:
     """Strict crossings of segments of different edges: (edge_a, seg_a, edge_b, seg_b, ta, tb, x, y).
 
-    Each pair is reported from the cell that both have first, so none twice.
+    A pair that shares several cells is found in each of them; crossings, which are few
+    beside the pairs, are then made distinct.
     """
-    from waymesh.functions.geometry import crossing
-
     segs = segments(edges).select("edge_ord", "edge_id", "seg_ord", "ax", "ay", "bx", "by")
     wide = spread(segs, *(F.col(c) for c in ("ax", "ay", "bx", "by")), 0.0, size)
     a, b = wide.alias("a"), wide.alias("b")
@@ -161,12 +174,11 @@ def segment_crossings(edges: DataFrame, size: float = 100.0) -> DataFrame:
 
 def close_points(points: DataFrame, radius: float, inclusive: bool = True) -> DataFrame:
     """Pairs (a, b), a < b, of points (key, x, y) within `radius` of each other."""
-    size = max(radius, 1e-9)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    placed = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
-    asked = placed.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    asked = asked.select(F.col("key").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy"))
-    out = asked.join(placed.withColumnRenamed("key", "b"), ["cx", "cy"]).where("a < b")
+    reach = max(radius, 1e-9)
+    size = 2.0 * reach
+    placed = points.select(F.col("key").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    wide = spread(points.select(F.col("key").alias("b"), "x", "y"), *(F.col(c) for c in "xyxy"), reach, size)
+    out = placed.join(wide, ["cx", "cy"]).where("a < b")
     d2 = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
     return out.where(d2 <= radius * radius if inclusive else d2 < radius * radius).select("a", "b", F.sqrt(d2).alias("d"))
 
@@ -177,14 +189,11 @@ def endpoint_clusters(points: DataFrame, merge_dist: float) -> DataFrame:
     Points within `merge_dist` of each other are one node, chains included; a
     distance of 0 merges exact duplicates only. A node lies at its points' mean.
     """
-    from waymesh.plans.components import connected_components
-
     same = points.groupBy("x", "y").agg(F.min("key").alias("key"))
     reps = points.join(same.withColumnRenamed("key", "rep"), ["x", "y"])
     linked = connected_components(close_points(same, merge_dist).select("a", "b")) if merge_dist > 0 else None
     if linked is not None:
         reps = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     centre = reps.groupBy("rep").agg(F.min("key").alias("first"), F.avg("x").alias("node_x"), F.avg("y").alias("node_y"))
-    # numbered by rank of the smallest key: a count of nodes per key range would do the same at any size
-    centre = centre.withColumn("node", F.concat(F.lit("n"), F.row_number().over(Window.orderBy("first")) - 1))
+    centre = numbered(centre, "first").withColumn("node", F.concat(F.lit("n"), "place")).drop("place")
     return reps.join(centre, "rep").select("key", "x", "y", "node", "node_x", "node_y")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import lonlat_to_metres
+from waymesh.plans.numbering import numbered
 
 #: Road classes that cars use.
 DRIVABLE = (
@@ -125,5 +126,5 @@ def gpx(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Rows (ord, t, lat, lon) of a GPX file's track points in time order; `limit` keeps the first of them."""
     points = spark.read.format("xml").option("rowTag", "trkpt").schema("_lat double, _lon double, time timestamp").load(path)
     rows = points.where("time is not null").select(F.col("time").cast("double").alias("t"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
-    out = rows.withColumn("ord", F.row_number().over(Window.orderBy("t", "lat", "lon")).cast("long"))
+    out = numbered(rows, "t", "lat", "lon", name="ord").withColumn("ord", (F.col("ord") + 1).cast("long"))
     return out if limit is None else out.where(F.col("ord") <= limit)
