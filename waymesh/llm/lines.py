@@ -22,6 +22,8 @@ from waymesh.llm.text import ASCII_LOWER, LOWER, UPPER, as_bytes
 from waymesh.session import materialize
 
 SPACE = b" \t\n\r\x0b\x0c"
+#: Stands for a null doc_id where documents are counted.
+NO_ID = -(1 << 63)
 
 
 def line_key(line: bytes) -> bytes:
@@ -60,25 +62,34 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _count_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows: for each hash and batch, how many documents begin and the first occurrence."""
-    last = None
+    """Of sorted rows: for each hash and batch, how many documents begin and the first occurrence.
+
+    The partition's first and last document of a hash may go on in its neighbours. They
+    are given back with a count of -1 and named, to be counted once for all partitions.
+    """
+    first = last = None
+    names = ["h1", "h2", "n_docs", "doc_id", "doc_hash", "pos", "edge"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc_id, doc_hash = batch.column(2).fill_null(-(1 << 63)).to_numpy(), batch.column(3).to_numpy()
+        doc_id = batch.column(2).fill_null(NO_ID).to_numpy()
         h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         key = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         doc = key.copy()
-        doc[1:] |= (doc_id[1:] != doc_id[:-1]) | (doc_hash[1:] != doc_hash[:-1])
-        if last == (h1[0], h2[0], doc_id[0], doc_hash[0]):
-            doc[0] = False
-        last = (h1[-1], h2[-1], doc_id[-1], doc_hash[-1])
+        doc[1:] |= doc_id[1:] != doc_id[:-1]
+        begin = (h1[0], h2[0], doc_id[0])
+        first = first or begin
+        doc[0] = last != begin
+        last = (h1[-1], h2[-1], doc_id[-1])
         at = np.flatnonzero(key)
         n = np.add.reduceat(doc.astype(np.int64), at)
         take = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(n), *(batch.column(c).take(take) for c in (2, 3, 4))], names=["h1", "h2", "n_docs", "doc_id", "doc_hash", "pos"]
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(n), *(batch.column(c).take(take) for c in (2, 3, 4)), pa.nulls(len(at), pa.int64())], names=names
         )
+    for h1, h2, edge in {first, last} - {None}:
+        none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([h1]), pa.array([h2]), pa.array([-1], pa.int64()), *none, pa.array([edge], pa.int64())], names=names)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +109,15 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
     lower-cased. Keys of `min_chars` code points or more that occur in `min_docs`
     documents or more lose their lines, all of them or, with `keep_first`, all but
     the first in (doc_id, position) order. keep: zlib-compressed bits, one for each
-    line, 1 to keep it; lines beyond its end are kept. Rows of equal doc_id and text
+    line, 1 to keep it; lines beyond its end are kept. Rows of one doc_id, or of none,
     are one document.
     """
     lines = materialize(line_hashes(_with_row_key(docs), min_chars))
     dealt = lines.repartitionByRange("h1", "h2", "doc_id", "doc_hash").sortWithinPartitions("h1", "h2", "doc_id", "doc_hash", "pos")
-    counted = dealt.mapInArrow(_count_stream, "h1 long, h2 long, n_docs long, doc_id long, doc_hash long, pos int")
-    counted = counted.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("doc_id", "doc_hash", "pos")).alias("first"))
+    counted = dealt.mapInArrow(_count_stream, "h1 long, h2 long, n_docs long, doc_id long, doc_hash long, pos int, edge long")
+    # at most two edges for each partition
+    n_docs = F.sum("n_docs") + F.size(F.collect_set("edge"))
+    counted = counted.groupBy("h1", "h2").agg(n_docs.alias("n_docs"), F.min(F.when(F.col("edge").isNull(), F.struct("doc_id", "doc_hash", "pos"))).alias("first"))
     common = materialize(counted.where(F.col("n_docs") >= min_docs).select("h1", "h2", "first"))
     drop = lines.join(common, ["h1", "h2"])
     if keep_first:
@@ -147,15 +160,15 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, k
     return kept.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in clash), "n_lines", "n_dropped")
 
 
-#: DuckDB SQL for the lines that `documents` lose.
+#: DuckDB SQL for the lines that `documents` lose; rows of one doc_id are one document, and a row each.
 LINES_SQL = f"""
-with l as (
-  select doc_id, u.line, u.pos,
+with d as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+l as (
+  select row, doc_id, u.line, u.pos,
          translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') as key
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents) u),
-c as (select key from l where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+  from (select row, doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as pos from d) u),
+c as (select key from l where length(key) >= 1 group by key having count(distinct doc_id) + bool_or(doc_id is null)::int >= 10)
 select l.doc_id, count(*) as n_lines, count(c.key) as n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where c.key is null), '')) as kept_sha256
-from l left join c on l.key = c.key group by l.doc_id
+from l left join c on l.key = c.key group by l.row, l.doc_id
 """
