@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from waymesh.llm import fingerprints, lines, mixing, packing, quality, simhash, suffixes, tokens, toxicity, urls
 from waymesh.llm.text import table
 
+#: Context limits that are answered whether a document has that length or not.
+CONTEXT_LIMITS = tuple(1 << k for k in range(7, 21))
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -26,7 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.length_table(tokens.length_histogram(table(spark, sf_dir, "documents")))
+    return tokens.length_table(tokens.length_histogram(table(spark, sf_dir, "documents")), limits=CONTEXT_LIMITS)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from pathlib import Path
 
@@ -45,7 +45,9 @@ class _Ids(dict):
         self.parts: dict[str, bytes] = {}
         self.visible = _byte_level()
         probes = ["word", "Größe", "ÉTÉ", "the.", "Ñu,;", "x)%%%", "ab***", "ßÿ\"", "q"]
-        self.simple = all(self.short(x) == self.long(x) for x in probes)
+        texts = ["a b", " a", "a ", "The cat,  the\tdog\n\nand the end.\r\n", "x\x0b\x0cy", "été Ñu; 12 3 4", "日本 語\n", "don't we 'll"]
+        self.chunked = all(b"".join(map(self.long, x.split())) == self.long(x) for x in texts)
+        self.simple = self.chunked and all(self.short(x) == self.long(x) for x in probes)
 
     def long(self, text: str) -> bytes:
         return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
@@ -99,11 +101,14 @@ def _remembered(name: str) -> _Ids:
 def chunk_encoder(name: str = WORD_BPE) -> Callable[[bytes], bytes]:
     """A function from a text's UTF-8 bytes to its ids.
 
-    The word-level tokenizer drops white space and merges nothing across it, so a
-    text's ids are those of its white-space separated chunks in turn. Chunks repeat,
-    so each worker encodes one once and looks it up afterwards.
+    A tokenizer that drops white space and merges nothing across it gives a text the
+    ids of its white-space separated chunks in turn. Chunks repeat, so each worker
+    encodes one once and looks it up afterwards. Any other tokenizer, which the probes
+    find out, encodes texts whole.
     """
     ids = _remembered(name)
+    if not ids.chunked:
+        return lambda data: ids.long(data.decode())
     return lambda data: b"".join(map(ids.__getitem__, data.split()))
 
 
@@ -136,18 +141,21 @@ def length_histogram(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def length_table(histogram: DataFrame, band: int = 1024) -> DataFrame:
-    """Exact answers for every context limit that equals a length that occurs.
+def length_table(histogram: DataFrame, limits: Sequence[int] = (), band: int = 1024) -> DataFrame:
+    """Exact answers for every context limit that occurs as a length, and for `limits`.
 
     Input: rows (n_tokens, n_docs). Output, for each n_tokens L:
     n_docs of that length, docs_longer and tokens_longer (documents of more than L
     ids and their ids), docs_upto and tokens_upto (the others), truncated_total (ids
     left when every document is cut at L) and quantile (share of documents of at most
     L ids). Suffix sums are taken within bands of lengths and over the bands, so that
-    neither needs all lengths in one task. An empty table gives no rows.
+    neither needs all lengths in one task: a band is at most `band` lengths. An empty
+    histogram gives `limits` alone, with null quantiles.
     """
     tokens = F.col("n_tokens") * F.col("n_docs")
-    rows = materialize(histogram.withColumn("band", F.floor(F.col("n_tokens") / band)))
+    asked = histogram.sparkSession.createDataFrame([(int(x), 0) for x in limits], "n_tokens long, n_docs long")
+    rows = histogram.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    rows = materialize(rows.withColumn("band", F.floor(F.col("n_tokens") / band)))
     bands = rows.groupBy("band").agg(F.sum("n_docs").alias("band_docs"), F.sum(tokens).alias("band_tokens"))
     above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
@@ -175,5 +183,15 @@ def length_table(histogram: DataFrame, band: int = 1024) -> DataFrame:
         (F.col("all_docs") - F.col("docs_longer")).alias("docs_upto"),
         (F.col("all_tokens") - F.col("tokens_longer")).alias("tokens_upto"),
         (F.col("all_tokens") - F.col("tokens_longer") + F.col("n_tokens") * F.col("docs_longer")).alias("truncated_total"),
-        ((F.col("all_docs") - F.col("docs_longer")) / F.col("all_docs")).alias("quantile"),
+        F.when(F.col("all_docs") > 0, (F.col("all_docs") - F.col("docs_longer")) / F.col("all_docs")).alias("quantile"),
     )
+
+
+def length_quantiles(table: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Rows (share, n_tokens): the least length that this share of all documents does not exceed.
+
+    From the rows of `length_table`. Without documents lengths are null.
+    """
+    least = [F.min(F.when((F.col("n_docs") > 0) & (F.col("quantile") >= p), F.col("n_tokens"))) for p in shares]
+    each = F.array(*(F.struct(F.lit(float(p)).alias("share"), x.alias("n_tokens")) for p, x in zip(shares, least, strict=True)))
+    return table.agg(each.alias("each")).select(F.inline("each"))
