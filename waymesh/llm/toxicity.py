@@ -2,10 +2,12 @@
 
 A word is the bag of itself and its character n-grams, hashed to buckets that share
 one embedding table, so a misspelling that was never seen still meets the n-grams of
-the word that it comes from. A passage is the average of its words' embeddings. The
-table and the softmax are trained together in numpy, in one task, on a bounded
-sample of labelled documents; the table is then a number for each bucket, as the
-softmax is linear, and scoring is a lookup for each word.
+the word that it comes from. A window of words is the average of its n-grams'
+embeddings, and a document the smooth maximum over its windows (one window, `WHOLE`,
+makes it the average of the whole document). The table and the softmax are trained
+together in numpy, in one task, on a bounded sample of labelled documents; the table
+is then a number for each bucket, as the softmax is linear, and scoring is a lookup
+for each word.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from waymesh.llm.text import ASCII_LOWER, as_bytes
 REMEMBERED, TOGETHER = 400_000, 64
 #: Bytes of the words that a worker remembers, and of those that it hashes at once, if they are several.
 REMEMBERED_BYTES, HASHED_BYTES = 1 << 25, 1 << 20
+#: As `Settings.window`: the whole document is one bag.
+WHOLE = 1 << 30
 TRIM = b".,;:!?\"'()[]{}|#*$%&<>"
 
 
@@ -32,7 +36,8 @@ class Settings:
     """sample_rows: labelled documents that the model is fitted on at most, the smallest hashes first.
 
     sample_words: words of all of them together at most, of which a text has one for each
-    8 bytes at least; a document that does not fit is left out whole.
+    8 bytes at least; a document that does not fit is left out whole. window: words that
+    are averaged together, WHOLE for all of a document.
     """
 
     sample_rows: int = 3000
@@ -193,12 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     At most `sample_rows` labelled documents are used, those with the smallest hashes of
     their ids, each with its whole text, as long as they fit `sample_words`; they go to
     one task, which returns the weights. A document with several labels is toxic if one
-    says so.
+    says so, of rows that repeat a doc_id the smallest text counts, and null ids and
+    labels are none.
     """
-    train_ids = labels.where(~_held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train_ids = labels.where(~_held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train_ids = train_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
     # at most sample_rows ids
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train_ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train_ids), "doc_id")
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -218,7 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
 def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings()) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of `docs`.
 
-    Whole texts are scored. A null or empty text gets the score of the bias alone.
+    Whole texts are scored, each row by itself, so that repeated ids and equal texts
+    need no rule. A null or empty text gets the score of the bias alone. Extra columns
+    are dropped.
     """
     weight, bias = model
 
