@@ -90,11 +90,70 @@ def test_pipeline_stages_hand_on_documents(spark, rows, none, tmp_path):
             if name == "near_dedup":
                 assert not {24, 25, 26, 27} & {r["doc_id"] for r in docs.collect()}
     last = {(r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in out.collect()}
+    # columns that operators use themselves come through
+    clash = [c for c in none.columns if c != "n_lines"] + ["size", "task", "component"]
+    odd = spark.createDataFrame([(*r[:7], "s", "t", "c") for r in rows], ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, "")
+        assert odd.columns == clash and odd.where("kept = 'clash' and size = 's' and task = 't' and component = 'c'").count() == odd.count() > 0, name
     assert last == {(r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, f"{tmp_path}/in").collect()}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "").count() == 0, name
 
 
+def brute_buckets(word, s):
+    """The buckets of a word in plain integers."""
+    mask, text = (1 << 64) - 1, word.translate(toxicity.ASCII_LOWER).strip(toxicity.TRIM).decode("utf-8", "replace")
+    if not text:
+        return []
+    codes, out = [ord(c) for c in f"<{text}>"], []
+    for n in range(s.shortest, s.longest + 1):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i : i + n]:
+                h = (h * 0xC2B2AE3D27D4EB4F + (c + 1) * 0x9E3779B97F4A7C15) & mask
+            out.append((h + n) & mask)
+    whole = 0
+    for i, c in enumerate(codes):
+        p = (c * 0xD6E8FEB86659FD93 & mask) ^ ((len(codes) - i) * 0xA0761D6478BD642F & mask)
+        whole += p * (p | 1)
+    out.append(whole & mask)
+    return [(((h ^ (h >> 32)) * 0xE7037ED1A0B428DB & mask) >> 33) % s.buckets for h in out]
+
+
+def brute_score(text, weight, bias, s):
+    words = text.encode().split()
+    logits = []
+    for a in range(0, len(words), s.window):
+        own = [weight[b] for w in words[a : a + s.window] for b in brute_buckets(w, s)]
+        logits.append(sum(own) / max(1, len(own)))
+    soft = sum(z * np.exp(z) for z in logits) / sum(map(np.exp, logits)) if logits else 0.0
+    return 1 / (1 + np.exp(-(soft + bias)))
+
+
+def test_scores_are_those_of_brute_force(spark, rows):
+    rng = np.random.default_rng(3)
+    texts = [(r[0], r[1]) for r in rows] + [(700, "word " * 3 + "語" * 300), (700, "the same id, other text"), (701, ". ! *** ..."), (702, "aa\x00b " * 900)]
+    docs = spark.createDataFrame([(*t, 1.0) for t in texts], "doc_id long, text string, score double").repartition(3)
+    for s in (toxicity.Settings(buckets=512), toxicity.Settings(buckets=512, window=toxicity.WHOLE)):
+        weight = rng.normal(0, 2, s.buckets).astype(np.float32)
+        got = toxicity.score(docs, (weight, -0.3), s).collect()
+        assert len(got) == len(texts)
+        want = sorted((-1 if i is None else i, brute_score(t or "", weight.astype(float), -0.3, s)) for i, t in texts)
+        assert np.allclose([x for _, x in want], [x for _, x in sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)])
+
+
+def test_fitting_takes_a_document_once_and_no_null_ids(labelled):
+    docs, labels, truth = labelled
+    s = toxicity.Settings(sample_rows=100, epochs=1, buckets=1 << 12)
+    plain = toxicity.fit(docs, labels, s)
+    spark = docs.sparkSession
+    again = docs.where("doc_id < 200").unionByName(docs.where("doc_id < 200")).unionByName(docs)
+    more = labels.unionByName(spark.createDataFrame([(None, 1), (None, 0), (3, None)], "doc_id long, toxic int")).unionByName(labels.limit(50))
+    weight, bias = toxicity.fit(again, more, s)
+    assert bias == plain[1] and np.array_equal(weight, plain[0])
+
+
 def test_long_words_are_hashed_whole():
     s = toxicity.Settings()
     long = "語" * 60

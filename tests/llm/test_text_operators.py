@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on odd texts and on an empty table."""
 
 import hashlib
+import random
 import re
 import unicodedata
 import zlib
@@ -31,6 +32,15 @@ def test_chunked_ids_are_the_tokenizers(rows):
         assert np.frombuffer(own((text or "").encode()), "<u4").tolist() == encode(text)
 
 
+def test_other_tokenizers_encode_texts_whole(docs, rows):
+    from tokenizers import Tokenizer
+
+    name = tokens.tokenizer_path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(name)
+    want = {(r[0], len(whole.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows}
+    assert {(r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(docs, name).collect()} == want
+
+
 def test_packing_places_every_id_once(docs, rows, none):
     pieces = packing.pack_documents(docs).collect()
     want = Counter((r[0], tuple(encode(r[1]) + [1])) for r in rows)
@@ -67,6 +77,40 @@ def test_packing_keeps_to_all_limits_without_cutting(docs):
     pieces = packing.pack_documents(docs, limits, cut=False).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.sum("doc_tokens").alias("whole")).collect()
     assert all(p["n"] <= 3 and p["tokens"] == p["whole"] <= 30_000 and p["tokens"] - p["n"] <= 25_000 for p in pieces)
     assert len(pieces) < docs.count() / 2
+    # a document beyond the limits has no sequence, and all others have one
+    small = packing.pack_documents(docs, packing.Limits(tokens=200), cut=False)
+    assert small.where("(doc_tokens > 200) <> (sequence_id is null)").count() == 0 and small.count() == docs.count()
+
+
+def test_conversations_bear_loss_on_answers_alone(spark):
+    rng = random.Random(9)
+    turns = [(c, t, ("user", "assistant", "system", None)[t % 4], "word " * rng.randint(0, 60) if t % 7 else None) for c in range(120) for t in range(rng.randint(1, 6))]
+    turns += [(500, t, "assistant", "word " * 50) for t in range(40)]  # one beyond the limits
+    turns.append(turns[3])  # a repeated turn
+    table = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn int, role string, text string, tokens string").repartition(3)
+    sizes = packing.conversation_sizes(table)
+    want = defaultdict(lambda: [0, 0])
+    for c, _, role, text in turns:
+        n = len(encode(text)) + 1
+        want[c][0] += n
+        want[c][1] += n if role == "assistant" else 0
+    assert {r["conv_id"]: [r["tokens"], r["loss"]] for r in sizes.collect()} == want
+    limits = packing.Limits(tokens=400, segments=5, loss=90)
+    packed = packing.pack_sizes(sizes.repartition(2), limits).collect()
+    assert {r["conv_id"]: [r["tokens"], r["loss"]] for r in packed} == want and len(packed) == len(want)
+    bins = defaultdict(list)
+    for r in packed:
+        assert (r["sequence_id"] is None) == (r["tokens"] > 400 or r["loss"] > 90)
+        if r["sequence_id"] is not None:
+            bins[r["sequence_id"]].append(r)
+    binding = 0
+    for b in bins.values():
+        used = [sum(r["tokens"] for r in b), len(b), sum(r["loss"] for r in b)]
+        assert used[0] <= 400 and used[1] <= 5 and used[2] <= 90
+        assert sorted(r["offset"] for r in b) == [sum(r["tokens"] for r in sorted(b, key=lambda r: r["offset"])[:k]) for k in range(len(b))]
+        binding += used[2] > 60
+    assert binding > len(bins) / 3  # the loss limit decides
+    assert packing.pack_sizes(sizes.limit(0)).count() == 0
 
 
 def brute_simhash(text, k):
@@ -144,23 +188,34 @@ def test_near_duplicates_are_those_of_exact_jaccard(spark):
         base = rng.integers(0, 5000, 9).tolist()
         texts += [base, base[:8]]
     texts = [" ".join(f"w{x}" for x in t) for t in texts] + ["", " ", "one two", "One  two"]
+    # a chain of sets whose ends differ, so that members of a few chunks do not speak for all of it
+    chain = rng.integers(0, 5000, 60).tolist()
+    for k in range(12):
+        texts.append(" ".join(f"c{x}" for x in chain[: 60 - 3 * k]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = jaccard_components(texts, 5, 0.8)
-    for chunk_sets in (2048, 2):  # whole components, and as pairs of chunks
+    for chunk_sets in (512, 2):  # whole components, and as chunks, their speakers and pairs of chunks
         found = simhash.near_duplicates(docs, 5, 0.8, chunk_sets=chunk_sets).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == want
 
 
 def test_length_table(docs, rows, none):
     lengths = [len(encode(r[1])) for r in rows]
-    table = tokens.length_table(tokens.length_histogram(docs), band=64).collect()
-    assert sorted(r["n_tokens"] for r in table) == sorted(set(lengths))
+    answers = tokens.length_table(tokens.length_histogram(docs), limits=(0, 64, 77, 1 << 20), band=64)
+    table = answers.collect()
+    assert sorted(r["n_tokens"] for r in table) == sorted({*lengths, 0, 64, 77, 1 << 20})
+    ranked = sorted(lengths)
+    for r in tokens.length_quantiles(answers, (0.1, 0.5, 0.9, 1.0)).collect():
+        assert r["n_tokens"] == ranked[int(np.ceil(r["share"] * len(ranked))) - 1]
     for r in table:
         n = r["n_tokens"]
         longer = [x for x in lengths if x > n]
         assert (r["n_docs"], r["docs_longer"], r["tokens_longer"], r["docs_upto"]) == (lengths.count(n), len(longer), sum(longer), len(lengths) - len(longer))
         assert r["truncated_total"] == sum(min(x, n) for x in lengths) and r["tokens_upto"] == sum(lengths) - sum(longer)
     assert tokens.length_table(tokens.length_histogram(none)).count() == 0
+    empty = tokens.length_table(tokens.length_histogram(none), limits=(5,))
+    assert [(r["n_tokens"], r["truncated_total"], r["quantile"]) for r in empty.collect()] == [(5, 0, None)]
+    assert [tuple(r) for r in tokens.length_quantiles(empty, (0.5,)).collect()] == [(0.5, None)]
     assert {(r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(docs).collect()} == {(r[0], n) for r, n in zip(rows, lengths, strict=True)}
 
 
@@ -259,6 +314,20 @@ def test_mixed_documents_have_the_words_taken(docs, none):
     assert mixing.apply_mix(none).count() == 0
 
 
+def test_repeated_ids_keep_the_exact_budgets(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        text = " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([3, 3, 3, 7, 40])))
+        rows.append((k % 5 if k % 3 else None, text, "s" + str(k % 2), 0, "x"))
+    rows += [(7, "same words here", "s0", 0, "y")] * 90 + [(7, "other words there", "s0", 0, "y")] * 30  # a hot id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size string").repartition(3)
+    for share in (0.4, 1.5, 1.9):
+        words = mixing.apply_mix(docs, share=share).groupBy("source").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()
+        targets = {r["source"]: r["taken"] for r in mixing.mix(docs, share=share).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+        assert {r["source"]: r["n"] for r in words} == {s: n for s, n in targets.items() if n}
+
+
 def test_common_lines_go(docs, rows, none):
     key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(LOWER)
     texts = {r[0]: (r[1] or "").split("\n") for r in rows}
@@ -272,13 +341,21 @@ def test_common_lines_go(docs, rows, none):
         parts = texts[r["doc_id"]]
         kept = [x for x in parts if not (key(x) and len(holders[key(x)]) >= 10)]
         assert (r["text"], r["n_lines"], r["n_dropped"], r["lang"]) == ("\n".join(kept), len(parts), len(parts) - len(kept), "en")
+    # twelve rows of one doc_id, or of none, are one document, whatever partitions they are in
+    repeated = [(1 if k < 12 else None, f"the line\nown {k % 5}") for k in range(24)] + [(50 + k, "the line") for k in range(8)]
+    for more, gone in (([], 32), ([(90, "x")], 32), ([(91, "The LINE")], 33)):
+        table = docs.sparkSession.createDataFrame(repeated + more, "doc_id long, text string").repartition(7)
+        lost = lines.drop_common_lines(table, 1, 10 if len(more) == 0 or more[0][0] != 91 else 11).agg(F.sum("n_dropped")).first()[0]
+        assert lost == gone
+    assert lines.drop_common_lines(table, 1, 12).agg(F.sum("n_dropped")).first()[0] == 0
     first = lines.drop_common_lines(docs.select("doc_id", "text"), 1, 10, keep_first=True).agg(F.sum("n_dropped")).first()[0]
     assert first == out.agg(F.sum("n_dropped")).first()[0] - 1
     assert lines.drop_common_lines(none).count() == 0
 
 
 def brute_canonical(text):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text).lower()).strip()
+    folded = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).casefold())
+    return re.sub(r"[ \t-\r\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", unicodedata.normalize("NFC", folded)).strip(" ")
 
 
 def test_fingerprints_of_documents_and_their_edits(docs, rows, none):
@@ -300,10 +377,33 @@ def test_fingerprints_of_documents_and_their_edits(docs, rows, none):
     assert fingerprints.edited_likeness(none).count() == 0
 
 
-def test_canonical_text_is_composed(spark):
-    cases = ["é", "ạ̈", "ạ̈", "ÅΩ", "ờý q̣̇", "plain", "", "́x", "x̀́"]
-    df = spark.createDataFrame([(c,) for c in cases], "text string")
-    assert [r[0] for r in df.select(fingerprints.compose(F.col("text"))).collect()] == [unicodedata.normalize("NFC", c) for c in cases]
+def odd_texts():
+    """Characters that normalisation or folding changes, alone, taken apart and mixed up with marks."""
+    rng = random.Random(1)
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    changing = [c for c in every if unicodedata.normalize("NFD", c) != c]
+    marks = [c for c in every if unicodedata.combining(c)]
+    cased = [c for c in every if c.casefold() != c]
+    yield from marks
+    yield from cased
+    for c in changing:
+        apart = list(unicodedata.normalize("NFD", c))
+        yield c
+        yield "".join(apart)
+        rng.shuffle(apart)
+        yield "a" + "".join(apart) + "b"
+        yield c + rng.choice(marks) + rng.choice(marks)
+    pool = [*marks[:60], *"aeoêờsṩßẞÅKক가각각αςΣΰᾳᾼᾴİIı", "ে", "া", "ᄀ", "ᅡ", "ᆨ", "̈́", "ཱི", "\u0345", "ﬁ", "ǰ", "\U0010f0e6", "\U0001d15e", "x", " ", "\n"]
+    for _ in range(5000):
+        yield "".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))
+
+
+def test_canonical_text_is_that_of_the_unicode_database(spark):
+    cases = ["", "plain", "STRASSE straße", "Σίσυφος ΣΊΣΥΦΟΣ", *odd_texts()]
+    df = spark.createDataFrame(list(enumerate(cases)), "k long, text string")
+    for r in df.select("k", fingerprints.compose(F.col("text")).alias("composed"), fingerprints.canonical(F.col("text")).alias("canon")).collect():
+        assert r["composed"] == unicodedata.normalize("NFC", cases[r["k"]])
+        assert r["canon"] == brute_canonical(cases[r["k"]])
 
 
 def test_crc_of_ids_is_that_of_the_bytes(docs):
