@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.llm.text import ASCII_LOWER, as_bytes, whole_groups
@@ -38,8 +38,8 @@ LEAVES = 32
 MINIMA = 8
 #: Standard deviations by which the fingerprints of a candidate pair may exceed the expected distance.
 DEVIATIONS = 6
-#: Documents, and shingles, of a chunk of candidates; two chunks meet in a task.
-CHUNK_SETS, CHUNK_SHINGLES = 2048, 1 << 20
+#: Documents, and shingles, of a chunk of candidates, and how many members stand for what is linked within a chunk.
+CHUNK_SETS, CHUNK_SHINGLES, SPEAKERS = 512, 1 << 19, 16
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -267,8 +267,8 @@ def _shingle_classes(docs: DataFrame, words: int, lanes: int) -> DataFrame:
 
 
 def _shingle_sets(asked: DataFrame, words: int) -> DataFrame:
-    """Rows (node, tasks, shingles), ascending 64-bit hashes, of rows (node, class, tasks, text) whose text is of the class."""
-    schema = pa.schema([("node", pa.int64()), ("tasks", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    """Rows (node, class, component, shingles), ascending 64-bit hashes, of rows (node, class, component, text) whose text is of the class."""
+    schema = pa.schema([("node", pa.int64()), ("class", pa.binary()), ("component", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,10 +276,11 @@ def _shingle_sets(asked: DataFrame, words: int) -> DataFrame:
             for data, wanted in zip(as_bytes(batch.column(3)), batch.column(1).to_pylist(), strict=True):
                 hashes = np.unique(shingle_hashes(data or b"", words))
                 sets.append(hashes.tobytes() if _class(hashes) == wanted else None)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(schema.types[1]), pa.array(sets, pa.binary())], schema=schema)
-            yield out.filter(out.column(2).is_valid())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), pa.array(sets, pa.binary())], schema=schema)
+            yield out.filter(out.column(3).is_valid())
 
-    return asked.select("node", "class", "tasks", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, tasks array<long>, shingles binary")
+    found = asked.select("node", "class", "component", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, class binary, component long, shingles binary")
+    return found.dropDuplicates(["node", "class"])  # rows that repeat a document
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -324,14 +325,69 @@ def _exact_edges(similarity: float):
     return run
 
 
+def _compared(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) from the rows (task, node, shingles) of a task whose sets are similar to the smallest node that they lead to there."""
+    return dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(_exact_edges(similarity), "a long, b long").distinct()
+
+
+def _renamed(rows: DataFrame, columns: list[str], found: DataFrame) -> DataFrame:
+    """`rows` whose columns name the component (node, component) of what they named, where there is one."""
+    for c in columns:
+        rows = rows.join(found.select(F.col("node").alias(c), F.col("component").alias("_low")), c, "left").withColumn(c, F.coalesce("_low", c)).drop("_low")
+    return rows
+
+
+def _exact_components(sets: DataFrame, similarity: float, chunk_sets: int) -> DataFrame:
+    """Rows (node, component), the smallest node reachable, of nodes that similar sets join to a smaller one.
+
+    sets: rows (node, component, shingles), in whose components links are looked for.
+
+    1. Components are cut into chunks at random, and all sets of a chunk compared.
+    2. Of components with several chunks, a few members of each group found speak for
+       it: they are dealt to chunks again and compared. A large group of near copies is
+       one group after that.
+    3. What is still in several groups then is compared as all pairs of chunks, so that
+       no link is lost.
+    """
+    counted = F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum(F.octet_length("shingles")) / (8 * CHUNK_SHINGLES))).cast("int")
+    chunk = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")).cast("int")
+    chunks = materialize(sets.groupBy("component").agg(counted.alias("chunks")))
+    sets = sets.join(chunks, "component")
+    # within a chunk all members of a group are linked to its smallest one
+    near = materialize(_compared(sets.select(F.xxhash64("component", chunk(1)).alias("task"), "node", "shingles"), similarity))
+    near = near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    large = materialize(sets.where("chunks > 1"))
+    if large.isEmpty():
+        return near
+    near = materialize(near)
+    grouped = materialize(_renamed(large.withColumn("group", F.col("node")), ["group"], near))
+    place = F.row_number().over(Window.partitionBy("component", "group").orderBy(F.xxhash64("node", F.lit(2)), "node"))
+    speakers = grouped.withColumn("place", place).where(F.col("place") <= SPEAKERS)
+    again = speakers.groupBy("component").agg(counted.alias("chunks"))
+    speakers = speakers.drop("chunks").join(again, "component").select(F.xxhash64("component", chunk(3)).alias("task"), "node", "shingles")
+    found = materialize(connected_components(_renamed(_compared(speakers, similarity), ["a", "b"], near)))
+    grouped = _renamed(grouped, ["group"], found)
+    apart = grouped.groupBy("component").agg((F.min("group") != F.max("group")).alias("apart")).where("apart").select("component")
+    rest = materialize(grouped.join(apart, "component"))
+    near = _renamed(near, ["component"], found).unionByName(found.join(near, "node", "left_anti"))
+    if rest.isEmpty():
+        return near
+    groups = rest.select("node", F.col("group").alias("component")).distinct()
+    pairs = rest.withColumn("pair", F.explode(_chunk_pairs("node"))).select(F.xxhash64("component", "pair").alias("task"), "node", "shingles")
+    more = materialize(connected_components(_renamed(_compared(pairs, similarity), ["a", "b"], groups)))
+    near = materialize(near)
+    return _renamed(near, ["component"], more).unionByName(more.join(near, "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """Rows (doc_id, component_id) of documents whose sets of word shingles are that similar (Jaccard), or linked by such.
 
     Candidates share one of the smallest shingle hashes, and 256-bit fingerprints of
     their sets differ in no more bits than sets of that similarity do by chance. In each
-    component of candidates all sets are then compared exactly (as sets of 64-bit
-    hashes), a large component as pairs of chunks. Equal sets, blank texts among them,
-    are one class; component_id is the smallest doc_id reachable, none for a null doc_id.
+    component of candidates sets are then compared exactly (as sets of 64-bit hashes).
+    Equal sets, blank texts among them, are one class; component_id is the smallest
+    doc_id reachable, none for a null doc_id. Rows that repeat a doc_id with other texts
+    link what either of them links.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     budget = int(256 * share + DEVIATIONS * np.sqrt(256 * share * (1 - share)))
@@ -342,14 +398,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ch
     near = connected_components(_candidate_edges(keyed, 4, budget, 4096))
     # a component's smallest node is not a row of its own there
     near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
-    asked = materialize(nodes.where("size > 0").join(near, "node").select("node", "class", "size", "component"))
-    chunks = F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
-    dealt = asked.join(asked.groupBy("component").agg(chunks.alias("chunks")), "component")
-    dealt = dealt.select("node", "class", F.transform(_chunk_pairs("node", "class"), lambda pair: F.xxhash64("component", pair)).alias("tasks"))
-    sets = _shingle_sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(dealt, "node"), words)
-    sets = sets.select(F.explode("tasks").alias("task"), "node", "shingles").repartition("task").sortWithinPartitions("task")
-    links = sets.mapInArrow(_exact_edges(similarity), "a long, b long")
-    return _labelled(prints.select("doc_id", "class"), nodes, connected_components(links), "class").select("doc_id", "component_id")
+    asked = materialize(nodes.where("size > 0").join(near, "node").select("node", "class", "component"))
+    sets = materialize(_shingle_sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(asked, "node"), words))
+    found = _exact_components(sets, similarity, chunk_sets)
+    return _labelled(prints.select("doc_id", "class"), nodes, found, "class").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
