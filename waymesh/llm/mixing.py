@@ -89,18 +89,44 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
     A document of which the mix takes two epochs appears twice, one of which it takes
     nothing not at all, and the last one of a source with its first words only.
-    Documents without words are not taken. Rows that repeat a doc_id are mixed as the
-    first of them.
+    Documents without words are not taken. Rows of one doc_id, source and size share
+    what the mix takes of them all: those first in the order of their texts' hashes get
+    the copies beyond the others'. Equal rows travel as one with their number.
     """
-    taken = mix(docs, weights, share, most, seed).where("taken > 0").groupBy("doc_id").agg(F.min(F.struct("size", "taken")).alias("_mix"))
-    whole = F.floor(F.col("_mix.taken") / F.col("_mix.size")).cast("int")
-    part = (F.col("_mix.taken") % F.col("_mix.size")).cast("int")
+    keys = ["doc_id", "source", "size"]
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    taken = mix(docs, weights, share, most, seed).where("size > 0").withColumns({"whole": whole, "rest": rest}).groupBy(*keys)
+    # epochs differ by one at most among documents of a source, and one of them is cut
+    taken = taken.agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.sum("whole").alias("all"), F.max("rest").alias("rest")).where("all > 0 or rest > 0")
+    taken = materialize(taken.withColumn("more", F.col("all") - F.col("n") * F.col("least")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words("text").alias("size"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
+
+    def joined(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        return rows.alias("r").join(taken.alias("t"), same).select("r.*", "n", "least", "more", "rest")
+
+    single = joined(rows, taken.where("n = 1")).select("row", "size", "least", "rest", F.lit(1).alias("count"))
+    several = taken.where("n > 1")
+    if not several.isEmpty():
+        # `more` of the rows get a copy more and the next one the cut copy
+        equal = joined(rows, several).groupBy("row", *keys, "least", "more", "rest").agg(F.count("*").alias("count"))
+        before = F.sum("count").over(Window.partitionBy(*keys).orderBy(F.xxhash64("row.text"), F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1))
+        equal = equal.withColumn("before", F.coalesce(before, F.lit(0)))
+        high = F.greatest(F.lit(0), F.least("count", F.col("more") - F.col("before")))
+        cut = (F.col("before") <= F.col("more")) & (F.col("more") < F.col("before") + F.col("count")) & (F.col("rest") > 0)
+        parts = F.array(
+            F.struct((F.col("least") + 1).alias("least"), F.lit(0).alias("rest"), high.alias("count")),
+            F.struct(F.col("least").alias("least"), F.col("rest").alias("rest"), cut.cast("long").alias("count")),
+            F.struct(F.col("least").alias("least"), F.lit(0).alias("rest"), (F.col("count") - high - cut.cast("long")).alias("count")),
+        )
+        equal = equal.select("row", "size", F.inline(parts)).where("count > 0").select("row", "size", "least", "rest", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("count"))
+        single = single.unionByName(equal)
     # the words of each copy: whole copies first, then the part
-    copies = F.concat(F.array_repeat(F.col("_mix.size").cast("int"), whole), F.array_repeat(part, F.when(part > 0, 1).otherwise(0)))
-    out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "_mix", F.explode(copies).alias("_words"))
-    ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("_words") < F.col("_mix.size"), F.array_join(F.slice(ends, 1, F.col("_words")), "")).otherwise(F.col("text"))
-    return with_length(out.withColumn("text", text).select(*docs.columns))
+    copies = F.concat(F.array_repeat(F.col("size").cast("int"), F.col("least")), F.array_repeat(F.col("rest"), F.when(F.col("rest") > 0, 1).otherwise(0)))
+    out = single.select("row", "size", F.explode(copies).alias("words"))
+    ends = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(ends, 1, F.col("words")), "")).otherwise(F.col("row.text"))
+    return with_length(out.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns)))
 
 
 def with_length(docs: DataFrame) -> DataFrame:
