@@ -265,7 +265,7 @@ def test_absorbed_lines(spark, cross):
 
 def test_documents(spark, cross, tmp_path):
     nodes, edges = cross
-    doc = json.loads(documents.graph_json(nodes, edges).first()["value"])
+    doc = json.loads("".join(r["value"] for r in documents.graph_json(nodes, edges).orderBy("part", "ord").collect()))
     assert [n["id"] for n in doc["nodes"]] == list("cenwsf") and doc["edges"][4]["polyline"][1] == {"x": 150.0, "y": 0.0}
     samples = make_samples(spark, [("t", 0, 0, 0, 0), ("t", 1, 1, 5, 5)])
     features = [json.loads(r["value"]) for r in documents.map_features(nodes, edges, samples, 52.0, 13.0, "d<a>").collect()]
@@ -301,3 +301,352 @@ def test_build_a_graph_of_crossing_traces(spark):
     assert sorted(r["merged_edge_count"] for r in graph["edges"].collect())[-1] >= 2
     with pytest.raises(ValueError, match="no edges"):
         build_graph(make_samples(spark, rows[:1]))
+
+
+def test_near_parallel_edges_and_clustered_junctions_become_one(spark):
+    at = {"a": (0, 0), "b": (100, 0), "c": (1, 5), "d": (101, 4), "far": (300, 0), "up": (0, 90), "x": (300, 90)}
+    nodes = make_nodes(spark, at)
+    ways = [("e0", "a", "b"), ("e1", "d", "c"), ("e2", "b", "far"), ("e3", "a", "up"), ("e4", "far", "x")]
+    edges = make_edges(spark, [(i, s, t, [tuple(map(float, at[s])), tuple(map(float, at[t]))]) for i, s, t in ways])
+    n, e = topology.merge_near_parallel_edges(nodes, edges, 8.0, 4)
+    assert {r["id"]: (r["x"], r["y"]) for r in n.collect()} == {"a": (0.5, 2.5), "b": (100.5, 2.0), "far": (300, 0), "up": (0, 90), "x": (300, 90)}
+    got = {r["edge_id"]: r for r in e.collect()}
+    assert set(got) == {"e0", "e2", "e3", "e4"} and got["e0"]["merged_edge_count"] == 2
+    assert [(p["x"], round(p["y"], 6)) for p in got["e0"]["polyline"]][0] == (0.5, 2.5)
+    assert topology.merge_near_parallel_edges(nodes, edges, 0.0)[1] is edges
+    # two junctions of three roads each, 10 m apart
+    at = {"j": (0, 0), "k": (10, 0), "1": (0, 99), "2": (-99, 0), "3": (10, 99), "4": (99, 0)}
+    ways = [("jk", "j", "k"), ("j1", "j", "1"), ("j2", "j", "2"), ("k3", "k", "3"), ("k4", "k", "4")]
+    nodes = make_nodes(spark, at)
+    edges = make_edges(spark, [(i, s, t, [tuple(map(float, at[s])), tuple(map(float, at[t]))]) for i, s, t in ways])
+    n, e = topology.consolidate_junctions(nodes, edges, 14.0)
+    assert {r["id"]: (r["x"], r["y"]) for r in n.collect()}["j"] == (5.0, 0.0) and n.count() == 5
+    assert {(r["start_node_id"], r["end_node_id"]) for r in e.collect()} == {("j", "j"), ("j", "1"), ("j", "2"), ("j", "3"), ("j", "4")}
+    assert topology.consolidate_junctions(nodes, edges, 10.0)[0].count() == 6  # closer than the tolerance, not as close
+
+
+def test_more_traces_update_a_graph(spark, cross):
+    from waymesh.plans.build import next_suffix, update_graph
+
+    nodes, edges = cross
+    # along an edge; across one arm, from nowhere to nowhere; from the end of another arm on
+    rows = [("on", k, k, 10 + 8 * k, 1) for k in range(10)]
+    rows += [("over", k, k, 60, 10 * k - 60) for k in range(13)]
+    rows += [("on_north", k, k, 2, 104 + 10 * k) for k in range(12)]
+    n, e = update_graph(nodes, edges, make_samples(spark, rows))
+    old = {r["edge_id"]: r["trace_observation_count"] for r in e.collect()}
+    assert old["ce"] == 1 and all(old[i] == 0 for i in ("cn", "cw", "cs", "ef"))
+    new = {r["edge_id"]: r for r in e.collect() if r["edge_id"] not in {x["edge_id"] for x in edges.collect()}}
+    assert all(r["trace_observation_count"] == 1 for r in new.values()) and len(new) >= 4
+    where = {r["id"]: (round(r["x"]), round(r["y"])) for r in n.collect()}
+    ends = {frozenset((where[r["start_node_id"]], where[r["end_node_id"]])) for r in new.values()}
+    assert frozenset(((60, 0), (60, 60))) in ends and frozenset(((60, -60), (60, 0))) in ends
+    assert where["n"][1] in (100, 101, 102, 103) and any(where["n"] in pair for pair in ends)
+    assert set(where) > {"c", "e", "w", "s", "f", "n"} and len(set(where)) == n.count()
+    assert next_suffix(edges, "edge_id") == 0 and next_suffix(e, "edge_id") == len(new)
+    # a second run of the same traces changes counts alone
+    n2, e2 = update_graph(n, e, make_samples(spark, rows))
+    assert n2.count() == n.count() and e2.count() == e.count()
+
+
+def test_heights_follow_vertices(spark, cross):
+    from waymesh.operators.restrictions import elevate
+
+    samples = spark.createDataFrame([("t", k, float(k), 10.0 * k, 1.0, 0.5 * k) for k in range(11)], "trace_id string, ord long, t double, x double, y double, z double")
+    _, rise = elevate(*cross, samples)
+    got = {r["edge_id"]: r for r in rise.collect()}
+    assert got["ce"]["polyline_z"] == [0.0, 5.0] and math.isclose(got["ce"]["slope_deg"], math.degrees(math.atan2(5, 100)))
+
+
+def brute_offset(line, offset, miter=4.0):
+    """A miter-joined line, vertex by vertex."""
+    unit = []
+    for (ax, ay), (bx, by) in itertools.pairwise(line):
+        size = math.hypot(bx - ax, by - ay)
+        unit.append((0.0, 0.0) if size < 1e-12 else ((ay - by) / size, (bx - ax) / size))
+    out = []
+    for k, (x, y) in enumerate(line):
+        before, after = unit[max(0, k - 1)], unit[min(k, len(unit) - 1)]
+        if k == 0:
+            before = after
+        sx, sy = before[0] + after[0], before[1] + after[1]
+        size = math.hypot(sx, sy)
+        reference = before if before != (0, 0) else after
+        if size < 1e-12:
+            b = before if before != (0, 0) else (0.0, 0.0)
+        else:
+            b = (sx / size, sy / size)
+        if before == after == (0, 0):
+            out.append((x, y))
+            continue
+        along = b[0] * reference[0] + b[1] * reference[1]
+        if along < 1e-6 or abs(1 / along) > miter:
+            out += [(x + offset * v[0], y + offset * v[1]) for v in (before, after)]
+        else:
+            out.append((x + offset / along * b[0], y + offset / along * b[1]))
+    return out
+
+
+def test_offset_lines(spark):
+    from waymesh.operators import hd
+
+    rng = np.random.default_rng(6)
+    lines = [np.cumsum(rng.normal(0, 10, (n, 2)), 0).tolist() for n in (2, 3, 5, 9, 30)]
+    lines += [[(0, 0), (10, 0), (10, 0), (10, 10)], [(0, 0), (10, 0), (0, 0.1)], [(0, 0), (10, 0), (0, 0)], [(1, 1), (1, 1)], [(1, 1)]]
+    lines = [[(float(x), float(y)) for x, y in p] for p in lines]
+    df = make_edges(spark, [(f"e{k}", "a", "b", p) for k, p in enumerate(lines)])
+    left, right = hd.boundaries("polyline", F.lit(3.5))
+    for r in df.select("ord", left.alias("left"), right.alias("right")).collect():
+        for name, offset in (("left", 1.75), ("right", -1.75)):
+            got = [(p["x"], p["y"]) for p in r[name]]
+            want = brute_offset(lines[r["ord"]], offset) if len(lines[r["ord"]]) > 1 else []
+            assert np.allclose(got, want), (r["ord"], name)
+    none = df.select(hd.boundaries("polyline", F.lit(0.0))[0].alias("p")).where("size(p) > 0")
+    assert none.count() == 0
+    bend = make_edges(spark, [("z", "a", "b", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)])])
+    assert math.isclose(bend.select(hd.mean_curvature("polyline").alias("c")).first()["c"], math.pi / 2)
+    move = bend.select(hd.shifted("polyline", F.lit(1.0)).alias("p")).first()["p"]
+    assert np.allclose([(p["x"], p["y"]) for p in move], [(0, 1), (10 - 0.5**0.5, 0.5**0.5), (9, 10)])
+    points = spark.createDataFrame([("z", 5.0, 3.0), ("z", 14.0, 5.0)], "edge_id string, x double, y double")
+    fit = hd.rms_residual(points, bend, "edge_id").first()
+    assert math.isclose(fit["rms"], math.sqrt((9 + 16) / 2)) and fit["n"] == 2
+
+
+def test_hd_widths_and_lanes(spark, cross):
+    from waymesh.operators import hd
+
+    nodes, edges = cross
+    high, seeded = hd.enrich(nodes, edges, lane_width=3.5)
+    row = {r["edge_id"]: r["hd"] for r in seeded.collect()}["ce"]
+    assert [(p["x"], p["y"]) for p in row["left"]] == [(0.0, 1.75), (100.0, 1.75)] and row["quality"] == "centerline_offset"
+    assert high.first()["hd"]["vertical_model"] == "unknown"
+    plain = {r["edge_id"]: r["hd"] for r in hd.enrich(nodes, edges)[1].collect()}["ce"]
+    assert plain["left"] == [] and plain["tier"] == "sd_seed"
+    kept = hd.enrich(nodes, hd.enrich(nodes, seeded)[1])[1].where("edge_id = 'ce'").first()["hd"]
+    assert len(kept["left"]) == 2  # an earlier hd stays
+    marks = spark.createDataFrame([("ce", "left", 2.0, 30), ("ce", "left", 2.2, 10), ("ce", "right", -1.5, 20), ("cn", "left", 1.9, 5), ("cw", "center", 0.0, 9)], "edge_id string, side string, offset double, points int")
+    camera = spark.createDataFrame([("ce", "Lane_line", -2.0), ("ce", "curb", 2.4), ("ce", "sign", 9.0), ("cs", "lane", None)], "edge_id string, kind string, offset double")
+    seen = spark.createDataFrame([("ce", 40), ("cs", 2), ("cn", 3)], "edge_id string, matched_samples int")
+    sources = hd.marking_widths(marks).unionByName(hd.camera_widths(camera)).unionByName(hd.trace_support(seen))
+    refined = {r["edge_id"]: r for r in hd.refinements(edges, sources).collect()}
+    assert math.isclose(refined["ce"]["half_width"], ((2.1 + 1.5) / 2 + 2.2) / 2) and math.isclose(refined["ce"]["centerline_offset"], 0.3)
+    assert refined["ce"]["sources"] == ["camera", "lane_markings", "traces"] and refined["ce"]["confidence"] == round(1 - math.exp(-10.2), 4)
+    assert refined["cs"]["half_width"] == 1.75 and refined["cs"]["confidence"] == 0.0 and refined["cn"]["half_width"] == 1.9
+    assert refined["cw"]["half_width"] == 1.75 and refined["cw"]["sources"] == []  # a marking in the middle tells no width
+    wide = {r["edge_id"]: r["hd"] for r in hd.enrich(nodes, edges, 3.5, hd.refinements(edges, sources))[1].collect()}
+    assert np.allclose([p["y"] for p in wide["ce"]["left"]], 2.3) and np.allclose([p["y"] for p in wide["ce"]["right"]], -1.7)
+    tags = spark.createDataFrame([("cw", 3), ("ce", 5)], "edge_id string, osm_lanes int")
+    offsets = spark.createDataFrame([("cs", v) for v in (-2.0, -1.9, 1.8)], "edge_id string, offset double")
+    inferred = hd.lane_inferences(edges, marks.where("edge_id = 'ce'"), tags, offsets)
+    got = {r["edge_id"]: r for r in inferred.collect()}
+    assert (got["ce"]["lane_count"], got["ce"]["source"], got["cw"]["lane_count"], got["cs"]["lane_count"], got["ef"]["source"]) == (1, "lane_markings", 3, 2, "default")
+    assert [x["offset_m"] for x in got["cw"]["lanes"]] == [3.5, 0.0, -3.5] and [x["offset_m"] for x in got["cs"]["lanes"]] == [0.875, -0.875]
+    assert np.allclose([p["y"] for p in got["cw"]["lanes"][0]["centerline"]], -3.5)  # westwards, left is south
+    assert hd.apply_lane_inferences(edges, inferred).where("lane_count = 3").first()["edge_id"] == "cw"
+    assert {(r["kind"], r["label"]): r["n"] for r in hd.lane_summary(inferred).collect()}["source", "default"] == 2
+    room = hd.widened(hd.apply_lane_inferences(seeded, inferred), F.col("lane_count")).where("edge_id = 'cw'").first()["hd"]
+    assert np.allclose([p["y"] for p in room["left"]], -5.25)
+
+
+def test_lane_markings_of_painted_lines(spark):
+    from waymesh.operators import hd, markings
+
+    edges = make_edges(spark, [("r", "a", "b", [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0)])])
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in np.arange(0.1, 59.9, 0.2):
+        for t, bright in ((1.8, 200), (-1.7, 190), (0.9, 20), (-0.6, 25), (0.2, 10), (0.4, 12), (1.2, 15), (-1.1, 30), (-2.2, 5), (2.3, 9), (0.0, 3), (0.6, 8)):
+            if bright > 100 and 20 < s < 25:
+                continue  # worn paint
+            t = t + rng.normal(0, 0.02)
+            x, y = (s, t) if s < 30 else (30 - t, s - 30)
+            rows.append((len(rows), float(x), float(y), 0.0, float(bright + rng.integers(0, 5))))
+    points = spark.createDataFrame(rows, "key long, x double, y double, z double, intensity double").repartition(4)
+    found = sorted((r["side"], round(r["offset"], 1), len(r["polyline"])) for r in markings.lane_markings(points, edges).collect())
+    assert {x[0] for x in found} == {"left", "right"} and all(abs(x[1] - (1.8 if x[0] == "left" else -1.7)) <= 0.1 for x in found)
+    assert [x[0] for x in found].count("left") == 2  # a gap of five bins ends a track
+    spot = markings.on_edge(spark.createDataFrame([("r", 10.0, 1.0), ("r", 40.0, 1.0), ("r", 60.0, -2.0)], "edge_id string, s double, t double"), edges).orderBy("s").collect()
+    assert np.allclose([(r["x"], r["y"]) for r in spot], [(10, 1), (29, 10), (32, 30)])
+    assert spark.range(1).select(markings.marking_style(F.lit(9), F.lit(10), F.lit(200.0)).alias("a"), markings.marking_style(F.lit(2), F.lit(10), F.lit(200.0)).alias("b")).first() == ("solid", "dashed")
+    nodes = make_nodes(spark, {"a": (0, 0), "b": (30, 30)})
+    fused = markings.fuse_boundaries(hd.enrich(nodes, edges, 3.5)[1], points.where("intensity > 100"), bins=12).first()["hd"]
+    assert fused["quality"] == "lidar_fused" and len(fused["left"]) >= 9 and abs(fused["left"][0]["y"] - 1.8) < 0.1
+    raised = points.where("intensity > 100").withColumn("z", F.lit(0.1)).unionByName(points.where("intensity < 100"))
+    assert markings.fuse_boundaries_3d(hd.enrich(nodes, edges, 3.5)[1], raised, 0.05, 0.3, tolerance=0.02).first()["hd"]["quality"] == "lidar_fused"
+
+
+def test_cameras(spark, cross, tmp_path):
+    from waymesh.operators import camera, hd
+
+    def matrix(roll, pitch, yaw):
+        c, s = math.cos, math.sin
+        rx = np.array([[1, 0, 0], [0, c(roll), -s(roll)], [0, s(roll), c(roll)]])
+        ry = np.array([[c(pitch), 0, s(pitch)], [0, 1, 0], [-s(pitch), 0, c(pitch)]])
+        rz = np.array([[c(yaw), -s(yaw), 0], [s(yaw), c(yaw), 0], [0, 0, 1]])
+        return rz @ ry @ rx
+
+    assert np.allclose(camera.rotation(0.1, -0.2, 0.3), matrix(0.1, -0.2, 0.3))
+    doc = {"intrinsic": {"fx": 900, "fy": 880, "cx": 640, "cy": 360, "distortion": {"k1": -0.05, "k2": 0.01, "p1": 0.001, "p2": -0.002, "k3": 0.0}}, "camera_to_vehicle": {"rotation_rpy_rad": [0.01, 0.12, -0.05], "translation_m": [1.2, 0.1, 1.6]}}
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    own = camera.read_calibration(spark, f"{tmp_path}/c.json")
+    # points on the ground are seen in a pixel, and that pixel lies on them
+    pose = (5.0, -3.0, 0.4, 0.02, -0.01, 2.1)
+    turned = matrix(*pose[3:])
+    ground = []
+    for ahead, left in ((8, 0), (12, 3), (20, -5), (35, 6)):
+        x, y = (np.array(pose[:2]) + (turned @ np.array([ahead, left, 0]))[:2]).tolist()
+        ground.append((len(ground), x, y))
+    df = spark.createDataFrame(ground, "pos long, px double, py double")
+    columns = [F.lit(v) for v in pose]
+    u, v = camera.ground_to_pixel(F.col("px"), F.col("py"), F.lit(0.0), own, tuple(columns[:3]), camera.rotation(*columns[3:]))
+    seen = df.withColumns({"u": u, "v": v, **{c: F.lit(x) for c, x in zip(("x", "y", "z", "roll", "pitch", "yaw"), pose, strict=True)}, "kind": F.lit("lane_line")})
+    back = camera.project_detections(seen.unionByName(seen.withColumns({"v": F.lit(0.0), "pos": F.col("pos") + 100})), own).collect()
+    for r in back:
+        if r["pos"] < 100:
+            assert math.isclose(r["gx"], r["px"], abs_tol=1e-3) and math.isclose(r["gy"], r["py"], abs_tol=1e-3)
+        else:
+            assert r["gx"] is None
+    image = {"image_detections": [{"image_id": "i", "pose": {"translation_m": [10, 2, 0]}, "detections": [{"kind": "speed_limit", "pixel": {"u": 640, "v": 700}, "value_kmh": 30, "confidence": 0.9}, {"kind": "sign", "pixel": {"u": 640, "v": 10}}, {"kind": "", "pixel": {"u": 1, "v": 1}}]}, {"pose": {"translation_m": [500, 500, 0]}, "detections": [{"kind": "curb", "pixel": {"u": 640, "v": 700}}]}]}
+    (tmp_path / "i.json").write_text(json.dumps(image))
+    found = camera.observations_on_edges(camera.image_detections(spark, f"{tmp_path}/i.json"), own, cross[1], max_dist=5.0)
+    assert {(r["kind"], r["fate"], r["edge_id"]) for r in found.collect()} == {("speed_limit", "on_edge", "ce"), ("sign", "above_horizon", None), ("curb", "no_edge", None)}
+    _, edges = hd.enrich(*cross)
+    ruled = camera.apply_observations(edges, found.select("pos", "edge_id", F.col("extra").alias("rule")))
+    rules = {r["edge_id"]: r["hd"]["semantic_rules"] for r in ruled.collect()}
+    assert json.loads(rules["ce"][0])["value_kmh"] == 30 and rules["cn"] == []
+    seen = spark.createDataFrame([(0, "sign", "{}"), (3, "turn_restriction", json.dumps({"junction_node_id": "c", "from_edge_id": "cn", "to_edge_id": "ce", "restriction": "no_left_turn"})), (4, "turn_restriction", json.dumps({"edge_id": "x"})), (9, "turn_restriction", json.dumps({"id": "own", "junction_node_id": "c", "to_direction": "reverse"}))], "pos long, kind string, item string")
+    turns = {r["id"]: r for r in camera.restrictions_seen(seen).collect()}
+    assert set(turns) == {"tr_camera_0000", "own"} and turns["tr_camera_0000"]["source"] == "camera_detection" and turns["own"]["to_direction"] == "reverse" and turns["own"]["from_direction"] == "forward"
+
+
+def osm_document(rows):
+    import xml.etree.ElementTree as ET
+
+    body = "".join(r["value"] for r in rows.orderBy("part", "ord").collect())
+    return ET.fromstring(f"<osm>{body}</osm>")
+
+
+def test_lanelet_maps(spark, cross, tmp_path):
+    from waymesh.operators import camera, hd
+    from waymesh.sources import lanelets
+
+    nodes, edges = cross
+    nodes = nodes.join(topology.node_degrees(nodes, edges), "id").join(topology.junction_types(nodes, edges), "id", "left").withColumn("elevation_m", F.when(F.col("id") == "c", 12.5))
+    edges = edges.withColumns({"osm_oneway": F.when(F.col("edge_id") == "cw", "yes"), "osm_maxspeed": F.when(F.col("edge_id") == "cs", "50 mph"), "osm_name": F.when(F.col("edge_id") == "ce", 'A & "B"')})
+    _, seeded = hd.enrich(nodes, edges, 3.5)
+    rules = [(0, "ce", {"kind": "speed_limit", "value_kmh": 50}), (1, "ce", {"kind": "speed_limit", "value_kmh": 30.0}), (2, "ce", {"kind": "traffic_light", "world_xy_m": {"x": 90.0, "y": 4.0}, "confidence": 0.8}), (3, "ce", {"kind": "stop_line", "polyline_m": [[95, 2], [95, -2]]}), (4, "cn", {"kind": "yield"}), (5, "cn", {"kind": "tree"})]
+    seeded = camera.apply_observations(seeded, spark.createDataFrame([(k, e, json.dumps(r)) for k, e, r in rules], "pos long, edge_id string, rule string"))
+    turns = spark.createDataFrame([("t1", "cn", "ce", "no_left_turn")], "id string, from_edge_id string, to_edge_id string, restriction string")
+    root = osm_document(lanelets.lanelet_map(nodes, seeded, 52.0, 13.0, restrictions=turns))
+    ids = [x.get("id") for kind in ("node", "way", "relation") for x in root.iter(kind)]
+    assert len(ids) == len(set(ids)) and root[0].tag == "MetaInfo"
+    known = {x.get("id") for x in root.iter("node")}
+    assert all(nd.get("ref") in known for nd in root.iter("nd"))
+    tags = lambda x: {t.get("k"): t.get("v") for t in x.findall("tag")}
+    relations = {x.get("id"): (tags(x), [(m.get("type"), m.get("ref"), m.get("role")) for m in x.findall("member")]) for x in root.iter("relation")}
+    ll = {t["graph:edge_id"]: (i, t, m) for i, (t, m) in relations.items() if t["type"] == "lanelet"}
+    assert set(ll) == {"ce", "cn", "cw", "cs", "ef"} and [m[2] for m in ll["ce"][2]] == ["left", "right", "centerline"]
+    assert ll["ce"][1]["speed_limit"] == "30" and ll["cs"][1]["speed_limit"] == "50 km/h" and ll["cw"][1]["one_way"] == "yes" and ll["ce"][1]["name"] == 'A & "B"'
+    assert all(r in {x.get("id") for x in root.iter("way")} for _, r, _ in ll["ce"][2])
+    kinds = [(t["subtype"], m) for t, m in relations.values() if t["type"] == "regulatory_element"]
+    assert sum(k == "traffic_light" for k, _ in kinds) == 1 and sum(k == "yield" for k, _ in kinds) == 1 and not any(k in ("tree", "stop_line") for k, _ in kinds)
+    light = next(m for k, m in kinds if k == "traffic_light")
+    assert light[0] == ("relation", ll["ce"][0], "refers") and light[1][0] == "node" and light[1][1] in known
+    assert sum(tags(w).get("graph:kind") == "stop_line" for w in root.iter("way")) == 1
+    assert next(m for k, m in kinds if k == "right_of_way") == [("relation", ll["cn"][0], "refers"), ("relation", ll["ce"][0], "refers")]
+    follow = {(m[0][1], m[1][1]) for k, m in kinds if k == "lane_connection"}
+    number = {k: v[0] for k, v in ll.items()}
+    # traffic leaves c by cw alone, so nothing follows from cw there
+    assert (number["ce"], number["cw"]) in follow and (number["cw"], number["ce"]) not in follow and (number["ce"], number["ef"]) in follow
+    assert len(follow) == 3 * 2 + 3 + 2
+    as_rule = osm_document(lanelets.lanelet_map(nodes, seeded, 52.0, 13.0, speed_as_rule=True))
+    assert [tags(x)["speed_limit"] for x in as_rule.iter("relation") if tags(x).get("subtype") == "speed_limit"] == ["30"]
+    inferred = hd.lane_inferences(edges, spark.createDataFrame([], "edge_id string, offset double"), spark.createDataFrame([("ce", 3)], "edge_id string, osm_lanes int"), spark.createDataFrame([], "edge_id string, offset double"))
+    laned = osm_document(lanelets.lanelet_map(nodes, hd.apply_lane_inferences(seeded, inferred.where("edge_id = 'ce'")), 52.0, 13.0, per_lane=True))
+    lanes = [tags(x) for x in laned.iter("relation") if tags(x).get("type") == "lanelet"]
+    assert sorted(t.get("graph:lane_index", "") for t in lanes if t["graph:edge_id"] == "ce") == ["0", "1", "2"] and len(lanes) == 7
+    assert sum(tags(x).get("subtype") == "lane_change" for x in laned.iter("relation")) == 2
+    styles = sorted((tags(w)["graph:lane_index"], tags(w)["graph:side"], tags(w)["subtype"]) for w in laned.iter("way") if "graph:lane_index" in tags(w))
+    assert styles == [("0", "left", "solid"), ("0", "right", "dashed"), ("1", "left", "dashed"), ("1", "right", "dashed"), ("2", "left", "dashed"), ("2", "right", "solid")]
+
+    documents.write_lines(lanelets.lanelet_map(nodes, seeded, 52.0, 13.0), f"{tmp_path}/map")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "map").glob("part-*.txt")))
+    (tmp_path / "map.osm").write_text(f"<osm>\n{text}</osm>\n")
+    tables = lanelets.read_osm(spark, f"{tmp_path}/map.osm")
+    assert {r["level"] for r in lanelets.check_lanelets(tables["relations"]).collect()} == {"warning"}
+    counts = {r["kind"]: r["n"] for r in lanelets.lanelet_counts(tables).collect()}
+    assert counts["lanelet/road"] == 5 and counts["way"] == 16 and counts["regulatory_element/lane_connection"] == len(follow)
+    clean = lanelets.sanitized(tables)
+    kept = [r["tags"] for r in clean["relations"].collect()]
+    assert {t.get("subtype") for t in kept} == {"road", "traffic_light"} and all(not k.startswith("graph:") for t in kept for k in t)
+    turns = {t["turn_direction"] for t in kept if t["type"] == "lanelet"}
+    assert turns == {"straight", "left"}  # ef bends north
+    assert {r["tags"]["ele"] for r in clean["nodes"].collect()} == {"12.500"}
+    again = osm_document(lanelets.osm_rows(clean))
+    assert len(list(again.iter("relation"))) == 6
+    assert "latitude: 52.0" in lanelets.projector_yaml(52.0, 13.0)
+
+
+def test_comparisons(spark, cross):
+    from waymesh.operators import compare
+
+    nodes, edges = cross
+    moved = nodes.where("id <> 'f'").withColumn("x", F.col("x") + F.when(F.col("id") == "e", 0.25).otherwise(0.0))
+    got = {r["kind"]: (r["common"], r["missing"], r["added"], r["max_m"]) for r in compare.drift({"nodes": nodes, "edges": edges}, {"nodes": moved, "edges": edges}).collect()}
+    assert got == {"node": (5, 1, 0, 0.25), "vertex": (11, 0, 0, 0.0)}
+    nav = topology.sd_nav_edges(edges)
+    other = nav.where("edge_id <> 'cn'").withColumn("allowed", F.when(F.col("edge_id") == "ce", "straight,left,right").otherwise(F.col("allowed")))
+    assert {(r["key"], r["field"]) for r in compare.navigation_changes(nav, other).collect()} == {("cn", "missing"), ("ce", "allowed")}
+    features = documents.map_features(nodes, edges, make_samples(spark, []), 52.0, 13.0, "d")
+    assert compare.feature_changes(features, features).count() == 0 and compare.feature_changes(features, features.where("layer <> 'node' or ord > 0")).first()["field"] == "missing"
+    back = compare.graph_of_features(features, 52.0, 13.0)
+    assert {r["id"]: (round(r["x"], 6), round(r["y"], 6)) for r in back["nodes"].collect()} == {r["id"]: (r["x"], r["y"]) for r in nodes.collect()}
+    assert {r["edge_id"]: len(r["polyline"]) for r in back["edges"].collect()}["ef"] == 3
+    points = spark.createDataFrame([(0, 50.0, 3.0, {"highway": "traffic_signals"}), (1, 2.0, 60.0, {"highway": "stop"}), (2, 3.0, 3.0, {"shop": "x"}), (3, 900.0, 0.0, {"highway": "stop"})], "pos long, x double, y double, tags map<string,string>")
+    rules = [(r["pos"], r["edge_id"], r["kind"], json.loads(r["rule"])) for r in compare.mapped_rules(points, edges).orderBy("pos").collect()]
+    assert [(p, e, k) for p, e, k, _ in rules] == [(0, "ce", "traffic_light"), (2, "cn", "stop_sign"), (3, "cn", "stop_line")]
+    assert rules[2][3]["polyline_m"] == [[-1.75, 60.0], [1.75, 60.0]] and rules[0][3]["world_xy_m"] == {"x": 50.0, "y": 3.0}
+    ways = spark.createDataFrame([(7, 2, {"lanes": "2"}, [(0.0, 3.0), (100.0, 3.0)]), (8, None, {}, [(0.0, -30.0), (0.0, -80.0)])], f"way_id long, lanes int, tags map<string,string>, polyline {POLY}")
+    score = compare.lane_accuracy(edges.withColumn("lane_count", F.lit(1)), ways).first()
+    assert (score["edges"], score["matched"], score["mae"], score["exact"]) == (5, 1, 1.0, 0.0)
+    assert {r["edge_id"]: r["way_id"] for r in compare.tagged(edges, ways).collect()} == {"ce": 7, "cn": None, "cw": None, "cs": 8, "ef": None}
+
+
+def test_result_documents_and_bundles(spark, cross, tmp_path):
+    from waymesh.operators import hd
+    from waymesh.sources import validation
+
+    nodes, edges = cross
+    read = lambda rows: json.loads("".join(r["value"] for r in rows.orderBy("part", "ord").collect()))
+    adj = routing.adjacency(edges)
+    pairs = spark.createDataFrame([("n", "f"), ("w", "s")], "from_node string, to_node string")
+    routes = routing.paths(adj, pairs)
+    steps = guidance.guidance(routes, edges)
+    assert validation.check_guidance(steps).count() == 0 and validation.check_guidance(steps.withColumn("maneuver", F.lit("fly"))).count() > 0
+    assert [s["maneuver"] for s in read(documents.guidance_json(steps))["steps"]] == ["depart", "left", "arrive", "depart", "right"][:3] + ["depart", "arrive"]
+    assert read(documents.routes_json(routes))["routes"][0]["to_node"] == "f"
+    assert read(documents.result_json("none", routes.limit(0), "from_node")) == {"format_version": 1, "none": []}
+    start = spark.createDataFrame([("c", "c", 0.0)], "origin string, state string, cost double")
+    reached = routing.cheapest(adj, start, 165.0)
+    spans = routing.reachable_spans(adj, reached, 165.0)
+    area = read(documents.reachability_json(reached, spans, 165.0))
+    assert area["max_cost_m"] == 165.0 and {n["node_id"] for n in area["nodes"]} == {"c", "e", "n", "w", "s"}
+    features = documents.reachability_features(reached, spans, nodes, edges, 52.0, 13.0)
+    map_ = read(documents.feature_collection(features, "layer", "key"))
+    half = next(f for f in map_["features"] if f["properties"].get("edge_id") == "ef" and f["properties"]["direction"] == "forward")
+    assert half["properties"]["reachable_fraction"] == 0.5 and len(half["geometry"]["coordinates"]) == 3 and len(map_["features"]) == spans.count() + 5
+    samples = make_samples(spark, [("t", k, k, 10 * k, 1) for k in range(5)])
+    nav = topology.sd_nav_edges(edges)
+    manifest = documents.write_bundle(f"{tmp_path}/out", *hd.enrich(nodes, edges, 3.5), samples, nav, 52.0, 13.0, "d")
+    assert manifest["counts"] == {"nodes": 6, "edges": 5, "samples": 5} and manifest["files"] == ["graph", "lanelets", "map", "nav"]
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / "out" / name).glob("part-*.txt")))
+    graph = json.loads(text("graph"))
+    assert graph["edges"][0]["attributes"]["hd"]["left"][0] == {"x": 0.0, "y": 1.75} and graph["metadata"] == {"dataset": "d"}
+    assert json.loads(text("nav"))["edges"][0]["allowed"] == ["straight"] and len(json.loads(text("map"))["features"]) == 1 + 5 * 3 + 6
+    assert text("lanelets").startswith("<osm") and text("lanelets").rstrip().endswith("</osm>")
+    rows = spark.createDataFrame([(text("manifest"),), (json.dumps({"manifest_version": 2, "dataset": "x"}),)], "value string")
+    assert {r["key"] for r in validation.check_manifest(rows).collect()} == {"x"}
+    picture = "".join(r["value"] for r in documents.svg(samples, nodes, edges).orderBy("part", "ord").collect())
+    import xml.etree.ElementTree as ET
+
+    assert len(ET.fromstring(picture)) == 5 + 5 + 6

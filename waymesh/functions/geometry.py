@@ -13,6 +13,11 @@ EARTH_M = 6_371_000.0
 DEGENERATE = 1e-18
 
 
+def let(value: Column, f) -> Column:
+    """f(value), computed once and with one copy of its expression in the plan, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 

@@ -1,44 +1,148 @@
-"""Writers: graph JSON, navigation JSON, GeoJSON and OSM XML from node and edge tables.
+"""Writers: graph, navigation and result documents, GeoJSON, SVG and OSM XML, and bundles of them.
 
-Documents are built as rows by Spark. Line-wise outputs (features, OSM elements) are
-written in parallel and in order of their keys; a single document, as other tools
-want it, is the concatenation of those lines.
+Documents are rows (part, ord, value) that Spark makes in parallel. Written in that
+order, the lines of all files one after the other are the document, so that none
+passes through one row or one task.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import metres_to_lonlat, polyline_length
+from waymesh.plans.numbering import numbered
+
+
+def _rows(df: DataFrame, part: int, order: Column, value: Column) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), order.cast("long").alias("ord"), value.alias("value"))
+
+
+def _line(df: DataFrame, part: int, text: str) -> DataFrame:
+    return _rows(df.sparkSession.range(1), part, F.lit(0), F.lit(text))
+
+
+def document(lists: dict[str, tuple[DataFrame, str]], head: dict | None = None) -> DataFrame:
+    """One JSON object with the fields of `head` and lists of rows, each ordered by a number.
+
+    lists: name to (rows, name of the number, which is left out of the items). Null
+    fields are left out of items.
+    """
+    parts, any_df = [], next(iter(lists.values()))[0]
+    start = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v)}," for k, v in (head or {}).items())
+    for k, (name, (df, order)) in enumerate(lists.items()):
+        first = df.agg(F.min(order)).first()[0]
+        item = F.to_json(F.struct(*(F.col(c) for c in df.columns if c != order)))
+        parts.append(_line(any_df, 2 * k, ("" if k else start) + ("]," if k else "") + f"{json.dumps(name)}:["))
+        parts.append(_rows(df, 2 * k + 1, F.col(order), F.concat(F.when(F.col(order) > (0 if first is None else first), ",").otherwise(""), item)))
+    parts.append(_line(any_df, 2 * len(lists), "]}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _attributes(df: DataFrame, known: tuple[str, ...]) -> Column:
+    """All other columns as one struct, null without any."""
+    rest = [c for c in df.columns if c not in known]
+    if rest == ["attributes"]:
+        return F.col("attributes")
+    return F.struct(*rest).alias("attributes") if rest else F.lit(None).cast("string").alias("attributes")
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, metadata: dict | None = None) -> DataFrame:
+    """The graph document: nodes and edges in their order; columns beyond the known ones are attributes."""
+    n = nodes.select("ord", "id", F.struct("x", "y").alias("position"), _attributes(nodes, ("ord", "id", "x", "y")).alias("attributes"))
+    e = edges.select("ord", F.col("edge_id").alias("id"), "start_node_id", "end_node_id", "polyline", _attributes(edges, ("ord", "edge_id", "start_node_id", "end_node_id", "polyline")).alias("attributes"))
+    return document({"nodes": (n, "ord"), "edges": (e, "ord")}, {"schema_version": 1, "metadata": metadata or {}})
+
+
+def navigation_json(nodes: DataFrame, edges: DataFrame, nav: DataFrame, restrictions: DataFrame | None = None) -> DataFrame:
+    """The navigation document of the rows of `topology.sd_nav_edges`, with turn restrictions (pos, ...) if there are any."""
+    allowed = lambda c: F.split(c, ",").alias(c)
+    rows = nav.join(edges.select("edge_id", "ord"), "edge_id").select("ord", "edge_id", "start_node_id", "end_node_id", "length_m", allowed("allowed"), allowed("allowed_reverse"))
+    spots = nodes.select("ord", F.col("id").alias("node_id"), "x", "y")
+    lists = {"nodes": (spots, "ord"), "edges": (rows, "ord")}
+    if restrictions is not None:
+        lists["turn_restrictions"] = (restrictions, "pos")
+    return document(lists, {"schema_version": 1, "role": "navigation_sd_seed"})
+
+
+def result_json(name: str, rows: DataFrame, *order: str, head: dict | None = None) -> DataFrame:
+    """A document with one list of result rows, in the order of some columns: trips, matches, steps, markings, ..."""
+    return document({name: (numbered(rows, *order, name="_ord"), "_ord")}, {"format_version": 1, **(head or {})})
+
+
+def trips_json(trips: DataFrame) -> DataFrame:
+    return result_json("trips", trips, "trace_id", "trip")
+
+
+def matches_json(matches: DataFrame) -> DataFrame:
+    return result_json("matches", matches, "trace_id", "ord")
+
+
+def guidance_json(steps: DataFrame) -> DataFrame:
+    return result_json("steps", steps, "from_node", "to_node", "k")
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
-    """One row with the graph document, nodes and edges in their order; for graphs that fit one document."""
-    n = nodes.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "x", "y"))), lambda s: F.struct(s["id"].alias("id"), F.struct(s["x"].alias("x"), s["y"].alias("y")).alias("position"))).alias("nodes"))
-    e = edges.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", "edge_id", "start_node_id", "end_node_id", "polyline"))),
-            lambda s: F.struct(s["edge_id"].alias("id"), s["start_node_id"].alias("start_node_id"), s["end_node_id"].alias("end_node_id"), s["polyline"].alias("polyline")),
-        ).alias("edges")
-    )
-    meta = F.create_map(*(F.lit(x) for kv in (metadata or {}).items() for x in kv)) if metadata else F.create_map().cast("map<string,string>")
-    both = n.withColumn("_k", F.lit(1)).join(e.withColumn("_k", F.lit(1)), "_k")
-    return both.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), meta.alias("metadata"), "nodes", "edges")).alias("value"))
+def markings_json(markings: DataFrame) -> DataFrame:
+    return result_json("candidates", markings, "edge_id", "track")
+
+
+def observations_json(observations: DataFrame) -> DataFrame:
+    return result_json("observations", observations, "pos")
+
+
+def restrictions_json(restrictions: DataFrame) -> DataFrame:
+    return result_json("turn_restrictions", restrictions, "id")
+
+
+def routes_json(routes: DataFrame) -> DataFrame:
+    return result_json("routes", routes, "from_node", "to_node")
+
+
+def reachability_json(reached: DataFrame, spans: DataFrame, max_cost: float) -> DataFrame:
+    """Reached nodes (origin, state, cost) and spans of edges of a service area."""
+    n = numbered(reached.select("origin", F.col("state").alias("node_id"), "cost"), "origin", "node_id", name="_ord")
+    e = numbered(spans, "origin", "edge_id", "direction", name="_ord")
+    return document({"nodes": (n, "_ord"), "edges": (e, "_ord")}, {"format_version": 1, "max_cost_m": max_cost})
 
 
 def _lonlat(x: Column, y: Column, lat0: float, lon0: float) -> Column:
     return F.array(*metres_to_lonlat(x, y, lat0, lon0))
 
 
+def _feature(kind: str, coordinates: Column, *properties: Column) -> Column:
+    shape = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties")))
+
+
+def feature_collection(features: DataFrame, *order: str, head: dict | None = None) -> DataFrame:
+    """A GeoJSON document of rows (..., value), in the order of some columns."""
+    rows = numbered(features, *order, name="_ord")
+    start = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v)}," for k, v in {"type": "FeatureCollection", **(head or {})}.items()) + '"features":['
+    return _line(rows, 0, start).unionByName(_rows(rows, 1, F.col("_ord"), F.concat(F.when(F.col("_ord") > 0, ",").otherwise(""), F.col("value")))).unionByName(_line(rows, 2, "]}"))
+
+
 def map_features(nodes: DataFrame, edges: DataFrame, samples: DataFrame, lat0: float, lon0: float, dataset: str) -> DataFrame:
-    """Rows (layer, ord, value): GeoJSON features of trajectories, centre lines and nodes."""
+    """Rows (layer, ord, value): GeoJSON features of trajectories, centre lines, lane boundaries and nodes.
+
+    Edges with hd of `hd.enrich` have boundaries as layers lane_boundary_left and _right,
+    and centre lines tell the kinds of their semantic rules.
+    """
     def feature(kind: str, coordinates: Column, *properties: Column) -> Column:
-        shape = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
-        return F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(F.lit(dataset).alias("dataset"), *properties).alias("properties")))
+        return _feature(kind, coordinates, F.lit(dataset).alias("dataset"), *properties)
 
     line = F.transform("polyline", lambda p: _lonlat(p["x"], p["y"], lat0, lon0))
-    lines = edges.select(F.lit("centerline").alias("layer"), "ord", feature("LineString", line, F.lit("centerline").alias("kind"), F.col("edge_id"), F.col("start_node_id"), F.col("end_node_id"), polyline_length("polyline").alias("length_m")).alias("value"))
+    rules = []
+    if "hd" in edges.columns:
+        kinds = F.array_sort(F.array_distinct(F.array_compact(F.transform("hd.semantic_rules", lambda r: F.get_json_object(r, "$.kind")))))
+        rules = [F.when(F.size(kinds) > 0, F.array_join(kinds, ",")).alias("semantic_summary")]
+    lines = edges.select(F.lit("centerline").alias("layer"), "ord", feature("LineString", line, F.lit("centerline").alias("kind"), F.col("edge_id"), F.col("start_node_id"), F.col("end_node_id"), polyline_length("polyline").alias("length_m"), *rules).alias("value"))
+    for side in ("left", "right") if "hd" in edges.columns else ():
+        shape = F.transform(f"hd.{side}", lambda p: _lonlat(p["x"], p["y"], lat0, lon0))
+        kind = F.lit(f"lane_boundary_{side}")
+        lines = lines.unionByName(edges.where(F.size(f"hd.{side}") >= 2).select(kind.alias("layer"), "ord", feature("LineString", shape, kind.alias("kind"), F.col("edge_id")).alias("value")))
     dots = nodes.select(F.lit("node").alias("layer"), "ord", feature("Point", _lonlat(F.col("x"), F.col("y"), lat0, lon0), F.lit("node").alias("kind"), F.col("id").alias("node_id")).alias("value"))
     track = samples.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda s: _lonlat(s["x"], s["y"], lat0, lon0)).alias("c"))
     tracks = track.select(F.lit("trajectory").alias("layer"), F.xxhash64("trace_id").alias("ord"), feature("LineString", F.col("c"), F.lit("trajectory").alias("kind"), F.col("trace_id")).alias("value"))
@@ -57,6 +161,22 @@ def route_features(routes: DataFrame, edges: DataFrame, lat0: float, lon0: float
     return lines.select("from_node", "to_node", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct("from_node", "to_node", F.col("cost").alias("total_length_m")).alias("properties"))).alias("value"))
 
 
+def reachability_features(reached: DataFrame, spans: DataFrame, nodes: DataFrame, edges: DataFrame, lat0: float, lon0: float) -> DataFrame:
+    """Rows (layer, origin, key, value): GeoJSON features of a service area: reached nodes, and edges up to where they are reached."""
+    lines = spans.join(edges.select("edge_id", "polyline"), "edge_id")
+    way = F.when(F.col("direction") == "reverse", F.reverse("polyline")).otherwise(F.col("polyline"))
+    lines = lines.withColumn("_line", way).withColumn("_part", clip(F.col("_line"), F.col("fraction"))).where(F.size("_part") >= 2)
+    shape = F.transform("_part", lambda p: _lonlat(p["x"], p["y"], lat0, lon0))
+    parts = lines.select(F.lit("edge").alias("layer"), "origin", step_key().alias("key"), _feature("LineString", shape, F.lit("reachable_edge").alias("kind"), F.col("edge_id"), F.col("direction"), F.col("start_cost").alias("start_cost_m"), F.col("fraction").alias("reachable_fraction")).alias("value"))
+    dots = reached.join(nodes.select(F.col("id").alias("state"), "x", "y"), "state")
+    spots = dots.select(F.lit("node").alias("layer"), "origin", F.col("state").alias("key"), _feature("Point", _lonlat(F.col("x"), F.col("y"), lat0, lon0), F.lit("reachable_node").alias("kind"), F.col("state").alias("node_id"), F.col("cost").alias("cost_m")).alias("value"))
+    return parts.unionByName(spots)
+
+
+def step_key() -> Column:
+    return F.concat_ws("/", "edge_id", "direction")
+
+
 def clip(line: Column, fraction: Column) -> Column:
     """The part of a polyline up to a fraction of its length."""
     total = polyline_length(line)
@@ -101,3 +221,39 @@ def osm_xml(nodes: DataFrame, edges: DataFrame, lat0: float, lon0: float) -> Dat
 def write_lines(rows: DataFrame, path: str) -> None:
     """Rows (part, ord, value) as text files whose concatenation in name order is in the rows' order."""
     rows.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").text(path)
+
+
+def svg(samples: DataFrame, nodes: DataFrame, edges: DataFrame, width: int = 1000, margin: int = 20) -> DataFrame:
+    """Rows (part, ord, value): an SVG picture of samples, edges and nodes; without any, an empty one."""
+    spots = samples.select("x", "y").unionByName(nodes.select("x", "y"))
+    box = spots.agg(*(F.coalesce(f(c), F.lit(0.0)).alias(f"{n}{c}") for c in "xy" for n, f in (("a", F.min), ("b", F.max)))).first()
+    size = max(box["bx"] - box["ax"], box["by"] - box["ay"], 1e-9)
+    scale = (width - 2 * margin) / size
+    at = lambda x, y: F.concat_ws(",", F.format_string("%.2f", (x - box["ax"]) * scale + margin), F.format_string("%.2f", (box["by"] - y) * scale + margin))
+    circle = lambda r, colour: F.concat(F.lit("<circle cx="), quoted(F.substring_index(at(F.col("x"), F.col("y")), ",", 1)), F.lit(" cy="), quoted(F.substring_index(at(F.col("x"), F.col("y")), ",", -1)), F.lit(f' r="{r}" fill="{colour}"/>'))
+    line = F.concat(F.lit("<polyline fill=\"none\" stroke=\"#246\" points="), quoted(F.array_join(F.transform("polyline", lambda p: at(p["x"], p["y"])), " ")), F.lit("/>"))
+    return reduce(DataFrame.unionByName, [
+        _line(nodes, 0, f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{width}">'),
+        _rows(samples, 1, F.xxhash64("trace_id", "ord"), circle(1, "#bbb")), _rows(edges, 2, F.col("ord"), line), _rows(nodes, 3, F.col("ord"), circle(3, "#c33")), _line(nodes, 4, "</svg>"),
+    ])
+
+
+def write_bundle(folder: str, nodes: DataFrame, edges: DataFrame, samples: DataFrame, nav: DataFrame, lat0: float, lon0: float, dataset: str = "", restrictions: DataFrame | None = None, per_lane: bool = False) -> dict:
+    """Writes graph, nav, map and lanelets below a folder, each as text files in order, and returns the manifest that it also writes."""
+    from waymesh.sources.lanelets import lanelet_map
+
+    written = {
+        "graph": graph_json(nodes, edges, {"dataset": dataset}),
+        "nav": navigation_json(nodes, edges, nav, restrictions),
+        "map": feature_collection(map_features(nodes, edges, samples, lat0, lon0, dataset), "layer", "ord"),
+    }
+    if "hd" in edges.columns:
+        turns = restrictions if restrictions is not None else None
+        body = lanelet_map(nodes, edges, lat0, lon0, per_lane=per_lane, restrictions=turns)
+        written["lanelets"] = _line(nodes, -1, '<osm version="0.6">').unionByName(body).unionByName(_line(nodes, 99, "</osm>"))
+    for name, rows in written.items():
+        write_lines(rows, f"{folder}/{name}")
+    counts = {"nodes": nodes.count(), "edges": edges.count(), "samples": samples.count()}
+    manifest = {"manifest_version": 1, "dataset": dataset, "origin": {"lat": lat0, "lon": lon0}, "files": sorted(written), "counts": counts}
+    write_lines(_line(nodes, 0, json.dumps(manifest)), f"{folder}/manifest")
+    return manifest

@@ -48,3 +48,29 @@ def check_navigation(rows: DataFrame) -> DataFrame:
     """Rows (key, rule) of navigation edges: lengths, vertices and known maneuvers, straight among them."""
     allowed = lambda c: F.forall(F.split(c, ","), lambda m: m.isin("straight", "left", "right", "u_turn")) & F.array_contains(F.split(c, ","), "straight")
     return violations(rows, "edge_id", {"length_m": F.col("length_m") >= 0, "vertices": F.col("vertices") >= 2, "allowed": allowed("allowed"), "allowed_reverse": allowed("allowed_reverse")})
+
+
+def check_guidance(steps: DataFrame) -> DataFrame:
+    """Rows (key, rule) of guidance steps: lengths, starts, known maneuvers, depart first and alone there."""
+    known = ("depart", "arrive", "straight", "left", "right", "sharp_left", "sharp_right", "u_turn")
+    rows = steps.withColumn("_key", F.concat_ws("/", "from_node", "to_node", "k"))
+    return violations(rows, "_key", {
+        "edge_id": F.length("edge_id") > 0, "length_m": F.col("length_m") >= 0, "start_m": F.col("start_m") >= 0, "maneuver": F.col("maneuver").isin(*known),
+        "depart": (F.col("k") == 0) == (F.col("maneuver") == "depart"), "change_deg": F.abs("change_deg") <= 180,
+    })
+
+
+def check_markings(rows: DataFrame) -> DataFrame:
+    """Rows (key, rule) of lane markings: a known side, two points, and counted points."""
+    return violations(rows.withColumn("_key", F.concat_ws("/", "edge_id", "track")), "_key", {
+        "edge_id": F.length("edge_id") > 0, "side": F.col("side").isin("left", "right", "center"), "polyline": F.size("polyline") >= 2, "points": F.col("points") >= 1, "intensity": F.col("intensity") >= 0,
+    })
+
+
+def check_manifest(manifests: DataFrame) -> DataFrame:
+    """Rows (key, rule) of manifests (value, a JSON document): version, an origin on the globe, files and counts."""
+    parsed = manifests.select(F.from_json("value", "struct<manifest_version:int,dataset:string,origin:struct<lat:double,lon:double>,files:array<string>,counts:map<string,bigint>>").alias("m")).select("m.*")
+    counted = F.forall(F.map_values("counts"), lambda n: n >= 0)
+    return violations(parsed.withColumn("_key", F.coalesce("dataset", F.lit(""))), "_key", {
+        "manifest_version": F.col("manifest_version") == 1, "origin": F.col("origin.lat").between(-90, 90) & F.col("origin.lon").between(-180, 180), "files": F.size("files") >= 1, "counts": counted,
+    })
