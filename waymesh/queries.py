@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geometry
-from waymesh.operators import guidance, incremental, lanes, matching, routing, spatial, topology, traces
+from waymesh.operators import camera, compare, guidance, hd, incremental, lanes, matching, routing, spatial, topology, traces
 from waymesh.plans import build
 from waymesh.plans.views import SNAP_SQL, SQL, edges, nodes, samples
-from waymesh.sources import documents
+from waymesh.sources import documents, lanelets
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -235,9 +235,9 @@ def sd_nav_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines of two samples, as edges that cross and double each other."""
-    a = samples(spark, sf_dir).where("ord % 2 = 1")
-    b = samples(spark, sf_dir).where("ord % 2 = 0").select("trace_id", (F.col("ord") - 1).alias("ord"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    """All steps of the traces, as edges that cross and double each other; steps over the map's rim, where walks go on at the other side, are none."""
+    a = samples(spark, sf_dir)
+    b = a.select("trace_id", (F.col("ord") - 1).alias("ord"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     out = a.join(b, ["trace_id", "ord"]).where("abs(x - x2) < 100 and abs(y - y2) < 100").withColumn("edge_id", F.concat("trace_id", F.lit("-"), "ord"))
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return out.select((F.col("trace_id").cast("long") * 1_000_000 + F.col("ord")).alias("ord"), "edge_id", F.array(point("x", "y"), point("x2", "y2")).alias("polyline"))
@@ -245,7 +245,7 @@ def _strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STROKES = f"""{SQL},
 st as (select a.trace_id::bigint * 1000000 + a.ord as ord, a.trace_id || '-' || a.ord as edge_id, a.x as x0, a.y as y0, b.x as x1, b.y as y1
-       from samples a join samples b on b.trace_id = a.trace_id and b.ord = a.ord + 1 where a.ord % 2 = 1 and abs(a.x - b.x) < 100 and abs(a.y - b.y) < 100)
+       from samples a join samples b on b.trace_id = a.trace_id and b.ord = a.ord + 1 where abs(a.x - b.x) < 100 and abs(a.y - b.y) < 100)
 """
 
 
@@ -259,14 +259,14 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.segment_crossings(_strokes(spark, sf_dir), 50.0).select("edge_a", "edge_b", "x", "y"))
 
 
-@query(f"""with recursive {SQL.strip()}, p as (select trace_id::bigint * 1000000 + ord as key, x, y from samples where ord <= 4),
+@query(f"""with recursive {SQL.strip()}, p as (select trace_id::bigint * 1000000 + ord as key, x, y from samples),
 pr as (select a.key as a, b.key as b from p a join p b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64),
 re as (select key as a, key as b from p union select re.a, pr.b from re join pr on pr.a = re.b),
 cl as (select b as key, min(a) as rep from re group by b),
 ct as (select rep, avg(x) as node_x, avg(y) as node_y, row_number() over (order by rep) - 1 as k from cl join p using (key) group by rep)
 select key, 'n' || k as node, round(node_x, 6) as node_x, round(node_y, 6) as node_y from cl join ct using (rep)""")
 def endpoint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = samples(spark, sf_dir).where("ord <= 4").select((F.col("trace_id").cast("long") * 1_000_000 + F.col("ord")).alias("key"), "x", "y")
+    points = samples(spark, sf_dir).select((F.col("trace_id").cast("long") * 1_000_000 + F.col("ord")).alias("key"), "x", "y")
     return rounded(spatial.endpoint_clusters(points, 8.0).select("key", "node", "node_x", "node_y"))
 
 
@@ -275,7 +275,7 @@ def endpoint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
   from st a join st b on a.ord < b.ord)
 select edge_a, edge_b, round(apart, 6) as apart from pr where apart < 20""")
 def near_parallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(topology.near_parallel_pairs(_strokes(spark, sf_dir), 10.0))
+    return rounded(topology.near_parallel_pairs(_strokes(spark, sf_dir), 10.0).drop("turned"))
 
 
 @query(f"""with {_STROKES}, g as (select least(a, b) as a, greatest(a, b) as b, edge_id, ord, flip, x0, y0, x1, y1 from (
@@ -284,11 +284,12 @@ def near_parallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 f as (select *, first_value(flip) over w as f0, first_value(edge_id) over w as e0, count(*) over (partition by a, b) as n from g window w as (partition by a, b order by ord))
 select e0 as edge_id, n as merged_edge_count, k::int as k, round(avg(case when flip = f0 or a = b then x0 + (x1 - x0) * k / 7 else x1 + (x0 - x1) * k / 7 end), 4) as x,
        round(avg(case when flip = f0 or a = b then y0 + (y1 - y0) * k / 7 else y1 + (y0 - y1) * k / 7 end), 4) as y
-from f, (select unnest(range(0, 8)) as k) where n > 1 group by e0, n, k""")
+from f, (select unnest(range(0, 8)) as k) where n > 1 group by e0, n, k
+union all select e0, n, k::int, round(case k when 0 then x0 else x1 end, 4), round(case k when 0 then y0 else y1 end, 4) from f, (select unnest([0, 1]) as k) where n = 1""")
 def duplicate_edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda k: F.concat(F.lit("c"), F.floor(F.element_at("polyline", k)["x"] / 200).cast("long"), F.lit("_"), F.floor(F.element_at("polyline", k)["y"] / 200).cast("long"))
     strokes = _strokes(spark, sf_dir).withColumns({"start_node_id": node(1), "end_node_id": node(-1)})
-    merged = topology.merge_duplicate_edges(strokes, 8).where("merged_edge_count > 1")
+    merged = topology.merge_duplicate_edges(strokes, 8)
     return rounded(merged.select("edge_id", "merged_edge_count", F.posexplode("polyline").alias("k", "p")).select("edge_id", "merged_edge_count", "k", "p.x", "p.y"), 4)
 
 
@@ -297,9 +298,7 @@ def duplicate_edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORIGINS = ("n0_0", "n12_12", "n24_3")
 _BACK = "select edge_id, end_node_id as u, start_node_id as v, 'reverse' as direction from edges"
 _ADJ = f"""{SQL.strip()}, adj as (select edge_id, start_node_id as u, end_node_id as v, 'forward' as direction from edges union all {_BACK})"""
-_REACHED = f"""{_ADJ}, walkers as (
-  select unnest(['n0_0', 'n12_12', 'n24_3']) as origin, 0 as hops),
-rc as (select origin, n.id as node, abs(n.a - o.a) * 100.0::double + abs(n.b - o.b) * 100.0::double as cost from walkers join nodes o on o.id = origin, nodes n)
+_REACHED = f"""{_ADJ}, rc as (select o.id as origin, n.id as node, abs(n.a - o.a) * 100.0::double + abs(n.b - o.b) * 100.0::double as cost from nodes o, nodes n)
 """
 
 
@@ -307,29 +306,58 @@ def _origins(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(o,) for o in ORIGINS], "origin string")
 
 
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).select(F.col("id").alias("origin"))
+
+
 def _start(origins: DataFrame) -> DataFrame:
     return origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
 
 
 @query(f"with {_REACHED} select origin, node, cost from rc where cost <= 550")
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = routing.cheapest(routing.adjacency(edges(spark, sf_dir)), _start(_origins(spark)), 550.0)
+    found = routing.cheapest(routing.adjacency(edges(spark, sf_dir)), _start(_every(spark, sf_dir)), 550.0)
     return found.select("origin", F.col("state").alias("node"), "cost")
 
 
 @query(f"with {_REACHED} select origin, edge_id, direction, cost as start_cost, least(1, (550 - cost) / 100)::double as fraction from rc join adj on adj.u = rc.node where cost < 550")
 def reachable_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     adj = routing.adjacency(edges(spark, sf_dir))
-    return routing.reachable_spans(adj, routing.cheapest(adj, _start(_origins(spark)), 550.0), 550.0)
+    return routing.reachable_spans(adj, routing.cheapest(adj, _start(_every(spark, sf_dir)), 550.0), 550.0)
+
+
+# of the cheapest routes on the grid, the one whose edges' names are smaller, read from the end
+_PATHS = f"""{_ADJ},
+og as (select id as origin, a as oa, b as ob from nodes where id in ('n0_0', 'n12_12', 'n24_3')),
+lk as (
+  select origin, a, b, case when h is null or v < h then v else h end as step, case when h is null or v < h then a else a - sign(a - oa)::bigint end as pa, case when h is null or v < h then b - sign(b - ob)::bigint else b end as pb
+  from (select origin, oa, ob, a, b,
+               case when a > oa then 'e' || (2 * (25 * b + a - 1)) || '/forward' when a < oa then 'e' || (2 * (25 * b + a)) || '/reverse' end as h,
+               case when b > ob then 'e' || (2 * (25 * (b - 1) + a) + 1) || '/forward' when b < ob then 'e' || (2 * (25 * b + a) + 1) || '/reverse' end as v
+        from og, nodes) where h is not null or v is not null),
+wk as (
+  select origin, a as ta, b as tb, a, b, 0 as hops, []::varchar[] as steps from og, nodes
+  union all select wk.origin, ta, tb, pa, pb, hops + 1, list_prepend(step, steps) from wk join lk on lk.origin = wk.origin and lk.a = wk.a and lk.b = wk.b),
+pth as (select origin, 'n' || ta || '_' || tb as to_node, max(hops) as hops, arg_max(steps, hops) as steps from wk group by 1, 2)
+"""
 
 
-@query(f"""with {_REACHED}, far as (select 'n' || a || '_' || b as to_node from nodes where (a * 7 + b) % 50 = 0)
-select origin as from_node, to_node, cost, (cost / 100)::bigint as hops from rc join far on to_node = node""")
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _origins(spark).select(F.col("origin").alias("from_node")).join(nodes(spark, sf_dir).select(F.col("id").alias("to_node")), F.lit(True))
+    return routing.paths(routing.adjacency(edges(spark, sf_dir)), pairs)
+
+
+@query(f"""with recursive {_PATHS} select origin as from_node, to_node, hops * 100.0::double as cost, hops::bigint as hops, array_to_string(steps, '>') as route from pth""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    far = nodes(spark, sf_dir).where("(cast(x / 100 as bigint) * 7 + cast(y / 100 as bigint)) % 50 = 0").select(F.col("id").alias("to_node"))
-    pairs = far.withColumn("from_node", F.explode(F.array(*map(F.lit, ORIGINS))))
-    found = routing.paths(routing.adjacency(edges(spark, sf_dir)), pairs)
-    return found.select("from_node", "to_node", "cost", F.size("edges").cast("long").alias("hops"))
+    return _routes(spark, sf_dir).select("from_node", "to_node", "cost", F.size("edges").cast("long").alias("hops"), F.array_join("edges", ">").alias("route"))
+
+
+def _one_way_rules(e: DataFrame) -> DataFrame:
+    """Bans of turning round and of going on against an edge after one along it."""
+    adj = routing.adjacency(e)
+    a, b = adj.alias("a"), adj.alias("b")
+    turn = a.join(b, F.col("a.v") == F.col("b.u")).where("a.edge_id = b.edge_id or (a.direction = 'forward' and b.direction = 'reverse')")
+    return turn.select(F.col("a.v").alias("junction_node_id"), F.col("a.edge_id").alias("from_edge_id"), F.col("a.direction").alias("from_direction"), F.col("b.edge_id").alias("to_edge_id"), F.col("b.direction").alias("to_direction"), F.lit("no_turn").alias("restriction"))
 
 
 _FACTS = "fx as (select edge_id, case when ord % 3 = 0 then 2 else 0 end as trace_count, (ord % 5 - 2)::double as slope, case when ord % 7 = 0 then 0.2::double when ord % 7 < 4 then 0.9::double end as conf from edges)"
@@ -348,23 +376,19 @@ def weighted_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
   select a.edge_id || '/' || a.direction as u, b.edge_id || '/' || b.direction as v from adj a join adj b on a.v = b.u
   where not (a.edge_id = b.edge_id) and not (a.direction = 'forward' and b.direction = 'reverse')),
 wk as (
-  select o as origin, edge_id || '/' || direction as state, 1 as hops from adj, (select unnest(['n0_0', 'n12_12', 'n24_3']) as o) where u = o
+  select u as origin, edge_id || '/' || direction as state, 1 as hops from adj
   union select origin, mv.v, hops + 1 from wk join mv on mv.u = wk.state where hops < 5)
 select origin, node, min(cost) as cost from (
-  select origin, adj.v as node, hops * 100.0::double as cost from wk join adj on adj.edge_id || '/' || adj.direction = state union all select o, o, 0 from (select unnest(['n0_0', 'n12_12', 'n24_3']) as o)) group by 1, 2""")
+  select origin, adj.v as node, hops * 100.0::double as cost from wk join adj on adj.edge_id || '/' || adj.direction = state union all select id, id, 0 from nodes) group by 1, 2""")
 def restricted_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    adj = routing.adjacency(e)
-    a, b = adj.alias("a"), adj.alias("b")
-    turn = a.join(b, F.col("a.v") == F.col("b.u")).where("a.edge_id = b.edge_id or (a.direction = 'forward' and b.direction = 'reverse')")
-    rules = turn.select(F.col("a.v").alias("junction_node_id"), F.col("a.edge_id").alias("from_edge_id"), F.col("a.direction").alias("from_direction"), F.col("b.edge_id").alias("to_edge_id"), F.col("b.direction").alias("to_direction"), F.lit("no_turn").alias("restriction"))
-    return routing.restricted_costs(e, rules, _origins(spark), 500.0)
+    return routing.restricted_costs(e, _one_way_rules(e), _every(spark, sf_dir), 500.0)
 
 
 @query()
 def lane_level_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    return routing.lane_costs(e, e.select("edge_id", (1 + F.col("ord") % 3).cast("int").alias("lane_count")), _origins(spark), 400.0)
+    return routing.lane_costs(e, e.select("edge_id", (1 + F.col("ord") % 3).cast("int").alias("lane_count")), _every(spark, sf_dir), 400.0)
 
 
 @query(f"""with r as (select o_orderkey % 500 as k, o_orderkey as pos, (o_orderkey % 3)::int as src, o_orderpriority as restriction from orders),
@@ -416,11 +440,11 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""with {_VALUES}, g as (select *, coalesce((value - lag(value) over w > 0.8)::int, 0) as wide from vs where kind = 0 window w as (partition by edge_id order by value)),
+@query(f"""with {_VALUES}, g as (select *, coalesce((value - lag(value) over w > 0.8)::int, 0) as wide from vs window w as (partition by edge_id order by value)),
 c as (select edge_id, value, sum(wide) over (partition by edge_id order by value rows unbounded preceding) as cluster from g)
 select edge_id, cluster::bigint as cluster, round(avg(value), 6) as mean, count(*) as n from c group by 1, 2""")
 def lane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lanes.clusters_1d(_values(spark, sf_dir).where("kind = 0"), "edge_id", "offset", 0.8)
+    found = lanes.clusters_1d(_values(spark, sf_dir), "edge_id", "offset", 0.8)
     return rounded(found.groupBy("edge_id", "cluster").agg(F.avg("offset").alias("mean"), F.count("*").alias("n")))
 
 
@@ -439,12 +463,12 @@ def lane_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.lane_counts(e, v.where("kind = 0"), tags, v.where("kind = 1"), 0.8)
 
 
-@query(f"""with {SQL}, {_VALUES}, es as (select edge_id, kind, avg(abs(value) + 0.5) as w, count(*) as b from vs where edge_id < 'e5' group by 1, 2),
+@query(f"""with {SQL}, {_VALUES}, es as (select edge_id, kind, avg(abs(value) + 0.5) as w, count(*) as b from vs group by 1, 2),
 pe as (select edge_id, avg(w) as w, sum(b) as b, count(*) as n from es group by 1)
 select e.edge_id, round(coalesce(w, 1.75), 6) as half_width, round(least(coalesce(n, 0), 3) / 3.0::double * (1 - exp(-coalesce(b, 0) / 10.0::double)), 4) as confidence, coalesce(n, 0) as sources
 from edges e left join pe on pe.edge_id = e.edge_id""")
 def hd_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    estimates = _values(spark, sf_dir).where("edge_id < 'e5'").select("edge_id", F.col("kind").alias("source"), (F.abs("offset") + 0.5).alias("half_width"), F.lit(1).alias("bins"))
+    estimates = _values(spark, sf_dir).select("edge_id", F.col("kind").alias("source"), (F.abs("offset") + 0.5).alias("half_width"), F.lit(1).alias("bins"))
     return rounded(lanes.refine(edges(spark, sf_dir), estimates))
 
 
@@ -465,14 +489,14 @@ def camera_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("l_orderkey", "l_linenumber", gx.alias("gx"), gy.alias("gy")).where("gx is not null"))
 
 
-@query(f"""with {SQL}, s as (select trace_id, ord, x, y, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from samples where ord <= 20 window w as (partition by trace_id order by ord)),
+@query(f"""with {SQL}, s as (select trace_id, ord, x, y, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from samples window w as (partition by trace_id order by ord)),
 a as (select *, sum(coalesce(step, 0)) over (partition by trace_id order by ord rows unbounded preceding) as s, sum(coalesce(step, 0)) over (partition by trace_id) as total,
              first_value(x) over v as fx, first_value(y) over v as fy, last_value(x) over v as lx, last_value(y) over v as ly
       from s window v as (partition by trace_id order by ord rows between unbounded preceding and unbounded following)),
 w as (select *, exp(-0.5::double * ((s - total * k / 9) / case when total > 0 then total / 10 else 1 end) ** 2) as w from a, (select unnest(range(0, 10)) as k))
 select trace_id, k::int as k, round(case k when 0 then any_value(fx) when 9 then any_value(lx) else sum(w * x) / sum(w) end, 4) as x, round(case k when 0 then any_value(fy) when 9 then any_value(ly) else sum(w * y) / sum(w) end, 4) as y from w group by trace_id, k""")
 def centerline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lanes.centerlines(samples(spark, sf_dir).where("ord <= 20"), ["trace_id"], 10), 4)
+    return rounded(lanes.centerlines(samples(spark, sf_dir), ["trace_id"], 10), 4)
 
 
 @query()
@@ -507,12 +531,15 @@ def incremental_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.absorb(lines, edges(spark, sf_dir), 12.0)
 
 
-@query(f"""with {_REACHED} select node as to_node, k::int as k, k * 100.0::double as start_m, 100.0::double as length_m, case when k = 0 then 'depart' when k = 3 then 'arrive' else 'straight' end as maneuver
-  from rc, (select unnest(range(0, 4)) as k) where origin = 'n0_0' and node = 'n4_0'""")
+@query(f"""with recursive {_PATHS},
+st as (select origin, to_node, hops, generate_subscripts(steps, 1) - 1 as k, unnest(steps) as step from pth where hops > 0),
+hd as (select *, split_part(step, '/', 1) as edge_id, (case when substr(split_part(step, '/', 1), 2)::bigint % 2 = 0 then 0 else 90 end + case when step like '%reverse' then 180 else 0 end) as heading from st),
+ch as (select *, ((heading - lag(heading) over (partition by origin, to_node order by k) + 540) % 360) - 180 as change from hd)
+select origin as from_node, to_node, k::int as k, edge_id, k * 100.0::double as start_m, 100.0::double as length_m,
+       case when k = 0 then 'depart' when k = hops - 1 then 'arrive' when change = 90 then 'left' when change = -90 then 'right' else 'straight' end as maneuver from ch""")
 def guidance_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("n0_0", "n4_0")], "from_node string, to_node string")
-    e = edges(spark, sf_dir)
-    return guidance.guidance(routing.paths(routing.adjacency(e), pairs), e).select("to_node", "k", "start_m", "length_m", "maneuver")
+    found = guidance.guidance(_routes(spark, sf_dir), edges(spark, sf_dir))
+    return found.select("from_node", "to_node", "k", "edge_id", "start_m", "length_m", "maneuver")
 
 
 @query()
@@ -530,12 +557,204 @@ def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.map_features(nodes(spark, sf_dir), edges(spark, sf_dir), samples(spark, sf_dir), 52.5, 13.4, "grid")
 
 
-@query(f"with {SQL} select 4::bigint as degree, 'crossroads' as junction_type, count(*) as n from nodes union all select 1, null, 4 * count(distinct a) from nodes")
+@query(f"""with {SQL}, rim as (select distinct a * 100.0::double as c from nodes)
+select (100 * a)::double as x, (100 * b)::double as y, 4::bigint as degree, 'crossroads' as junction_type from nodes
+union all select unnest([c, c, -20, 2420]), unnest([-20, 2420, c, c]), 1, null from rim""")
 def grid_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).where("y = 0").select((F.col("x")).alias("c"))
+    n = nodes(spark, sf_dir).select(F.col("x").alias("c")).distinct()
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     low, high = F.lit(-20.0), F.lit(2420.0)
     rows = n.select(F.concat(F.lit("h"), "c").alias("line"), F.array(point(low, F.col("c")), point(high, F.col("c"))).alias("polyline"))
     columns = n.select(F.concat(F.lit("v"), "c").alias("line"), F.array(point(F.col("c"), low), point(F.col("c"), high)).alias("polyline"))
     built = build.assemble(rows.unionByName(columns))
-    return built["nodes"].groupBy("degree", "junction_type").agg(F.count("*").alias("n"))
+    return rounded(built["nodes"].select("x", "y", "degree", "junction_type"))
+
+
+# lane-level geometry
+
+_TRACE_LINES = f"""{SQL},
+vt as (select trace_id, ord, x, y, lag(x) over w as px, lag(y) over w as py, lead(x) over w as nx, lead(y) over w as ny from samples window w as (partition by trace_id order by ord)),
+vl as (select *, sqrt((x - px) ** 2 + (y - py) ** 2) as lu, sqrt((nx - x) ** 2 + (ny - y) ** 2) as lv from vt)
+"""
+
+
+def _trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    return samples(spark, sf_dir).groupBy("trace_id").agg(order.alias("polyline"))
+
+
+@query(f"""with {_TRACE_LINES},
+nm as (select *, case when lu < 1e-12 then 0 else -(y - py) / lu end as ux, case when lu < 1e-12 then 0 else (x - px) / lu end as uy, case when lv < 1e-12 then 0 else -(ny - y) / lv end as vx, case when lv < 1e-12 then 0 else (nx - x) / lv end as vy from vl),
+en as (select trace_id, ord, x, y, coalesce(ux, 0) as ux, coalesce(uy, 0) as uy, coalesce(vx, 0) as vx, coalesce(vy, 0) as vy, sqrt((coalesce(ux, 0) + coalesce(vx, 0)) ** 2 + (coalesce(uy, 0) + coalesce(vy, 0)) ** 2) as sz from nm),
+bs as (select *, case when sz < 1e-12 and (ux <> 0 or uy <> 0) and (vx <> 0 or vy <> 0) then ux else (ux + vx) / case when sz < 1e-12 then 1 else sz end end as mx,
+              case when sz < 1e-12 and (ux <> 0 or uy <> 0) and (vx <> 0 or vy <> 0) then uy else (uy + vy) / case when sz < 1e-12 then 1 else sz end end as my from en),
+al as (select *, case when ux = 0 and uy = 0 and vx = 0 and vy = 0 then 1 when ux = 0 and uy = 0 then mx * vx + my * vy else mx * ux + my * uy end as al from bs),
+pt as (select trace_id, al < 0.25::double as sharp, unnest([1.75, -1.75]::double[]) as o, x, y, ux, uy, vx, vy, mx, my, al, count(*) over (partition by trace_id) as n from al)
+select trace_id, case when o > 0 then 'left' else 'right' end as side, sum(case when sharp then 2 else 1 end)::bigint as vertices,
+       round(sum(case when sharp then 2 * x + o * (ux + vx) else x + o / al * mx end) / sum(case when sharp then 2 else 1 end), 4) as mean_x, round(sum(case when sharp then 2 * y + o * (uy + vy) else y + o / al * my end) / sum(case when sharp then 2 else 1 end), 4) as mean_y
+from pt where n >= 2 group by 1, 2""")
+def lane_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = hd.boundaries("polyline", F.lit(3.5))
+    side = lambda name, line: F.struct(F.lit(name).alias("side"), line.alias("line"))
+    sides = _trace_lines(spark, sf_dir).select("trace_id", F.explode(F.array(side("left", left), side("right", right))).alias("s"))
+    points = sides.select("trace_id", "s.side", F.explode("s.line").alias("p"))
+    return rounded(points.groupBy("trace_id", "side").agg(F.count("*").alias("vertices"), F.avg("p.x").alias("mean_x"), F.avg("p.y").alias("mean_y")), 4)
+
+
+@query(f"""with {_TRACE_LINES},
+an as (select trace_id, case when lu >= 1e-9 and lv >= 1e-9 then acos(greatest(-1, least(1, ((x - px) * (nx - x) + (y - py) * (ny - y)) / (lu * lv)))) end as g from vl)
+select trace_id, round(coalesce(avg(g), 0), 5) as curvature from an group by 1""")
+def trace_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_trace_lines(spark, sf_dir).select("trace_id", hd.mean_curvature("polyline").alias("curvature")), 5)
+
+
+@query(f"""with {SNAP_SQL} select e.edge_id, round(coalesce(sqrt(avg(d * d)), 0), 6) as rms, count(d) as n from edges e left join snapped s on s.edge_id = e.edge_id group by 1""")
+def fit_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    matched = spatial.snap(samples(spark, sf_dir), e).where("edge_id is not null").select("edge_id", "x", "y")
+    return rounded(hd.rms_residual(matched, e, "edge_id"))
+
+
+@query(f"""with {SQL}, {_VALUES}, sd as (select edge_id, case when value > 0 then 'left' when value < 0 then 'right' else 'center' end as side, value from vs where kind = 0),
+m as (select edge_id, avg(value) filter (where side = 'left') as l, avg(value) filter (where side = 'right') as r, count(*) as b from sd group by 1 having count(*) filter (where side <> 'center') > 0),
+c as (select edge_id, avg(abs(value)) as w, count(*) as b from vs where kind = 1 group by 1),
+t as (select edge_id, count(*) as b from vs where kind = 2 group by 1 having count(*) >= 3),
+al as (select edge_id, 'lane_markings' as source, case when l is not null and r is not null then (abs(l) + abs(r)) / 2 else abs(coalesce(l, r)) end as w, case when l is not null and r is not null then (l + r) / 2 else 0 end as o, b from m
+  union all select edge_id, 'camera', w, null, b from c union all select edge_id, 'traces', null, null, b from t),
+pe as (select edge_id, avg(w) as w, avg(o) as o, string_agg(source, ',' order by source) as sources, count(*) as n, sum(b) as b from al group by 1)
+select e.edge_id, 1.75::double as base_half_width, round(coalesce(w, 1.75), 6) as half_width, round(coalesce(o, 0), 6) as centerline_offset, coalesce(sources, '') as sources,
+       coalesce(round(least(n, 3) / 3.0::double * (1 - exp(-b / 10.0::double)), 4), 0) as confidence from edges e left join pe on pe.edge_id = e.edge_id""")
+def hd_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = _values(spark, sf_dir), edges(spark, sf_dir)
+    side = F.when(F.col("offset") > 0, "left").when(F.col("offset") < 0, "right").otherwise("center")
+    markings_ = hd.marking_widths(v.where("kind = 0").select("edge_id", side.alias("side"), "offset", F.lit(1).alias("points")))
+    cameras = hd.camera_widths(v.where("kind = 1").select("edge_id", F.lit("lane").alias("kind"), "offset"))
+    seen = hd.trace_support(v.where("kind = 2").groupBy("edge_id").agg(F.count("*").alias("matched_samples")))
+    found = hd.refinements(e, markings_.unionByName(cameras).unionByName(seen))
+    return rounded(found.withColumn("sources", F.array_join("sources", ",")))
+
+
+@query(f"""with {SQL}, {_VALUES}, {_cluster_sql(0, "m")}, {_cluster_sql(1, "o")},
+ct as (select e.*, greatest(1, least(6, case when m is not null then greatest(1, m - 1) when e.ord % 4 = 0 then 2 when o is not null then o else 1 end)) as n,
+              case when m is null and e.ord % 4 = 0 then 3.5::double else 1.75::double end as half from edges e left join m on m.edge_id = e.edge_id left join o on o.edge_id = e.edge_id),
+ln as (select edge_id, x0, y0, x1, y1, unnest(range(0, n::bigint)) as lane, n, half from ct),
+og as (select *, case when n = 1 then 0 else half - half / n - lane * 2 * half / n end as off from ln)
+select edge_id, lane::int as lane_index, round(off, 6) as offset_m, round(x0 - off * (y1 - y0) / 100, 6) as x0, round(y0 + off * (x1 - x0) / 100, 6) as y0, round(x1 - off * (y1 - y0) / 100, 6) as x1, round(y1 + off * (x1 - x0) / 100, 6) as y1 from og""")
+def lane_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = _values(spark, sf_dir), edges(spark, sf_dir)
+    found = hd.lane_inferences(e, v.where("kind = 0"), e.where("ord % 4 = 0").select("edge_id", F.lit(2).alias("osm_lanes")), v.where("kind = 1"), gap=0.8)
+    rows = found.select("edge_id", F.explode("lanes").alias("l")).select("edge_id", "l.*")
+    at = lambda k, c: F.element_at("centerline", k)[c].alias(f"{c}{0 if k == 1 else 1}")
+    return rounded(rows.select("edge_id", "lane_index", "offset_m", at(1, "x"), at(1, "y"), at(2, "x"), at(2, "y")))
+
+
+_CAMERA = camera.Calibration(500.0, 500.0, 320.0, 240.0, mount=camera.rotation(0.0, 0.1, 0.0), shift=(0.0, 0.0, 1.5))
+
+
+@query(f"""with {SQL}, p as (select distinct concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos, ((l_partkey % 640) - 320)::double / 500 as r, ((l_suppkey % 48) * 10 - 240)::double / 500 as d, (l_orderkey % 628)::double / 100 as yaw,
+  ((l_orderkey * 7919 + l_linenumber * 131) % 24000)::double / 10 as x, ((l_partkey * 6007 + l_linenumber * 17) % 24000)::double / 10 as y from lineitem),
+q as (select *, cos(0.1::double) - d * sin(0.1::double) as ahead, -(sin(0.1::double) + d * cos(0.1::double)) as up from p),
+g as (select pos, k, x + k * (ahead * cos(yaw) + r * sin(yaw)) as gx, y + k * (ahead * sin(yaw) - r * cos(yaw)) as gy from (select *, case when abs(up) >= 1e-9 and -1.5::double / up > 0 then -1.5::double / up end as k from q)),
+h as (select pos, e.edge_id, e.ord, (gx - x0 - u * (x1 - x0)) ** 2 + (gy - y0 - u * (y1 - y0)) ** 2 as d2
+      from (select g.*, e.*, greatest(0, least(1, ((gx - x0) * (x1 - x0) + (gy - y0) * (y1 - y0)) / 10000)) as u from g join edges e
+            on gx between least(x0, x1) - 5 and greatest(x0, x1) + 5 and gy between least(y0, y1) - 5 and greatest(y0, y1) + 5) e),
+n as (select pos, arg_min(edge_id, (d2, ord)) as edge_id from h where d2 < 25 group by 1)
+select g.pos, n.edge_id, case when k is null then 'above_horizon' when n.edge_id is null then 'no_edge' else 'on_edge' end as fate from g left join n on n.pos = g.pos""")
+def camera_on_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    zero = F.lit(0.0)
+    seen = rows.select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"), (((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 131) % 24000) / 10.0).cast("double").alias("x"),
+        (((F.col("l_partkey") * 6007 + F.col("l_linenumber") * 17) % 24000) / 10.0).cast("double").alias("y"), zero.alias("z"), zero.alias("roll"), zero.alias("pitch"), ((F.col("l_orderkey") % 628) / 100.0).cast("double").alias("yaw"),
+        F.lit("sign").alias("kind"), (F.col("l_partkey") % 640).cast("double").alias("u"), ((F.col("l_suppkey") % 48) * 10).cast("double").alias("v"),
+    ).dropDuplicates(["pos"])
+    return camera.observations_on_edges(seen, _CAMERA, edges(spark, sf_dir)).select("pos", "edge_id", "fate")
+
+
+@query("""with r as (select o_orderkey as pos, case when o_custkey % 3 = 0 then 'turn_restriction' else 'sign' end as kind, case when o_orderkey % 5 <> 0 then 'n' || o_custkey end as junction, case when o_orderkey % 4 = 0 then 'own' || o_orderkey end as own from orders),
+k as (select *, row_number() over (order by pos) - 1 as n from r where kind = 'turn_restriction' and junction is not null)
+select coalesce(own, 'tr_camera_' || lpad(n::varchar, greatest(4, length(n::varchar))::int, '0')) as id, junction as junction_node_id, 'forward' as from_direction, 'camera_detection' as source from k""")
+def camera_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    item = F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("own"), "o_orderkey")).alias("id"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("n"), "o_custkey")).alias("junction_node_id"), F.lit("e1").alias("from_edge_id")))
+    seen = rows.select(F.col("o_orderkey").alias("pos"), F.when(F.col("o_custkey") % 3 == 0, "turn_restriction").otherwise("sign").alias("kind"), item.alias("item"))
+    return camera.restrictions_seen(seen).select("id", "junction_node_id", "from_direction", "source")
+
+
+# maps and comparisons
+
+@query(f"""with {_STROKES}, en as (select edge_id || '/' || k as key, case k when 0 then x0 else x1 end as x, case k when 0 then y0 else y1 end as y from st, (select unnest([0, 1]) as k)),
+h as (select key, e.edge_id, x, y, x0, y0, x1, y1, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / 10000)) as u from en join edges e
+  on x between least(x0, x1) - 8 and greatest(x0, x1) + 8 and y between least(y0, y1) - 8 and greatest(y0, y1) + 8)
+select key, edge_id, round(100 * u, 6) as arc from h where (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 <= 64 and 100 * u > 1 and 100 - 100 * u > 1""")
+def t_junction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = _strokes(spark, sf_dir).select("edge_id", F.posexplode("polyline").alias("k", "p")).select(F.concat("edge_id", F.lit("/"), "k").alias("key"), "p.x", "p.y")
+    return rounded(build.t_junctions(ends, edges(spark, sf_dir), 8.0).select("key", "edge_id", "arc"))
+
+
+@query(f"""with {SQL}, ln as (select trace_id || '-' || ord as line_id, x, y, lead(x) over w as zx, lead(y) over w as zy from samples window w as (partition by trace_id order by ord)),
+vt as (select line_id, unnest([1, 2]) as k, unnest([x, zx]) as x, unnest([y, zy]) as y from ln where zx is not null),
+ht as (select line_id, k, e.ord, e.edge_id from vt v join edges e on v.x between least(x0, x1) - 12 and greatest(x0, x1) + 12 and v.y between least(y0, y1) - 12 and greatest(y0, y1) + 12
+  where (v.x - x0 - greatest(0, least(1, ((v.x - x0) * (x1 - x0) + (v.y - y0) * (y1 - y0)) / 10000)) * (x1 - x0)) ** 2
+      + (v.y - y0 - greatest(0, least(1, ((v.x - x0) * (x1 - x0) + (v.y - y0) * (y1 - y0)) / 10000)) * (y1 - y0)) ** 2 <= 144),
+fu as (select line_id, ord, edge_id from ht group by 1, 2, 3 having count(distinct k) = 2),
+fs as (select line_id, arg_min(edge_id, ord) as edge_id from fu group by 1)
+select e.edge_id, count(f.line_id) as trace_observation_count from edges e left join fs f on f.edge_id = e.edge_id group by 1""")
+def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return incremental.update_counts(e, incremental_absorb(spark, sf_dir)).select("edge_id", "trace_observation_count")
+
+
+@query(f"""with {_DEGREES}, n as (select count(*) as e from edges), j as (select sum(degree * (degree - 1))::bigint as c from deg)
+select 'node' as kind, (select count(*) from nodes) + e * 6 as n from n union all select 'way', e * 3 from n union all select 'lanelet/road', e from n union all select 'regulatory_element/lane_connection', c from j""")
+def lanelet_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = hd.enrich(nodes(spark, sf_dir), edges(spark, sf_dir), 3.5)
+    value = F.col("value")
+    tag = lambda k: F.regexp_extract(value, f'k="{k}" v="([^"]*)"', 1)
+    kind = F.when(value.startswith("<node"), "node").when(value.startswith("<way"), "way").when(value.startswith("<relation"), F.concat_ws("/", tag("type"), tag("subtype")))
+    return lanelets.lanelet_map(n, e, 52.5, 13.4).select(kind.alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {SQL}, p as (select s_suppkey as pos, (s_suppkey * 3701 % 24000)::double / 10 as x, (s_suppkey * 5309 % 24000)::double / 10 as y,
+  case s_suppkey % 4 when 0 then 'traffic_light' when 1 then 'stop_sign' when 2 then 'yield' end as kind from supplier),
+h as (select pos, kind, e.edge_id, e.ord, (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 as d2
+      from (select p.*, e.*, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / 10000)) as u from p join edges e on kind is not null
+            and x between least(x0, x1) - 30 and greatest(x0, x1) + 30 and y between least(y0, y1) - 30 and greatest(y0, y1) + 30) e),
+b as (select pos, kind, arg_min(edge_id, (d2, ord)) as edge_id, min(d2) as d2 from h where d2 < 900 group by 1, 2)
+select 2 * pos as pos, edge_id, kind, round(sqrt(d2), 6) as distance_m from b union all select 2 * pos + 1, edge_id, 'stop_line', round(sqrt(d2), 6) from b where kind = 'stop_sign'""")
+def mapped_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    value = F.element_at(F.array(F.lit("traffic_signals"), F.lit("stop"), F.lit("give_way"), F.lit("bus_stop")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    places = rows.select(F.col("s_suppkey").alias("pos"), ((F.col("s_suppkey") * 3701 % 24000) / 10.0).cast("double").alias("x"), ((F.col("s_suppkey") * 5309 % 24000) / 10.0).cast("double").alias("y"), F.create_map(F.lit("highway"), value).alias("tags"))
+    return rounded(compare.mapped_rules(places, edges(spark, sf_dir), 30.0).select("pos", "edge_id", "kind", "distance_m"))
+
+
+@query(f"""with {SQL} select 'node' as kind, count(*) filter (where ord % 7 <> 0) as common, count(*) filter (where ord % 7 = 0) as missing, 0::bigint as added, max(case when ord % 7 <> 0 then (ord % 11)::double / 8 end) as max_m from nodes
+  union all select 'vertex', 2 * count(*), 0, 0, 0.0 from edges""")
+def graph_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    moved = n.where("ord % 7 <> 0").withColumn("y", F.col("y") + (F.col("ord") % 11) / 8.0)
+    return compare.drift({"nodes": n, "edges": e}, {"nodes": moved, "edges": e})
+
+
+@query(f"""with {SQL} select count(*) as edges, count(*) filter (where ord % 5 <> 0) as matched, round(avg(abs(ord % 3 - ord % 2)) filter (where ord % 5 <> 0), 6) as mae,
+  round(avg((ord % 3 = ord % 2)::int) filter (where ord % 5 <> 0), 6) as exact from edges""")
+def lane_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    aside = F.transform("polyline", lambda p: F.struct((p["x"] + 3.0).alias("x"), (p["y"] + 3.0).alias("y")))
+    ways = e.select(F.col("ord").alias("way_id"), F.when(F.col("ord") % 5 != 0, F.col("ord") % 2 + 1).alias("lanes"), aside.alias("polyline"))
+    return rounded(compare.lane_accuracy(e.withColumn("lane_count", F.col("ord") % 3 + 1), ways))
+
+
+@query(f"""with recursive {_ADJ}, mv as (
+  select a.edge_id || '/' || a.direction as u, b.edge_id || '/' || b.direction as v from adj a join adj b on a.v = b.u where a.edge_id <> b.edge_id and not (a.direction = 'forward' and b.direction = 'reverse')),
+wk as (
+  select u as origin, edge_id || '/' || direction as state, 1 as hops from adj where u in ('n0_0', 'n12_12', 'n24_3')
+  union select origin, mv.v, hops + 1 from wk join mv on mv.u = wk.state where hops < 60)
+select origin as from_node, node as to_node, hops * 100.0::double as cost, hops::bigint as hops from (
+  select origin, adj.v as node, min(hops) as hops from wk join adj on adj.edge_id || '/' || adj.direction = state where adj.v <> origin group by 1, 2 union all select id, id, 0 from nodes where id in ('n0_0', 'n12_12', 'n24_3'))""")
+def restricted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    pairs = _origins(spark).select(F.col("origin").alias("from_node")).join(nodes(spark, sf_dir).select(F.col("id").alias("to_node")), F.lit(True))
+    found = routing.restricted_paths(e, _one_way_rules(e), pairs)
+    return found.select("from_node", "to_node", "cost", F.size("edges").cast("long").alias("hops"))
