@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.operators.routing import adjacency, cheapest
@@ -19,9 +19,10 @@ def transitions(found: DataFrame, edges: DataFrame, limit: float = 200.0) -> Dat
     the limit are left out.
     """
     adj = adjacency(edges)
-    nodes = adj.select(F.col("u").alias("origin")).distinct().select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
-    between = cheapest(adj, nodes, limit)
     ends = edges.select("edge_id", F.explode(F.array(F.struct(F.col("start_node_id").alias("node"), F.lit(False).alias("far")), F.struct(F.col("end_node_id").alias("node"), F.lit(True).alias("far")))).alias("e")).select("edge_id", "e.*")
+    # only ends of edges that are candidates somewhere are searched from
+    nodes = ends.join(found.select("edge_id").distinct(), "edge_id", "left_semi").select(F.col("node").alias("origin")).distinct()
+    between = cheapest(adj, nodes.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")), limit)
     tail = found.join(ends, "edge_id").withColumn("way", F.when(F.col("far"), F.col("edge_len") - F.col("arc")).otherwise(F.col("arc")))
     a = tail.select("trace_id", F.col("ord"), F.col("edge_id").alias("from_edge"), F.col("node").alias("origin"), F.col("way").alias("out"))
     b = tail.select("trace_id", (F.col("ord") - 1).alias("ord"), F.col("edge_id").alias("to_edge"), F.col("node").alias("state"), F.col("way").alias("into"))
@@ -40,39 +41,42 @@ def hmm_match(samples: DataFrame, edges: DataFrame, radius: float = 20.0, sigma:
     a step costs the difference between its route and the straight line. The chain
     starts anew after a sample without candidates or a step without any way. A trace
     whose first sample has no candidate has none at all, and one whose last sample
-    has none keeps each sample's nearest edge. Samples without candidates have null.
+    has none keeps each sample's nearest edge. Samples without candidates have null, and
+    what lies between two of them is matched by itself.
     """
     found = candidates(samples, edges, radius)
     steps = transitions(found, edges, limit).groupBy("trace_id", "ord").agg(F.collect_list(F.struct("from_edge", "to_edge", "route")).alias("moves"))
     options = found.groupBy("trace_id", "ord").agg(F.array_sort(F.collect_list(F.struct("rank", "edge_id", "d"))).alias("options"))
-    rows = samples.select("trace_id", "ord", "x", "y").join(options, ["trace_id", "ord"], "left").join(steps, ["trace_id", "ord"], "left")
+    rows = samples.select("trace_id", "ord", "x", "y").join(options, ["trace_id", "ord"], "left")
+    walk, whole = Window.partitionBy("trace_id").orderBy("ord"), Window.partitionBy("trace_id")
+    has = F.col("options").isNotNull()
+    rows = rows.withColumn("part", F.sum((~has).cast("int")).over(walk)).withColumns({"first": F.min_by(has, "ord").over(whole), "last": F.max_by(has, "ord").over(whole), "parts": F.max("part").over(whole)})
+    chained = rows.where(has & F.col("first") & F.col("last")).join(steps, ["trace_id", "ord"], "left")
+    plain = rows.where(~(has & F.col("first") & F.col("last"))).select("trace_id", "ord", F.when(F.col("first"), F.col("options")[0]["edge_id"]).alias("edge_id"))
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
+        """The edges of a stretch of samples with candidates; only a trace's last one ends at its cheapest edge."""
         part = part.sort_values("ord").reset_index(drop=True)
-        named = [[] if o is None else [(c["edge_id"], 0.5 * (c["d"] / sigma) ** 2) for c in o] for o in part["options"]]
+        named = [[(c["edge_id"], 0.5 * (c["d"] / sigma) ** 2) for c in o] for o in part["options"]]
         gap = np.hypot(part["x"].diff().to_numpy(), part["y"].diff().to_numpy())
-        chosen: list[str | None] = [o[0][0] if o else None for o in named]
-        if named and not named[0]:
-            chosen = [None] * len(named)
-        elif named and named[-1]:
-            score, back = {e: c for e, c in named[0]}, [{} for _ in named]
-            for k in range(1, len(named)):
-                moves: dict[str, list] = {}
-                for m in part["moves"][k - 1] if part["moves"][k - 1] is not None else ():
-                    if m["from_edge"] in score:
-                        moves.setdefault(m["to_edge"], []).append((score[m["from_edge"]] + abs(gap[k] - m["route"]), m["from_edge"]))
-                new = {}
-                for edge, cost in named[k]:
-                    if edge in moves:
-                        best, before = min(moves[edge])
-                        new[edge], back[k][edge] = best + cost, before
-                score = new or dict(named[k])
-            at = min((c, e) for e, c in score.items())[1]
-            for k in range(len(named) - 1, -1, -1):
-                chosen[k] = at
-                at = back[k].get(at) if at is not None else None
-                if at is None and k and named[k - 1]:  # the chain began at k
-                    at = named[k - 1][0][0]
-        return pd.DataFrame({"trace_id": part["trace_id"], "ord": part["ord"], "edge_id": chosen})
+        score, back = dict(named[0]), [{} for _ in named]
+        for k in range(1, len(named)):
+            moves: dict[str, list] = {}
+            for m in part["moves"][k - 1] if part["moves"][k - 1] is not None else ():
+                if m["from_edge"] in score:
+                    moves.setdefault(m["to_edge"], []).append((score[m["from_edge"]] + abs(gap[k] - m["route"]), m["from_edge"]))
+            new = {}
+            for edge, cost in named[k]:
+                if edge in moves:
+                    best, before = min(moves[edge])
+                    new[edge], back[k][edge] = best + cost, before
+            score = new or dict(named[k])
+        at = min((c, e) for e, c in score.items())[1] if part["part"][0] == part["parts"][0] else named[-1][0][0]
+        chosen: list[str] = []
+        for k in range(len(named) - 1, -1, -1):
+            chosen.append(at)
+            # where the chain began at k, the sample before has its nearest edge
+            at = back[k][at] if at in back[k] else named[k - 1][0][0]
+        return pd.DataFrame({"trace_id": part["trace_id"], "ord": part["ord"], "edge_id": chosen[::-1]})
 
-    return rows.groupBy("trace_id").applyInPandas(chain, "trace_id string, ord long, edge_id string")
+    return plain.unionByName(chained.groupBy("trace_id", "part").applyInPandas(chain, "trace_id string, ord long, edge_id string"))

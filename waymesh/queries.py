@@ -385,7 +385,11 @@ def restricted_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.restricted_costs(e, _one_way_rules(e), _every(spark, sf_dir), 500.0)
 
 
-@query()
+@query(f"""with recursive {_ADJ}, ln as (select adj.*, unnest(range(0, 1 + e.ord % 3)) as lane from adj join edges e using (edge_id)),
+wk as (
+  select id as origin, id as node, lane, 0.0::double as cost from nodes, (select unnest([0, 1, 2]::bigint[]) as lane)
+  union select origin, v, ln.lane, cost + 100 + 50 * abs(ln.lane - wk.lane) from wk join ln on ln.u = wk.node where cost + 100 + 50 * abs(ln.lane - wk.lane) <= 400)
+select origin, node, lane::int as lane, min(cost) as cost from wk group by 1, 2, 3""")
 def lane_level_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     return routing.lane_costs(e, e.select("edge_id", (1 + F.col("ord") % 3).cast("int").alias("lane_count")), _every(spark, sf_dir), 400.0)
@@ -547,14 +551,32 @@ def hmm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.hmm_match(samples(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query()
+_LON, _LAT = ("{lon} + degrees({x} / (6371000 * cos(radians(52.5::double))))".replace("{lon}", "13.4::double"), "52.5::double + degrees({y} / 6371000)")
+
+
+@query(f"""with {SQL}, n as (select max(ord) + 2 as base from nodes),
+p as (select ord, k, x, y from (select ord, unnest([0, 1]) as k, unnest([x0, x1]) as x, unnest([y0, y1]) as y from edges))
+select 0 as part, ord, '  <node id="' || (ord + 1) || '" lat="' || printf('%.9f', {_LAT.format(y="y")}) || '" lon="' || printf('%.9f', {_LON.format(x="x")}) || '"><tag k="graph_node_id" v="' || id || '"/></node>' as value from nodes
+union all select 1, base + 3 * ord + k, '  <node id="' || (base + 3 * ord + k) || '" lat="' || printf('%.9f', {_LAT.format(y="y")}) || '" lon="' || printf('%.9f', {_LON.format(x="x")}) || '"/>' from p, n
+union all select 2, ord, '  <way id="' || (base + 3 * ord + 2) || '"><nd ref="' || (base + 3 * ord) || '"/><nd ref="' || (base + 3 * ord + 1) || '"/><tag k="type" v="line_thin"/><tag k="edge_id" v="' || edge_id || '"/></way>' from edges, n""")
 def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.osm_xml(nodes(spark, sf_dir), edges(spark, sf_dir), 52.5, 13.4)
 
 
-@query()
+@query(f"""with {SQL}, f as (
+  select 'node' as layer, id as key, x, y, 1 as points from nodes union all select 'centerline', edge_id, x0, y0, 2 from edges
+  union all select unnest(['lane_boundary_left', 'lane_boundary_right']), edge_id, x0 - unnest([1.75, -1.75]::double[]) * (y1 - y0) / 100, y0 + unnest([1.75, -1.75]::double[]) * (x1 - x0) / 100, 2 from edges
+  union all select 'trajectory', trace_id, arg_min(x, ord), arg_min(y, ord), count(*) from samples group by 2)
+select layer, key, round({_LON.format(x="x")}, 9) as lon, round({_LAT.format(y="y")}, 9) as lat, points::int as points from f""")
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.map_features(nodes(spark, sf_dir), edges(spark, sf_dir), samples(spark, sf_dir), 52.5, 13.4, "grid")
+    n, e = hd.enrich(nodes(spark, sf_dir), edges(spark, sf_dir), 3.5)
+    rows = documents.map_features(n, e, samples(spark, sf_dir), 52.5, 13.4, "grid")
+    get = lambda path: F.get_json_object("value", f"$.{path}")
+    line = F.from_json(get("geometry.coordinates"), "array<array<double>>")
+    spot = F.from_json(get("geometry.coordinates"), "array<double>")
+    at = lambda k: F.when(F.col("layer") == "node", spot[k]).otherwise(line[0][k])
+    key = F.coalesce(get("properties.node_id"), get("properties.edge_id"), get("properties.trace_id"))
+    return rounded(rows.select("layer", key.alias("key"), at(0).alias("lon"), at(1).alias("lat"), F.when(F.col("layer") == "node", 1).otherwise(F.size(line)).alias("points")), 9)
 
 
 @query(f"""with {SQL}, rim as (select distinct a * 100.0::double as c from nodes)
