@@ -51,14 +51,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each is written to the warehouse and read again by the next."""
+    """All stages over `documents`; each is written to the warehouse and read again by the next.
+
+    What a stage has read is deleted once its own result is written; the last stage's
+    input stays, as the returned DataFrame reads it.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder, before = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpus-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{folder}/{k}_{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                _remove(spark, before)
+            before = path
     return docs
