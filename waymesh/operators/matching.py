@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from waymesh.operators.routing import adjacency, cheapest
 from waymesh.operators.spatial import candidates
 
+#: Stretches of a trace that are matched together.
+STRETCHES = 256
+
 
 def transitions(found: DataFrame, edges: DataFrame, limit: float = 200.0) -> DataFrame:
     """Rows (trace_id, ord, from_edge, to_edge, route) between candidates of successive samples.
@@ -54,15 +57,12 @@ def hmm_match(samples: DataFrame, edges: DataFrame, radius: float = 20.0, sigma:
     chained = rows.where(has & F.col("first") & F.col("last")).join(steps, ["trace_id", "ord"], "left")
     plain = rows.where(~(has & F.col("first") & F.col("last"))).select("trace_id", "ord", F.when(F.col("first"), F.col("options")[0]["edge_id"]).alias("edge_id"))
 
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
+    def chain(named: list, moved: list, gap: list, last: bool) -> list[str]:
         """The edges of a stretch of samples with candidates; only a trace's last one ends at its cheapest edge."""
-        part = part.sort_values("ord").reset_index(drop=True)
-        named = [[(c["edge_id"], 0.5 * (c["d"] / sigma) ** 2) for c in o] for o in part["options"]]
-        gap = np.hypot(part["x"].diff().to_numpy(), part["y"].diff().to_numpy())
         score, back = dict(named[0]), [{} for _ in named]
         for k in range(1, len(named)):
             moves: dict[str, list] = {}
-            for m in part["moves"][k - 1] if part["moves"][k - 1] is not None else ():
+            for m in moved[k - 1] if moved[k - 1] is not None else ():
                 if m["from_edge"] in score:
                     moves.setdefault(m["to_edge"], []).append((score[m["from_edge"]] + abs(gap[k] - m["route"]), m["from_edge"]))
             new = {}
@@ -71,12 +71,24 @@ def hmm_match(samples: DataFrame, edges: DataFrame, radius: float = 20.0, sigma:
                     best, before = min(moves[edge])
                     new[edge], back[k][edge] = best + cost, before
             score = new or dict(named[k])
-        at = min((c, e) for e, c in score.items())[1] if part["part"][0] == part["parts"][0] else named[-1][0][0]
+        at = min((c, e) for e, c in score.items())[1] if last else named[-1][0][0]
         chosen: list[str] = []
         for k in range(len(named) - 1, -1, -1):
             chosen.append(at)
             # where the chain began at k, the sample before has its nearest edge
             at = back[k][at] if at in back[k] else named[k - 1][0][0]
-        return pd.DataFrame({"trace_id": part["trace_id"], "ord": part["ord"], "edge_id": chosen[::-1]})
+        return chosen[::-1]
+
+    def chains(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        named = [[(c["edge_id"], 0.5 * (c["d"] / sigma) ** 2) for c in o] for o in rows["options"]]
+        gap, moved, part = np.hypot(rows["x"].diff(), rows["y"].diff()).tolist(), rows["moves"].tolist(), rows["part"].to_numpy()
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        chosen: list[str] = []
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            chosen += chain(named[a:b], moved[a:b], gap[a:b], part[a] == rows["parts"].iloc[0])
+        return pd.DataFrame({"trace_id": rows["trace_id"], "ord": rows["ord"], "edge_id": chosen})
 
-    return plain.unionByName(chained.groupBy("trace_id", "part").applyInPandas(chain, "trace_id string, ord long, edge_id string"))
+    # a group is so many stretches of a trace at most
+    grouped = chained.groupBy("trace_id", F.floor(F.col("part") / STRETCHES).alias("group"))
+    return plain.unionByName(grouped.applyInPandas(chains, "trace_id string, ord long, edge_id string"))
