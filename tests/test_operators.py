@@ -650,3 +650,18 @@ def test_result_documents_and_bundles(spark, cross, tmp_path):
     import xml.etree.ElementTree as ET
 
     assert len(ET.fromstring(picture)) == 5 + 5 + 6
+
+
+def test_a_graph_for_each_trace(spark):
+    from waymesh.plans.build import build_each, build_graph
+
+    rows = [("a", k, k, 10 * k, 0) for k in range(21)] + [("b", k, k, 100, 10 * k - 100) for k in range(21)] + [("one", 0, 0, 5, 5)]
+    rows += [("c", k, k, 300 + 100 * math.cos(k / 6), 100 * math.sin(k / 6)) for k in range(25)]
+    each = build_each(make_samples(spark, rows))
+    place = lambda r: (round(r["x"], 6), round(r["y"], 6))
+    got = {t: {place(r) for r in each["nodes"].collect() if r["trace_id"] == t} for t in "abc"}
+    for t in "abc":  # as if the others were not there
+        alone = build_graph(make_samples(spark, [r for r in rows if r[0] == t]))
+        assert got[t] == {place(r) for r in alone["nodes"].collect()}
+        assert each["edges"].where(F.col("trace_id") == t).count() == alone["edges"].count()
+    assert {r["trace_id"] for r in each["edges"].select("trace_id").distinct().collect()} == set("abc")

@@ -53,6 +53,7 @@ def test_las(spark, tmp_path, version, kind, length):
     rows = spark.read.format("las").load(f"{tmp_path}/c.las").collect()
     assert [tuple(r) for r in rows] == [(101.0, 202.0, 3.0, 7.0), (99.0, 200.0, 0.05, 65535.0)]
     assert spark.read.format("las").schema("z double, x double").load(f"{tmp_path}/c.las").columns == ["z", "x"]
+    assert sorted(tuple(r)[1:] for r in tables.fusion_points(spark, f"{tmp_path}/c.las").collect()) == [(99.0, 200.0), (101.0, 202.0)]
 
 
 def test_las_errors():
@@ -172,3 +173,15 @@ def test_validation_names_what_is_broken(spark):
     assert got == {("a", "y"), ("a", "id_unique"), ("e", "polyline"), ("e", "end_node_id_known")}
     rules = spark.createDataFrame([("r", "j", "e", "forward", "f", "back", "no_turn", 2.0)], "id string, junction_node_id string, from_edge_id string, from_direction string, to_edge_id string, to_direction string, restriction string, confidence double")
     assert {r["rule"] for r in validation.check_restrictions(rules).collect()} == {"to_direction", "restriction", "confidence"}
+
+
+def test_origins_and_points_to_fuse(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"lat0": 52.5, "lon0": 13.4, "name": "x"}')
+    (tmp_path / "bad.json").write_text('{"lat0": 52.5}')
+    assert tables.origin(spark, f"{tmp_path}/o.json") == (52.5, 13.4)
+    with pytest.raises(KeyError):
+        tables.origin(spark, f"{tmp_path}/bad.json")
+    (tmp_path / "p.xyz").write_text("1 2 3\n4 5 6\n")
+    got = tables.fusion_points(spark, f"{tmp_path}/p.xyz", with_z=True)
+    assert got.columns == ["key", "x", "y", "z"] and sorted(r["z"] for r in got.collect()) == [3.0, 6.0]
+    assert tables.public(got.withColumn("_own", F.lit(1))).columns == got.columns

@@ -133,6 +133,13 @@ def fuse_weekday_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.observation_times(samples(spark, sf_dir).withColumn("t", F.col("epoch")), edges(spark, sf_dir), by="weekday")
 
 
+@query(f"""with {SNAP_SQL}, f as (select edge_id, count(distinct trace_id) as n, count(*) as m from snapped where edge_id is not null group by 1)
+select (select count(distinct trace_id) from samples) as traces, count(*) as edges_observed, sum(m)::bigint as matched_samples, sum(n)::bigint as edge_hits from f""")
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir)
+    return traces.trace_summary(s, traces.fuse_traces(s, edges(spark, sf_dir)))
+
+
 @query(f"""with {SNAP_SQL}, f as (select e.edge_id, count(distinct trace_id) as n from edges e left join snapped s on s.edge_id = e.edge_id group by e.edge_id)
 select count(*) filter (where n = 0) as never, count(*) filter (where n = 1) as once, count(*) filter (where n >= 2) as two_plus, count(*) filter (where n >= 5) as five_plus from f""")
 def coverage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

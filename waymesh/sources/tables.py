@@ -128,3 +128,29 @@ def gpx(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     rows = points.where("time is not null").select(F.col("time").cast("double").alias("t"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
     out = numbered(rows, "t", "lat", "lon", name="ord").withColumn("ord", (F.col("ord") + 1).cast("long"))
     return out if limit is None else out.where(F.col("ord") <= limit)
+
+
+def origin(spark: SparkSession, path: str) -> tuple[float, float]:
+    """lat0 and lon0 of a JSON object; an error if either is missing."""
+    row = spark.read.option("multiLine", True).schema("lat0 double, lon0 double").json(path).first()
+    if row is None or row["lat0"] is None or row["lon0"] is None:
+        raise KeyError(f"an origin needs lat0 and lon0: {path}")
+    return row["lat0"], row["lon0"]
+
+
+def fusion_points(spark: SparkSession, path: str, with_z: bool = False) -> DataFrame:
+    """Rows (key, x, y[, z]) of a LAS file or of text, as boundaries are fused from."""
+    names = ["x", "y", "z"][: 3 if with_z else 2]
+    if path.lower().endswith((".las", ".laz")):
+        from waymesh.sources.las import LasDataSource
+
+        spark.dataSource.register(LasDataSource)
+        found = spark.read.format("las").load(path)
+    else:
+        found = points(spark, path, len(names))
+    return found.select(F.monotonically_increasing_id().alias("key"), *names)
+
+
+def public(df: DataFrame) -> DataFrame:
+    """Without columns whose names begin with an underscore."""
+    return df.select(*(c for c in df.columns if not c.startswith("_")))
