@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: bytes.translate table that lower-cases A-Z only.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: bytes.translate table that lower-cases A-Z and blanks all other ASCII but digits and a-z.
+ALNUM_LOWER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,6 +35,20 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def alnum_words(data: bytes, chunk: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a text with A-Z lower-cased, some at a time.
+
+    A word is whole however long it is; besides one, about `chunk` bytes are split at once.
+    """
+    data = data.translate(ALNUM_LOWER)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + chunk) if len(data) - at > chunk else -1
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end + 1
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least_rows: int = 1) -> Iterator[pa.Table]:
     """Tables of whole groups from batches in which the rows of a key follow each other.
 
