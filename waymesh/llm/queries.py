@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import fingerprints, lines, mixing, packing, quality, simhash, suffixes, tokens, toxicity, urls
+from waymesh.llm import fingerprints, infill, licenses, lines, mixing, packing, quality, resampling, simhash, suffixes, tokens, toxicity, urls
 from waymesh.llm.text import table
 
 #: Context limits that are answered whether a document has that length or not.
@@ -60,6 +60,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op5_suffixes, op6_quality, op7_mixing, op8_urls, op9_lines, op10_fingerprints)}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
-SQL = {"op6_quality": quality.QUALITY_SQL, "op7_mixing": mixing.MIX_SQL, "op8_urls": urls.URLS_SQL, "op9_lines": lines.LINES_SQL}
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op5_suffixes, op6_quality, op7_mixing, op8_urls, op9_lines, op10_fingerprints,
+        op11_licenses, op12_infill, op13_resampling,
+    )
+}
+
+SQL = {
+    "op6_quality": quality.QUALITY_SQL, "op7_mixing": mixing.MIX_SQL, "op8_urls": urls.URLS_SQL, "op9_lines": lines.LINES_SQL,
+    "op12_infill": infill.INFILL_SQL,
+}
