@@ -85,6 +85,39 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}} or got == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 160)}}
 
 
+def test_clusters_in_dense_places(spark):
+    """Components of close points are those of all pairs, in rows that are linear in the points."""
+    rng = np.random.default_rng(3)
+    dense = rng.uniform(0, 4, (3000, 2))
+    cells, links = spatial.close_cells(spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(dense)], "key long, x double, y double"), 8.0)
+    assert cells.count() == 3000 and links.count() <= 4
+    spread = np.concatenate([rng.uniform(0, 60, (150, 2)), [50.0, 90.0] + rng.normal(0, 0.01, (80, 2)), [58.0, 90.0] + rng.normal(0, 0.01, (80, 2)), [(0.0, 200.0), (8.0, 200.0), (16.000001, 200.0), (16.000001, 208.0000005)]])
+    points = [(k, *map(float, p)) for k, p in enumerate(spread)]
+    group = list(range(len(points)))
+    for i, j in itertools.combinations(range(len(points)), 2):
+        if (spread[i] - spread[j]) @ (spread[i] - spread[j]) <= 64.0 and group[i] != group[j]:
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+    got = spatial.endpoint_clusters(spark.createDataFrame(points, "key long, x double, y double").repartition(3), 8.0)
+    first = {}
+    for r in got.orderBy("key").collect():
+        assert first.setdefault(r["node"], r["key"]) == group[r["key"]]
+    assert [int(r["node"][1:]) for r in got.orderBy("key").collect()][0] == 0
+
+
+def test_crossings_where_many_meet(spark):
+    """A star of roads and a bundle through one small place: cells and keys are bounded, crossings those of all pairs."""
+    star = [(f"s{k}", "a", "b", [(-50.0, -20.0 + k * 0.37), (50.0, 20.0 - k * 0.41)]) for k in range(60)]
+    other = [(f"o{k}", "a", "b", [(10.0 * k, -200.0), (10.0 * k + 3, 200.0), (10.0 * k + 9, -200.0)]) for k in range(8)]
+    edges = make_edges(spark, star + other)
+    row = lambda r: (r["edge_a"], r["seg_a"], r["edge_b"], r["seg_b"], round(r["x"], 6), round(r["y"], 6))
+    want = {row(r) for r in spatial.segment_crossings(edges, 1000.0, 10**9).collect()}
+    assert {row(r) for r in spatial.segment_crossings(edges, 100.0, 8).collect()} == want and len(want) > 500
+    loads = spatial.cells_by_load(spatial.segments(edges), 100.0, 8)
+    full = loads.groupBy("level", "cx", "cy", "parts").count().collect()
+    assert all(r["count"] <= 8 * r["parts"] for r in full) and max(r["level"] for r in full) == spatial.CUTS
+
+
 def test_endpoint_clusters(spark):
     points = [(0, 0.0, 0.0), (1, 5.0, 0.0), (2, 10.0, 0.0), (3, 100.0, 0.0), (4, 100.0, 0.0), (5, 200.0, 0.0)]
     df = spark.createDataFrame(points, "key long, x double, y double")
@@ -232,7 +265,92 @@ def test_lane_changes_cost(spark, cross):
     _, edges = cross
     two = edges.where("edge_id = 'ce'").select("edge_id", F.lit(2).alias("lane_count"))
     got = {(r["node"], r["lane"]): r["cost"] for r in routing.lane_costs(edges, two, spark.createDataFrame([("w",)], "origin string"), 500.0).collect()}
-    assert got["e", 0] == 200.0 and got["e", 1] == 250.0
+    assert got["e", 0] == 200.0 and got["e", 1] == 250.0 and got["w", None] == 0.0
+
+
+def brute_lanes(adj, lanes, origin, swap):
+    """Cheapest cost of each (edge, direction, lane), changes within an edge included, by rounds."""
+    best = {}
+    frontier = {(e, d, k): w for u, v, e, d, w in adj if u == origin for k in range(lanes.get(e, 1))}
+    ends = {(e, d): v for u, v, e, d, w in adj}
+    while frontier:
+        best |= frontier
+        step = {}
+        for (e, d, lane), cost in frontier.items():
+            moves = [((e, d, k), cost + swap) for k in range(lanes.get(e, 1)) if k != lane]
+            for u, _, f, way, w in adj:
+                if u == ends[e, d]:
+                    n = lanes.get(f, 1)
+                    moves += [((f, way, k), cost + w + (swap if n > 1 and k != lane else 0)) for k in range(n)]
+            for state, c in moves:
+                step[state] = min(c, step.get(state, math.inf))
+        frontier = {s: c for s, c in step.items() if c < best.get(s, math.inf) - 1e-9}
+    return best, ends
+
+
+def test_lanes_of_random_graphs(spark):
+    rng = np.random.default_rng(4)
+    lines = [(f"e{k}", f"v{a}", f"v{b}", [(0.0, 0.0), (float(rng.integers(1, 40)), 0.0)]) for k, (a, b) in enumerate(rng.integers(0, 12, (26, 2)).tolist())]
+    edges = make_edges(spark, lines)
+    lanes = {f"e{k}": int(n) for k, n in enumerate(rng.integers(1, 4, 26)) if k % 5}
+    table = spark.createDataFrame(list(lanes.items()), "edge_id string, lane_count int")
+    adj = [(r["u"], r["v"], r["edge_id"], r["direction"], r["cost"]) for r in routing.adjacency(edges).collect()]
+    origins = spark.createDataFrame([("v0",), ("v5",)], "origin string")
+    got = {(r["origin"], r["node"], r["lane"]): round(r["cost"], 6) for r in routing.lane_costs(edges, table, origins, swap_cost=7.0).where("lane is not null").collect()}
+    want = {}
+    for o in ("v0", "v5"):
+        best, ends = brute_lanes(adj, lanes, o, 7.0)
+        for (e, d, k), c in best.items():
+            key = (o, ends[e, d], k)
+            want[key] = min(c, want.get(key, math.inf))
+    assert got == {k: round(c, 6) for k, c in want.items()}
+    # one edge with many lanes gives no lanes to others
+    wide = spark.createDataFrame([("e3", 60)], "edge_id string, lane_count int")
+    moves, _, ends = routing._laned(edges, wide, origins, 7.0, None)
+    assert ends.count() == len(adj) + 59 * sum(1 for a in adj if a[2] == "e3")
+
+
+def test_lane_costs_of_one_to_three_lanes(spark):
+    edges = make_edges(spark, [("a", "n0", "n1", [(0.0, 0.0), (100.0, 0.0)]), ("b", "n1", "n2", [(100.0, 0.0), (200.0, 0.0)])])
+    lanes = spark.createDataFrame([("b", 3)], "edge_id string, lane_count int")
+    got = {r["lane"]: r["cost"] for r in routing.lane_costs(edges, lanes, spark.createDataFrame([("n0",)], "origin string"), 400.0).where("node = 'n2'").collect()}
+    assert got == {0: 200.0, 1: 250.0, 2: 250.0}
+    back = routing.lane_costs(edges, lanes, spark.createDataFrame([("n2",)], "origin string")).where("node = 'n0'").first()
+    assert back["cost"] == 200.0  # nothing into an edge of one lane
+
+
+def grid_roads(spark, n, skew=7.0):
+    at = {f"g{a}_{b}": (100.0 * a + skew * (b % 3), 100.0 * b - skew * (a % 4)) for a in range(n) for b in range(n)}
+    lines = []
+    for a in range(n):
+        for b in range(n):
+            for c, d in ((a + 1, b), (a, b + 1)):
+                if c < n and d < n and (a * 7 + b * 5 + c) % 11:
+                    lines.append((f"e{len(lines)}", f"g{a}_{b}", f"g{c}_{d}", [at[f"g{a}_{b}"], at[f"g{c}_{d}"]]))
+    return make_nodes(spark, at), make_edges(spark, lines)
+
+
+def test_a_goal_directed_search_settles_less_and_finds_the_same(spark):
+    nodes, edges = grid_roads(spark, 14)
+    lone = make_nodes(spark, {"far": (9000.0, 9000.0), "far2": (9100.0, 9000.0)})
+    nodes = nodes.unionByName(lone)
+    edges = edges.unionByName(make_edges(spark, [("x", "far", "far2", [(9000.0, 9000.0), (9100.0, 9000.0)])]))
+    adj = routing.adjacency(edges)
+    pairs = spark.createDataFrame([("g1_1", "g3_2"), ("g1_1", "g2_4"), ("g12_12", "g9_12"), ("g0_0", "g13_13"), ("g5_5", "far"), ("far", "far2"), ("g2_2", "g2_2"), ("g2_2", "none")], "from_node string, to_node string")
+    row = lambda r: (r["from_node"], r["to_node"], round(r["cost"], 6), tuple(r["edges"]))
+    want = sorted(map(row, routing.paths(adj, pairs).collect()))
+    assert sorted(map(row, routing.paths(adj, pairs, nodes).collect())) == want and len(want) == 6
+    none = spark.createDataFrame([], "junction_node_id string, from_edge_id string, from_direction string, to_edge_id string, to_direction string, restriction string")
+    plain = lambda rows: sorted((r["from_node"], r["to_node"], round(r["cost"], 6)) for r in rows.collect())
+    assert plain(routing.restricted_paths(edges, none, pairs, nodes)) == plain(routing.restricted_paths(edges, none, pairs)) == [x[:3] for x in want]
+    lanes = edges.select("edge_id", (1 + F.col("ord") % 2).cast("int").alias("lane_count"))
+    assert plain(routing.lane_paths(edges, lanes, pairs, nodes=nodes)) == plain(routing.lane_paths(edges, lanes, pairs))
+    near = pairs.where("from_node = 'g1_1'")
+    moves = adj.select("u", "v", "cost", F.lit("").alias("step"))
+    ends = nodes.select(F.col("id").alias("state"), F.col("id").alias("node"))
+    start = near.select(F.col("from_node").alias("origin"), F.col("from_node").alias("state"), F.lit(0.0).alias("cost")).distinct()
+    settled = routing.search(moves, start, goals=routing._directed(nodes, moves, ends, near)).count()
+    assert settled < 40 and routing.search(moves, start).count() == 14 * 14
 
 
 def test_hmm_follows_the_road(spark):
@@ -250,6 +368,18 @@ def test_lanes_and_points(spark, cross):
     assert sides["ce", "left", 0] == (11.0, 2.0, 3) and sides["ce", "right", 2] == (50.0, -1.0, 1)
     a, b, c, d = lanes.ground_plane(spark.createDataFrame([(float(x), float(y), 0.1 * x + 2.0 + (3.0 if (x * y) % 7 == 3 else 0.0)) for x in range(12) for y in range(12)], "x double, y double, z double"))
     assert c > 0 and math.isclose(a / c, -0.1, abs_tol=0.02) and math.isclose(b / c, 0, abs_tol=0.02) and math.isclose(d / c, 2.0, abs_tol=0.1)
+    # many points on a line with wide gaps: each is the weighted mean of samples, by log weights
+    gaps = make_samples(spark, [("t", k, k, x, y) for k, (x, y) in enumerate([(0, 0), (100, 0), (100.5, 1), (700, 40), (701, 40)])] + [("u", 0, 0, 0, 0), ("u", 1, 1, 100, 0), ("still", 0, 0, 5, 5), ("still", 1, 1, 5, 5)])
+    for bins in (2, 10, 100, 400):
+        found = {(r["trace_id"], r["k"]): (r["x"], r["y"]) for r in lanes.centerlines(gaps, ["trace_id"], bins).collect()}
+        assert len(found) == 3 * bins and found["still", 0] == (5.0, 5.0)
+        xy = np.array([(0, 0), (100, 0), (100.5, 1), (700, 40), (701, 40)], float)
+        s = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(xy, axis=0).T))])
+        for k in range(1, bins - 1):
+            log = -0.5 * ((s - s[-1] * k / (bins - 1)) / (s[-1] / bins)) ** 2
+            w = np.exp(log - log.max())
+            assert np.allclose(found["t", k], w @ xy / w.sum(), atol=1e-6)
+        assert math.isclose(found["u", bins - 1][0], 100.0)
     line = make_edges(spark, [("z", "a", "b", [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (2.0, 5.0)])])
     assert [(p["x"], p["y"]) for p in lanes.simplify(line, 0.3).first()["polyline"]] == [(0.0, 0.0), (2.0, 0.0), (2.0, 5.0)]
     offsets = spark.range(1).select(lanes.lane_offsets(F.lit(3), 3.5).alias("o")).first()["o"]
@@ -602,10 +732,13 @@ def test_comparisons(spark, cross):
     back = compare.graph_of_features(features, 52.0, 13.0)
     assert {r["id"]: (round(r["x"], 6), round(r["y"], 6)) for r in back["nodes"].collect()} == {r["id"]: (r["x"], r["y"]) for r in nodes.collect()}
     assert {r["edge_id"]: len(r["polyline"]) for r in back["edges"].collect()}["ef"] == 3
-    points = spark.createDataFrame([(0, 50.0, 3.0, {"highway": "traffic_signals"}), (1, 2.0, 60.0, {"highway": "stop"}), (2, 3.0, 3.0, {"shop": "x"}), (3, 900.0, 0.0, {"highway": "stop"})], "pos long, x double, y double, tags map<string,string>")
+    points = spark.createDataFrame([(0, 50.0, 3.0, {"highway": "traffic_signals"}), (1, 2.0, 60.0, {"highway": "stop"}), (2, 3.0, 3.0, {"shop": "x"}), (3, 900.0, 0.0, {"highway": "stop"}), (4, 40.0, 2.0, {"highway": "give_way"}), (5, 40.0, 2.0, {"highway": "speed_camera", "maxspeed": "50 mph"}), (6, 40.0, 2.0, {"highway": "speed_camera", "maxspeed": "walk"}), (7, 40.0, 2.0, {"highway": "crossing"}), (8, 60.0, 2.0, {"highway": "crossing"})], "pos long, x double, y double, tags map<string,string>")
     rules = [(r["pos"], r["edge_id"], r["kind"], json.loads(r["rule"])) for r in compare.mapped_rules(points, edges).orderBy("pos").collect()]
-    assert [(p, e, k) for p, e, k, _ in rules] == [(0, "ce", "traffic_light"), (2, "cn", "stop_sign"), (3, "cn", "stop_line")]
-    assert rules[2][3]["polyline_m"] == [[-1.75, 60.0], [1.75, 60.0]] and rules[0][3]["world_xy_m"] == {"x": 50.0, "y": 3.0}
+    assert [(p, e, k) for p, e, k, _ in rules] == [(0, "ce", "traffic_light"), (1, "cn", "stop_line"), (4, "ce", "stop_line"), (5, "ce", "speed_camera"), (6, "ce", "speed_camera"), (7, "ce", "crosswalk"), (8, "ce", "crosswalk")]
+    assert rules[1][3]["polyline_m"] == [[2.0, 60.0], [-2.0, 60.0]] and rules[0][3]["world_xy_m"] == {"x": 50.0, "y": 3.0} and rules[0][3]["match_distance_m"] == 3.0
+    assert rules[2][3]["polyline_m"] == [[40.0, -2.0], [40.0, 2.0]] and "polyline_m" not in rules[3][3]
+    assert rules[3][3]["value_kmh"] == 50 and "value_kmh" not in rules[4][3] and rules[5][3]["source"] == "osm_node"
+    assert [r["pos"] for r in compare.mapped_rules(points, edges, max_crossings=1).where("kind = 'crosswalk'").collect()] == [7]
     ways = spark.createDataFrame([(7, 2, {"lanes": "2"}, [(0.0, 3.0), (100.0, 3.0)]), (8, None, {}, [(0.0, -30.0), (0.0, -80.0)])], f"way_id long, lanes int, tags map<string,string>, polyline {POLY}")
     score = compare.lane_accuracy(edges.withColumn("lane_count", F.lit(1)), ways).first()
     assert (score["edges"], score["matched"], score["mae"], score["exact"]) == (5, 1, 1.0, 0.0)

@@ -12,8 +12,14 @@ from waymesh.operators.hd import _normal
 from waymesh.operators.spatial import snap
 from waymesh.operators.topology import resampled
 
-#: OSM tag (key, value) of a point and the kind of rule that it is.
-REGULATORY = (("highway", "traffic_signals", "traffic_light"), ("highway", "stop", "stop_sign"), ("highway", "give_way", "yield"), ("highway", "crossing", "pedestrian_marking"))
+# OSM tag (key, value) of a point and the kind of rule that it is.
+REGULATORY = (
+    ("highway", "traffic_signals", "traffic_light"),
+    ("highway", "stop", "stop_line"),
+    ("highway", "give_way", "stop_line"),
+    ("highway", "crossing", "crosswalk"),
+    ("highway", "speed_camera", "speed_camera"),
+)
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -81,27 +87,36 @@ def regulatory_kind(tags: Column) -> Column:
     return kind
 
 
-def stop_line(x: Column, y: Column, a: Column, b: Column, width: float = 3.5) -> Column:
-    """A line across the road from a to b through a point, as arrays of x and y; empty if the road has no direction."""
+def stop_line(x: Column, y: Column, a: Column, b: Column, width: float = 4.0) -> Column:
+    """A line across the road from a to b through a point, from its right to its left, as arrays of x and y; null if the road has no direction."""
     n = _normal(a, b, 1e-9)
     end = lambda side: F.array(x + side * width / 2 * n["x"], y + side * width / 2 * n["y"])
-    return F.when((n["x"] == 0) & (n["y"] == 0), F.array().cast("array<array<double>>")).otherwise(F.array(end(1.0), end(-1.0)))
+    return F.when((n["x"] != 0) | (n["y"] != 0), F.array(end(-1.0), end(1.0)))
 
 
-def mapped_rules(points: DataFrame, edges: DataFrame, radius: float = 15.0, width: float = 3.5) -> DataFrame:
+def mapped_rules(points: DataFrame, edges: DataFrame, radius: float = 20.0, width: float = 4.0, max_crossings: int | None = None) -> DataFrame:
     """Observations (pos, edge_id, kind, distance_m, rule) of mapped points (pos, x, y, tags) on the nearest edge closer than `radius`.
 
-    rule is JSON with the point's place; a stop sign also gives a stop line across the
-    edge where the point projects to.
+    rule is JSON with the point's place and how far it is from the edge, in millimetres;
+    signs to stop or give way are stop lines, which cross the edge where the point
+    projects to, and a speed camera has the whole number that its maxspeed begins with.
+    `max_crossings` keeps the first crosswalks only, for displays.
     """
     known = points.withColumn("kind", regulatory_kind(F.col("tags"))).where("kind is not null")
     near = snap(known, edges, radius, keys=("pos",)).where("edge_id is not null").join(edges.select("edge_id", "polyline"), "edge_id")
     a, b = (F.element_at("polyline", (F.col("seg_ord") + k).cast("int")) for k in (1, 2))
-    place = F.struct("x", "y").alias("world_xy_m")
-    sign = F.struct("kind", place)
-    line = F.struct(F.lit("stop_line").alias("kind"), stop_line(F.col("qx"), F.col("qy"), a, b, width).alias("polyline_m"))
-    rules = F.when(F.col("kind") == "stop_sign", F.array(F.to_json(sign), F.to_json(line))).otherwise(F.array(F.to_json(sign)))
-    return near.select("pos", "edge_id", "kind", F.col("d").alias("distance_m"), F.posexplode(rules).alias("_k", "rule")).select((2 * F.col("pos") + F.col("_k")).alias("pos"), "edge_id", F.when(F.col("_k") == 0, F.col("kind")).otherwise("stop_line").alias("kind"), "distance_m", "rule")
+    limit = F.regexp_extract(F.coalesce(F.element_at("tags", F.lit("maxspeed")), F.lit("")), r"^\s*([+-]?\d+(?:\.\d+)?)(?:\s|$)", 1)
+    rule = F.struct(
+        "edge_id", "kind", F.lit("osm_node").alias("source"), F.col("pos").alias("osm_id"), F.lit(1.0).alias("confidence"), F.round("d", 3).alias("match_distance_m"),
+        F.struct(F.round("x", 3).alias("x"), F.round("y", 3).alias("y")).alias("world_xy_m"),
+        F.when((F.col("kind") == "speed_camera") & (limit != ""), limit.try_cast("double").cast("int")).alias("value_kmh"),
+        F.when(F.col("kind") == "stop_line", stop_line(F.col("qx"), F.col("qy"), a, b, width)).alias("polyline_m"),
+    )
+    found = near.select("pos", "edge_id", "kind", F.col("d").alias("distance_m"), F.to_json(rule).alias("rule"))
+    if max_crossings is None:
+        return found
+    first = found.where("kind = 'crosswalk'").orderBy("pos").limit(max_crossings)
+    return found.where("kind <> 'crosswalk'").unionByName(first)
 
 
 def tagged(edges: DataFrame, ways: DataFrame, radius: float = 15.0) -> DataFrame:

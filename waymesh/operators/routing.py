@@ -2,12 +2,13 @@
 
 A search keeps the cheapest cost of every (origin, state) and joins only what the last
 round improved with the adjacency, so many origins are searched at once and a round
-is one shuffle. States are nodes, edges with a direction where turns matter, or nodes
+is one shuffle. States are nodes, edges with a direction where turns matter, or also
 with a lane. Each state remembers the move that reached it, from which routes are read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,11 +53,54 @@ def weighted(adj: DataFrame, facts: DataFrame, observed_bonus: float = 0.5, unob
     return out.select("u", "v", "edge_id", "direction", (F.col("cost") * factor * hill).alias("cost"))
 
 
+#: How often moves are doubled before a search: 2 makes a round go up to four moves.
+DOUBLINGS = 2
 #: Rounds of a search whose improvements are kept apart before they are put together.
 APART = 12
 
 
-def search(moves: DataFrame, starts: DataFrame, max_cost: float | None = None, max_rounds: int = 100_000) -> DataFrame:
+#: How far beyond the straight line a goal-directed search looks at first, and by how much more each time it does not suffice.
+FIRST, MORE = 1.5, 2.0
+
+
+@dataclass(frozen=True)
+class Goals:
+    """What a search looks for, so that it can leave states alone that lead nowhere near.
+
+    places: (state, x, y). targets: (origin, target, state), any state of a target will
+    do. boxes: (origin, x0, x1, y0, y1, budget) around an origin's targets, with the cost
+    within which they may be. least: no move costs less than this for a metre of straight
+    line, so that least times the distance to a box is never more than what is to come.
+    """
+
+    places: DataFrame
+    targets: DataFrame
+    boxes: DataFrame
+    least: float
+
+    def bound(self) -> Column:
+        """The least cost of any way over a state at x, y."""
+        away = lambda c: F.greatest(F.lit(0.0), F.col(f"goal.{c}0") - F.col(c), F.col(c) - F.col(f"goal.{c}1"))
+        return F.col("cost") + self.least * F.sqrt(away("x") * away("x") + away("y") * away("y"))
+
+
+def goals(moves: DataFrame, places: DataFrame, targets: DataFrame, origins: DataFrame) -> Goals | None:
+    """Goals of origins (origin, x, y) for `search` over moves (u, v, cost, ...); None where moves can be free, as no distance bounds costs then."""
+    at = lambda c, p: places.select(F.col("state").alias(c), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    apart = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
+    rate = moves.join(at("u", "a"), "u").join(at("v", "b"), "v").agg(F.min(F.when(apart > 0, F.col("cost") / apart)).alias("least"), F.avg("cost").alias("unit")).first()
+    if not rate["least"] or rate["least"] <= 0:
+        return None
+    # a little less, so that rounding does not hide a state
+    least = rate["least"] * (1 - 1e-9)
+    spots = targets.join(places, "state").join(origins.select("origin", F.col("x").alias("ox"), F.col("y").alias("oy")), "origin")
+    far = F.max(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2))
+    sides = [f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]
+    boxes = spots.groupBy("origin").agg(*sides, F.greatest(FIRST * least * far, F.lit(rate["unit"])).alias("budget"))
+    return Goals(places, targets, materialize(boxes), least)
+
+
+def search(moves: DataFrame, starts: DataFrame, max_cost: float | None = None, max_rounds: int = 100_000, goals: Goals | None = None, doublings: int = DOUBLINGS) -> DataFrame:
     """Rows (origin, state, cost, hops, via, step): cheapest costs and the last move of a cheapest way.
 
     moves: (u, v, cost, step), step naming the move. starts: (origin, state, cost), with
@@ -64,7 +108,14 @@ def search(moves: DataFrame, starts: DataFrame, max_cost: float | None = None, m
     equal to it. Of ways of equal cost the one of fewest moves counts, then the one whose
     last move has the smallest name. A state improves only by a lower cost, so moves
     without cost are taken like any other and never go round. Unknown states reach
-    only themselves.
+    only themselves. Before the search moves are joined to cheapest ways of two and then
+    four (`doublings`), which saves rounds and costs as many rows as states have others
+    that near; 0 is right where a few origins search a small part of a vast graph.
+
+    With `goals`, states over which no way within an origin's budget leads to its
+    targets are put aside; where a target is still open when all others are done, the
+    budget grows and the search goes on from them. Only the targets, and what lies on
+    cheapest ways to them, have final costs then; origins without a target are left out.
     """
     columns = ["origin", "state", "cost", "hops", "via", "step"]
     first = F.col("step") if "step" in starts.columns else F.lit(None).cast("string")
@@ -72,22 +123,62 @@ def search(moves: DataFrame, starts: DataFrame, max_cost: float | None = None, m
     begun = begun.select("origin", "state", "b.cost", F.when(F.col("b.step").isNull(), 0).otherwise(1).alias("hops"), F.lit(None).cast("string").alias("via"), "b.step")
     if max_cost is not None:
         begun = begun.where(F.col("cost") <= max_cost)
-    frontier = materialize(begun)
-    found = [frontier]
-    moves = materialize(moves.groupBy("u", "v").agg(F.min(F.struct("cost", "step")).alias("w")).select("u", "v", F.col("w.cost").alias("w"), F.col("w.step").alias("name")))
-    best = lambda: reduce(DataFrame.unionByName, found).groupBy("origin", "state").agg(F.min_by(F.struct(*columns[2:]), "cost").alias("b")).select("origin", "state", "b.*")
+    least = lambda m: m.groupBy("u", "v").agg(F.min(F.struct("w", "h", "name", "before")).alias("m")).select("u", "v", "m.*")
+    moves = least(moves.select("u", "v", F.col("cost").alias("w"), F.lit(1).alias("h"), F.col("step").alias("name"), F.col("u").alias("before")))
+    for _ in range(doublings):
+        moves = materialize(moves)
+        a, b = moves.alias("a"), moves.alias("b")
+        both = a.join(b, (F.col("a.v") == F.col("b.u")) & (F.col("a.u") != F.col("b.v"))).select("a.u", "b.v", (F.col("a.w") + F.col("b.w")).alias("w"), (F.col("a.h") + F.col("b.h")).alias("h"), "b.name", "b.before")
+        moves = least(moves.unionByName(both if max_cost is None else both.where(F.col("w") <= max_cost)))
+    carried, place, scale = [], [], 1.0
+    if goals is not None:
+        moves = moves.join(goals.places.select(F.col("state").alias("v"), "x", "y"), "v")
+        box = F.struct(*(c for c in goals.boxes.columns if c != "origin")).alias("goal")
+        begun = begun.join(goals.places, "state").join(goals.boxes.select("origin", box), "origin")
+        begun, carried = begun.withColumn("bound", goals.bound()).select(*columns, "bound", "goal"), ["bound", "goal"]
+        place = ["x", "y", "goal"]
+    moves = materialize(moves)
+    within = lambda: F.col("bound") <= F.col("goal.budget") * scale if carried else F.lit(True)
+    fresh = materialize(begun)
+    frontier, aside, found = fresh.where(within()), [fresh.where(~within())], [fresh.where(within()).select(*columns)]
+    order = F.struct("cost", "hops", "step")
+
+    def best(parts: list[DataFrame], kept: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts).groupBy("origin", "state").agg(F.min_by(F.struct(*kept), order).alias("b")).select("origin", "state", "b.*")
+
+    def new(step: DataFrame) -> DataFrame:
+        """What is cheaper than known, or as cheap with fewer moves or a smaller name."""
+        known = best(found, columns[2:]).select("origin", "state", F.struct("cost", "hops", "step").alias("k"))
+        tie = (F.col("cost") <= F.col("k.cost") + 1e-9) & (F.struct("hops", "step") < F.struct("k.hops", "k.step"))
+        better = F.col("k").isNull() | (F.col("cost") < F.col("k.cost") - 1e-9) | tie
+        return materialize(step.join(known, ["origin", "state"], "left").where(better).select(*columns, *carried))
+
     for _ in range(max_rounds):
-        step = frontier.join(moves, F.col("state") == F.col("u")).select("origin", F.col("v").alias("state"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("state").alias("via"), F.col("name").alias("step"))
-        if max_cost is not None:
-            step = step.where(F.col("cost") <= max_cost)
-        step = step.groupBy("origin", "state").agg(F.min(F.struct("cost", "hops", "step", "via")).alias("b")).select("origin", "state", "b.*")
-        known = reduce(DataFrame.unionByName, found).groupBy("origin", "state").agg(F.min("cost").alias("known"))
-        frontier = materialize(step.join(known, ["origin", "state"], "left").where("known is null or cost < known - 1e-9").select(*columns))
         if frontier.isEmpty():
-            return best()
-        found.append(frontier)
+            if not carried:
+                return best(found, columns[2:])
+            # a target that is found within the budget has its final cost
+            reached = goals.targets.join(reduce(DataFrame.unionByName, found).select("origin", "state").distinct(), ["origin", "state"]).select("origin", "target").distinct()
+            still = goals.targets.select("origin", "target").distinct().join(reached, ["origin", "target"], "left_anti").select("origin").distinct()
+            rest = materialize(reduce(DataFrame.unionByName, aside).join(still, "origin", "left_semi"))
+            nearest = rest.agg(F.min(F.col("bound") / F.col("goal.budget"))).first()[0]
+            if nearest is None:
+                return best(found, columns[2:])
+            scale = max(scale * MORE, nearest)
+            frontier, aside = new(best([rest], [*columns[2:], *carried]).where(within())), [rest.where(~within())]
+        else:
+            step = frontier.join(moves, F.col("state") == F.col("u")).select("origin", F.col("v").alias("state"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + F.col("h")).alias("hops"), F.col("before").alias("via"), F.col("name").alias("step"), *place)
+            if max_cost is not None:
+                step = step.where(F.col("cost") <= max_cost)
+            step = step.groupBy("origin", "state").agg(F.min(F.struct("cost", "hops", "step", "via", *place)).alias("b")).select("origin", "state", "b.*")
+            fresh = new(step.withColumn("bound", goals.bound()) if carried else step)
+            frontier = fresh.where(within())
+            aside.append(fresh.where(~within()))
+        found.append(frontier.select(*columns))
         if len(found) > APART:
-            found = [materialize(best().select(*columns))]
+            found = [materialize(best(found, columns[2:]).select(*columns))]
+            if carried:
+                aside = [materialize(best(aside, [*columns[2:], *carried]))]
     raise RuntimeError("the search did not end")
 
 
@@ -136,18 +227,32 @@ def reachable_spans(adj: DataFrame, reached: DataFrame, max_cost: float) -> Data
     return rows.where(left > 0).select("origin", "edge_id", "direction", reached["cost"].alias("start_cost"), fraction.alias("fraction"))
 
 
+def _all_turns(adj: DataFrame) -> DataFrame:
+    """Every pair of directed edges of which the second begins where the first ends."""
+    a, b = adj.alias("a"), adj.alias("b")
+    return a.join(b, F.col("a.v") == F.col("b.u")).select(
+        F.col("a.v").alias("junction_node_id"), F.col("a.edge_id").alias("from_edge_id"), F.col("a.direction").alias("from_direction"),
+        F.col("b.edge_id").alias("to_edge_id"), F.col("b.direction").alias("to_direction"), F.col("b.cost").alias("cost"),
+    )
+
+
+def _as_moves(turns: DataFrame) -> DataFrame:
+    ahead = step_name("to_edge_id", "to_direction")
+    return turns.select(step_name("from_edge_id", "from_direction").alias("u"), ahead.alias("v"), "cost", ahead.alias("step"))
+
+
+def _turns(adj: DataFrame) -> DataFrame:
+    return _as_moves(_all_turns(adj))
+
+
 def turn_adjacency(adj: DataFrame, restrictions: DataFrame) -> DataFrame:
-    """Moves between directed edges that turn rules allow: rows (u, v, cost), states written edge/direction.
+    """Moves between directed edges that turn rules allow: rows (u, v, cost, step), states written edge/direction.
 
     restrictions: (junction_node_id, from_edge_id, from_direction, to_edge_id,
     to_direction, restriction). no_* forbids a move; where an only_* stands for an
     approach, moves outside its targets are forbidden.
     """
-    a, b = adj.alias("a"), adj.alias("b")
-    moves = a.join(b, F.col("a.v") == F.col("b.u")).select(
-        F.col("a.v").alias("junction_node_id"), F.col("a.edge_id").alias("from_edge_id"), F.col("a.direction").alias("from_direction"),
-        F.col("b.edge_id").alias("to_edge_id"), F.col("b.direction").alias("to_direction"), F.col("b.cost").alias("cost"),
-    )
+    moves = _all_turns(adj)
     approach = ["junction_node_id", "from_edge_id", "from_direction"]
     full = [*approach, "to_edge_id", "to_direction"]
     no = restrictions.where(F.col("restriction").startswith("no_")).select(full).distinct()
@@ -155,23 +260,21 @@ def turn_adjacency(adj: DataFrame, restrictions: DataFrame) -> DataFrame:
     moves = moves.join(no, full, "left_anti")
     ruled = only.select(approach).distinct().withColumn("_ruled", F.lit(True))
     right = only.withColumn("_right", F.lit(True))
-    moves = moves.join(ruled, approach, "left").join(right, full, "left").where("_ruled is null or _right")
-    ahead = step_name("to_edge_id", "to_direction")
-    return moves.select(step_name("from_edge_id", "from_direction").alias("u"), ahead.alias("v"), "cost", ahead.alias("step"))
+    return _as_moves(moves.join(ruled, approach, "left").join(right, full, "left").where("_ruled is null or _right"))
 
 
-def _restricted(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None) -> tuple[DataFrame, DataFrame]:
-    """The search over directed edges, and its states' end nodes (state, node)."""
+def _turning(edges: DataFrame, restrictions: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Moves, starts and end nodes (state, node) of a search over directed edges."""
     adj = adjacency(edges)
     state = step_name("edge_id", "direction")
     first = origins.join(adj, F.col("origin") == F.col("u")).select("origin", state.alias("state"), "cost", state.alias("step"))
-    return search(turn_adjacency(adj, restrictions), first, max_cost), adj.select(state.alias("state"), F.col("v").alias("node"))
+    return turn_adjacency(adj, restrictions), first, adj.select(state.alias("state"), F.col("v").alias("node"))
 
 
 def restricted_costs(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None = None) -> DataFrame:
     """Rows (origin, node, cost) under turn rules: cheapest cost to each node from origins (origin: a node id)."""
-    found, ends = _restricted(edges, restrictions, origins, max_cost)
-    reached = found.join(ends, "state").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+    moves, starts, ends = _turning(edges, restrictions, origins)
+    reached = search(moves, starts, max_cost).join(ends, "state").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
     own = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
     return reached.unionByName(own).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
 
@@ -191,54 +294,89 @@ def _origins(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("from_node").alias("origin")).distinct()
 
 
-def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame) -> DataFrame:
+def _directed(nodes: DataFrame | None, moves: DataFrame, ends: DataFrame, pairs: DataFrame) -> Goals | None:
+    """Goals of pairs for a search whose states end at nodes (state, node); None without places of nodes."""
+    if nodes is None:
+        return None
+    spots = nodes.select(F.col("id").alias("node"), "x", "y")
+    wanted = pairs.where("from_node <> to_node").select(F.col("from_node").alias("origin"), F.col("to_node").alias("target")).distinct()
+    places = ends.join(spots, "node").select("state", "x", "y").distinct()
+    starts = wanted.select("origin").distinct().join(spots.withColumnRenamed("node", "origin"), "origin")
+    return goals(moves, materialize(places), materialize(wanted.join(ends, F.col("target") == F.col("node")).select("origin", "target", "state")), starts)
+
+
+def _route_search(moves: DataFrame, starts: DataFrame, ends: DataFrame, pairs: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    moves = materialize(moves)
+    return _routes(search(moves, starts, goals=_directed(nodes, moves, ends, pairs)), ends, pairs)
+
+
+def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Cheapest routes of pairs (from_node, to_node) under turn rules: (from_node, to_node, cost, edges).
 
     Turns are judged between an edge and the next; the first edge is free. Pairs
-    without a route are left out; a node to itself is an empty route.
+    without a route are left out; a node to itself is an empty route. With nodes (id, x,
+    y) the search is goal-directed.
     """
-    found, ends = _restricted(edges, restrictions, _origins(pairs), None)
-    return _routes(found, ends, pairs)
-
-
-def _lane_search(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost: float | None, swap_cost: float) -> tuple[DataFrame, DataFrame]:
-    adj = adjacency(edges).join(lanes, "edge_id", "left").withColumn("n", F.greatest(F.lit(1), F.coalesce("lane_count", F.lit(1))))
-    wide = adj.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    name = lambda n, lane: F.concat_ws("#", n, lane)
-    before = F.sequence(F.lit(0), F.lit(max(1, lanes.agg(F.max("lane_count")).first()[0] or 1) - 1))
-    cost = F.col("cost") + swap_cost * F.abs(F.col("lane") - F.col("old"))
-    moves = wide.withColumn("old", F.explode(before)).select(name("u", "old").alias("u"), name("v", "lane").alias("v"), cost.alias("cost"), step_name("edge_id", "direction", F.col("lane").cast("string")).alias("step"))
-    starts = origins.withColumn("lane", F.explode(before)).select("origin", name("origin", "lane").alias("state"), F.lit(0.0).alias("cost"))
-    ends = moves.select(F.col("v").alias("state"), F.substring_index("v", "#", 1).alias("node")).distinct()
-    return search(moves, starts, max_cost), ends
+    moves, starts, ends = _turning(edges, restrictions, _origins(pairs))
+    return _route_search(moves, starts, ends, pairs, nodes)
 
 
-def lane_costs(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost: float | None = None, swap_cost: float = 50.0) -> DataFrame:
-    """Rows (origin, node, lane, cost) where changing to a neighbour lane of the next edge costs `swap_cost` a lane.
+def _laned(edges: DataFrame, lanes: DataFrame, origins: DataFrame, swap_cost: float, restrictions: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Moves, starts and ends (state, node, lane) of a search over edge/direction/lane.
 
-    lanes: (edge_id, lane_count); an edge without has one. Any lane is free to start in.
+    Changing lanes within an edge is no move of its own: coming to an edge in another
+    lane costs the same, so nothing is cheaper by it.
+    """
+    adj = adjacency(edges)
+    state = step_name("edge_id", "direction")
+    count = F.greatest(F.lit(1), F.coalesce("lane_count", F.lit(1)))
+    wide = adj.join(lanes.select("edge_id", "lane_count"), "edge_id", "left").select(state.alias("on"), "u", "v", "cost", count.cast("int").alias("n"))
+    wide = materialize(wide)
+    name = lambda on, lane: step_name(on, F.col(lane).cast("string"))
+    lane = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    turns = turn_adjacency(adj, restrictions) if restrictions is not None else _turns(adj)
+    after = wide.select(F.col("on").alias("v"), F.col("n").alias("n_v"))
+    both = turns.join(wide.select(F.col("on").alias("u"), F.col("n").alias("n_u")), "u").join(after, "v")
+    both = both.withColumn("old", F.explode(F.sequence(F.lit(0), F.col("n_u") - 1))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("n_v") - 1)))
+    change = F.when((F.col("n_v") > 1) & (F.col("lane") != F.col("old")), swap_cost).otherwise(0.0)
+    moves = both.select(name("u", "old").alias("u"), name("v", "lane").alias("v"), (F.col("cost") + change).alias("cost"), name("v", "lane").alias("step"))
+    placed = wide.withColumn("lane", lane)
+    starts = origins.join(placed, F.col("origin") == F.col("u")).select("origin", name("on", "lane").alias("state"), "cost", name("on", "lane").alias("step"))
+    return moves, starts, placed.select(name("on", "lane").alias("state"), F.col("v").alias("node"), "lane")
+
+
+def lane_costs(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost: float | None = None, swap_cost: float = 50.0, restrictions: DataFrame | None = None) -> DataFrame:
+    """Rows (origin, node, lane, cost): cheapest ways that come to a node in a lane, where changing lanes costs `swap_cost`.
+
+    lanes: (edge_id, lane_count); an edge without has one. Going on in a lane of another
+    number costs the same however many lanes lie between, and nothing where the next
+    edge has one lane. The first edge is free to start on in any lane; the origin itself
+    has cost 0 and no lane.
     """
-    found, _ = _lane_search(edges, lanes, origins, max_cost, swap_cost)
-    parts = F.split("state", "#")
-    return found.select("origin", parts[0].alias("node"), parts[1].cast("int").alias("lane"), "cost")
+    moves, starts, ends = _laned(edges, lanes, origins, swap_cost, restrictions)
+    found = search(moves, starts, max_cost).join(ends, "state").groupBy("origin", "node", "lane").agg(F.min("cost").alias("cost"))
+    own = origins.select("origin", F.col("origin").alias("node"), F.lit(None).cast("int").alias("lane"), F.lit(0.0).alias("cost"))
+    return found.unionByName(own)
 
 
-def lane_paths(edges: DataFrame, lanes: DataFrame, pairs: DataFrame, swap_cost: float = 50.0) -> DataFrame:
+def lane_paths(edges: DataFrame, lanes: DataFrame, pairs: DataFrame, swap_cost: float = 50.0, restrictions: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Cheapest routes of pairs where lane changes cost: (from_node, to_node, cost, edges), edges as edge/direction/lane."""
-    found, ends = _lane_search(edges, lanes, _origins(pairs), None, swap_cost)
-    return _routes(found, ends, pairs)
+    moves, starts, ends = _laned(edges, lanes, _origins(pairs), swap_cost, restrictions)
+    return _route_search(moves, starts, ends.select("state", "node"), pairs, nodes)
 
 
-def paths(adj: DataFrame, pairs: DataFrame) -> DataFrame:
+def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Cheapest routes of pairs (from_node, to_node): (from_node, to_node, cost, edges), edges as edge/direction in order.
 
     Pairs without a route are left out; a node to itself is an empty route. Of routes of
     equal cost the one of fewest edges counts, then the one whose edges' names are
-    smaller, read from the end. All origins are searched at once.
+    smaller, read from the end. All origins are searched at once. With nodes (id, x, y)
+    the search is goal-directed: it leaves alone what lies too far from the targets.
     """
     origins = _origins(pairs)
-    found = search(adj.select("u", "v", "cost", step_name("edge_id", "direction").alias("step")), origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")))
-    return _routes(found, adj.select(F.col("v").alias("state"), F.col("v").alias("node")).distinct(), pairs)
+    moves = adj.select("u", "v", "cost", step_name("edge_id", "direction").alias("step"))
+    ends = adj.select(F.explode(F.array("u", "v")).alias("state")).distinct().select("state", F.col("state").alias("node"))
+    return _route_search(moves, origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")), ends, pairs, nodes)
 
 
 def merge_restrictions(*groups: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ multiplied.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,17 +158,52 @@ def coverage(snapped: DataFrame) -> DataFrame:
     )
 
 
-def segment_crossings(edges: DataFrame, size: float = 100.0) -> DataFrame:
+#: Segments of a cell that meet as one key, and how often a cell with more is cut into quarters.
+CAPACITY, CUTS = 256, 8
+
+
+def cells_by_load(segs: DataFrame, size: float, capacity: int = CAPACITY) -> DataFrame:
+    """Segments once for each cell that they meet: level, cx, cy and parts, by which a cell deals out what it has too much of.
+
+    A cell of more than `capacity` segments is cut into quarters, and these again, up to
+    CUTS times. What then still meets in one place is dealt over as many parts as make
+    that capacity.
+    """
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    done, wide = None, spread(segs, *ends, 0.0, size).withColumn("level", F.lit(0))
+    for level in range(CUTS + 1):
+        counted = materialize(wide.join(wide.groupBy("cx", "cy").agg(F.count("*").alias("_n")), ["cx", "cy"]))
+        last = level == CUTS
+        parts = F.ceil(F.col("_n") / capacity).cast("int") if last else F.lit(1)
+        fit = counted.where(F.lit(last) | (F.col("_n") <= capacity)).withColumn("parts", parts).drop("_n")
+        done = fit if done is None else done.unionByName(fit)
+        full = counted.where(~(F.lit(last) | (F.col("_n") <= capacity)))
+        if last or full.isEmpty():
+            return done
+        size /= 2
+        kept = full.select(F.col("cx").alias("_px"), F.col("cy").alias("_py")).distinct()
+        wide = spread(full.select(*segs.columns).distinct(), *ends, 0.0, size).withColumns({"level": F.lit(level + 1), "_px": F.shiftright(F.col("cx"), 1), "_py": F.shiftright(F.col("cy"), 1)})
+        wide = wide.join(kept, ["_px", "_py"], "left_semi").drop("_px", "_py")
+    return done
+
+
+def segment_crossings(edges: DataFrame, size: float = 100.0, capacity: int = CAPACITY) -> DataFrame:
     """Strict crossings of segments of different edges: (edge_a, seg_a, edge_b, seg_b, ta, tb, x, y).
 
-    A pair that shares several cells is found in each of them; crossings, which are few
-    beside the pairs, are then made distinct.
+    Segments meet in cells that are smaller where there are many, and where cells do not
+    part them, in pairs of parts, so that no key has many more than `capacity` of either
+    side. A pair that shares several cells is found in each of them; crossings, which are
+    few beside the pairs, are then made distinct.
     """
     segs = segments(edges).select("edge_ord", "edge_id", "seg_ord", "ax", "ay", "bx", "by")
-    wide = spread(segs, *(F.col(c) for c in ("ax", "ay", "bx", "by")), 0.0, size)
-    a, b = wide.alias("a"), wide.alias("b")
+    wide = cells_by_load(segs, size, capacity)
+    own = F.pmod(F.xxhash64("edge_ord", "seg_ord"), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+    a = wide.withColumn("_i", own).withColumn("_j", every).alias("a")
+    b = wide.withColumn("_j", own).withColumn("_i", every).alias("b")
     col = lambda t, c: F.col(f"{t}.{c}")
-    pairs = a.join(b, (col("a", "cx") == col("b", "cx")) & (col("a", "cy") == col("b", "cy")) & (col("a", "edge_ord") < col("b", "edge_ord")))
+    same = [col("a", c) == col("b", c) for c in ("level", "cx", "cy", "_i", "_j")]
+    pairs = a.join(b, [*same, col("a", "edge_ord") < col("b", "edge_ord")])
     ta, tb = crossing(*(col("a", c) for c in ("ax", "ay", "bx", "by")), *(col("b", c) for c in ("ax", "ay", "bx", "by")))
     pairs = pairs.select(col("a", "edge_id").alias("edge_a"), col("a", "seg_ord").alias("seg_a"), col("b", "edge_id").alias("edge_b"), col("b", "seg_ord").alias("seg_b"), ta.alias("ta"), tb.alias("tb"), *(col("a", c) for c in ("ax", "ay", "bx", "by")))
     pairs = pairs.where("ta is not null").dropDuplicates(["edge_a", "seg_a", "edge_b", "seg_b"])
@@ -183,6 +221,62 @@ def close_points(points: DataFrame, radius: float, inclusive: bool = True) -> Da
     return out.where(d2 <= radius * radius if inclusive else d2 < radius * radius).select("a", "b", F.sqrt(d2).alias("d"))
 
 
+#: How many boxes a side of a cell has, and each box again where it must be looked into.
+FINER = 12
+
+
+def close_cells(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Points (key, x, y) with `rep`, the smallest key of their cell, and links (a, b) of cells that have points within `radius` of each other.
+
+    Cells are so small that all points of one are that close. Of cells that lie near each
+    other, boxes around their points are compared, a bounded number for each cell however
+    many points it has: two boxes that lie wholly within the radius link their cells, and
+    where only boxes are near whose points may be or not, these are cut into smaller ones,
+    down to single points. So the work does not grow with the pairs of close points.
+    """
+    side = radius / math.sqrt(2.0) * (1 - 1e-12)
+    placed = points.select("key", "x", "y", cell(F.col("x"), side).alias("cx"), cell(F.col("y"), side).alias("cy"))
+    own = placed.groupBy("cx", "cy").agg(F.min("key").alias("rep"))
+    placed = materialize(placed.join(own, ["cx", "cy"]))
+    # half of the cells around, as pairs count once
+    around = [(dx, dy) for dx in range(-2, 3) for dy in range(3) if (dy, dx) > (0, 0)]
+    offsets = F.explode(F.array(*(F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in around)))
+    near, far = "near", "far"
+
+    def boxed(rows: DataFrame, size: float) -> DataFrame:
+        boxes = rows.groupBy("rep", "cx", "cy", cell(F.col("x"), size).alias("mx"), cell(F.col("y"), size).alias("my"))
+        return boxes.agg(*(f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.col(f"a.{c}0") - F.col(f"b.{c}1"))
+        wide = lambda c: F.greatest(F.col(f"b.{c}1") - F.col(f"a.{c}0"), F.col(f"a.{c}1") - F.col(f"b.{c}0"))
+        square = lambda f: f("x") * f("x") + f("y") * f("y")
+        names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("rep", "mx", "my")]
+        return materialize(pairs.select(*names, (square(gap) <= radius * radius).alias(near), (square(wide) <= radius * radius).alias(far)).where(near))
+
+    size = side / FINER
+    boxes = boxed(placed, size)
+    ahead = boxes.withColumn("_o", offsets).withColumns({"cx": F.col("cx") + F.col("_o.dx"), "cy": F.col("cy") + F.col("_o.dy")}).drop("_o")
+    found = judged(ahead.alias("a").join(boxes.alias("b"), (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))))
+    links = []
+    while True:
+        links.append(found.where(far).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
+        open_ = found.where(~F.col(far)).join(links[-1].select(F.col("a").alias("a_rep"), F.col("b").alias("b_rep")), ["a_rep", "b_rep"], "left_anti")
+        if open_.isEmpty():
+            return placed.select("key", "x", "y", "rep"), reduce(DataFrame.unionByName, links)
+        open_ = materialize(open_)
+        inside = placed.withColumns({"_mx": cell(F.col("x"), size), "_my": cell(F.col("y"), size)})
+        size /= FINER
+
+        def half(s: str, rows: DataFrame = inside, finer: float = size, pairs: DataFrame = open_) -> DataFrame:
+            wanted = pairs.select(*(F.col(f"{s}_{c}").alias(n) for c, n in (("rep", "rep"), ("mx", "_mx"), ("my", "_my")))).distinct()
+            parts = rows.join(wanted, ["rep", "_mx", "_my"], "left_semi").groupBy("rep", "_mx", "_my", cell(F.col("x"), finer).alias("mx"), cell(F.col("y"), finer).alias("my"))
+            return parts.agg(*(f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max)))).alias(s)
+
+        meet = lambda s: [F.col(f"o.{s}_{c}") == F.col(f"{s}.{n}") for c, n in (("rep", "rep"), ("mx", "_mx"), ("my", "_my"))]
+        found = judged(open_.alias("o").join(half("a"), meet("a")).join(half("b"), meet("b")))
+
+
 def endpoint_clusters(points: DataFrame, merge_dist: float) -> DataFrame:
     """Points (key, x, y) with the node they merge into: node (n0, n1, ... by smallest key), node_x, node_y.
 
@@ -191,9 +285,10 @@ def endpoint_clusters(points: DataFrame, merge_dist: float) -> DataFrame:
     """
     same = points.groupBy("x", "y").agg(F.min("key").alias("key"))
     reps = points.join(same.withColumnRenamed("key", "rep"), ["x", "y"])
-    linked = connected_components(close_points(same, merge_dist).select("a", "b")) if merge_dist > 0 else None
-    if linked is not None:
-        reps = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    if merge_dist > 0:
+        cells, links = close_cells(same, merge_dist)
+        linked = connected_components(links).withColumnRenamed("node", "_cell")
+        reps = reps.join(cells.select(F.col("key").alias("rep"), F.col("rep").alias("_cell")), "rep").join(linked, "_cell", "left").withColumn("rep", F.coalesce("component", "_cell"))
     centre = reps.groupBy("rep").agg(F.min("key").alias("first"), F.avg("x").alias("node_x"), F.avg("y").alias("node_y"))
     centre = numbered(centre, "first").withColumn("node", F.concat(F.lit("n"), "place")).drop("place")
     return reps.join(centre, "rep").select("key", "x", "y", "node", "node_x", "node_y")

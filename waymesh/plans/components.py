@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+
+
+def union_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest item that each of `n` items is joined to by the pairs (a, b), within one task."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        while not np.array_equal(short := after[after], after):
+            after = short
+        if np.array_equal(after, root):
+            return root
+        root = after

@@ -1,8 +1,10 @@
-"""A road network and traces derived from the driver's tables, the same in Spark and in DuckDB.
+"""Road networks and traces derived from the driver's tables, the same in Spark and in DuckDB.
 
 A 25 x 25 grid of nodes comes from `nation`, with edges to the right and upwards.
 Traces are random walks of the users of `events` in whole decimetres, so that sums
-are exact in any order.
+are exact in any order. A second network, the towns, grows with `orders`: each order is
+a node, 40 to a row, moved about in whole metres; edges to the right and upwards skip
+some orders, bend, are one-way or without length, and every 50 rows a new town begins.
 """
 
 from __future__ import annotations
@@ -29,6 +31,31 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def town_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    place = lambda at, step: (100 * at + (k * step) % 41 - 20).cast("double")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("v"), k).alias("id"), k.alias("ord"), place(k % 40, 7919).alias("x"), place(F.floor(k / 40), 6007).alias("y"))
+
+
+def town_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with osm_oneway and lane_count."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    k, c = F.col("k"), F.col("c")
+    way = lambda j, ahead, when: F.when(when, F.struct(F.lit(j).alias("j"), (k + ahead).alias("to")))
+    ways = F.array(way(0, 1, (k % 40 != 39) & (c % 9 != 0)), way(1, 40, (F.floor(k / 40) % 50 != 49) & (c % 7 != 0)), way(2, 0, k % 97 == 0))
+    ends = rows.select("k", F.explode(F.array_compact(ways)).alias("w")).select("k", "w.j", "w.to")
+    spots = town_nodes(spark, sf_dir).select("ord", F.struct("x", "y").alias("p"))
+    ends = ends.join(spots.select(F.col("ord").alias("k"), F.col("p").alias("a")), "k").join(spots.select(F.col("ord").alias("to"), F.col("p").alias("b")), "to")
+    bent = ((F.col("j") == 0) & (k % 3 == 0)) | ((F.col("j") == 1) & (k % 4 == 0))
+    middle = F.struct(((F.col("a.x") + F.col("b.x")) / 2 + 25 * F.col("j")).alias("x"), ((F.col("a.y") + F.col("b.y")) / 2 + 30 * (1 - F.col("j"))).alias("y"))
+    oneway = F.when((F.col("j") == 0) & (k % 5 == 0), "yes").when((F.col("j") == 0) & (k % 11 == 0), "-1")
+    number = 3 * k + F.col("j")
+    return ends.select(
+        number.alias("ord"), F.concat(F.lit("r"), number).alias("edge_id"), F.concat(F.lit("v"), k).alias("start_node_id"), F.concat(F.lit("v"), "to").alias("end_node_id"),
+        F.when(bent, F.array("a", middle, "b")).otherwise(F.array("a", "b")).alias("polyline"), oneway.alias("osm_oneway"), (1 + k % 3).cast("int").alias("lane_count"),
+    )
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
     walk = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -63,6 +90,20 @@ samples as (
   from walk)
 """
 
+#: The towns as DuckDB common table expressions: legs are the segments of edges, tadj the edges in both directions.
+TOWN_SQL = """
+tn as (select 'v' || o_orderkey as id, o_orderkey as k, o_custkey as c, (100 * (o_orderkey % 40) + (o_orderkey * 7919) % 41 - 20)::double as x, (100 * (o_orderkey // 40) + (o_orderkey * 6007) % 41 - 20)::double as y from orders),
+te as (
+  select 3 * a.k + j as ord, 'r' || (3 * a.k + j) as edge_id, a.id as s, b.id as t, a.k as k, a.x as x0, a.y as y0, b.x as x1, b.y as y1, (a.x + b.x) / 2 + 25 * j as mx, (a.y + b.y) / 2 + 30 * (1 - j) as my,
+         (j = 0 and a.k % 3 = 0) or (j = 1 and a.k % 4 = 0) as bent, case when j = 0 and a.k % 5 = 0 then 'yes' when j = 0 and a.k % 11 = 0 then '-1' end as oneway, (1 + a.k % 3)::int as lanes
+  from (select *, unnest([0, 1, 2]) as j from tn) a join tn b on b.k = a.k + [1, 40, 0][j + 1]
+  where (j = 0 and a.k % 40 <> 39 and a.c % 9 <> 0) or (j = 1 and (a.k // 40) % 50 <> 49 and a.c % 7 <> 0) or (j = 2 and a.k % 97 = 0)),
+tl as (
+  select *, case when bent then sqrt((mx - x0) ** 2 + (my - y0) ** 2) + sqrt((x1 - mx) ** 2 + (y1 - my) ** 2) else sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) end as len,
+         case when bent then mx else x1 end as sx, case when bent then my else y1 end as sy, case when bent then mx else x0 end as tx, case when bent then my else y0 end as ty from te),
+tadj as (select edge_id, s as u, t as v, 'forward' as direction, len, oneway, lanes from tl union all select edge_id, t, s, 'reverse', len, oneway, lanes from tl where s <> t)
+"""
+
 #: Samples with their nearest edge closer than 15 m (nulls without one), after SQL.
 SNAP_SQL = (
     SQL

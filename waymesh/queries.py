@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geometry
-from waymesh.operators import camera, compare, guidance, hd, incremental, lanes, matching, routing, spatial, topology, traces
+from waymesh.operators import camera, compare, guidance, hd, image_lanes, incremental, lanes, matching, routing, spatial, topology, traces
 from waymesh.plans import build
-from waymesh.plans.views import SNAP_SQL, SQL, edges, nodes, samples
+from waymesh.plans.views import SNAP_SQL, SQL, TOWN_SQL, edges, nodes, samples, town_edges, town_nodes
 from waymesh.sources import documents, lanelets
 
+#: A camera 1.5 m above the ground that looks a little down.
+_CAMERA = camera.Calibration(500.0, 500.0, 320.0, 240.0, mount=camera.rotation(0.0, 0.1, 0.0), shift=(0.0, 0.0, 1.5))
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -392,11 +395,11 @@ def restricted_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.restricted_costs(e, _one_way_rules(e), _every(spark, sf_dir), 500.0)
 
 
-@query(f"""with recursive {_ADJ}, ln as (select adj.*, unnest(range(0, 1 + e.ord % 3)) as lane from adj join edges e using (edge_id)),
+@query(f"""with recursive {_ADJ}, ln as (select adj.*, 1 + e.ord % 3 as n, unnest(range(0, 1 + e.ord % 3)) as lane from adj join edges e using (edge_id)),
 wk as (
-  select id as origin, id as node, lane, 0.0::double as cost from nodes, (select unnest([0, 1, 2]::bigint[]) as lane)
-  union select origin, v, ln.lane, cost + 100 + 50 * abs(ln.lane - wk.lane) from wk join ln on ln.u = wk.node where cost + 100 + 50 * abs(ln.lane - wk.lane) <= 400)
-select origin, node, lane::int as lane, min(cost) as cost from wk group by 1, 2, 3""")
+  select u as origin, v as node, lane, 100.0::double as cost from ln
+  union select origin, v, ln.lane, cost + 100 + case when ln.n > 1 and ln.lane <> wk.lane then 50 else 0 end from wk join ln on ln.u = wk.node where cost + 100 + case when ln.n > 1 and ln.lane <> wk.lane then 50 else 0 end <= 400)
+select origin, node, lane::int as lane, min(cost) as cost from wk group by 1, 2, 3 union all select id, id, null, 0 from nodes""")
 def lane_level_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     return routing.lane_costs(e, e.select("edge_id", (1 + F.col("ord") % 3).cast("int").alias("lane_count")), _every(spark, sf_dir), 400.0)
@@ -465,13 +468,13 @@ def _cluster_sql(kind: int, name: str) -> str:
 
 
 @query(f"""with {SQL}, {_VALUES}, {_cluster_sql(0, "m")}, {_cluster_sql(1, "o")}
-select e.edge_id, greatest(1, least(6, coalesce(greatest(1, m - 1), case when e.ord % 4 = 0 then 2 end, o, 1)))::int as lane_count,
+select e.edge_id, greatest(1, least(6, case when m is not null then greatest(1, m - 1) when e.ord % 4 = 0 then 2 when o is not null then o else 1 end))::int as lane_count,
        case when m is not null then 'lane_markings' when e.ord % 4 = 0 then 'osm_lanes' when o is not null then 'trace_offsets' else 'default' end as source
 from edges e left join m on m.edge_id = e.edge_id left join o on o.edge_id = e.edge_id""")
 def lane_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = _values(spark, sf_dir), edges(spark, sf_dir)
     tags = e.where("ord % 4 = 0").select("edge_id", F.lit(2).alias("osm_lanes"))
-    return lanes.lane_counts(e, v.where("kind = 0"), tags, v.where("kind = 1"), 0.8)
+    return hd.lane_inferences(e, v.where("kind = 0"), tags, v.where("kind = 1"), gap=0.8).select("edge_id", "lane_count", "source")
 
 
 @query(f"""with {SQL}, {_VALUES}, es as (select edge_id, kind, avg(abs(value) + 0.5) as w, count(*) as b from vs group by 1, 2),
@@ -479,8 +482,9 @@ pe as (select edge_id, avg(w) as w, sum(b) as b, count(*) as n from es group by
 select e.edge_id, round(coalesce(w, 1.75), 6) as half_width, round(least(coalesce(n, 0), 3) / 3.0::double * (1 - exp(-coalesce(b, 0) / 10.0::double)), 4) as confidence, coalesce(n, 0) as sources
 from edges e left join pe on pe.edge_id = e.edge_id""")
 def hd_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    estimates = _values(spark, sf_dir).select("edge_id", F.col("kind").alias("source"), (F.abs("offset") + 0.5).alias("half_width"), F.lit(1).alias("bins"))
-    return rounded(lanes.refine(edges(spark, sf_dir), estimates))
+    per = _values(spark, sf_dir).groupBy("edge_id", F.col("kind").cast("string").alias("source")).agg(F.avg(F.abs("offset") + 0.5).alias("half_width"), F.lit(None).cast("double").alias("offset"), F.count("*").alias("bins"))
+    found = hd.refinements(edges(spark, sf_dir), per)
+    return rounded(found.select("edge_id", "half_width", "confidence", F.size("sources").alias("sources")))
 
 
 @query("""with n as (select p_partkey, (p_size % 6 + 1) as c from part)
@@ -496,7 +500,9 @@ s as (select *, case when abs(up) >= 1e-9 and -1.5::double / up > 0 then -1.5::d
 select l_orderkey, l_linenumber, round(k * (ahead * cos(yaw) + r * sin(yaw)), 6) as gx, round(k * (ahead * sin(yaw) - r * cos(yaw)), 6) as gy from s where k is not null""")
 def camera_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    gx, gy = lanes.pixel_to_ground((F.col("l_partkey") % 640).cast("double"), ((F.col("l_suppkey") % 48) * 10).cast("double"), {"fx": 500.0, "fy": 500.0, "cx": 320.0, "cy": 240.0, "pitch": 0.1}, F.lit(0.0), F.lit(0.0), F.lit(1.5), (F.col("l_orderkey") % 628) / 100.0)
+    zero = F.lit(0.0)
+    turned = camera.rotation(zero, zero, (F.col("l_orderkey") % 628) / 100.0)
+    gx, gy = camera.pixel_on_ground((F.col("l_partkey") % 640).cast("double"), ((F.col("l_suppkey") % 48) * 10).cast("double"), _CAMERA, (zero, zero, zero), turned)
     return rounded(rows.select("l_orderkey", "l_linenumber", gx.alias("gx"), gy.alias("gy")).where("gx is not null"))
 
 
@@ -677,9 +683,6 @@ def lane_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("edge_id", "lane_index", "offset_m", at(1, "x"), at(1, "y"), at(2, "x"), at(2, "y")))
 
 
-_CAMERA = camera.Calibration(500.0, 500.0, 320.0, 240.0, mount=camera.rotation(0.0, 0.1, 0.0), shift=(0.0, 0.0, 1.5))
-
-
 @query(f"""with {SQL}, p as (select distinct concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos, ((l_partkey % 640) - 320)::double / 500 as r, ((l_suppkey % 48) * 10 - 240)::double / 500 as d, (l_orderkey % 628)::double / 100 as yaw,
   ((l_orderkey * 7919 + l_linenumber * 131) % 24000)::double / 10 as x, ((l_partkey * 6007 + l_linenumber * 17) % 24000)::double / 10 as y from lineitem),
 q as (select *, cos(0.1::double) - d * sin(0.1::double) as ahead, -(sin(0.1::double) + d * cos(0.1::double)) as up from p),
@@ -715,7 +718,7 @@ def camera_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_STROKES}, en as (select edge_id || '/' || k as key, case k when 0 then x0 else x1 end as x, case k when 0 then y0 else y1 end as y from st, (select unnest([0, 1]) as k)),
 h as (select key, e.edge_id, x, y, x0, y0, x1, y1, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / 10000)) as u from en join edges e
   on x between least(x0, x1) - 8 and greatest(x0, x1) + 8 and y between least(y0, y1) - 8 and greatest(y0, y1) + 8)
-select key, edge_id, round(100 * u, 6) as arc from h where (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 <= 64 and 100 * u > 1 and 100 - 100 * u > 1""")
+select key, edge_id, round(100 * u, 6) as arc from h where (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 <= 64 and 100 * u >= 1 and 100 - 100 * u >= 1""")
 def t_junction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = _strokes(spark, sf_dir).select("edge_id", F.posexplode("polyline").alias("k", "p")).select(F.concat("edge_id", F.lit("/"), "k").alias("key"), "p.x", "p.y")
     return rounded(build.t_junctions(ends, edges(spark, sf_dir), 8.0).select("key", "edge_id", "arc"))
@@ -745,17 +748,22 @@ def lanelet_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {SQL}, p as (select s_suppkey as pos, (s_suppkey * 3701 % 24000)::double / 10 as x, (s_suppkey * 5309 % 24000)::double / 10 as y,
-  case s_suppkey % 4 when 0 then 'traffic_light' when 1 then 'stop_sign' when 2 then 'yield' end as kind from supplier),
-h as (select pos, kind, e.edge_id, e.ord, (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 as d2
+  case s_suppkey % 6 when 0 then 'traffic_light' when 1 then 'stop_line' when 2 then 'stop_line' when 3 then 'crosswalk' when 4 then 'speed_camera' end as kind from supplier),
+h as (select pos, kind, e.edge_id, e.ord, x0, y0, x1, y1, x0 + u * (x1 - x0) as qx, y0 + u * (y1 - y0) as qy, (x - x0 - u * (x1 - x0)) ** 2 + (y - y0 - u * (y1 - y0)) ** 2 as d2
       from (select p.*, e.*, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / 10000)) as u from p join edges e on kind is not null
-            and x between least(x0, x1) - 30 and greatest(x0, x1) + 30 and y between least(y0, y1) - 30 and greatest(y0, y1) + 30) e),
-b as (select pos, kind, arg_min(edge_id, (d2, ord)) as edge_id, min(d2) as d2 from h where d2 < 900 group by 1, 2)
-select 2 * pos as pos, edge_id, kind, round(sqrt(d2), 6) as distance_m from b union all select 2 * pos + 1, edge_id, 'stop_line', round(sqrt(d2), 6) from b where kind = 'stop_sign'""")
+            and x between least(x0, x1) - 20 and greatest(x0, x1) + 20 and y between least(y0, y1) - 20 and greatest(y0, y1) + 20) e),
+b as (select pos, kind, arg_min((edge_id, qx, qy, x1 - x0, y1 - y0), (d2, ord)) as e, min(d2) as d2 from h where d2 < 400 group by 1, 2)
+select pos, e[1] as edge_id, kind, round(sqrt(d2), 6) as distance_m, case when kind = 'stop_line' then round(e[2] + 2 * e[5] / 100, 6) end as line_x0, case when kind = 'stop_line' then round(e[3] - 2 * e[4] / 100, 6) end as line_y0,
+       case when kind = 'stop_line' then round(e[2] - 2 * e[5] / 100, 6) end as line_x1, case when kind = 'stop_line' then round(e[3] + 2 * e[4] / 100, 6) end as line_y1, case when kind = 'speed_camera' then (30 + pos % 50)::int end as value_kmh from b""")
 def mapped_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    value = F.element_at(F.array(F.lit("traffic_signals"), F.lit("stop"), F.lit("give_way"), F.lit("bus_stop")), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    places = rows.select(F.col("s_suppkey").alias("pos"), ((F.col("s_suppkey") * 3701 % 24000) / 10.0).cast("double").alias("x"), ((F.col("s_suppkey") * 5309 % 24000) / 10.0).cast("double").alias("y"), F.create_map(F.lit("highway"), value).alias("tags"))
-    return rounded(compare.mapped_rules(places, edges(spark, sf_dir), 30.0).select("pos", "edge_id", "kind", "distance_m"))
+    value = F.element_at(F.array(*(F.lit(v) for v in ("traffic_signals", "stop", "give_way", "crossing", "speed_camera", "bus_stop"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    tags = F.create_map(F.lit("highway"), value, F.lit("maxspeed"), F.concat((30 + F.col("s_suppkey") % 50).cast("string"), F.lit(" km/h")))
+    places = rows.select(F.col("s_suppkey").alias("pos"), ((F.col("s_suppkey") * 3701 % 24000) / 10.0).cast("double").alias("x"), ((F.col("s_suppkey") * 5309 % 24000) / 10.0).cast("double").alias("y"), tags.alias("tags"))
+    rule = F.from_json("rule", "struct<polyline_m:array<array<double>>,value_kmh:int>")
+    found = compare.mapped_rules(places, edges(spark, sf_dir)).withColumn("r", rule)
+    line = [F.get(F.get("r.polyline_m", F.lit(k)), F.lit(j)).alias(f"line_{c}{k}") for k in (0, 1) for j, c in enumerate("xy")]
+    return rounded(found.select("pos", "edge_id", "kind", "distance_m", *line, "r.value_kmh"))
 
 
 @query(f"""with {SQL} select 'node' as kind, count(*) filter (where ord % 7 <> 0) as common, count(*) filter (where ord % 7 = 0) as missing, 0::bigint as added, max(case when ord % 7 <> 0 then (ord % 11)::double / 8 end) as max_m from nodes
@@ -787,3 +795,178 @@ def restricted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _origins(spark).select(F.col("origin").alias("from_node")).join(nodes(spark, sf_dir).select(F.col("id").alias("to_node")), F.lit(True))
     found = routing.restricted_paths(e, _one_way_rules(e), pairs)
     return found.select("from_node", "to_node", "cost", F.size("edges").cast("long").alias("hops"))
+
+
+# towns: a network that grows, with bends, skew angles, one-way edges, edges without length and several components
+
+_TOWN_ENDS = f"""{TOWN_SQL},
+en as (
+  select s as node, edge_id, ord, 0 as at_end, s = t as lp, sx - x0 as dx, sy - y0 as dy from tl
+  union all select t, edge_id, ord, 1, s = t, tx - x1, ty - y1 from tl),
+eu as (select node, edge_id, ord, at_end, lp, dx = 0 and dy = 0 as flat, case when dx = 0 and dy = 0 then 1 else dx end as dx, dy from en),
+dg as (select node, count(*) as degree, count(distinct edge_id) = 1 and bool_and(lp) as own from eu group by 1)
+"""
+
+
+@query(f"""with {TOWN_SQL} select count(*) as edges, round(min(len), 6) as min_m, round(median(len), 6) as median_m, round(max(len), 6) as max_m, round(sum(len), 3) as total_m,
+  (select count(*) from tn) as nodes, (select min(x) from tn) as x_min, (select max(x) from tn) as x_max, (select min(y) from tn) as y_min, (select max(y) from tn) as y_max from tl""")
+def town_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topology.graph_stats(town_nodes(spark, sf_dir), town_edges(spark, sf_dir))
+    return rounded(found.withColumn("total_m", F.round("total_m", 3)))
+
+
+# ends of a node in the order of edges; of those of three and four ends, the straightest pairs
+@query(f"""with {_TOWN_ENDS},
+tg as (select *, row_number() over (partition by node order by ord, at_end) as i, count(*) over (partition by node) as n from eu where not (flat and at_end = 1 and lp)),
+pr as (select a.node, a.n, a.i, b.i as j, abs(atan2(a.dx * b.dy - a.dy * b.dx, a.dx * b.dx + a.dy * b.dy)) as g from tg a join tg b on a.node = b.node and a.i < b.i where a.n in (3, 4)),
+co as (select *, row_number() over (partition by node order by abs(g - pi()), i, j) as r from pr where abs(g - pi()) <= radians(25)),
+k3 as (select c.node, case when abs(p.g - pi() / 2) <= radians(25) then 't_junction' else 'y_junction' end as kind
+       from co c join pr p on p.node = c.node and p.i = least(c.i, 6 - c.i - c.j) and p.j = greatest(c.i, 6 - c.i - c.j) where c.n = 3 and c.r = 1),
+k4 as (select c.node, case when abs(case when p.g > pi() / 2 then pi() - p.g else p.g end - pi() / 2) <= radians(25) then 'crossroads' else 'x_junction' end as kind
+       from co c join co d on d.node = c.node and d.i not in (c.i, c.j) and d.j not in (c.i, c.j) join pr p on p.node = c.node and p.i = least(c.i, d.i) and p.j = greatest(c.i, d.i) where c.n = 4 and c.r = 1),
+nn as (select node, count(*) as n from tg group by 1)
+select id, coalesce(degree, 0) as degree, case when own then 'self_loop' when degree >= 3 then 'multi_branch' when degree = 1 then 'dead_end' else 'through_or_corner' end as junction_hint,
+       case when degree >= 3 then coalesce(k3.kind, k4.kind, case when nn.n = 3 then 'y_junction' else 'complex_junction' end) end as junction_type
+from tn left join dg on dg.node = id left join nn on nn.node = id left join k3 on k3.node = id left join k4 on k4.node = id""")
+def town_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = town_nodes(spark, sf_dir), town_edges(spark, sf_dir)
+    return topology.node_degrees(n, e).join(topology.junction_types(n, e), "id", "left")
+
+
+@query(f"""with {_TOWN_ENDS},
+pr as (select i.edge_id, i.at_end, d.degree, o.edge_id as nx, case when i.flat then atan2(i.dx * o.dy - i.dy * o.dx, i.dx * o.dx + i.dy * o.dy) else atan2(i.dy * o.dx - i.dx * o.dy, -i.dx * o.dx - i.dy * o.dy) end as g
+       from eu i join dg d on d.node = i.node left join (select * from eu where not (lp and at_end = 1)) o on o.node = i.node and o.edge_id <> i.edge_id),
+fl as (select edge_id, at_end, degree, bool_or(abs(g) < 0.26) as ahead, coalesce(bool_or(g >= 0.26 and abs(g) < pi() - 0.52), false) as l, coalesce(bool_or(g <= -0.26 and abs(g) < pi() - 0.52), false) as r, coalesce(bool_or(abs(g) >= pi() - 0.52), false) as u from pr group by 1, 2, 3)
+select edge_id, at_end = 0 as reverse, 'straight' || case when l or (ahead and degree >= 3 and r) then ',left' else '' end || case when r or (ahead and degree >= 3 and l) then ',right' else '' end || case when u or degree = 1 then ',u_turn' else '' end as maneuvers from fl""")
+def town_maneuvers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.maneuvers(town_edges(spark, sf_dir)).withColumn("maneuvers", F.array_join("maneuvers", ","))
+
+
+_ONE_WAY = "oa as (select * from tadj where not coalesce((oneway = 'yes' and direction = 'reverse') or (oneway = '-1' and direction = 'forward'), false))"
+
+
+@query(f"""with recursive {TOWN_SQL}, {_ONE_WAY},
+d(origin, node, cost) using key (origin, node) as (
+  select id, id, 0.0::double from tn
+  union select d.origin, oa.v, min(d.cost + oa.len) from d join oa on oa.u = d.node left join recurring.d k on k.origin = d.origin and k.node = oa.v
+  where d.cost + oa.len <= 260 and (k.cost is null or d.cost + oa.len < k.cost - 1e-9) group by 1, 2)
+select origin, node, round(cost, 6) as cost from d""")
+def town_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = town_nodes(spark, sf_dir).select(F.col("id").alias("origin"), F.col("id").alias("state"), F.lit(0.0).alias("cost"))
+    found = routing.cheapest(routing.adjacency(town_edges(spark, sf_dir), respect_oneway=True), starts, 260.0)
+    return rounded(found.select("origin", F.col("state").alias("node"), "cost"))
+
+
+def _town_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier goes somewhere in its town or, without a way, in the next."""
+    s = F.col("s_suppkey")
+    node = lambda k: F.concat(F.lit("v"), k)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(node(13 * s).alias("from_node"), node(13 * s + 40 * (s % 12) + s % 29).alias("to_node"))
+
+
+_TOWN_PAIRS = "sp as (select 'v' || (13 * s_suppkey) as a, 'v' || (13 * s_suppkey + 40 * (s_suppkey % 12) + s_suppkey % 29) as b from supplier)"
+
+
+@query(f"""with recursive {TOWN_SQL}, {_ONE_WAY}, {_TOWN_PAIRS},
+d(origin, node, cost) using key (origin, node) as (
+  select distinct a, a, 0.0::double from sp
+  union select d.origin, oa.v, min(d.cost + oa.len) from d join oa on oa.u = d.node left join recurring.d k on k.origin = d.origin and k.node = oa.v
+  where k.cost is null or d.cost + oa.len < k.cost - 1e-9 group by 1, 2)
+select distinct a as from_node, b as to_node, round(cost, 6) as cost from sp join d on origin = a and node = b""")
+def town_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adj = routing.adjacency(town_edges(spark, sf_dir), respect_oneway=True)
+    return rounded(routing.paths(adj, _town_pairs(spark, sf_dir), town_nodes(spark, sf_dir)).select("from_node", "to_node", "cost"))
+
+
+# lanes change at the flat cost of 50 where the next edge has several, within an edge too
+@query(f"""with recursive {TOWN_SQL}, {_TOWN_PAIRS}, ln as (select *, unnest(range(0, lanes::bigint)) as lane from tadj),
+d(origin, edge_id, direction, lane, node, cost) using key (origin, edge_id, direction, lane) as (
+  select distinct a, edge_id, direction, lane, v, len from sp join ln on ln.u = a
+  union select origin, edge_id, direction, lane, node, min(cost) from (
+    select d.origin, ln.edge_id, ln.direction, ln.lane, ln.v as node, d.cost + ln.len + case when ln.lanes > 1 and ln.lane <> d.lane then 50 else 0 end as cost from d join ln on ln.u = d.node
+    union all select d.origin, ln.edge_id, ln.direction, ln.lane, ln.v, d.cost + 50 from d join ln on ln.edge_id = d.edge_id and ln.direction = d.direction and ln.lane <> d.lane) m
+  left join (select origin as ko, edge_id as ke, direction as kd, lane as kl, cost as kc from recurring.d) k on ko = origin and ke = edge_id and kd = direction and kl = lane
+  where cost <= 2000 and (kc is null or cost < kc - 1e-9) group by 1, 2, 3, 4, 5)
+select a as from_node, b as to_node, round(case when a = b then 0 else min(cost) end, 6) as cost from sp join d on origin = a and (node = b or a = b) group by 1, 2""")
+def town_lane_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = town_edges(spark, sf_dir)
+    found = routing.lane_paths(e, e.select("edge_id", "lane_count"), _town_pairs(spark, sf_dir), nodes=town_nodes(spark, sf_dir))
+    return rounded(found.select("from_node", "to_node", "cost").where("cost <= 2000"))
+
+
+def _town_rules(e: DataFrame) -> DataFrame:
+    """At some nodes traffic along the row must go on, at others it must not turn up."""
+    rows = e.where("ord % 3 = 0").select((F.col("ord") / 3).cast("long").alias("k"), "edge_id")
+    before = rows.select((F.col("k") + 1).alias("k"), F.col("edge_id").alias("from_edge_id"))
+    up = e.where("ord % 3 = 1").select(((F.col("ord") - 1) / 3).cast("long").alias("k"), F.col("edge_id").alias("to_edge_id"), F.lit("no_left_turn").alias("restriction")).where("k % 4 = 1")
+    on = rows.select("k", F.col("edge_id").alias("to_edge_id"), F.lit("only_straight_on").alias("restriction")).where("k % 6 = 0")
+    rules = before.join(up.unionByName(on), "k")
+    return rules.select(F.concat(F.lit("v"), "k").alias("junction_node_id"), "from_edge_id", F.lit("forward").alias("from_direction"), "to_edge_id", F.lit("forward").alias("to_direction"), "restriction")
+
+
+@query(f"""with recursive {TOWN_SQL},
+f as (select k + 1 as k, edge_id from te where ord % 3 = 0),
+ru as (select 'v' || f.k as node, f.edge_id as a, te.edge_id as b, case when ord % 3 = 1 then 'no' else 'only' end as kind from f join te on te.k = f.k where (ord % 3 = 1 and f.k % 4 = 1) or (ord % 3 = 0 and f.k % 6 = 0)),
+mv as (
+  select p.edge_id as pe, p.direction as pd, q.edge_id as qe, q.direction as qd, q.v, q.len from tadj p join tadj q on q.u = p.v
+  left join (select distinct node, a from ru where kind = 'only') o on o.node = p.v and o.a = p.edge_id and p.direction = 'forward'
+  left join ru r on r.node = p.v and r.a = p.edge_id and r.b = q.edge_id and p.direction = 'forward' and q.direction = 'forward'
+  where coalesce(r.kind, '') <> 'no' and (o.a is null or r.kind = 'only')),
+d(origin, edge_id, direction, node, cost) using key (origin, edge_id, direction) as (
+  select u, edge_id, direction, v, len from tadj where len <= 230
+  union select d.origin, qe, qd, mv.v, min(d.cost + mv.len) from d join mv on pe = d.edge_id and pd = d.direction left join recurring.d k on k.origin = d.origin and k.edge_id = qe and k.direction = qd
+  where d.cost + mv.len <= 230 and (k.cost is null or d.cost + mv.len < k.cost - 1e-9) group by 1, 2, 3, 4)
+select origin, node, round(min(cost), 6) as cost from (select origin, node, cost from d union all select id, id, 0 from tn) group by 1, 2""")
+def town_turn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = town_edges(spark, sf_dir)
+    origins = town_nodes(spark, sf_dir).select(F.col("id").alias("origin"))
+    return rounded(routing.restricted_costs(e, _town_rules(e), origins, 230.0))
+
+
+# camera images: a white stripe, a second one that touches its corner or its foot, and a yellow one
+
+_IMAGES = """im as (select p_partkey as id, (2 + p_partkey % 5)::int as ac, (1 + p_partkey % 4)::int as aw, (p_partkey % 7)::int as ar, (20 + p_partkey % 23)::int as ah, (p_partkey % 11)::int as br, (25 + p_partkey % 17)::int as bh, (1 + p_partkey % 3)::int as bw, p_partkey % 2 = 0 as joined from part),
+bx as (
+  select id, 'white' as kind, ar as top, ac as "left", case when joined then 55 else ar + ah - 1 end as bottom, case when joined then ac + aw else ac + aw - 1 end as "right", case when joined then aw * ah + 2 * (56 - ar - ah) else aw * ah end as pixels from im
+  union all select id, 'white', ar + ah, ac + aw, 55, ac + aw + 1, 2 * (56 - ar - ah) from im where not joined
+  union all select id, 'yellow', br, 30, br + bh - 1, 29 + bw, bw * bh from im)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PPM image of 48 x 56 pixels for each part."""
+    p = F.col("p_partkey")
+    v = {"ac": 2 + p % 5, "aw": 1 + p % 4, "ar": p % 7, "ah": 20 + p % 23, "br": p % 11, "bh": 25 + p % 17, "bw": 1 + p % 3}
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("image_id"), *(c.cast("int").alias(n) for n, c in v.items()), (p % 2 == 0).alias("joined"))
+    cc = F.col("ac") + F.col("aw") - F.col("joined").cast("int")
+
+    def colour(r, c):
+        inside = lambda v, low, n: (v >= low) & (v < low + n)
+        white = (inside(r, F.col("ar"), F.col("ah")) & inside(c, F.col("ac"), F.col("aw"))) | ((r >= F.col("ar") + F.col("ah")) & inside(c, cc, 2))
+        yellow = inside(r, F.col("br"), F.col("bh")) & inside(c, F.lit(30), F.col("bw"))
+        return F.when(white, F.lit("F0F0F0")).when(yellow, F.lit("FFA000")).otherwise(F.lit("303030"))
+
+    body = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda c: colour(r, c)), ""))
+    return rows.select("image_id", F.concat(F.encode(F.lit("P6\n48 56\n255\n"), "US-ASCII"), F.unhex(F.array_join(body, ""))).alias("content"))
+
+
+@query(f"""with {_IMAGES} select id as image_id, kind, top, "left", bottom, "right", pixels::int as pixels, round(sqrt((bottom - top) ** 2 + ("right" - "left") ** 2), 6) as length_px from bx where pixels >= 10 and greatest(bottom - top, "right" - "left") >= 30""")
+def camera_lane_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = image_lanes.image_markings(_images(spark, sf_dir)).select(F.col("image_id").cast("long").alias("image_id"), F.explode("lanes").alias("l"))
+    return rounded(found.select("image_id", "l.kind", "l.top", "l.left", "l.bottom", "l.right", "l.pixels", "l.length_px"))
+
+
+# the yellow stripe's middle, seen by a camera of 48 x 56 pixels
+@query(f"""with {SQL}, {_IMAGES},
+ym as (select id, (30 + 29 + bw) / 2.0::double as u, (br + br + bh - 1) / 2.0::double as v, ((id * 7919) % 24000)::double / 10 as px, ((id * 6007) % 24000)::double / 10 as py, (id % 628)::double / 100 as yaw, least(1, sqrt((bh - 1) ** 2 + (bw - 1) ** 2) / 200)::double as confidence from im where bh - 1 >= 30),
+q as (select *, (u - 24) / 40 as r, cos(0.3::double) - (v - 28) / 40 * sin(0.3::double) as ahead, -(sin(0.3::double) + (v - 28) / 40 * cos(0.3::double)) as up from ym),
+g as (select *, px + k * (ahead * cos(yaw) + r * sin(yaw)) as gx, py + k * (ahead * sin(yaw) - r * cos(yaw)) as gy from (select *, case when abs(up) >= 1e-9 and -1.5::double / up > 0 then -1.5::double / up end as k from q) where k is not null),
+h as (select id, confidence, gx, gy, e.edge_id, e.ord, (gx - x0 - w * (x1 - x0)) ** 2 + (gy - y0 - w * (y1 - y0)) ** 2 as d2, (x1 - x0) * (gy - y0 - w * (y1 - y0)) - (y1 - y0) * (gx - x0 - w * (x1 - x0)) as cr
+      from (select g.*, e.*, greatest(0, least(1, ((gx - x0) * (x1 - x0) + (gy - y0) * (y1 - y0)) / 10000)) as w from g join edges e
+            on gx between least(x0, x1) - 4 and greatest(x0, x1) + 4 and gy between least(y0, y1) - 4 and greatest(y0, y1) + 4) e)
+select id as image_id, arg_min(edge_id, (d2, ord)) as edge_id, round(any_value(gx), 6) as x, round(any_value(gy), 6) as y, 'yellow' as kind, case when arg_min(cr, (d2, ord)) > 0 then 'left' else 'right' end as side, round(any_value(confidence), 6) as confidence from h where d2 <= 12.25 group by 1""")
+def camera_lanes_on_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = camera.Calibration(40.0, 40.0, 24.0, 28.0, mount=camera.rotation(0.0, 0.3, 0.0), shift=(0.0, 0.0, 1.5))
+    p = F.col("p_partkey")
+    poses = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("image_id"), ((p * 7919) % 24000 / 10.0).cast("double").alias("pose_x_m"), ((p * 6007) % 24000 / 10.0).cast("double").alias("pose_y_m"), (p % 628 / 100.0).cast("double").alias("heading_rad"))
+    found = image_lanes.markings_on_edges(image_lanes.image_markings(_images(spark, sf_dir)), poses, view, edges(spark, sf_dir)).where("kind = 'yellow'")
+    return rounded(found.select(F.col("image_id").cast("long").alias("image_id"), "edge_id", "x", "y", "kind", "side", "confidence"))

@@ -93,6 +93,12 @@ def observations_json(observations: DataFrame) -> DataFrame:
     return result_json("observations", observations, "pos")
 
 
+def camera_lanes_json(lanes: DataFrame) -> DataFrame:
+    """Markings of `image_lanes.markings_on_edges`."""
+    place = F.array("x", "y").alias("world_xy_m")
+    return result_json("camera_lanes", lanes.select("image_id", "k", "edge_id", place, "kind", "side", "confidence"), "image_id", "k")
+
+
 def restrictions_json(restrictions: DataFrame) -> DataFrame:
     return result_json("turn_restrictions", restrictions, "id")
 
