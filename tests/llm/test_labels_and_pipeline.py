@@ -37,6 +37,14 @@ def test_url_rules_and_reputation(spark):
     assert {r["verdict"] for r in urls.filter_urls(pages.where("page_id = 1"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_and_repeated_urls(spark):
+    host, path = "h" * 100_000, "/" + "p" * 500_000
+    rows = [(1, f"https://{host}.EXAMPLE.org{path}"), (1, f"https://{host}.EXAMPLE.org{path}"), (None, f"https://a.com/de/{path}"), (2, "x" * 300_000)]
+    got = sorted(urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1, 1)], "page_id long, good int")).collect(), key=lambda r: (r["page_id"] is None, r["page_id"]))
+    assert [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got[:2]] == [(1, f"{host}.example.org", path, "org/", "allow")] * 2
+    assert (got[2]["host"], got[2]["path"], got[2]["verdict"]) == ("", "", "allow") and (got[3]["rule"], got[3]["verdict"]) == ("com/de/", "block")
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)
@@ -122,25 +130,55 @@ def brute_buckets(word, s):
 
 
 def brute_score(text, weight, bias, s):
-    words = text.encode().split()
-    logits = []
-    for a in range(0, len(words), s.window):
-        own = [weight[b] for w in words[a : a + s.window] for b in brute_buckets(w, s)]
-        logits.append(sum(own) / max(1, len(own)))
-    soft = sum(z * np.exp(z) for z in logits) / sum(map(np.exp, logits)) if logits else 0.0
-    return 1 / (1 + np.exp(-(soft + bias)))
+    own = [weight[b] for w in text.encode().split() for b in brute_buckets(w, s) if not np.isnan(weight[b])]
+    return 1 / (1 + np.exp(-(sum(own) / max(1, len(own)) + bias)))
 
 
 def test_scores_are_those_of_brute_force(spark, rows):
     rng = np.random.default_rng(3)
     texts = [(r[0], r[1]) for r in rows] + [(700, "word " * 3 + "語" * 300), (700, "the same id, other text"), (701, ". ! *** ..."), (702, "aa\x00b " * 900)]
     docs = spark.createDataFrame([(*t, 1.0) for t in texts], "doc_id long, text string, score double").repartition(3)
-    for s in (toxicity.Settings(buckets=512), toxicity.Settings(buckets=512, window=toxicity.WHOLE)):
-        weight = rng.normal(0, 2, s.buckets).astype(np.float32)
-        got = toxicity.score(docs, (weight, -0.3), s).collect()
-        assert len(got) == len(texts)
-        want = sorted((-1 if i is None else i, brute_score(t or "", weight.astype(float), -0.3, s)) for i, t in texts)
-        assert np.allclose([x for _, x in want], [x for _, x in sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)])
+    s = toxicity.Settings(buckets=512)
+    weight = rng.normal(0, 2, s.buckets).astype(np.float32)
+    weight[rng.random(s.buckets) < 0.4] = np.nan
+    got = toxicity.score(docs, (weight, -0.3), s).collect()
+    assert len(got) == len(texts)
+    want = sorted((-1 if i is None else i, brute_score(t or "", weight.astype(float), -0.3, s)) for i, t in texts)
+    assert np.allclose([x for _, x in want], [x for _, x in sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)])
+
+
+def test_training_is_that_of_plain_loops():
+    """Vocabulary, averages and steps on a small set, in plain Python from the same random numbers."""
+    texts = [b"foul words here foul", b"nice words there", b"", b"foul", b"kind words and nice ones", b"here and there", b"fowl foul play", b"nice"] * 3
+    labels = np.array([1, 0, 1, 1, 0, 0, 1, 0] * 3, float)
+    s = toxicity.Settings(buckets=256, epochs=3, deviations=1.5, rate=0.7)
+    weight, bias = toxicity.train(texts, labels, s)
+    bags = [[b for w in t.split() for b in brute_buckets(w, s)] for t in texts]
+    known = []
+    for bucket in range(s.buckets):
+        n, toxic = sum(bucket in b for b in bags), sum(y for b, y in zip(bags, labels, strict=True) if bucket in b)
+        if toxic - n * 0.5 >= 1.5 * np.sqrt(n * 0.25 + 1):
+            known.append(bucket)
+    assert 0 < len(known) < s.buckets and known == np.flatnonzero(~np.isnan(weight)).tolist()
+    rng = np.random.default_rng(s.seed)
+    table = rng.normal(0, 0.1 / s.width, (len(known), s.width))
+    out, b0 = rng.normal(0, 1 / np.sqrt(s.width), s.width), 0.0
+    for epoch in range(s.epochs):
+        rate = s.rate * (1 - epoch / s.epochs)
+        for k in rng.permutation(len(texts)):
+            own = [known.index(b) for b in bags[k] if b in known]
+            if not own:
+                b0 -= 0.01 * rate * (1 / (1 + np.exp(-b0)) - labels[k])
+                continue
+            x = {i: own.count(i) / len(own) for i in own}
+            mean = sum(v * table[i] for i, v in x.items())
+            error = 1 / (1 + np.exp(-(mean @ out + b0))) - labels[k]
+            step = rate * error / (sum(v * v for v in x.values()) * (out @ out) + mean @ mean)
+            for i, v in x.items():
+                table[i] = table[i] - step * v * out
+            out = out - step * mean
+            b0 -= 0.01 * rate * error
+    assert np.allclose(weight[known], table @ out, atol=1e-3) and abs(bias - b0) < 1e-4
 
 
 def test_fitting_takes_a_document_once_and_no_null_ids(labelled):
@@ -151,7 +189,7 @@ def test_fitting_takes_a_document_once_and_no_null_ids(labelled):
     again = docs.where("doc_id < 200").unionByName(docs.where("doc_id < 200")).unionByName(docs)
     more = labels.unionByName(spark.createDataFrame([(None, 1), (None, 0), (3, None)], "doc_id long, toxic int")).unionByName(labels.limit(50))
     weight, bias = toxicity.fit(again, more, s)
-    assert bias == plain[1] and np.array_equal(weight, plain[0])
+    assert bias == plain[1] and np.array_equal(weight, plain[0], equal_nan=True) and not np.isnan(weight).all()
 
 
 def test_long_words_are_hashed_whole():
@@ -181,5 +219,6 @@ def test_training_reads_documents_to_their_end(spark):
     weight, bias = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"), s)
     toxic, clean = toxicity.Scorer(weight, bias, s).scores([b"plain1 plain2 zqxvk zqxvk zqxvk", b"plain1 plain2 plain3 plain4 plain5"])
     assert toxic > 0.5 > clean
-    # a document that does not fit is left out, never cut
-    assert [r[1] for r in toxicity.within([(0, 0, b"a b", 1), (1, 1, b"a b c d", 0), (2, 2, b"a", 1)], 3)] == [0, 2]
+    # rows alone bound the sample: a text of any length is learnt from
+    longest = data.where("doc_id > 0").unionByName(data.where("doc_id = 1").selectExpr("doc_id - 1 as doc_id", "repeat(concat(text, ' '), 400) as text", "toxic"))
+    assert toxicity.fit(longest.select("doc_id", "text"), longest.select("doc_id", "toxic"), s)[1] != bias

@@ -111,6 +111,9 @@ def test_conversations_bear_loss_on_answers_alone(spark):
         binding += used[2] > 60
     assert binding > len(bins) / 3  # the loss limit decides
     assert packing.pack_sizes(sizes.limit(0)).count() == 0
+    odd = sizes.sparkSession.createDataFrame([(1, None, None, 9), (2, 10, None, 9), (None, 5, 2, 9), (2, 10, 3, 9), (4, None, 7, 9), (5, 10**6, 1, 9)], "conv_id long, tokens long, loss long, offset long")
+    got = {(r["conv_id"], r["tokens"], r["loss"], r["sequence_id"] is not None) for r in packing.pack_sizes(odd).collect()}
+    assert got == {(1, 0, 0, False), (2, 10, 0, True), (None, 5, 2, True), (2, 10, 3, True), (4, 0, 7, False), (5, 10**6, 1, False)}
 
 
 def brute_simhash(text, k):
@@ -409,3 +412,20 @@ def test_canonical_text_is_that_of_the_unicode_database(spark):
 def test_crc_of_ids_is_that_of_the_bytes(docs):
     for r in packing.pack_documents(docs).select("ids", F.crc32("ids").alias("crc")).limit(20).collect():
         assert r["crc"] == zlib.crc32(r["ids"])
+
+
+def test_rules_that_reject_nothing_come_last_and_ties_keep_their_order(spark):
+    import time
+
+    from waymesh.llm import quality
+
+    def slow(d):
+        time.sleep(0.002)
+        return True
+
+    rules = (("never_slow", lambda d: not slow(d)), ("never", lambda d: False), ("slow", slow), ("always", lambda d: True))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "doc_id long, text string")
+    order = [r[0] for r in quality.cascade_order(docs, rules)]
+    assert order == ["always", "slow", "never", "never_slow"]
+    none = docs.limit(0)
+    assert [r[0] for r in quality.cascade_order(none, rules)] == [r[0] for r in rules] and quality.judge(none, rules).count() == 0

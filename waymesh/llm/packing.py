@@ -205,7 +205,9 @@ def pack_sizes(sizes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Rows (conv_id, tokens, loss, sequence_id, offset) for rows (conv_id, tokens, loss), each in one sequence.
 
     A conversation that exceeds a limit by itself has no sequence (null sequence_id,
-    offset 0), so that no row is lost and none breaks a limit.
+    offset 0), so that no row is lost and none breaks a limit; nor has one without
+    tokens, which takes no room. A null count is 0, rows that repeat a conv_id, null
+    ones too, are packed each, extra columns are dropped and no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +229,7 @@ def pack_sizes(sizes: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
         for batch in batches:
             for conv_id, tokens, loss in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if fits(tokens, loss, limits):
+                if tokens and fits(tokens, loss, limits):
                     take(packer.add(Item(conv_id, b"", 0, tokens, loss, tokens)))
                 else:
                     rows.append((conv_id, tokens, loss, None, 0))
@@ -235,4 +237,5 @@ def pack_sizes(sizes: DataFrame, limits: Limits = Limits()) -> DataFrame:
         take(packer.bins())
         yield flush()
 
-    return sizes.select(*(F.col(c).cast("long").alias(c) for c in ("conv_id", "tokens", "loss"))).mapInArrow(run, "conv_id long, tokens long, loss long, sequence_id long, offset long")
+    counts = (F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("tokens", "loss"))
+    return sizes.select(F.col("conv_id").cast("long").alias("conv_id"), *counts).mapInArrow(run, "conv_id long, tokens long, loss long, sequence_id long, offset long")

@@ -151,7 +151,12 @@ def judge(docs: DataFrame, rules: Sequence = RULES, sample_rows: int = 500, stat
 
 
 def keep_good(docs: DataFrame, rules: Sequence = RULES, sample_rows: int = 500) -> DataFrame:
-    """The rows of `docs` that no rule rejects, with their columns."""
+    """The rows of `docs` that no rule rejects, with their columns, extra ones of any name too.
+
+    A null or empty text has no words and is rejected; texts are read whole, rows are
+    judged one by one, so that repeated ones stay or go together, and an empty table
+    gives an empty one.
+    """
     kept = judge(docs, rules, sample_rows).where("kept")
     return kept.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 

@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations under three limits, of which only answers bear loss."""
+    sizes = packing.conversation_sizes(table(spark, sf_dir, "conversations"))
+    return packing.pack_sizes(sizes, packing.Limits(tokens=2048, segments=16, loss=1024))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.link_components(simhash.fingerprints(table(spark, sf_dir, "documents"), words=3), lanes=1, budget=3)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -79,7 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_simhash, op3_toxicity, op4_token_counts, op5_suffixes, op6_quality, op7_mixing, op8_urls, op9_lines, op10_fingerprints,
-        op11_licenses, op12_infill, op13_resampling,
+        op11_licenses, op12_infill, op13_resampling, conversation_packing,
     )
 }
 

@@ -128,7 +128,9 @@ def length_histogram(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """Rows (n_tokens, n_docs), one for each encoded length that occurs.
 
     Workers add up their own documents first, so what is shuffled is bounded by
-    the number of different lengths of each task.
+    the number of different lengths of each task. Texts are encoded whole; a null or
+    empty one has length 0, repeated rows count each, extra columns are not read and an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

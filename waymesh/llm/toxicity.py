@@ -2,16 +2,18 @@
 
 A word is the bag of itself and its character n-grams, hashed to buckets that share
 one embedding table, so a misspelling that was never seen still meets the n-grams of
-the word that it comes from. A window of words is the average of its n-grams'
-embeddings, and a document the smooth maximum over its windows (one window, `WHOLE`,
-makes it the average of the whole document). The table and the softmax are trained
-together in numpy, in one task, on a bounded sample of labelled documents; the table
-is then a number for each bucket, as the softmax is linear, and scoring is a lookup
-for each word.
+the word that it comes from. A document is the average of its n-grams' embeddings, and
+a softmax is linear in that. The vocabulary has the n-grams that toxic documents have
+more often than chance explains; others are not part of the average, so that a long
+document with a few toxic words is not averaged away. Table and softmax are trained
+together in numpy, in one task, on a bounded sample of labelled documents; the table is
+then a number for each bucket, as the softmax is linear, and scoring is a lookup for
+each word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,29 +28,26 @@ from waymesh.llm.text import ASCII_LOWER, as_bytes
 REMEMBERED, TOGETHER = 400_000, 64
 #: Bytes of the words that a worker remembers, and of those that it hashes at once, if they are several.
 REMEMBERED_BYTES, HASHED_BYTES = 1 << 25, 1 << 20
-#: As `Settings.window`: the whole document is one bag.
-WHOLE = 1 << 30
 TRIM = b".,;:!?\"'()[]{}|#*$%&<>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: labelled documents that the model is fitted on at most, the smallest hashes first.
+    """sample_rows: labelled documents that the model is fitted on at most, the smallest hashes first, each with its whole text.
 
-    sample_words: words of all of them together at most, of which a text has one for each
-    8 bytes at least; a document that does not fit is left out whole. window: words that
-    are averaged together, WHOLE for all of a document.
+    deviations: how many standard deviations an n-gram is in more toxic documents than
+    its share of all to be in the vocabulary. epochs, rate: of the training, whose steps
+    get smaller up to the end.
     """
 
     sample_rows: int = 3000
-    sample_words: int = 2_400_000
     buckets: int = 1 << 17
     width: int = 8
     shortest: int = 3
     longest: int = 5
-    window: int = 2
-    epochs: int = 3
-    rate: float = 0.5
+    deviations: float = 2.5
+    epochs: int = 15
+    rate: float = 4.0
     seed: int = 7
 
 
@@ -89,55 +88,68 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def bag(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a whole text and how often it has each."""
+    times = Counter(data.split())
+    words, n = list(times), np.fromiter(times.values(), np.float64, len(times))
+    counts = np.zeros(s.buckets)
+    for part in _parts(words):
+        at, buckets = gram_buckets([words[k] for k in part], s)
+        counts += np.bincount(buckets, n[part][at], s.buckets)
+    some = np.flatnonzero(counts)
+    return some, counts[some]
+
+
+def _parts(words: list[bytes]) -> list[np.ndarray]:
+    """Places of words in parts that are hashed at once."""
+    sizes = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // HASHED_BYTES
+    return np.split(np.arange(len(words)), np.flatnonzero(np.diff(sizes)) + 1) if words else []
+
+
+def vocabulary(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings) -> np.ndarray:
+    """Whether a bucket is in the vocabulary: it is in more toxic documents than as many documents have by chance."""
+    every, toxic = np.zeros(s.buckets), np.zeros(s.buckets)
+    for (buckets, _), label in zip(bags, labels, strict=True):
+        every[buckets] += 1
+        toxic[buckets] += label
+    share = labels.mean() if len(labels) else 0.0
+    return toxic - every * share >= s.deviations * np.sqrt(every * share * (1 - share) + 1)
+
+
 def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Weight of each bucket and bias, from embeddings and a softmax fitted together by Adagrad.
+    """Weight of each bucket, NaN outside the vocabulary, and bias, from embeddings and a softmax fitted together.
 
     Two classes make the softmax a sigmoid of the difference of their logits, which
-    `out` holds; bucket weights are the embeddings times it.
-
-    A document is a bag of windows of a few words. Its logit is a smooth maximum over
-    its windows' logits, so that a long document with a few toxic words is not
-    averaged away; each window is the plain average of its words' embeddings.
+    `out` holds; bucket weights are the embeddings times it. A step moves embeddings and
+    softmax along the gradient, as far as moves the document's own logit by its error
+    times the rate (normalised least mean squares), so that long and short documents
+    count alike. Texts without an n-gram of the vocabulary, empty ones too, teach the
+    bias alone; no texts, or one label alone, give an empty vocabulary and a bias. Repeated
+    and equal texts count each.
     """
     rng = np.random.default_rng(s.seed)
-    bags = [_Bag(data.split(), s) for data in texts]
-    table = rng.normal(0, 1 / s.width, (s.buckets, s.width)).astype(np.float32)
-    out = rng.normal(0, 1, s.width).astype(np.float32)
-    g_table, g_out, g_bias = np.full(s.buckets, 1e-6, np.float32), np.full(s.width, 1e-6, np.float32), 1e-6
+    bags = [bag(data, s) for data in texts]
+    known = vocabulary(bags, labels, s)
+    place = np.cumsum(known) - 1
+    rows = [(place[b[keep]], (c[keep] / max(1.0, c[keep].sum())).astype(np.float32)) for b, c in bags for keep in [known[b]]]
+    table = rng.normal(0, 0.1 / s.width, (int(known.sum()), s.width)).astype(np.float32)
+    out = rng.normal(0, 1 / np.sqrt(s.width), s.width).astype(np.float32)
     prior = float(np.clip(labels.mean(), 1e-3, 0.999)) if len(labels) else 0.01
     bias = float(np.log(prior / (1 - prior)))
-    for _ in range(s.epochs):
-        for k in rng.permutation(len(bags)):
-            bag = bags[k]
-            if not len(bag.touched):
-                continue
-            rows = table[bag.touched]
-            z = np.bincount(bag.owner, (rows @ out)[bag.where], len(bag.total)) / bag.total
-            soft = np.exp(z - z.max())
-            soft /= soft.sum()
-            error = float(_sigmoid(float(soft @ z) + bias) - labels[k])
-            # derivative of the smooth maximum with respect to each window's logit
-            d = error * soft * (1 + z - float(soft @ z)) / bag.total
-            g = np.bincount(bag.where, d[bag.owner], len(bag.touched)).astype(np.float32)
-            g_table[bag.touched] += g * g * float(out @ out)
-            table[bag.touched] -= (s.rate * g / np.sqrt(g_table[bag.touched]))[:, None] * out[None, :]
-            g_o = g @ rows
-            g_out += g_o * g_o
-            out -= s.rate * 0.1 * g_o / np.sqrt(g_out)
-            g_bias += error * error
-            bias -= 0.1 * error / np.sqrt(g_bias)
-    return (table @ out).astype(np.float32), float(bias)
-
-
-class _Bag:
-    """A document's buckets: the different ones, where each occurrence points, its window, and windows' sizes."""
-
-    def __init__(self, words: list[bytes], s: Settings):
-        at, flat = gram_buckets(words, s)
-        self.touched, where = np.unique(flat, return_inverse=True)
-        self.where = where.astype(np.int32)
-        self.owner = (at // s.window).astype(np.int32)
-        self.total = np.maximum(np.bincount(self.owner, minlength=-(-len(words) // s.window)), 1)
+    for epoch in range(s.epochs):
+        rate = s.rate * (1 - epoch / s.epochs)
+        for k in rng.permutation(len(rows)):
+            at, x = rows[k]
+            mean = x @ table[at]
+            error = float(_sigmoid(float(mean @ out) + bias) - labels[k])
+            bias -= 0.01 * rate * error
+            if len(at):
+                step = rate * error / float((x @ x) * (out @ out) + mean @ mean)
+                table[at] -= (step * x)[:, None] * out[None, :]
+                out -= step * mean
+    weight = np.full(s.buckets, np.nan, np.float32)
+    weight[known] = table @ out
+    return weight, float(bias)
 
 
 class Scorer:
@@ -155,11 +167,13 @@ class Scorer:
             self.known.clear()
             new = list(words)
             self.held = sum(map(len, new))
-        parts = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // HASHED_BYTES
-        for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(parts)) + 1):
+        for part in _parts(new):
             some = [new[k] for k in part]
             at, buckets = gram_buckets(some, self.s)
-            sums = np.bincount(at, self.weight[buckets], len(some)) + 1j * np.bincount(at, minlength=len(some))
+            weight = self.weight[buckets]
+            inside = ~np.isnan(weight)
+            at, weight = at[inside], weight[inside]
+            sums = np.bincount(at, weight, len(some)) + 1j * np.bincount(at, minlength=len(some))
             self.known.update(zip(some, sums.tolist(), strict=True))
 
     def scores(self, texts: list[bytes]) -> list[float]:
@@ -168,36 +182,20 @@ class Scorer:
         return [self._score(words) for words in split]
 
     def _score(self, words: list[bytes]) -> float:
-        if not words:
-            return float(_sigmoid(self.bias))
-        pairs = np.fromiter(map(self.known.__getitem__, words), complex, len(words))
-        sums = np.add.reduceat(pairs, np.arange(0, len(words), self.s.window))
-        z = sums.real / np.maximum(sums.imag, 1)
-        soft = np.exp(z - z.max())
-        return float(_sigmoid(float(soft @ z) / float(soft.sum()) + self.bias))
+        total = sum(map(self.known.__getitem__, words), 0j)
+        return float(_sigmoid(total.real / max(1.0, total.imag) + self.bias))
 
 
 def _held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def within(rows: list[tuple], words: int) -> list[tuple]:
-    """The rows (order, id, text, label), from the first on, whose whole texts fit so many words together."""
-    out = []
-    for row in rows:
-        n = max(len(row[2].split()), len(row[2]) // 8)
-        if n <= words:
-            out.append(row)
-            words -= n
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """The model of `labels.toxic`, from rows that are not held out.
 
     At most `sample_rows` labelled documents are used, those with the smallest hashes of
-    their ids, each with its whole text, as long as they fit `sample_words`; they go to
-    one task, which returns the weights. A document with several labels is toxic if one
+    their ids, each with its whole text, of which a task keeps counts of buckets; they
+    go to one task, which returns the weights. A document with several labels is toxic if one
     says so, of rows that repeat a doc_id the smallest text counts, and null ids and
     labels are none.
     """
@@ -212,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
         for batch in batches:
             ids, toxic, order = (batch.column(k).to_pylist() for k in (0, 2, 3))
             rows += [(h, i, data or b"", int(t)) for h, i, data, t in zip(order, ids, as_bytes(batch.column(1)), toxic, strict=True)]
-        rows = sorted(x[1:] for x in within(sorted(rows), s.sample_words))
-        weight, bias = train([x[1] for x in rows], np.array([x[2] for x in rows], float), s)
+        rows.sort()
+        weight, bias = train([x[2] for x in rows], np.array([x[3] for x in rows], float), s)
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
 
     found = chosen.repartition(1).mapInArrow(run, "weight binary, bias double").collect()
@@ -226,7 +224,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settin
     """Rows (doc_id, held_out, score, predicted), one for each row of `docs`.
 
     Whole texts are scored, each row by itself, so that repeated ids and equal texts
-    need no rule. A null or empty text gets the score of the bias alone. Extra columns
+    need no rule. A null or empty text, or one without an n-gram of the vocabulary, gets
+    the score of the bias alone. Extra columns
     are dropped.
     """
     weight, bias = model

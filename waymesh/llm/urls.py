@@ -44,11 +44,11 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
 
 def registered_domain(host: Column) -> Column:
     """The last two labels of a host; a host of one label is its own."""
-    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+    return F.substring_index(host, ".", -2)
 
 
 def suffix(host: Column) -> Column:
-    return F.regexp_extract(host, r"[^.]*$", 0)
+    return F.substring_index(host, ".", -1)
 
 
 def prior_strength(groups: DataFrame, n: str, good: str) -> float:
@@ -96,7 +96,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     `labels` has (page_id, good). A page's own label never decides its verdict alone:
     the rule that fits does, or else its host's posterior bound. Repeated labels of a
     page count as bad if one does; null labels are none. Pages without a host share
-    the reputation of the empty one.
+    the reputation of the empty one. Pages that repeat a page_id, null ones too, are judged
+    each; a url is read whole however long it is, a null or empty one has no host. Extra
+    columns are dropped; no pages give no rows, no labels leave verdicts to rules and
+    the prior.
     """
     host, path = url_parts(F.col("url"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
