@@ -362,6 +362,30 @@ def test_hmm_follows_the_road(spark):
     assert got["u", 0] is None and got["u", 1] is None
 
 
+def test_long_traces_are_matched_in_blocks(spark):
+    """Blocks of any size give the chain of the whole stretch, with restarts, gaps and steps without any way."""
+    rng = np.random.default_rng(9)
+    _, edges = grid_roads(spark, 4)
+    lone = make_edges(spark, [("x", "far", "far2", [(150.0, 40.0), (150.0, 60.0)])])  # near the others, but joined to none
+    edges = edges.unionByName(lone.withColumn("ord", F.col("ord") + 1000))
+    rows = []
+    for t in range(4):
+        x, y = rng.uniform(0, 300, 2)
+        for k in range(90):
+            x, y = np.clip(x + rng.normal(4, 14), -30, 330), np.clip(y + rng.normal(2, 14), -30, 330)
+            if k % 23 == 7:
+                x, y = rng.uniform(0, 300, 2)
+            rows.append((f"t{t}", k, k, x, y))
+    rows += [("lone", k, k, 150.0 + (k % 3) * 3, 41.0 + k) for k in range(18)] + [("end", k, k, 20.0 * k, 3.0 if k < 9 else 900.0) for k in range(10)]
+    samples = make_samples(spark, rows)
+    key = lambda x: tuple(str(v) for v in x)
+    found = lambda b: sorted(((r["trace_id"], r["ord"], r["edge_id"]) for r in matching.hmm_match(samples, edges, 30.0, block=b).collect()), key=key)
+    whole = found(10**6)
+    assert len(whole) == len(rows) and len({e for _, _, e in whole}) > 10
+    for size in (1, 4, 7):
+        assert found(size) == whole
+
+
 def test_lanes_and_points(spark, cross):
     pts = spark.createDataFrame([(k, float(x), float(y), 0.01 * (k % 3)) for k, (x, y) in enumerate([(10, 2), (11, 3), (12, 2), (50, -1), (20, 0), (500, 500)])], "key long, x double, y double, z double")
     sides = {(r["edge_id"], r["side"], r["bin"]): (r["x"], r["y"], r["n"]) for r in lanes.side_bins(pts, cross[1], 5.0, 4).collect()}
