@@ -738,6 +738,21 @@ def test_lanelet_maps(spark, cross, tmp_path):
     assert {r["tags"]["ele"] for r in clean["nodes"].collect()} == {"12.500"}
     again = osm_document(lanelets.osm_rows(clean))
     assert len(list(again.iter("relation"))) == 6
+    # the light is a line across its lanelet, which names it
+    plain = {r["id"]: r for r in tables["nodes"].collect()}
+    (light_row,) = [r for r in clean["relations"].collect() if r["tags"].get("subtype") == "traffic_light"]
+    (line,) = [w for w in clean["ways"].collect() if "traffic_light_id" in w["tags"]]
+    assert [(m["type"], m["ref"], m["role"]) for m in light_row["members"]] == [("way", line["id"], "refers"), ("way", line["id"], "light_bulbs")]
+    assert line["tags"] == {"height": "5.00", "traffic_light_id": str(light_row["id"])} and len(line["refs"]) == 2
+    most = max(int(r["id"]) for t in ("nodes", "ways", "relations") for r in tables[t].select("id").collect())
+    assert [int(r) for r in line["refs"]] + [int(line["id"])] == [most + 1, most + 2, most + 3]
+    point = plain[next(m["ref"] for r in tables["relations"].collect() if r["id"] == light_row["id"] for m in r["members"] if m["type"] == "node")]
+    right, left = ({r["id"]: r for r in clean["nodes"].collect()}[i] for i in line["refs"])
+    metre = 1 / 111320.0
+    # ce goes east, so the line goes from south to north
+    assert math.isclose(right["lat"], point["lat"] - 0.75 * metre, abs_tol=1e-9) and math.isclose(left["lat"], point["lat"] + 0.75 * metre, abs_tol=1e-9) and math.isclose(left["lon"], point["lon"], abs_tol=1e-9)
+    named = [r for r in clean["relations"].collect() if r["tags"]["type"] == "lanelet" and any(m["role"] == "regulatory_element" for m in r["members"])]
+    assert len(named) == 1 and named[0]["members"][-1]["ref"] == light_row["id"] and all("width" not in r["tags"] for r in clean["relations"].collect())
     assert "latitude: 52.0" in lanelets.projector_yaml(52.0, 13.0)
 
 

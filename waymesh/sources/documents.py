@@ -130,12 +130,15 @@ def feature_collection(features: DataFrame, *order: str, head: dict | None = Non
     return _line(rows, 0, start).unionByName(_rows(rows, 1, F.col("_ord"), F.concat(F.when(F.col("_ord") > 0, ",").otherwise(""), F.col("value")))).unionByName(_line(rows, 2, "]}"))
 
 
-def map_features(nodes: DataFrame, edges: DataFrame, samples: DataFrame, lat0: float, lon0: float, dataset: str) -> DataFrame:
+def map_features(nodes: DataFrame, edges: DataFrame, samples: DataFrame, lat0: float, lon0: float, dataset: str, key: str | None = None) -> DataFrame:
     """Rows (layer, ord, value): GeoJSON features of trajectories, centre lines, lane boundaries and nodes.
 
+    With `key`, all three tables have that column (samples trace_id), and so have the rows.
     Edges with hd of `hd.enrich` have boundaries as layers lane_boundary_left and _right,
     and centre lines tell the kinds of their semantic rules.
     """
+    keys = [] if key is None else [key]
+
     def feature(kind: str, coordinates: Column, *properties: Column) -> Column:
         return _feature(kind, coordinates, F.lit(dataset).alias("dataset"), *properties)
 
@@ -144,14 +147,14 @@ def map_features(nodes: DataFrame, edges: DataFrame, samples: DataFrame, lat0: f
     if "hd" in edges.columns:
         kinds = F.array_sort(F.array_distinct(F.array_compact(F.transform("hd.semantic_rules", lambda r: F.get_json_object(r, "$.kind")))))
         rules = [F.when(F.size(kinds) > 0, F.array_join(kinds, ",")).alias("semantic_summary")]
-    lines = edges.select(F.lit("centerline").alias("layer"), "ord", feature("LineString", line, F.lit("centerline").alias("kind"), F.col("edge_id"), F.col("start_node_id"), F.col("end_node_id"), polyline_length("polyline").alias("length_m"), *rules).alias("value"))
+    lines = edges.select(*keys, F.lit("centerline").alias("layer"), "ord", feature("LineString", line, F.lit("centerline").alias("kind"), F.col("edge_id"), F.col("start_node_id"), F.col("end_node_id"), polyline_length("polyline").alias("length_m"), *rules).alias("value"))
     for side in ("left", "right") if "hd" in edges.columns else ():
         shape = F.transform(f"hd.{side}", lambda p: _lonlat(p["x"], p["y"], lat0, lon0))
         kind = F.lit(f"lane_boundary_{side}")
-        lines = lines.unionByName(edges.where(F.size(f"hd.{side}") >= 2).select(kind.alias("layer"), "ord", feature("LineString", shape, kind.alias("kind"), F.col("edge_id")).alias("value")))
-    dots = nodes.select(F.lit("node").alias("layer"), "ord", feature("Point", _lonlat(F.col("x"), F.col("y"), lat0, lon0), F.lit("node").alias("kind"), F.col("id").alias("node_id")).alias("value"))
+        lines = lines.unionByName(edges.where(F.size(f"hd.{side}") >= 2).select(*keys, kind.alias("layer"), "ord", feature("LineString", shape, kind.alias("kind"), F.col("edge_id")).alias("value")))
+    dots = nodes.select(*keys, F.lit("node").alias("layer"), "ord", feature("Point", _lonlat(F.col("x"), F.col("y"), lat0, lon0), F.lit("node").alias("kind"), F.col("id").alias("node_id")).alias("value"))
     track = samples.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda s: _lonlat(s["x"], s["y"], lat0, lon0)).alias("c"))
-    tracks = track.select(F.lit("trajectory").alias("layer"), F.xxhash64("trace_id").alias("ord"), feature("LineString", F.col("c"), F.lit("trajectory").alias("kind"), F.col("trace_id")).alias("value"))
+    tracks = track.select(*keys, F.lit("trajectory").alias("layer"), F.xxhash64("trace_id").alias("ord"), feature("LineString", F.col("c"), F.lit("trajectory").alias("kind"), F.col("trace_id")).alias("value"))
     return tracks.unionByName(lines).unionByName(dots)
 
 

@@ -17,10 +17,13 @@ from waymesh.functions.geometry import metres_to_lonlat
 from waymesh.operators.hd import boundaries, shifted
 from waymesh.operators.spatial import nearest_nodes
 from waymesh.plans.numbering import numbered
+from waymesh.session import materialize
 from waymesh.sources.documents import quoted
 
 #: Prefix of tags that only say where an element comes from.
 OWN = "graph:"
+#: Metres of a degree of latitude, as maps of lights are drawn with.
+METRES_A_DEGREE = 111_320.0
 #: Rules that become regulatory elements.
 REGULATED = ("traffic_light", "stop_sign", "stop_line", "yield", "priority_right", "pedestrian_marking")
 RULE = "struct<kind:string,value_kmh:double,confidence:double,world_xy_m:struct<x:double,y:double>,polyline_m:array<array<double>>>"
@@ -247,34 +250,95 @@ def center_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return ll.select("id", F.coalesce("_centerline", F.when(n > 0, mean), "_left", "_right").alias("line"))
 
 
-def sanitized(tables: dict[str, DataFrame], ele: float = 0.0, threshold_deg: float = 35.0) -> dict[str, DataFrame]:
+def light_lines(tables: dict[str, DataFrame], height: float = 5.0, half_width: float = 0.75) -> dict[str, DataFrame]:
+    """Traffic lights of a lanelet map whose sign is a point, as lines across their lanelet.
+
+    Gives new nodes (id, lat, lon, tags, signal) and ways, relations with members of the
+    new form, in place of those with their ids, and rows (lanelet, rule) of lanelets that
+    must name a rule. A light counts if its lanelet and the node that it refers to are
+    there. Its line lies across the end of the lanelet's centre line, from right to left,
+    and each light takes three ids after the greatest one, in the order of the lights.
+    """
+    of = lambda k: F.element_at("tags", F.lit(k))
+    lights = tables["relations"].where((of("type") == "regulatory_element") & (of("subtype") == "traffic_light")).select(
+        "id", "tags", last_of(F.filter("members", lambda m: (m["type"] == "relation") & m["role"].isin("refers", "lanelet"))).alias("lanelet"),
+        last_of(F.filter("members", lambda m: (m["type"] == "node") & (m["role"] == "refers"))).alias("signal"),
+    )
+    places = tables["nodes"].select(F.col("id").alias("signal"), "lat", "lon")
+    lights = lights.join(places, "signal").join(center_lines(tables).withColumnRenamed("id", "lanelet"), "lanelet")
+    lat0 = tables["nodes"].agg(F.coalesce(F.avg("lat"), F.lit(0.0))).first()[0]
+    n = F.size("line")
+    a, b = F.get("line", n - 2), F.get("line", n - 1)
+    dx, dy = (b["x"] - a["x"]) * METRES_A_DEGREE * F.cos(F.radians(F.lit(lat0))), (b["y"] - a["y"]) * METRES_A_DEGREE
+    size = F.sqrt(dx * dx + dy * dy)
+    known = F.coalesce(size > 1e-9, F.lit(False))
+    hx, hy = F.when(known, dx / size).otherwise(1.0), F.when(known, dy / size).otherwise(0.0)
+    most = F.greatest(*(F.coalesce(F.lit(tables[t].agg(F.max(F.col("id").try_cast("long"))).first()[0]).cast("long"), F.lit(0)) for t in ("nodes", "ways", "relations")))
+    lights = numbered(lights.withColumns({"hx": hx, "hy": hy, "_id": F.col("id").try_cast("long")}), "_id", "id", name="_k")
+    lights = materialize(lights.withColumn("base", most + 1 + 3 * F.col("_k")))
+    kind = tables["nodes"].schema["id"].dataType
+    number = lambda k: (F.col("base") + k).cast(kind)
+
+    def end(k: int, side: float) -> Column:
+        lat = F.col("lat") + side * half_width * F.col("hx") / METRES_A_DEGREE
+        lon = F.col("lon") - side * half_width * F.col("hy") / (METRES_A_DEGREE * F.greatest(F.cos(F.radians("lat")), F.lit(1e-9)))
+        return F.struct(number(k).alias("id"), lat.alias("lat"), lon.alias("lon"))
+
+    none = F.create_map().cast("map<string,string>")
+    nodes = lights.select("signal", F.explode(F.array(end(0, -1.0), end(1, 1.0))).alias("n")).select("n.*", none.alias("tags"), "signal")
+    tags = F.create_map(F.lit("height"), F.lit(f"{height:.2f}"), F.lit("traffic_light_id"), F.col("id").cast("string"))
+    ways = lights.select(number(2).alias("id"), F.array(number(0), number(1)).alias("refs"), tags.alias("tags"))
+    member = lambda role: F.struct(F.lit("way").alias("type"), number(2).cast("string").alias("ref"), F.lit(role).alias("role"))
+    shape = tables["relations"].schema["members"].dataType
+    relations = lights.select("id", F.array(member("refers"), member("light_bulbs")).cast(shape).alias("members"), "tags")
+    return {"nodes": nodes, "ways": ways, "relations": relations, "rules": lights.select("lanelet", F.col("id").cast("string").alias("rule"))}
+
+
+def last_of(members: Column) -> Column:
+    """What the last member refers to, null without any."""
+    return F.get(members, F.size(members) - 1)["ref"]
+
+
+def sanitized(tables: dict[str, DataFrame], ele: float = 0.0, threshold_deg: float = 35.0, light_height: float = 5.0) -> dict[str, DataFrame]:
     """The tables of a lanelet map as strict readers take them.
 
-    Regulatory elements go, but for traffic lights; tags that start with OWN go. Every
-    node has ele, that of the nearest node that has it (else `ele`), and every lanelet
-    turn_direction: left or right if its line turns by more than the threshold.
+    Regulatory elements go, but for traffic lights that become lines (`light_lines`);
+    tags that start with OWN go, and so do widths and points' marks of lights. Every
+    node has ele, that of the nearest node that has it (else `ele`), a light's new nodes
+    that of its point, and every lanelet turn_direction: left or right if its line turns
+    by more than the threshold.
     """
     of = lambda k: F.element_at("tags", F.lit(k))
-    clean = F.map_filter("tags", lambda k, _: ~k.startswith(OWN))
-    nodes, spark = tables["nodes"], tables["nodes"].sparkSession
+    clean = F.map_filter("tags", lambda k, _: ~k.startswith(OWN) & (k != "width"))
+    lights = light_lines(tables, light_height)
+    columns = ["id", "lat", "lon", "tags"]
+    nodes = tables["nodes"].select(*columns)
     lat0 = nodes.agg(F.coalesce(F.avg("lat"), F.lit(0.0))).first()[0]
+    height = nodes.select(F.col("id").alias("signal"), of("ele").try_cast("double").alias("_own"))
+    made = lights["nodes"].join(height, "signal", "left").select("id", "lat", "lon", F.when(F.col("_own").isNotNull(), F.create_map(F.lit("ele"), F.col("_own").cast("string"))).otherwise(F.col("tags")).alias("tags"))
     x, y = F.radians("lon") * F.cos(F.radians(F.lit(lat0))) * 6_371_000.0, F.radians("lat") * 6_371_000.0
-    placed = nodes.withColumns({"x": x, "y": y, "_ele": of("ele").try_cast("double")})
-    high = placed.where("_ele is not null").select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), "x", "y", "_ele")
+    placed = nodes.unionByName(made).withColumns({"x": x, "y": y, "_ele": of("ele").try_cast("double")})
+    high = placed.where("_ele is not null").select(F.col("id").cast("string").alias("id"), F.col("id").cast("long").alias("ord"), "x", "y", "_ele")
     near = nearest_nodes(placed.where("_ele is null").select(F.col("id").alias("key"), "x", "y"), high.select("id", "ord", "x", "y"), 50.0)
     found = near.join(high.select(F.col("id").alias("node_id"), F.col("_ele").alias("_near")), "node_id").select(F.col("key").alias("id"), "_near")
     filled = F.coalesce("_ele", "_near", F.lit(float(ele)))
-    nodes = placed.join(found, "id", "left").select("id", "lat", "lon", F.map_concat(F.map_filter(clean, lambda k, _: k != "ele"), F.create_map(F.lit("ele"), F.format_string("%.3f", filled))).alias("tags"))
+    kept = F.map_filter(clean, lambda k, v: (k != "ele") & ~((k == "type") & (v == "traffic_light")))
+    nodes = placed.join(found, "id", "left").select("id", "lat", "lon", F.map_concat(kept, F.create_map(F.lit("ele"), F.format_string("%.3f", filled))).alias("tags"))
     lines = center_lines(tables).withColumn("line", F.transform("line", lambda p: F.struct((p["x"] * F.cos(F.radians(F.lit(lat0)))).alias("x"), p["y"].alias("y"))))
     n = F.size("line")
     heading = lambda a, b: F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
     change = heading(F.element_at("line", n - 1), F.element_at("line", n)) - heading(F.element_at("line", 1), F.element_at("line", 2))
     turn = F.pmod(change + 180.0, F.lit(360.0)) - 180.0
     way = F.when(n < 3, "straight").when(turn > threshold_deg, "left").when(turn < -threshold_deg, "right").otherwise("straight")
-    relations = tables["relations"].where(~((F.coalesce(of("type"), F.lit("")) == "regulatory_element") & (F.coalesce(of("subtype"), F.lit("")) != "traffic_light")))
-    relations = relations.join(lines.select("id", way.alias("_turn")), "id", "left")
+    relations = tables["relations"].where(F.coalesce(of("type"), F.lit("")) != "regulatory_element").select("id", "members", "tags").unionByName(lights["relations"])
+    shape = tables["relations"].schema["members"].dataType
+    member = F.struct(F.lit("relation").alias("type"), F.col("rule").alias("ref"), F.lit("regulatory_element").alias("role"))
+    rules = lights["rules"].groupBy(F.col("lanelet").alias("id")).agg(F.array_sort(F.collect_set(member)).cast(shape).alias("_rules"))
+    relations = relations.join(lines.select("id", way.alias("_turn")), "id", "left").join(rules, "id", "left")
+    members = F.when(F.col("_rules").isNull(), F.col("members")).otherwise(F.array_union("members", "_rules"))
     turned = F.when(F.col("_turn").isNotNull() & of("turn_direction").isNull(), F.map_concat(clean, F.create_map(F.lit("turn_direction"), F.col("_turn")))).otherwise(clean)
-    return {"nodes": nodes, "ways": tables["ways"].withColumn("tags", clean), "relations": relations.select("id", "members", turned.alias("tags"))}
+    ways = tables["ways"].select("id", "refs", clean.alias("tags"))
+    return {"nodes": nodes, "ways": ways.unionByName(lights["ways"].withColumn("refs", F.col("refs").cast(ways.schema["refs"].dataType)).withColumn("id", F.col("id").cast(ways.schema["id"].dataType))), "relations": relations.select("id", members.alias("members"), turned.alias("tags"))}
 
 
 def osm_rows(tables: dict[str, DataFrame]) -> DataFrame:
