@@ -14,28 +14,53 @@ COMMON_LINE_DOCS = 10
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go; the others stay as they are."""
+    """Documents that a quality rule rejects go; the others stay as they are.
+
+    Null and empty texts have no words and go; whole texts are judged, row by row, so that
+    repeated rows stay or go together. Extra columns stay; an empty table gives one.
+    """
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go from all of them; n_chars follows the text."""
+    """Lines that many documents share go from all of them; n_chars follows the text.
+
+    A null text is one empty line and stays empty; rows that repeat a doc_id count as one
+    document and lose the same lines. Whole texts are read, order is kept, extra columns
+    stay, an empty table gives one.
+    """
     kept = lines.drop_common_lines(docs, min_chars=1, min_docs=COMMON_LINE_DOCS)
     return mixing.with_length(kept.select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Null and empty texts are equal to each other; of rows that repeat a doc_id and are in
+    one group one stays, and null ids come last. Texts are compared whole, extra columns
+    stay, an empty table gives one.
+    """
     return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights; documents taken twice appear twice."""
+    """Sources are mixed to their target weights; documents taken twice appear twice.
+
+    A null source is a source, the last one; null and empty texts have no words and are
+    not taken. Ties of random keys go by doc_id; rows that repeat one are drawn each.
+    The document at a source's cut keeps its first words. Extra columns stay, an empty
+    table gives one.
+    """
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences with their token ids."""
+    """The pieces of the packed sequences with their token ids.
+
+    A null or empty text has the end mark alone; texts are encoded whole and cut over
+    sequences, repeated rows are packed each, extra columns are dropped, an empty table
+    gives no pieces.
+    """
     return packing.pack_documents(docs)
 
 
