@@ -36,9 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays.
 
-    Null and empty texts are equal to each other; of rows that repeat a doc_id and are in
-    one group one stays, and null ids come last. Texts are compared whole, extra columns
-    stay, an empty table gives one.
+    Null and empty texts are equal to each other. Rows that repeat a doc_id stay or go
+    together, rows without one stay. Texts are compared whole, extra columns stay, an
+    empty table gives one.
     """
     return simhash.deduplicate(docs, words=5, similarity=0.8)
 
@@ -47,9 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights; documents taken twice appear twice.
 
     A null source is a source, the last one; null and empty texts have no words and are
-    not taken. Ties of random keys go by doc_id; rows that repeat one are drawn each.
-    The document at a source's cut keeps its first words. Extra columns stay, an empty
-    table gives one.
+    not taken. Rows that agree in doc_id, source and size share what the mix takes of
+    them. The document at a source's cut keeps its first words. Extra columns stay, an
+    empty table gives one.
     """
     return mixing.apply_mix(docs)
 
