@@ -185,3 +185,8 @@ def test_origins_and_points_to_fuse(spark, tmp_path):
     got = tables.fusion_points(spark, f"{tmp_path}/p.xyz", with_z=True)
     assert got.columns == ["key", "x", "y", "z"] and sorted(r["z"] for r in got.collect()) == [3.0, 6.0]
     assert tables.public(got.withColumn("_own", F.lit(1))).columns == got.columns
+
+
+def test_compressed_points_are_refused(spark):
+    with pytest.raises(ValueError, match="only LAS"):
+        tables.fusion_points(spark, "points.LAZ")

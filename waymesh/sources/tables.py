@@ -141,7 +141,9 @@ def origin(spark: SparkSession, path: str) -> tuple[float, float]:
 def fusion_points(spark: SparkSession, path: str, with_z: bool = False) -> DataFrame:
     """Rows (key, x, y[, z]) of a LAS file or of text, as boundaries are fused from."""
     names = ["x", "y", "z"][: 3 if with_z else 2]
-    if path.lower().endswith((".las", ".laz")):
+    if path.lower().endswith(".laz"):
+        raise ValueError(f"compressed points are not read, only LAS: {path}")
+    if path.lower().endswith(".las"):
         from waymesh.sources.las import LasDataSource
 
         spark.dataSource.register(LasDataSource)
