@@ -737,6 +737,34 @@ def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.update_counts(e, incremental_absorb(spark, sf_dir)).select("edge_id", "trace_observation_count")
 
 
+# each order is a road of 100 m; by customer a trace crosses it, runs along it, begins 5 m beside it, or none is there
+@query("""with r as (select o_custkey % 4 as kind, (100 + 200 * (o_orderkey % 400))::double as x, (100 + 200 * (o_orderkey // 400))::double as y, (30 + o_orderkey % 41)::double as c from orders),
+e as (select x as x0, y as y0, x + 100 as x1, y as y1, 100::double as length_m, (kind = 1)::bigint as trace_observation_count from r
+union all select x, y, x + c, y + case when kind = 2 then 5 / 3 else 0 end, c, 1 from r where kind in (0, 2)
+union all select x + c, y + case when kind = 2 then 5 / 3 else 0 end, x + 100, y, 100 - c, 1 from r where kind in (0, 2)
+union all select x + c, y - 30, x + c, y, 30, 1 from r where kind = 0
+union all select x + c, y, x + c, y + 30, 30, 1 from r where kind = 0
+union all select x + c, y + 5 / 3, x + c, y + 65, 60, 1 from r where kind = 2)
+select round(x0, 6) as x0, round(y0, 6) as y0, round(x1, 6) as x1, round(y1, 6) as y1, length_m, trace_observation_count from e""")
+def graph_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    at = lambda v: (100 + 200 * v).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 4).alias("kind"))
+    rows = rows.select("k", "kind", at(k % 400).alias("x"), at(F.floor(k / 400)).alias("y"), (30 + k % 41).cast("double").alias("c"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ends = F.array(point(F.col("x"), F.col("y")), point(F.col("x") + 100, F.col("y")))
+    roads = rows.select(k.alias("ord"), F.concat(F.lit("e"), "k").alias("edge_id"), F.concat(F.lit("n"), 2 * k).alias("start_node_id"), F.concat(F.lit("n"), 2 * k + 1).alias("end_node_id"), ends.alias("polyline"))
+    spots = rows.select(F.posexplode(ends).alias("j", "p"), "k").select(F.concat(F.lit("n"), 2 * k + F.col("j")).alias("id"), (2 * k + F.col("j")).alias("ord"), "p.x", "p.y")
+    walk = rows.where("kind < 3").select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 1, 8).otherwise(6))).alias("j"))
+    x = F.col("x") + F.when(F.col("kind") == 1, 10 + 10 * F.col("j")).otherwise(F.col("c"))
+    y = F.col("y") + F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, 10 * F.col("j") - 30).otherwise(10 * F.col("j") + 5)
+    traced = walk.select(k.cast("string").alias("trace_id"), F.col("j").cast("long").alias("ord"), F.col("j").cast("double").alias("t"), x.alias("x"), y.alias("y"))
+    n, e = build.update_graph(spots, roads, traced)
+    end = lambda name, j: n.select(F.col("id").alias(name), F.col("x").alias(f"x{j}"), F.col("y").alias(f"y{j}"))
+    found = e.join(end("start_node_id", 0), "start_node_id").join(end("end_node_id", 1), "end_node_id")
+    return rounded(found.select("x0", "y0", "x1", "y1", geometry.polyline_length("polyline").alias("length_m"), "trace_observation_count"))
+
+
 @query(f"""with {_DEGREES}, n as (select count(*) as e from edges), j as (select sum(degree * (degree - 1))::bigint as c from deg)
 select 'node' as kind, (select count(*) from nodes) + e * 6 as n from n union all select 'way', e * 3 from n union all select 'lanelet/road', e from n union all select 'regulatory_element/lane_connection', c from j""")
 def lanelet_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
