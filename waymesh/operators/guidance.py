@@ -15,11 +15,25 @@ def category(change: Column, slight: float = 20.0, sharp: float = 120.0, u_turn:
     return F.when(size >= u_turn, "u_turn").when(size >= sharp, F.concat(F.lit("sharp_"), side)).when(size >= slight, side).otherwise("straight")
 
 
-def guidance(routes: DataFrame, edges: DataFrame) -> DataFrame:
+#: What a step is called, before its edge's id.
+PHRASES = {
+    "depart": "Depart on", "arrive": "Arrive at destination on", "straight": "Continue straight on",
+    "left": "Turn left onto", "sharp_left": "Sharp left onto", "right": "Turn right onto", "sharp_right": "Sharp right onto", "u_turn": "Make a U-turn onto",
+}
+
+
+def describe(maneuver: Column, edge_id: Column) -> Column:
+    phrase = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for item in PHRASES.items() for v in item)), maneuver), F.lit("Proceed on"))
+    return F.concat(phrase, F.lit(" "), edge_id)
+
+
+def guidance(routes: DataFrame, edges: DataFrame, nav: DataFrame | None = None) -> DataFrame:
     """Rows (from_node, to_node, k, edge_id, start_m, length_m, change_deg, maneuver, text) of routes (from_node, to_node, edges).
 
     The maneuver is the turn at the start of an edge; the first is depart, the last
-    arrive. Lengths are metres.
+    arrive. Lengths are metres. With the rows of `topology.sd_nav_edges`, steps have
+    sd_nav_maneuvers, what is allowed at the end of the edge along it; none for an edge
+    that is not there.
     """
     steps = routes.select("from_node", "to_node", F.posexplode("edges").alias("k", "step"))
     parts = F.split("step", "/")
@@ -37,4 +51,9 @@ def guidance(routes: DataFrame, edges: DataFrame) -> DataFrame:
     })
     maneuver = F.when(F.col("k") == 0, "depart").when(F.col("last"), "arrive").otherwise(category(F.col("change_deg")))
     steps = steps.withColumn("maneuver", maneuver)
-    return steps.select("from_node", "to_node", "k", "edge_id", "start_m", "length_m", "change_deg", "maneuver", F.concat(F.initcap(F.replace("maneuver", F.lit("_"), F.lit(" "))), F.lit(" on "), "edge_id").alias("text"))
+    out = steps.select("from_node", "to_node", "k", "edge_id", "start_m", "length_m", "change_deg", "maneuver", describe(F.col("maneuver"), F.col("edge_id")).alias("text"))
+    if nav is None:
+        return out
+    allowed = F.filter(F.split("allowed", ","), lambda m: m != "")
+    none = F.array().cast("array<string>")
+    return out.join(nav.select("edge_id", allowed.alias("sd_nav_maneuvers")), "edge_id", "left").withColumn("sd_nav_maneuvers", F.coalesce("sd_nav_maneuvers", none))

@@ -11,7 +11,7 @@ from waymesh.operators.hd import enrich
 from waymesh.operators.topology import sd_nav_edges
 from waymesh.plans.build import Build, build_each
 from waymesh.session import materialize
-from waymesh.sources.documents import map_features
+from waymesh.sources.documents import map_features, map_head
 
 FIELDS = ("timestamp", "x", "y")
 
@@ -122,12 +122,13 @@ def process_dataset(
     allowed = lambda c: F.split(c, ",").alias(c)
     ways = nav.select(F.col("edge_id").alias("whole_id"), "length_m", allowed("allowed"), allowed("allowed_reverse"))
     ways = item(edges.join(ways, "whole_id"), "edge_id", "start_node_id", "end_node_id", "length_m", "allowed", "allowed_reverse")
-    layers = map_features(nodes, edges, samples.join(traces, "trace_id", "left_semi"), lat0, lon0, prefix or "", key="trace_id").withColumn("ord", F.struct("layer", "ord"))
+    layers = map_features(nodes.drop("whole_id"), edges.drop("whole_id"), samples.join(traces, "trace_id", "left_semi"), lat0, lon0, prefix or "", key="trace_id").withColumn("ord", F.struct("layer", "ord"))
     told_of = F.to_json(F.struct(F.lit(1).alias("manifest_version"), label.alias("dataset"), F.struct(F.lit(lat0).alias("lat"), F.lit(lon0).alias("lon")).alias("origin"), F.array(*map(F.lit, ("graph", "map", "nav"))).alias("files"), F.struct("samples", "nodes", "edges").alias("counts")))
     spots = item(nodes, F.col("id").alias("node_id"), "x", "y")
+    of_map = F.struct(*(F.lit(v).alias(k) for k, v in map_head("", lat0, lon0)["properties"].items())).alias("properties")
     rows = _document("graph", traces, {"nodes": n, "edges": e}, F.to_json(F.struct(F.lit(1).alias("schema_version"), F.struct(label.alias("dataset")).alias("metadata"))))
     rows = rows.unionByName(_document("nav", traces, {"nodes": spots, "edges": ways}, F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("navigation_sd_seed").alias("role")))))
-    rows = rows.unionByName(_document("map", traces, {"features": layers}, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), label.alias("name")))))
+    rows = rows.unionByName(_document("map", traces, {"features": layers}, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), label.alias("name"), of_map))))
     rows = rows.unionByName(_document("manifest", traces, {}, told_of))
     order = ["trace_id", "document", "part", "ord"]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("trace_id", "document", "value").write.partitionBy("trace_id", "document").mode("overwrite").text(f"{out}/bundles")

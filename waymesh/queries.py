@@ -579,7 +579,7 @@ def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SQL}, f as (
   select 'node' as layer, id as key, x, y, 1 as points from nodes union all select 'centerline', edge_id, x0, y0, 2 from edges
   union all select unnest(['lane_boundary_left', 'lane_boundary_right']), edge_id, x0 - unnest([1.75, -1.75]::double[]) * (y1 - y0) / 100, y0 + unnest([1.75, -1.75]::double[]) * (x1 - x0) / 100, 2 from edges
-  union all select 'trajectory', trace_id, arg_min(x, ord), arg_min(y, ord), count(*) from samples group by 2)
+  union all select 'trajectory', trace_id, arg_min(x, ord), arg_min(y, ord), count(*) from samples group by 2 having count(*) >= 2)
 select layer, key, round({_LON.format(x="x")}, 9) as lon, round({_LAT.format(y="y")}, 9) as lat, points::int as points from f""")
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = hd.enrich(nodes(spark, sf_dir), edges(spark, sf_dir), 3.5)

@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import metres_to_lonlat, polyline_length
+from waymesh.operators.spatial import coverage
 from waymesh.plans.numbering import numbered
 
+#: What documents made of OpenStreetMap data must say.
+OSM_SOURCE = {"attribution": "© OpenStreetMap contributors", "license": "ODbL-1.0", "license_url": "https://opendatacommons.org/licenses/odbl/1-0/"}
+
 
 def _rows(df: DataFrame, part: int, order: Column, value: Column) -> DataFrame:
     return df.select(F.lit(part).alias("part"), order.cast("long").alias("ord"), value.alias("value"))
@@ -25,19 +29,20 @@ def _line(df: DataFrame, part: int, text: str) -> DataFrame:
     return _rows(df.sparkSession.range(1), part, F.lit(0), F.lit(text))
 
 
-def document(lists: dict[str, tuple[DataFrame, str]], head: dict | None = None) -> DataFrame:
-    """One JSON object with the fields of `head` and lists of rows, each ordered by a number.
+def document(lists: dict[str, tuple[DataFrame, str | tuple[str, ...]]], head: dict | None = None) -> DataFrame:
+    """One JSON object with the fields of `head` and lists of rows, each in the order of some columns.
 
-    lists: name to (rows, name of the number, which is left out of the items). Null
-    fields are left out of items.
+    lists: name to (rows, order). A single column of order is left out of the items,
+    several stay. Rows that tie come in any order. Null fields are left out of items.
     """
     parts, any_df = [], next(iter(lists.values()))[0]
-    start = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v)}," for k, v in (head or {}).items())
+    start = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v, ensure_ascii=False)}," for k, v in (head or {}).items())
     for k, (name, (df, order)) in enumerate(lists.items()):
-        first = df.agg(F.min(order)).first()[0]
-        item = F.to_json(F.struct(*(F.col(c) for c in df.columns if c != order)))
+        by, gone = ((order,), (order,)) if isinstance(order, str) else (order, ())
+        rows = numbered(df, *by, name="_place")
+        item = F.to_json(F.struct(*(F.col(c) for c in df.columns if c not in gone)))
         parts.append(_line(any_df, 2 * k, ("" if k else start) + ("]," if k else "") + f"{json.dumps(name)}:["))
-        parts.append(_rows(df, 2 * k + 1, F.col(order), F.concat(F.when(F.col(order) > (0 if first is None else first), ",").otherwise(""), item)))
+        parts.append(_rows(rows, 2 * k + 1, F.col("_place"), F.concat(F.when(F.col("_place") > 0, ",").otherwise(""), item)))
     parts.append(_line(any_df, 2 * len(lists), "]}"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -70,15 +75,19 @@ def navigation_json(nodes: DataFrame, edges: DataFrame, nav: DataFrame, restrict
 
 def result_json(name: str, rows: DataFrame, *order: str, head: dict | None = None) -> DataFrame:
     """A document with one list of result rows, in the order of some columns: trips, matches, steps, markings, ..."""
-    return document({name: (numbered(rows, *order, name="_ord"), "_ord")}, {"format_version": 1, **(head or {})})
+    return document({name: (rows, order)}, {"format_version": 1, **(head or {})})
 
 
 def trips_json(trips: DataFrame) -> DataFrame:
     return result_json("trips", trips, "trace_id", "trip")
 
 
-def matches_json(matches: DataFrame) -> DataFrame:
-    return result_json("matches", matches, "trace_id", "ord")
+def matches_json(matches: DataFrame, algorithm: str = "hmm_viterbi") -> DataFrame:
+    """Matches (trace_id, ord, edge_id, d, ...) of all samples with their coverage as stats; samples without an edge are told unmatched."""
+    names = {"mean_distance": "mean_distance_m", "max_distance": "max_distance_m"}
+    stats = {names.get(c, c): v for c, v in coverage(matches).first().asDict().items()}
+    rows = matches.withColumn("unmatched", F.when(F.col("edge_id").isNull(), True))
+    return result_json("matches", rows, "trace_id", "ord", head={"stats": {**stats, "algorithm": algorithm}})
 
 
 def guidance_json(steps: DataFrame) -> DataFrame:
@@ -99,8 +108,9 @@ def camera_lanes_json(lanes: DataFrame) -> DataFrame:
     return result_json("camera_lanes", lanes.select("image_id", "k", "edge_id", place, "kind", "side", "confidence"), "image_id", "k")
 
 
-def restrictions_json(restrictions: DataFrame) -> DataFrame:
-    return result_json("turn_restrictions", restrictions, "id")
+def restrictions_json(restrictions: DataFrame, source: dict | None = OSM_SOURCE) -> DataFrame:
+    """Turn restrictions with what their source wants said; None for those seen by cameras or set by hand."""
+    return result_json("turn_restrictions", restrictions, "id", head=source)
 
 
 def routes_json(routes: DataFrame) -> DataFrame:
@@ -109,9 +119,8 @@ def routes_json(routes: DataFrame) -> DataFrame:
 
 def reachability_json(reached: DataFrame, spans: DataFrame, max_cost: float) -> DataFrame:
     """Reached nodes (origin, state, cost) and spans of edges of a service area."""
-    n = numbered(reached.select("origin", F.col("state").alias("node_id"), "cost"), "origin", "node_id", name="_ord")
-    e = numbered(spans, "origin", "edge_id", "direction", name="_ord")
-    return document({"nodes": (n, "_ord"), "edges": (e, "_ord")}, {"format_version": 1, "max_cost_m": max_cost})
+    n = reached.select("origin", F.col("state").alias("node_id"), "cost")
+    return document({"nodes": (n, ("origin", "node_id")), "edges": (spans, ("origin", "edge_id", "direction"))}, {"format_version": 1, "max_cost_m": max_cost})
 
 
 def _lonlat(x: Column, y: Column, lat0: float, lon0: float) -> Column:
@@ -126,34 +135,54 @@ def _feature(kind: str, coordinates: Column, *properties: Column) -> Column:
 def feature_collection(features: DataFrame, *order: str, head: dict | None = None) -> DataFrame:
     """A GeoJSON document of rows (..., value), in the order of some columns."""
     rows = numbered(features, *order, name="_ord")
-    start = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v)}," for k, v in {"type": "FeatureCollection", **(head or {})}.items()) + '"features":['
+    start = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v, ensure_ascii=False)}," for k, v in {"type": "FeatureCollection", **(head or {})}.items()) + '"features":['
     return _line(rows, 0, start).unionByName(_rows(rows, 1, F.col("_ord"), F.concat(F.when(F.col("_ord") > 0, ",").otherwise(""), F.col("value")))).unionByName(_line(rows, 2, "]}"))
 
 
+def map_head(dataset: str, lat0: float, lon0: float, source: dict | None = None) -> dict:
+    """The head of a map's GeoJSON document: its name, its origin and what its source wants said (see OSM_SOURCE)."""
+    return {"name": dataset, "properties": {"origin_lat": lat0, "origin_lon": lon0, "crs_note": "lengths are metres, local to this WGS84 origin", **(source or {})}}
+
+
+def semantic_summary(rules: Column) -> Column:
+    """An edge's rules (an array of JSON texts) in a few words, in their order and with speed limits; null without a kind."""
+
+    def said(rule: Column) -> Column:
+        kind, kmh = F.get_json_object(rule, "$.kind"), F.get_json_object(rule, "$.value_kmh")
+        limit = F.coalesce(F.concat(F.lit("speed_limit "), kmh.try_cast("double").try_cast("long").cast("string"), F.lit(" km/h")), F.lit("speed_limit"))
+        return F.when((kind == "speed_limit") & kmh.isNotNull(), limit).when(kind != "", kind)
+
+    told = F.array_compact(F.transform(rules, said))
+    return F.when(F.size(told) > 0, F.array_join(told, "; "))
+
+
 def map_features(nodes: DataFrame, edges: DataFrame, samples: DataFrame, lat0: float, lon0: float, dataset: str, key: str | None = None) -> DataFrame:
     """Rows (layer, ord, value): GeoJSON features of trajectories, centre lines, lane boundaries and nodes.
 
     With `key`, all three tables have that column (samples trace_id), and so have the rows.
-    Edges with hd of `hd.enrich` have boundaries as layers lane_boundary_left and _right,
-    and centre lines tell the kinds of their semantic rules.
+    Lines of one point are left out. Further columns of nodes and edges are properties,
+    where no property of the feature itself has the name. Edges with hd of `hd.enrich`
+    have boundaries as layers lane_boundary_left and _right, and centre lines tell their
+    semantic rules in short.
     """
     keys = [] if key is None else [key]
 
     def feature(kind: str, coordinates: Column, *properties: Column) -> Column:
         return _feature(kind, coordinates, F.lit(dataset).alias("dataset"), *properties)
 
+    def further(df: DataFrame, *known: str) -> list[Column]:
+        return [F.col(c) for c in df.columns if c not in {"ord", "kind", "dataset", *keys, *known}]
+
     line = F.transform("polyline", lambda p: _lonlat(p["x"], p["y"], lat0, lon0))
-    rules = []
-    if "hd" in edges.columns:
-        kinds = F.array_sort(F.array_distinct(F.array_compact(F.transform("hd.semantic_rules", lambda r: F.get_json_object(r, "$.kind")))))
-        rules = [F.when(F.size(kinds) > 0, F.array_join(kinds, ",")).alias("semantic_summary")]
-    lines = edges.select(*keys, F.lit("centerline").alias("layer"), "ord", feature("LineString", line, F.lit("centerline").alias("kind"), F.col("edge_id"), F.col("start_node_id"), F.col("end_node_id"), polyline_length("polyline").alias("length_m"), *rules).alias("value"))
+    rules = [semantic_summary(F.col("hd.semantic_rules")).alias("semantic_summary")] if "hd" in edges.columns else []
+    rest = further(edges, "edge_id", "start_node_id", "end_node_id", "polyline", "hd", "length_m", "semantic_summary")
+    lines = edges.where(F.size("polyline") >= 2).select(*keys, F.lit("centerline").alias("layer"), "ord", feature("LineString", line, F.lit("centerline").alias("kind"), F.col("edge_id"), F.col("start_node_id"), F.col("end_node_id"), polyline_length("polyline").alias("length_m"), *rules, *rest).alias("value"))
     for side in ("left", "right") if "hd" in edges.columns else ():
         shape = F.transform(f"hd.{side}", lambda p: _lonlat(p["x"], p["y"], lat0, lon0))
         kind = F.lit(f"lane_boundary_{side}")
-        lines = lines.unionByName(edges.where(F.size(f"hd.{side}") >= 2).select(*keys, kind.alias("layer"), "ord", feature("LineString", shape, kind.alias("kind"), F.col("edge_id")).alias("value")))
-    dots = nodes.select(*keys, F.lit("node").alias("layer"), "ord", feature("Point", _lonlat(F.col("x"), F.col("y"), lat0, lon0), F.lit("node").alias("kind"), F.col("id").alias("node_id")).alias("value"))
-    track = samples.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda s: _lonlat(s["x"], s["y"], lat0, lon0)).alias("c"))
+        lines = lines.unionByName(edges.where(F.size(f"hd.{side}") >= 2).select(*keys, kind.alias("layer"), "ord", feature("LineString", shape, kind.alias("kind"), F.col("edge_id"), F.lit(side).alias("side")).alias("value")))
+    dots = nodes.select(*keys, F.lit("node").alias("layer"), "ord", feature("Point", _lonlat(F.col("x"), F.col("y"), lat0, lon0), F.lit("node").alias("kind"), F.col("id").alias("node_id"), *further(nodes, "id", "node_id", "x", "y")).alias("value"))
+    track = samples.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda s: _lonlat(s["x"], s["y"], lat0, lon0)).alias("c")).where(F.size("c") >= 2)
     tracks = track.select(*keys, F.lit("trajectory").alias("layer"), F.xxhash64("trace_id").alias("ord"), feature("LineString", F.col("c"), F.lit("trajectory").alias("kind"), F.col("trace_id")).alias("value"))
     return tracks.unionByName(lines).unionByName(dots)
 
@@ -247,14 +276,17 @@ def svg(samples: DataFrame, nodes: DataFrame, edges: DataFrame, width: int = 100
     ])
 
 
-def write_bundle(folder: str, nodes: DataFrame, edges: DataFrame, samples: DataFrame, nav: DataFrame, lat0: float, lon0: float, dataset: str = "", restrictions: DataFrame | None = None, per_lane: bool = False) -> dict:
-    """Writes graph, nav, map and lanelets below a folder, each as text files in order, and returns the manifest that it also writes."""
+def write_bundle(folder: str, nodes: DataFrame, edges: DataFrame, samples: DataFrame, nav: DataFrame, lat0: float, lon0: float, dataset: str = "", restrictions: DataFrame | None = None, per_lane: bool = False, source: dict | None = None) -> dict:
+    """Writes graph, nav, map and lanelets below a folder, each as text files in order, and returns the manifest that it also writes.
+
+    source is what the data's source wants said, as OSM_SOURCE; the map and the manifest say it.
+    """
     from waymesh.sources.lanelets import lanelet_map
 
     written = {
         "graph": graph_json(nodes, edges, {"dataset": dataset}),
         "nav": navigation_json(nodes, edges, nav, restrictions),
-        "map": feature_collection(map_features(nodes, edges, samples, lat0, lon0, dataset), "layer", "ord"),
+        "map": feature_collection(map_features(nodes, edges, samples, lat0, lon0, dataset), "layer", "ord", head=map_head(dataset, lat0, lon0, source)),
     }
     if "hd" in edges.columns:
         turns = restrictions if restrictions is not None else None
@@ -263,6 +295,6 @@ def write_bundle(folder: str, nodes: DataFrame, edges: DataFrame, samples: DataF
     for name, rows in written.items():
         write_lines(rows, f"{folder}/{name}")
     counts = {"nodes": nodes.count(), "edges": edges.count(), "samples": samples.count()}
-    manifest = {"manifest_version": 1, "dataset": dataset, "origin": {"lat": lat0, "lon": lon0}, "files": sorted(written), "counts": counts}
-    write_lines(_line(nodes, 0, json.dumps(manifest)), f"{folder}/manifest")
+    manifest = {"manifest_version": 1, "dataset": dataset, "origin": {"lat": lat0, "lon": lon0}, "files": sorted(written), "counts": counts, **(source or {})}
+    write_lines(_line(nodes, 0, json.dumps(manifest, ensure_ascii=False)), f"{folder}/manifest")
     return manifest
