@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -429,3 +430,15 @@ def test_rules_that_reject_nothing_come_last_and_ties_keep_their_order(spark):
     assert order == ["always", "slow", "never", "never_slow"]
     none = docs.limit(0)
     assert [r[0] for r in quality.cascade_order(none, rules)] == [r[0] for r in rules] and quality.judge(none, rules).count() == 0
+
+
+def test_memory_of_a_walk_does_not_follow_a_group(rng=np.random.default_rng(5)):
+    n = 4096
+    words = rng.integers(0, 1 << 63, (n, 4), np.uint64)
+    words[1::2] = words[::2] ^ (np.uint64(1) << rng.integers(0, 63, (n // 2, 4)).astype(np.uint64))
+    words = words[np.lexsort([words[:, k] for k in reversed(range(4))])]
+    tracemalloc.start()
+    root = simhash.trie_forest(words, np.array([0]), np.array([n]), 73)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(root)) == n // 2 and most < 400e6

@@ -837,3 +837,13 @@ def test_a_graph_for_each_trace(spark):
         assert got[t] == {place(r) for r in alone["nodes"].collect()}
         assert each["edges"].where(F.col("trace_id") == t).count() == alone["edges"].count()
     assert {r["trace_id"] for r in each["edges"].select("trace_id").distinct().collect()} == set("abc")
+
+
+def test_few_pairs_are_joined_in_few_jobs(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(100, 400)], "a string, b string")
+    spark.sparkContext.setJobGroup("chain", "components")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"n{k}": "n100" for k in range(101, 401)} and jobs <= 12
+    assert got == {r["node"]: r["component"] for r in connected_components(edges, few=0).collect()}

@@ -32,8 +32,12 @@ SEED = 42
 CHUNK = 1 << 15
 #: Pairs of trie nodes that one walk holds at most when it starts.
 WALK = 1 << 21
+#: Pairs of trie nodes that go down together.
+AT_ONCE = 1 << 14
 #: Below so many pairs of leaves, two nodes are compared leaf by leaf.
 LEAVES = 32
+#: Rows of a key that meet in one task at most, as the pairs of nodes may grow with their square.
+MOST = 1 << 14
 #: Smallest shingle hashes that candidates share one of: sets of similarity s share none with a chance of (1 - s) ** MINIMA.
 MINIMA = 8
 #: Standard deviations by which the fingerprints of a candidate pair may exceed the expected distance.
@@ -141,9 +145,13 @@ def trie_forest(lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget:
 
 
 def _walk(lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, root: np.ndarray) -> None:
-    a0, a1, b0, b1 = starts, ends, starts, ends
-    spent = np.zeros(len(starts), np.int64)
-    for depth in range(64 * lanes.shape[1] + 1):
+    """Joins the leaves of groups in `root`; of the pairs of nodes that are open, so many go down together that memory does not grow with a group."""
+    todo = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int64))]
+    while todo:
+        depth, a0, a1, b0, b1, spent = todo.pop()
+        if len(a0) > AT_ONCE:
+            todo += [(depth, *(x[half] for x in (a0, a1, b0, b1, spent))) for half in (slice(AT_ONCE, None), slice(AT_ONCE))]
+            continue
         # leaf level: few enough pairs are compared outright, joined subtrees need no more work
         fresh = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]) if len(root) else np.zeros(1, int)
         same = (root[a0] == root[b0]) & (fresh[a1 - 1] == fresh[a0]) & (fresh[b1 - 1] == fresh[b0])
@@ -160,7 +168,7 @@ def _walk(lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int,
         go = ~same & ~few
         a0, a1, b0, b1, spent = a0[go], a1[go], b0[go], b1[go], spent[go]
         if not len(a0):
-            return
+            continue
         bit = (lanes[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
         ones = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
@@ -172,7 +180,7 @@ def _walk(lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int,
         d1 = np.concatenate([bm, b1, b1, bm[other]])
         cost = np.concatenate([spent, spent, spent + 1, spent[other] + 1])
         go = (c1 > c0) & (d1 > d0) & (cost <= budget)
-        a0, a1, b0, b1, spent = c0[go], c1[go], d0[go], d1[go], cost[go]
+        todo.append((depth + 1, c0[go], c1[go], d0[go], d1[go], cost[go]))
 
 
 def _forest_edges(lanes: int, budget: int):
@@ -197,9 +205,9 @@ def _forest_edges(lanes: int, budget: int):
 def _candidate_edges(keyed: DataFrame, lanes: int, budget: int, least_capacity: int) -> DataFrame:
     """Spanning forests (a, b) of the rows (node, fingerprint, key) that share a key and differ in `budget` bits at most.
 
-    A key held by more rows than a task's fair share is dealt out as pairs of chunks.
+    A key held by more rows than a task's fair share, or than MOST, is dealt out as pairs of chunks.
     """
-    capacity = max(least_capacity, 4 * keyed.count() // shuffle_partitions(keyed.sparkSession))
+    capacity = max(least_capacity, min(MOST, 4 * keyed.count() // shuffle_partitions(keyed.sparkSession)))
     # keys above the capacity: fewer than a quarter of the shuffle partitions, or rows / least_capacity
     hot = keyed.groupBy("key").count().where(F.col("count") > capacity).select("key", F.ceil(F.col("count") / capacity).cast("int").alias("chunks"))
     dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
