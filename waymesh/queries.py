@@ -9,6 +9,7 @@ from waymesh.functions import geometry
 from waymesh.operators import camera, compare, guidance, hd, image_lanes, incremental, lanes, matching, routing, spatial, topology, traces
 from waymesh.plans import build
 from waymesh.plans.views import SNAP_SQL, SQL, TOWN_SQL, edges, nodes, samples, town_edges, town_nodes
+from waymesh.session import shuffle_partitions
 from waymesh.sources import documents, lanelets
 
 #: A camera 1.5 m above the ground that looks a little down.
@@ -965,16 +966,17 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
     v = {"ac": 2 + p % 5, "aw": 1 + p % 4, "ar": p % 7, "ah": 20 + p % 23, "br": p % 11, "bh": 25 + p % 17, "bw": 1 + p % 3}
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("image_id"), *(c.cast("int").alias(n) for n, c in v.items()), (p % 2 == 0).alias("joined"))
+    # images are thousands of times larger than the rows that they are drawn from, so a file's few tasks would not do
+    rows = rows.repartition(shuffle_partitions(spark), "image_id")
     cc = F.col("ac") + F.col("aw") - F.col("joined").cast("int")
-
-    def colour(r, c):
-        inside = lambda v, low, n: (v >= low) & (v < low + n)
-        white = (inside(r, F.col("ar"), F.col("ah")) & inside(c, F.col("ac"), F.col("aw"))) | ((r >= F.col("ar") + F.col("ah")) & inside(c, cc, 2))
-        yellow = inside(r, F.col("br"), F.col("bh")) & inside(c, F.lit(30), F.col("bw"))
-        return F.when(white, F.lit("F0F0F0")).when(yellow, F.lit("FFA000")).otherwise(F.lit("303030"))
-
-    body = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda c: colour(r, c)), ""))
-    return rows.select("image_id", F.concat(F.encode(F.lit("P6\n48 56\n255\n"), "US-ASCII"), F.unhex(F.array_join(body, ""))).alias("content"))
+    stripe = lambda colour, first, n, size: F.concat(F.repeat(F.lit("303030"), first), F.repeat(F.lit(colour), n), F.repeat(F.lit("303030"), size - first - n))
+    # a row is 30 pixels with the white stripes and 18 with the yellow one
+    kinds = {"high": stripe("F0F0F0", F.col("ac"), F.col("aw"), 30), "low": stripe("F0F0F0", cc, F.lit(2), 30), "side": stripe("FFA000", F.lit(0), F.col("bw"), 18)}
+    inside = lambda v, low, n: (v >= F.col(low)) & (v < F.col(low) + F.col(n))
+    left = lambda r: F.when(inside(r, "ar", "ah"), F.col("high")).when(r >= F.col("ar") + F.col("ah"), F.col("low")).otherwise(F.lit("303030" * 30))
+    right = lambda r: F.when(inside(r, "br", "bh"), F.col("side")).otherwise(F.lit("303030" * 18))
+    body = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda r: F.concat(left(r), right(r)))
+    return rows.withColumns(kinds).select("image_id", F.concat(F.encode(F.lit("P6\n48 56\n255\n"), "US-ASCII"), F.unhex(F.array_join(body, ""))).alias("content"))
 
 
 @query(f"""with {_IMAGES} select id as image_id, kind, top, "left", bottom, "right", pixels::int as pixels, round(sqrt((bottom - top) ** 2 + ("right" - "left") ** 2), 6) as length_px from bx where pixels >= 10 and greatest(bottom - top, "right" - "left") >= 30""")
