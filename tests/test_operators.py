@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from waymesh import queries
 from waymesh.functions import geometry
-from waymesh.operators import guidance, incremental, lanes, matching, routing, spatial, topology, traces
+from waymesh.operators import camera, guidance, incremental, lanes, matching, routing, spatial, topology, traces
 from waymesh.plans.components import connected_components
+from waymesh.session import shuffle_partitions
 from waymesh.sources import documents
 
 POLY = "array<struct<x:double,y:double>>"
@@ -847,3 +850,45 @@ def test_few_pairs_are_joined_in_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {f"n{k}": "n100" for k in range(101, 401)} and jobs <= 12
     assert got == {r["node"]: r["component"] for r in connected_components(edges, few=0).collect()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_images_are_drawn_by_all_tasks(spark):
+    drawn = queries._images(spark, "/root/testdata/sf0.001")
+    assert drawn.rdd.getNumPartitions() == shuffle_partitions(spark) > 1
+
+
+def test_crossings_leave_their_task_as_they_are(spark):
+    """Crossings on borders and corners of cells are found once, without a shuffle of the pairs."""
+    line = lambda a, b: [(float(a[0]), float(a[1])), (float(b[0]), float(b[1]))]
+    lines = [line((50, 100), (150, 100)), line((100, 50), (100, 150)), line((60, 60), (140, 140)), line((0, 30), (200, 31)), line((100, 0), (100, 40))]
+    rows = [(k, f"e{k}", [Row(x=x, y=y) for x, y in p]) for k, p in enumerate(lines)]
+    found = spatial.segment_crossings(spark.createDataFrame(rows, "ord long, edge_id string, polyline array<struct<x:double,y:double>>"), 100.0, 2)
+    assert sorted((r["edge_a"], r["edge_b"]) for r in found.collect()) == [("e0", "e1"), ("e0", "e2"), ("e1", "e2"), ("e3", "e4")]
+    assert "Aggregate" not in _plan(found)
+
+
+def test_near_parallel_pairs_are_found_once(spark, rng=np.random.default_rng(8)):
+    at = np.vstack([rng.uniform(0, 60, (150, 4)), [[5, 5, 5, 5], [5, 5, 5, 5], [0, 0, 8, 0], [8, 0, 0, 0]]]).tolist()
+    rows = [(k, f"e{k}", [Row(x=a, y=b), Row(x=c, y=d)]) for k, (a, b, c, d) in enumerate(at)]
+    found = topology.near_parallel_pairs(spark.createDataFrame(rows, "ord long, edge_id string, polyline array<struct<x:double,y:double>>"), 10.0)
+    want = {}
+    for i, (a, b, c, d) in enumerate(at):
+        for j, (e, f, g, h) in enumerate(at[i + 1 :], i + 1):
+            ahead, turned = math.sqrt((a - e) ** 2 + (b - f) ** 2) + math.sqrt((c - g) ** 2 + (d - h) ** 2), math.sqrt((a - g) ** 2 + (b - h) ** 2) + math.sqrt((c - e) ** 2 + (d - f) ** 2)
+            if min(ahead, turned) < 20:
+                want[f"e{i}", f"e{j}"] = (round(min(ahead, turned), 9), turned < ahead)
+    got = [((r["edge_a"], r["edge_b"]), (round(r["apart"], 9), r["turned"])) for r in found.collect()]
+    assert len(got) == len(want) > 300 and dict(got) == want and "Aggregate" not in _plan(found)
+
+
+def test_detections_are_not_joined_back(spark):
+    edges = spark.createDataFrame([(0, "e0", [Row(x=0.0, y=0.0), Row(x=100.0, y=0.0)])], "ord long, edge_id string, polyline array<struct<x:double,y:double>>")
+    rows = [("a", 10.0, 1.0, 0.0, 0.0, 0.0, 0.0, "sign", 320.0, 400.0), ("b", 10.0, 1.0, 0.0, 0.0, 0.0, 0.0, "sign", 320.0, 0.0), ("c", 10.0, 50.0, 0.0, 0.0, 0.0, 0.0, "sign", 320.0, 400.0)]
+    seen = spark.createDataFrame(rows, "pos string, x double, y double, z double, roll double, pitch double, yaw double, kind string, u double, v double")
+    found = camera.observations_on_edges(seen, camera.Calibration(500.0, 500.0, 320.0, 240.0, shift=(0.0, 0.0, 1.5)), edges)
+    assert {r["pos"]: (r["fate"], r["edge_id"], r["x"], r["y"]) for r in found.collect()} == {"a": ("on_edge", "e0", 10.0, 1.0), "b": ("above_horizon", None, 10.0, 1.0), "c": ("no_edge", None, 10.0, 50.0)}
+    assert _plan(found).count("Join") == 1
