@@ -138,10 +138,13 @@ def observations_on_edges(detections: DataFrame, camera: Calibration, edges: Dat
     fate: on_edge, no_edge or above_horizon, so that counts by fate are the report.
     """
     placed = project_detections(detections, camera, ground)
-    points = placed.where("gx is not null").select("pos", F.col("gx").alias("x"), F.col("gy").alias("y"))
-    near = snap(points, edges, max_dist, keys=("pos",)).select("pos", "edge_id", "arc", F.col("d").alias("distance_m"))
+    rest = [c for c in placed.columns if c != "pos"]
+    # detections go through the snapping themselves, so that they are neither made twice nor joined back
+    points = placed.withColumnsRenamed({"x": "_x", "y": "_y"}).withColumns({"x": F.col("gx"), "y": F.col("gy")})
+    near = snap(points, edges, max_dist, keys=("pos",))
     fate = F.when(F.col("gx").isNull(), "above_horizon").when(F.col("edge_id").isNull(), "no_edge").otherwise("on_edge")
-    return placed.join(near, "pos", "left").withColumn("fate", fate)
+    own = [F.col(f"_{c}").alias(c) if c in ("x", "y") else F.col(c) for c in rest]
+    return near.select("pos", *own, "edge_id", "arc", F.col("d").alias("distance_m"), fate.alias("fate"))
 
 
 def apply_observations(edges: DataFrame, observations: DataFrame) -> DataFrame:
