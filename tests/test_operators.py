@@ -892,3 +892,11 @@ def test_detections_are_not_joined_back(spark):
     found = camera.observations_on_edges(seen, camera.Calibration(500.0, 500.0, 320.0, 240.0, shift=(0.0, 0.0, 1.5)), edges)
     assert {r["pos"]: (r["fate"], r["edge_id"], r["x"], r["y"]) for r in found.collect()} == {"a": ("on_edge", "e0", 10.0, 1.0), "b": ("above_horizon", None, 10.0, 1.0), "c": ("no_edge", None, 10.0, 50.0)}
     assert _plan(found).count("Join") == 1
+
+
+def test_moves_are_not_joined_beforehand_within_a_budget(spark, monkeypatch):
+    seen, real = [], routing.search
+    monkeypatch.setattr(routing, "search", lambda *a, **k: seen.append(k.get("doublings", routing.DOUBLINGS)) or real(*a, **k))
+    adj = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 2.0), ("c", "d", 2.0), ("a", "c", 5.0)], "u string, v string, cost double")
+    starts = spark.createDataFrame([("a", "a", 0.0)], "origin string, state string, cost double")
+    assert {r["state"]: r["cost"] for r in routing.cheapest(adj, starts, 4.0).collect()} == {"a": 0.0, "b": 2.0, "c": 4.0} and seen == [0]

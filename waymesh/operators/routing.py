@@ -182,9 +182,14 @@ def search(moves: DataFrame, starts: DataFrame, max_cost: float | None = None, m
     raise RuntimeError("the search did not end")
 
 
+def _doublings(max_cost: float | None) -> int:
+    """None within a budget: moves of several moves are then as many as what is found, and are joined with it again."""
+    return DOUBLINGS if max_cost is None else 0
+
+
 def cheapest(adj: DataFrame, starts: DataFrame, max_cost: float | None = None, max_rounds: int = 100_000) -> DataFrame:
     """Rows (origin, state, cost): cheapest cost from each start (origin, state, cost) over rows (u, v, cost)."""
-    return search(adj.select("u", "v", "cost", F.lit("").alias("step")), starts, max_cost, max_rounds).select("origin", "state", "cost")
+    return search(adj.select("u", "v", "cost", F.lit("").alias("step")), starts, max_cost, max_rounds, doublings=_doublings(max_cost)).select("origin", "state", "cost")
 
 
 def traced(found: DataFrame, ends: DataFrame) -> DataFrame:
@@ -274,7 +279,7 @@ def _turning(edges: DataFrame, restrictions: DataFrame, origins: DataFrame) -> t
 def restricted_costs(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None = None) -> DataFrame:
     """Rows (origin, node, cost) under turn rules: cheapest cost to each node from origins (origin: a node id)."""
     moves, starts, ends = _turning(edges, restrictions, origins)
-    reached = search(moves, starts, max_cost).join(ends, "state").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+    reached = search(moves, starts, max_cost, doublings=_doublings(max_cost)).join(ends, "state").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
     own = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
     return reached.unionByName(own).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
 
