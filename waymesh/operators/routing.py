@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import polyline_length
+from waymesh.operators.tiles import TILE, tile_routes
+from waymesh.plans.components import connected_components
 from waymesh.session import materialize
 
 
@@ -55,6 +57,8 @@ def weighted(adj: DataFrame, facts: DataFrame, observed_bonus: float = 0.5, unob
 
 #: How often moves are doubled before a search: 2 makes a round go up to four moves.
 DOUBLINGS = 2
+#: States of a network that is searched in rounds even where places are given; more are searched by tiles.
+FEW_STATES = TILE
 #: Rounds of a search whose improvements are kept apart before they are put together.
 APART = 12
 
@@ -310,9 +314,31 @@ def _directed(nodes: DataFrame | None, moves: DataFrame, ends: DataFrame, pairs:
     return goals(moves, materialize(places), materialize(wanted.join(ends, F.col("target") == F.col("node")).select("origin", "target", "state")), starts)
 
 
-def _route_search(moves: DataFrame, starts: DataFrame, ends: DataFrame, pairs: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    moves = materialize(moves)
-    return _routes(search(moves, starts, goals=_directed(nodes, moves, ends, pairs)), ends, pairs)
+def _connected(pairs: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose nodes hang together by links (a, b) in any direction, and the nodes that hang together with those."""
+    parts = connected_components(links)
+    part = lambda df, c, name: df.join(parts.withColumnRenamed("node", c).withColumnRenamed("component", name), c, "left").withColumn(name, F.coalesce(name, c))
+    found = part(part(pairs.where("from_node <> to_node").distinct(), "from_node", "_part"), "to_node", "_other").where("_part = _other")
+    found = materialize(found.select("from_node", "to_node", "_part"))
+    return found.drop("_part"), materialize(part(nodes, "id", "_part").join(found.select("_part").distinct(), "_part", "left_semi").select("id", "x", "y"))
+
+
+def _route_search(moves: DataFrame, starts: DataFrame, ends: DataFrame, pairs: DataFrame, nodes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Rows (from_node, to_node, cost, edges); with nodes tile by tile, in the parts of the network (links: a, b) that have a pair."""
+    if nodes is None:
+        return _routes(search(materialize(moves), starts), ends, pairs)
+    pairs = pairs.select("from_node", "to_node")
+    joined, near = _connected(pairs, nodes, links)
+    ends = materialize(ends.join(near.select(F.col("id").alias("node")), "node", "left_semi"))
+    moves = materialize(moves.join(ends.select(F.col("state").alias("u")), "u", "left_semi"))
+    own = pairs.where("from_node = to_node")
+    goal = _directed(near, moves, ends, joined)
+    if goal is None or ends.count() <= FEW_STATES:
+        return _routes(search(moves, starts, goals=goal), ends, joined.unionByName(own))
+    found = materialize(tile_routes(moves, starts, goal.places, goal.targets, goal.boxes, goal.least))
+    reached = goal.targets.join(found, ["origin", "state"]).groupBy("origin", "target").agg(F.min(F.struct("cost", "hops", "state", "steps")).alias("b"))
+    ways = reached.select(F.col("origin").alias("from_node"), F.col("target").alias("to_node"), "b.cost", F.col("b.steps").alias("edges"))
+    return ways.unionByName(own.distinct().select("from_node", "to_node", F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("edges")))
 
 
 def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -323,7 +349,11 @@ def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame
     y) the search is goal-directed.
     """
     moves, starts, ends = _turning(edges, restrictions, _origins(pairs))
-    return _route_search(moves, starts, ends, pairs, nodes)
+    return _route_search(moves, starts, ends, pairs, nodes, _links(edges))
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("start_node_id").alias("a"), F.col("end_node_id").alias("b"))
 
 
 def _laned(edges: DataFrame, lanes: DataFrame, origins: DataFrame, swap_cost: float, restrictions: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -367,7 +397,7 @@ def lane_costs(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost:
 def lane_paths(edges: DataFrame, lanes: DataFrame, pairs: DataFrame, swap_cost: float = 50.0, restrictions: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Cheapest routes of pairs where lane changes cost: (from_node, to_node, cost, edges), edges as edge/direction/lane."""
     moves, starts, ends = _laned(edges, lanes, _origins(pairs), swap_cost, restrictions)
-    return _route_search(moves, starts, ends.select("state", "node"), pairs, nodes)
+    return _route_search(moves, starts, ends.select("state", "node"), pairs, nodes, _links(edges))
 
 
 def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -381,7 +411,7 @@ def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> D
     origins = _origins(pairs)
     moves = adj.select("u", "v", "cost", step_name("edge_id", "direction").alias("step"))
     ends = adj.select(F.explode(F.array("u", "v")).alias("state")).distinct().select("state", F.col("state").alias("node"))
-    return _route_search(moves, origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")), ends, pairs, nodes)
+    return _route_search(moves, origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")), ends, pairs, nodes, adj.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
 def merge_restrictions(*groups: DataFrame) -> DataFrame:

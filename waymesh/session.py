@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bits of the estimated size of a checkpointed table.
+LONGEST_ESTIMATE = 256
+
 
 def get_session(app: str = "waymesh", **conf: str) -> SparkSession:
     """A session with the settings that results rely on: UTC, ANSI SQL, adaptive execution."""
@@ -33,7 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymesh-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # a checkpoint keeps the estimate of its size, which joins multiply: in a fixpoint its digits double with every round
+    # until the driver is filled by a number, so tables with a long one are made anew from their rows
+    if out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() > LONGEST_ESTIMATE:
+        out = DataFrame(df.sparkSession._jsparkSession.createDataFrame(out._jdf.javaRDD(), out._jdf.schema()), df.sparkSession)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
