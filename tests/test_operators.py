@@ -900,3 +900,18 @@ def test_moves_are_not_joined_beforehand_within_a_budget(spark, monkeypatch):
     adj = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 2.0), ("c", "d", 2.0), ("a", "c", 5.0)], "u string, v string, cost double")
     starts = spark.createDataFrame([("a", "a", 0.0)], "origin string, state string, cost double")
     assert {r["state"]: r["cost"] for r in routing.cheapest(adj, starts, 4.0).collect()} == {"a": 0.0, "b": 2.0, "c": 4.0} and seen == [0]
+
+
+def test_rows_over_many_cells_are_not_sent_through_the_driver(spark):
+    """Estimates of size do not know what explode() makes of a row, so that Spark sent all cells of all roads to every task."""
+    at = lambda x: F.struct(F.lit(x).cast("double").alias("x"), (10.0 * F.col("id")).alias("y"))
+    roads = spark.range(700).select(F.col("id").alias("ord"), F.concat(F.lit("e"), "id").alias("edge_id"), F.array(at(0), at(400)).alias("polyline"))
+    points = spark.range(500).select(F.col("id").alias("key"), F.lit(50.0).alias("x"), (10.0 * F.col("id") + 1).alias("y"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many = spatial.point_segment_pairs(points, spatial.segments(roads), 2.0)
+    assert "Broadcast" not in plan(many) and "Broadcast" in plan(spatial.point_segment_pairs(points, spatial.segments(roads.where("ord < 9")), 2.0))
+    assert sorted((r["key"], r["edge_id"], r["d2"]) for r in many.collect()) == [(k, f"e{k}", 1.0) for k in range(500)]
+    samples = points.select(F.col("key").cast("string").alias("trace_id"), F.lit(0).cast("long").alias("ord"), "x", "y")
+    snapped = spatial.snap(samples, roads, 2.0)
+    assert "Broadcast" not in plan(snapped)
+    assert {(r["trace_id"], r["edge_id"], r["d"]) for r in snapped.collect()} == {(str(k), f"e{k}", 1.0) for k in range(500)}
