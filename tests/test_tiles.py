@@ -68,3 +68,15 @@ def test_estimates_of_size_stay_short_in_a_fixpoint(spark):
         df = materialize(df.join(df.select("id"), "id"))
         assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= LONGEST_ESTIMATE
     assert sorted(map(tuple, df.collect())) == [(k, k % 7) for k in range(50)]
+
+
+def test_moves_between_lanes_are_made_of_parts_with_a_pair_alone(spark, monkeypatch):
+    """Lanes make some fifteen moves of an edge, which were made of the whole network before most of them were dropped."""
+    nodes, edges, _ = town(spark, 4, 5)
+    pairs = spark.createDataFrame([("far", "far2"), ("g0_0", "far")], "from_node string, to_node string")
+    seen, real = [], routing._laned
+    monkeypatch.setattr(routing, "_laned", lambda e, *a: seen.append({r["edge_id"] for r in e.collect()}) or real(e, *a))
+    lanes = edges.select("edge_id", "lane_count")
+    got = ways(routing.lane_paths(edges, lanes, pairs, nodes=nodes))
+    assert seen == [{r["edge_id"] for r in edges.where("start_node_id in ('far', 'far2')").collect()}]
+    assert got == ways(routing.lane_paths(edges, lanes, pairs)) and len(got) == 1

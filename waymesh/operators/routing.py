@@ -8,6 +8,7 @@ with a lane. Each state remembers the move that reached it, from which routes ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -314,23 +315,36 @@ def _directed(nodes: DataFrame | None, moves: DataFrame, ends: DataFrame, pairs:
     return goals(moves, materialize(places), materialize(wanted.join(ends, F.col("target") == F.col("node")).select("origin", "target", "state")), starts)
 
 
-def _connected(pairs: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose nodes hang together by links (a, b) in any direction, and the nodes that hang together with those."""
+def _parts(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """Pairs whose nodes hang together by links (a, b) in any direction, and what keeps the rows of a table whose node, in a column, hangs together with those."""
     parts = connected_components(links)
     part = lambda df, c, name: df.join(parts.withColumnRenamed("node", c).withColumnRenamed("component", name), c, "left").withColumn(name, F.coalesce(name, c))
     found = part(part(pairs.where("from_node <> to_node").distinct(), "from_node", "_part"), "to_node", "_other").where("_part = _other")
     found = materialize(found.select("from_node", "to_node", "_part"))
-    return found.drop("_part"), materialize(part(nodes, "id", "_part").join(found.select("_part").distinct(), "_part", "left_semi").select("id", "x", "y"))
+    return found.drop("_part"), lambda df, c: part(df, c, "_part").join(found.select("_part").distinct(), "_part", "left_semi").select(*df.columns)
+
+
+def _connected(pairs: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose nodes hang together by links (a, b) in any direction, and the nodes that hang together with those."""
+    joined, within = _parts(pairs, links)
+    return joined, materialize(within(nodes, "id").select("id", "x", "y"))
+
 
+def _route_search(over: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], network: DataFrame, a: str, b: str, pairs: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Rows (from_node, to_node, cost, edges) over a network whose rows join nodes in columns a and b.
 
-def _route_search(moves: DataFrame, starts: DataFrame, ends: DataFrame, pairs: DataFrame, nodes: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Rows (from_node, to_node, cost, edges); with nodes tile by tile, in the parts of the network (links: a, b) that have a pair."""
+    `over` makes moves, starts and ends (state, node) of a network; with nodes these are made of
+    the parts alone that have a pair, as moves are many more than edges, and searched tile by tile.
+    """
     if nodes is None:
+        moves, starts, ends = over(network)
         return _routes(search(materialize(moves), starts), ends, pairs)
     pairs = pairs.select("from_node", "to_node")
-    joined, near = _connected(pairs, nodes, links)
+    joined, within = _parts(pairs, network.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    near = materialize(within(nodes, "id").select("id", "x", "y"))
+    moves, starts, ends = over(materialize(within(network, a)))
     ends = materialize(ends.join(near.select(F.col("id").alias("node")), "node", "left_semi"))
-    moves = materialize(moves.join(ends.select(F.col("state").alias("u")), "u", "left_semi"))
+    moves = materialize(moves)
     own = pairs.where("from_node = to_node")
     goal = _directed(near, moves, ends, joined)
     if goal is None or ends.count() <= FEW_STATES:
@@ -348,8 +362,7 @@ def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame
     without a route are left out; a node to itself is an empty route. With nodes (id, x,
     y) the search is goal-directed.
     """
-    moves, starts, ends = _turning(edges, restrictions, _origins(pairs))
-    return _route_search(moves, starts, ends, pairs, nodes, _links(edges))
+    return _route_search(lambda e: _turning(e, restrictions, _origins(pairs)), edges, "start_node_id", "end_node_id", pairs, nodes)
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -396,8 +409,12 @@ def lane_costs(edges: DataFrame, lanes: DataFrame, origins: DataFrame, max_cost:
 
 def lane_paths(edges: DataFrame, lanes: DataFrame, pairs: DataFrame, swap_cost: float = 50.0, restrictions: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Cheapest routes of pairs where lane changes cost: (from_node, to_node, cost, edges), edges as edge/direction/lane."""
-    moves, starts, ends = _laned(edges, lanes, _origins(pairs), swap_cost, restrictions)
-    return _route_search(moves, starts, ends.select("state", "node"), pairs, nodes, _links(edges))
+
+    def over(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        moves, starts, ends = _laned(part, lanes, _origins(pairs), swap_cost, restrictions)
+        return moves, starts, ends.select("state", "node")
+
+    return _route_search(over, edges, "start_node_id", "end_node_id", pairs, nodes)
 
 
 def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -408,10 +425,13 @@ def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> D
     smaller, read from the end. All origins are searched at once. With nodes (id, x, y)
     the search is goal-directed: it leaves alone what lies too far from the targets.
     """
-    origins = _origins(pairs)
-    moves = adj.select("u", "v", "cost", step_name("edge_id", "direction").alias("step"))
-    ends = adj.select(F.explode(F.array("u", "v")).alias("state")).distinct().select("state", F.col("state").alias("node"))
-    return _route_search(moves, origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")), ends, pairs, nodes, adj.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+    def over(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        ends = part.select(F.explode(F.array("u", "v")).alias("state")).distinct().select("state", F.col("state").alias("node"))
+        starts = _origins(pairs).select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
+        return part.select("u", "v", "cost", step_name("edge_id", "direction").alias("step")), starts, ends
+
+    return _route_search(over, adj, "u", "v", pairs, nodes)
 
 
 def merge_restrictions(*groups: DataFrame) -> DataFrame:
