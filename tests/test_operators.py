@@ -915,3 +915,14 @@ def test_rows_over_many_cells_are_not_sent_through_the_driver(spark):
     snapped = spatial.snap(samples, roads, 2.0)
     assert "Broadcast" not in plan(snapped)
     assert {(r["trace_id"], r["edge_id"], r["d"]) for r in snapped.collect()} == {(str(k), f"e{k}", 1.0) for k in range(500)}
+
+
+def test_ways_between_candidates_are_found_by_pairs_of_edges(spark, cross):
+    """Every pair of candidates was joined with the ways between their ends, four rows for one, and these were grouped again."""
+    from waymesh.session import materialize
+
+    found = materialize(spatial.candidates(make_samples(spark, [("t", 0, 0, -30, 1), ("t", 1, 1, 40, 1), ("t", 2, 2, 60, 2), ("t", 3, 3, 102, 30)]), cross[1], 20.0))
+    steps = matching.transitions(found, cross[1])
+    assert "Aggregate [trace_id" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["ord"], r["from_edge"], r["to_edge"]): r["route"] for r in steps.collect()}
+    assert got[0, "cw", "ce"] == 70.0 and got[1, "ce", "ce"] == 20.0

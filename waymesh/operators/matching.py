@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.operators.routing import adjacency, cheapest
-from waymesh.operators.spatial import candidates
+from waymesh.operators.spatial import beside, candidates
 from waymesh.session import materialize
 
 #: Stretches of a trace that are matched together, and samples of a stretch that are.
@@ -29,15 +29,18 @@ def transitions(found: DataFrame, edges: DataFrame, limit: float = 200.0) -> Dat
     # only ends of edges that are candidates somewhere are searched from
     nodes = ends.join(found.select("edge_id").distinct(), "edge_id", "left_semi").select(F.col("node").alias("origin")).distinct()
     between = cheapest(adj, nodes.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost")), limit)
-    tail = found.join(ends, "edge_id").withColumn("way", F.when(F.col("far"), F.col("edge_len") - F.col("arc")).otherwise(F.col("arc")))
-    a = tail.select("trace_id", F.col("ord"), F.col("edge_id").alias("from_edge"), F.col("node").alias("origin"), F.col("way").alias("out"))
-    b = tail.select("trace_id", (F.col("ord") - 1).alias("ord"), F.col("edge_id").alias("to_edge"), F.col("node").alias("state"), F.col("way").alias("into"))
-    other = a.join(b, ["trace_id", "ord"]).where("from_edge <> to_edge").join(between, ["origin", "state"])
-    other = other.groupBy("trace_id", "ord", "from_edge", "to_edge").agg(F.min(F.col("out") + F.col("cost") + F.col("into")).alias("route"))
-    x = found.select("trace_id", "ord", F.col("edge_id").alias("from_edge"), F.col("arc").alias("arc_a"))
-    y = found.select("trace_id", (F.col("ord") - 1).alias("ord"), F.col("edge_id").alias("to_edge"), F.col("arc").alias("arc_b"))
-    same = x.join(y, ["trace_id", "ord"]).where("from_edge = to_edge").select("trace_id", "ord", "from_edge", "to_edge", F.abs(F.col("arc_b") - F.col("arc_a")).alias("route"))
-    return same.unionByName(other).where(F.col("route") <= limit)
+    # ways between ends are put together by pairs of edges, of which there are as many as the graph has, not as samples
+    a, b = ends.select(F.col("edge_id").alias("from_edge"), F.col("node").alias("origin"), F.col("far").alias("far_a")), ends.select(F.col("edge_id").alias("to_edge"), F.col("node").alias("state"), F.col("far").alias("far_b"))
+    ways = between.join(a, "origin").join(b, "state").where("from_edge <> to_edge").groupBy("from_edge", "to_edge").agg(F.collect_list(F.struct("far_a", "far_b", "cost")).alias("ways"))
+    x = found.select("trace_id", "ord", F.col("edge_id").alias("from_edge"), F.col("arc").alias("arc_a"), F.col("edge_len").alias("len_a"))
+    y = found.select("trace_id", (F.col("ord") - 1).alias("ord"), F.col("edge_id").alias("to_edge"), F.col("arc").alias("arc_b"), F.col("edge_len").alias("len_b"))
+    steps = x.join(y, ["trace_id", "ord"])
+    out = lambda w: F.when(w["far_a"], F.col("len_a") - F.col("arc_a")).otherwise(F.col("arc_a"))
+    into = lambda w: F.when(w["far_b"], F.col("len_b") - F.col("arc_b")).otherwise(F.col("arc_b"))
+    other = F.array_min(F.transform("ways", lambda w: out(w) + w["cost"] + into(w)))
+    route = F.when(F.col("from_edge") == F.col("to_edge"), F.abs(F.col("arc_b") - F.col("arc_a"))).otherwise(other)
+    steps = steps.join(beside(materialize(ways)), ["from_edge", "to_edge"], "left")
+    return steps.select("trace_id", "ord", "from_edge", "to_edge", route.alias("route")).where(F.col("route") <= limit)
 
 
 def hmm_match(samples: DataFrame, edges: DataFrame, radius: float = 20.0, sigma: float = 5.0, limit: float = 200.0, block: int = BLOCK) -> DataFrame:
@@ -51,7 +54,8 @@ def hmm_match(samples: DataFrame, edges: DataFrame, radius: float = 20.0, sigma:
     what lies between two of them is matched by itself; if that is more than `block`
     samples, in blocks of so many.
     """
-    found = candidates(samples, edges, radius)
+    # candidates and chains are read several times
+    found = materialize(candidates(samples, edges, radius))
     steps = transitions(found, edges, limit).groupBy("trace_id", "ord").agg(F.collect_list(F.struct("from_edge", "to_edge", "route")).alias("moves"))
     options = found.groupBy("trace_id", "ord").agg(F.array_sort(F.collect_list(F.struct("rank", "edge_id", "d"))).alias("options"))
     rows = samples.select("trace_id", "ord", "x", "y").join(options, ["trace_id", "ord"], "left")
@@ -79,6 +83,7 @@ def hmm_match(samples: DataFrame, edges: DataFrame, radius: float = 20.0, sigma:
 
     place = Window.partitionBy("trace_id", "part").orderBy("ord")
     chained = chained.withColumns({"at": (F.row_number().over(place) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy("trace_id", "part"))})
+    chained = materialize(chained)
     # a group is so many stretches of a trace at most
     grouped = chained.where(F.col("n") <= block).groupBy("trace_id", F.floor(F.col("part") / STRETCHES).alias("group"))
     short = grouped.applyInPandas(chains, "trace_id string, ord long, edge_id string")
