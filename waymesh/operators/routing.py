@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import polyline_length
+from waymesh.operators.cells import areas
 from waymesh.operators.tiles import TILE, tile_routes
 from waymesh.plans.components import connected_components
 from waymesh.session import materialize
@@ -36,6 +37,13 @@ def adjacency(edges: DataFrame, respect_oneway: bool = False) -> DataFrame:
     return out.drop("osm_oneway")
 
 
+def _both_ways(edges: DataFrame, respect_oneway: bool = False) -> DataFrame:
+    """Rows (edge_id, u, v, cost, ahead, back) of edges once, with the directions that `adjacency` has."""
+    tag = F.lower(F.trim(F.coalesce("osm_oneway", F.lit("")))) if respect_oneway and "osm_oneway" in edges.columns else F.lit("")
+    ends = [F.col("start_node_id").alias("u"), F.col("end_node_id").alias("v")]
+    return edges.select("edge_id", *ends, polyline_length("polyline").alias("cost"), (tag != "-1").alias("ahead"), (~tag.isin("yes", "true", "1")).alias("back"))
+
+
 def _oneway(df: DataFrame) -> list[str]:
     return [c for c in ("osm_oneway",) if c in df.columns]
 
@@ -197,6 +205,15 @@ def cheapest(adj: DataFrame, starts: DataFrame, max_cost: float | None = None, m
     return search(adj.select("u", "v", "cost", F.lit("").alias("step")), starts, max_cost, max_rounds, doublings=_doublings(max_cost)).select("origin", "state", "cost")
 
 
+def service_areas(edges: DataFrame, origins: DataFrame, nodes: DataFrame, max_cost: float, respect_oneway: bool = False) -> DataFrame:
+    """Rows (origin, node, cost): what origins (origin: a node id) reach within the budget, searched cell by cell where nodes (id, x, y) lie."""
+    found = areas(_both_ways(edges, respect_oneway), origins, nodes, max_cost)
+    if found is None:
+        starts = origins.select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
+        found = cheapest(adjacency(edges, respect_oneway), starts, max_cost).withColumnRenamed("state", "node")
+    return found
+
+
 def traced(found: DataFrame, ends: DataFrame) -> DataFrame:
     """Rows (origin, state, steps): the moves of the ways to `ends` (origin, state), from the results of a search.
 
@@ -281,8 +298,18 @@ def _turning(edges: DataFrame, restrictions: DataFrame, origins: DataFrame) -> t
     return turn_adjacency(adj, restrictions), first, adj.select(state.alias("state"), F.col("v").alias("node"))
 
 
-def restricted_costs(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None = None) -> DataFrame:
-    """Rows (origin, node, cost) under turn rules: cheapest cost to each node from origins (origin: a node id)."""
+def restricted_costs(edges: DataFrame, restrictions: DataFrame, origins: DataFrame, max_cost: float | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Rows (origin, node, cost) under turn rules: cheapest cost to each node from origins (origin: a node id).
+
+    With nodes (id, x, y) a search within a budget goes cell by cell.
+    """
+    if nodes is not None and max_cost is not None:
+        forward = lambda c: F.when(F.col(c) == "forward", True).when(F.col(c) == "reverse", False)
+        kind = F.when(F.col("restriction").startswith("no_"), "no").when(F.col("restriction").startswith("only_"), "only")
+        rules = restrictions.select(F.col("junction_node_id").alias("u"), F.col("from_edge_id").alias("edge_id"), forward("from_direction").alias("ahead"), F.col("to_edge_id").alias("v"), forward("to_direction").alias("back"), kind.alias("rule")).where("rule is not null and ahead is not null")
+        found = areas(_both_ways(edges), origins, nodes, max_cost, rules)
+        if found is not None:
+            return found
     moves, starts, ends = _turning(edges, restrictions, origins)
     reached = search(moves, starts, max_cost, doublings=_doublings(max_cost)).join(ends, "state").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
     own = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))

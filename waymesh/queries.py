@@ -948,8 +948,8 @@ d(origin, edge_id, direction, node, cost) using key (origin, edge_id, direction)
 select origin, node, round(min(cost), 6) as cost from (select origin, node, cost from d union all select id, id, 0 from tn) group by 1, 2""")
 def town_turn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = town_edges(spark, sf_dir)
-    origins = town_nodes(spark, sf_dir).select(F.col("id").alias("origin"))
-    return rounded(routing.restricted_costs(e, _town_rules(e), origins, 230.0))
+    n = town_nodes(spark, sf_dir)
+    return rounded(routing.restricted_costs(e, _town_rules(e), n.select(F.col("id").alias("origin")), 230.0, nodes=n))
 
 
 # camera images: a white stripe, a second one that touches its corner or its foot, and a yellow one
