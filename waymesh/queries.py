@@ -881,9 +881,8 @@ d(origin, node, cost) using key (origin, node) as (
   where d.cost + oa.len <= 260 and (k.cost is null or d.cost + oa.len < k.cost - 1e-9) group by 1, 2)
 select origin, node, round(cost, 6) as cost from d""")
 def town_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = town_nodes(spark, sf_dir).select(F.col("id").alias("origin"), F.col("id").alias("state"), F.lit(0.0).alias("cost"))
-    found = routing.cheapest(routing.adjacency(town_edges(spark, sf_dir), respect_oneway=True), starts, 260.0)
-    return rounded(found.select("origin", F.col("state").alias("node"), "cost"))
+    n = town_nodes(spark, sf_dir)
+    return rounded(routing.service_areas(town_edges(spark, sf_dir), n.select(F.col("id").alias("origin")), n, 260.0, respect_oneway=True))
 
 
 def _town_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
