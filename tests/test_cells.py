@@ -56,3 +56,35 @@ def test_areas_that_no_distance_bounds_are_searched_in_rounds(spark, monkeypatch
     assert costs(routing.service_areas(edges, origins, nodes.where("id <> 'g1_1'"), 200.0)) == want
     monkeypatch.setattr(cells, "ROWS", 2)
     assert costs(routing.service_areas(edges, origins, nodes, 200.0)) == want
+
+
+def test_segments_are_spread_over_cells_without_comparing_cells(spark):
+    """Cells of overlapping steps were made distinct as structs, in time that grows with their square."""
+    from pyspark.sql import functions as F
+
+    from waymesh.operators.spatial import spread
+
+    rng = np.random.default_rng(4)
+    rows = [(k, *map(float, (*a, *(a + rng.normal(0, size, 2) * flat)))) for k, (size, flat) in enumerate([(s, f) for s in (0, 1e-9, 6, 90) for f in ((1, 1), (0, 1), (1, 0))] * 3) for a in [rng.uniform(-200, 200, 2)]]
+    wide = spread(spark.createDataFrame(rows, "k int, ax double, ay double, bx double, by double"), *(F.col(c) for c in ("ax", "ay", "bx", "by")), 4.0, 8.0)
+    assert "array_distinct" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    found = [(r["k"], (r["cx"], r["cy"])) for r in wide.collect()]
+    assert len(found) == len(set(found))
+    for k, ax, ay, bx, by in rows:
+        t, turn = np.linspace(0, 1, 200)[:, None], np.linspace(0, 2 * np.pi, 16)
+        near = np.floor((ax + t * (bx - ax) + 3.999 * np.cos(turn)) / 8), np.floor((ay + t * (by - ay) + 3.999 * np.sin(turn)) / 8)
+        need = set(zip(*(v.astype(int).ravel().tolist() for v in near), strict=True))
+        assert need <= {c for j, c in found if j == k}
+
+
+def test_center_lines_are_the_same_for_short_and_long_groups(spark):
+    """A few samples are smoothed as a row; spread over all points they were many times as many rows, sorted twice."""
+    from waymesh.operators import lanes
+
+    rng = np.random.default_rng(6)
+    rows = [(f"t{t}", k, float(x), float(y)) for t, (n, step) in enumerate([(2, 5), (9, 10), (40, 3), (7, 0), (30, 200), (1, 1)]) for k, (x, y) in enumerate(np.cumsum(rng.normal(0, step, (n, 2)), 0))]
+    samples = spark.createDataFrame(rows, "trace_id string, ord long, x double, y double")
+    want = {(r["trace_id"], r["k"]): (round(r["x"], 9), round(r["y"], 9)) for r in lanes.centerlines(samples, ["trace_id"], 8).collect()}
+    for short in (1024, 8):
+        lines = lanes.center_lines(samples, ["trace_id"], 8, short)
+        assert {(r["trace_id"], k): (round(p["x"], 9), round(p["y"], 9)) for r in lines.collect() for k, p in enumerate(r["polyline"])} == want
