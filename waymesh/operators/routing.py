@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import polyline_length
 from waymesh.operators.cells import areas
+from waymesh.operators.near import near_routes
 from waymesh.operators.tiles import TILE, tile_routes
 from waymesh.plans.components import connected_components
 from waymesh.session import materialize
@@ -357,9 +358,11 @@ def _connected(pairs: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[Da
     return joined, materialize(within(nodes, "id").select("id", "x", "y"))
 
 
-def _route_search(over: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], network: DataFrame, a: str, b: str, pairs: DataFrame, nodes: DataFrame | None) -> DataFrame:
+def _route_search(over: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], network: DataFrame, a: str, b: str, pairs: DataFrame, nodes: DataFrame | None, near: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]) -> DataFrame:
     """Rows (from_node, to_node, cost, edges) over a network whose rows join nodes in columns a and b.
 
+    Of more than a few nodes, `near` first settles the pairs (pairs, nodes) that lie near each other.
+
     `over` makes moves, starts and ends (state, node) of a network; with nodes these are made of
     the parts alone that have a pair, as moves are many more than edges, and searched tile by tile.
     """
@@ -367,6 +370,16 @@ def _route_search(over: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFr
         moves, starts, ends = over(network)
         return _routes(search(materialize(moves), starts), ends, pairs)
     pairs = pairs.select("from_node", "to_node")
+    found = near(pairs, nodes) if nodes.limit(FEW_STATES + 1).count() > FEW_STATES else None
+    if found is not None:
+        own = pairs.where("from_node = to_node").distinct().select("from_node", "to_node", F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("edges"))
+        ways, far = found[0].unionByName(own), found[1]
+        return ways if far.isEmpty() else ways.unionByName(_far_routes(over, network, a, b, far, nodes))
+    return _far_routes(over, network, a, b, pairs, nodes)
+
+
+def _far_routes(over: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], network: DataFrame, a: str, b: str, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Routes of `_route_search` in the parts of the network that have a pair, in rounds or tile by tile."""
     joined, within = _parts(pairs, network.select(F.col(a).alias("a"), F.col(b).alias("b")))
     near = materialize(within(nodes, "id").select("id", "x", "y"))
     moves, starts, ends = over(materialize(within(network, a)))
@@ -389,7 +402,19 @@ def restricted_paths(edges: DataFrame, restrictions: DataFrame, pairs: DataFrame
     without a route are left out; a node to itself is an empty route. With nodes (id, x,
     y) the search is goal-directed.
     """
-    return _route_search(lambda e: _turning(e, restrictions, _origins(pairs)), edges, "start_node_id", "end_node_id", pairs, nodes)
+
+
+    def near(some: DataFrame, spots: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        return near_routes(adjacency(edges).withColumn("n", F.lit(1)), some, spots, FIRST, True, rules=_rules(restrictions))
+
+    return _route_search(lambda e: _turning(e, restrictions, _origins(pairs)), edges, "start_node_id", "end_node_id", pairs, nodes, near)
+
+
+def _rules(restrictions: DataFrame) -> DataFrame:
+    """Turn rules (u, edge_id, direction, v, rule) at junctions u onto edges v, rule being no or only with the direction there."""
+    kind = F.when(F.col("restriction").startswith("no_"), "no").when(F.col("restriction").startswith("only_"), "only")
+    rows = restrictions.select(F.col("junction_node_id").alias("u"), F.col("from_edge_id").alias("edge_id"), F.col("from_direction").alias("direction"), F.col("to_edge_id").alias("v"), F.concat(kind, F.lit("/"), F.coalesce("to_direction", F.lit(""))).alias("rule"))
+    return rows.where("rule is not null")
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -441,7 +466,12 @@ def lane_paths(edges: DataFrame, lanes: DataFrame, pairs: DataFrame, swap_cost:
         moves, starts, ends = _laned(part, lanes, _origins(pairs), swap_cost, restrictions)
         return moves, starts, ends.select("state", "node")
 
-    return _route_search(over, edges, "start_node_id", "end_node_id", pairs, nodes)
+    def near(some: DataFrame, spots: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        count = F.greatest(F.lit(1), F.coalesce("lane_count", F.lit(1))).cast("int")
+        wide = adjacency(edges).join(lanes.select("edge_id", "lane_count"), "edge_id", "left").withColumn("n", count)
+        return near_routes(wide, some, spots, FIRST, True, swap_cost, None if restrictions is None else _rules(restrictions))
+
+    return _route_search(over, edges, "start_node_id", "end_node_id", pairs, nodes, near)
 
 
 def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -458,7 +488,7 @@ def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> D
         starts = _origins(pairs).select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
         return part.select("u", "v", "cost", step_name("edge_id", "direction").alias("step")), starts, ends
 
-    return _route_search(over, adj, "u", "v", pairs, nodes)
+    return _route_search(over, adj, "u", "v", pairs, nodes, lambda some, spots: None)
 
 
 def merge_restrictions(*groups: DataFrame) -> DataFrame:

@@ -37,17 +37,17 @@ def tiled(places: DataFrame, size: int = TILE) -> DataFrame:
     return numbered(placed, "strip", "y", "state").select("state", "x", "y", F.floor(F.col("place") / size).cast("long").alias("tile"))
 
 
-def walked(seeds: list[tuple], graph: dict, box: tuple, least: float, limit: float, wanted: set, alone: bool) -> tuple[dict, dict, float]:
+def walked(seeds: list[tuple], graph: dict, box: tuple, least: float, limit: float, wanted: dict, alone: bool) -> tuple[dict, dict, float]:
     """Labels (cost, hops, step, via) and states before, from seeds (state, label, x, y), and the least bound beyond the limit.
 
     graph has rows (v, x, y, w, step) by state; states without are not gone on from. If all
-    targets are `wanted` ones, nothing is looked at that is dearer than all of them.
+    targets have a state in `wanted` (target by state), nothing is looked at that is dearer than all of them.
     """
     x0, x1, y0, y1 = box
     labels: dict[str, tuple] = {}
     back: dict[str, str] = {}
     heap: list[tuple] = []
-    beyond, open_ = math.inf, set(wanted) if alone else {None}
+    beyond, open_, known = math.inf, set(wanted.values()) if alone else {None}, {}
 
     def bound(cost: float, x: float, y: float) -> float:
         dx = x0 - x if x < x0 else x - x1 if x > x1 else 0.0
@@ -55,8 +55,10 @@ def walked(seeds: list[tuple], graph: dict, box: tuple, least: float, limit: flo
         return cost + least * math.sqrt(dx * dx + dy * dy)
 
     def reached(state: str) -> float:
-        open_.discard(state)
-        return limit if open_ else min(limit, max(labels[s][0] for s in wanted) * (1 + 1e-9) + 1e-9)
+        target, cost = wanted[state], labels[state][0]
+        open_.discard(target)
+        known[target] = min(cost, known.get(target, cost))
+        return limit if open_ else min(limit, max(known.values()) * (1 + 1e-9) + 1e-9)
 
     for state, label, x, y in seeds:
         f = bound(label[0], x, y)
@@ -105,7 +107,7 @@ def _origins(rows: pd.DataFrame, graph: dict, least: float) -> Iterator[tuple]:
         asked = part[~entry]
         one = part.iloc[0]
         inside = set(asked.loc[asked["asked"] == "t", "state"])
-        yield origin, asked, *walked(seeds, graph, (one["x0"], one["x1"], one["y0"], one["y1"]), least, one["reach"], inside, len(inside) == one["n"])
+        yield origin, asked, *walked(seeds, graph, (one["x0"], one["x1"], one["y0"], one["y1"]), least, one["reach"], {s: s for s in inside}, len(inside) == one["n"])
 
 
 def _dealt(rows: DataFrame, moves: DataFrame, searched, schema: str) -> DataFrame:
