@@ -488,7 +488,7 @@ def paths(adj: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> D
         starts = _origins(pairs).select("origin", F.col("origin").alias("state"), F.lit(0.0).alias("cost"))
         return part.select("u", "v", "cost", step_name("edge_id", "direction").alias("step")), starts, ends
 
-    return _route_search(over, adj, "u", "v", pairs, nodes, lambda some, spots: None)
+    return _route_search(over, adj, "u", "v", pairs, nodes, lambda some, spots: near_routes(adj.withColumn("n", F.lit(1)), some, spots, FIRST))
 
 
 def merge_restrictions(*groups: DataFrame) -> DataFrame:
