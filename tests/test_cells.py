@@ -88,3 +88,20 @@ def test_center_lines_are_the_same_for_short_and_long_groups(spark):
     for short in (1024, 8):
         lines = lanes.center_lines(samples, ["trace_id"], 8, short)
         assert {(r["trace_id"], k): (round(p["x"], 9), round(p["y"], 9)) for r in lines.collect() for k, p in enumerate(r["polyline"])} == want
+
+
+def test_crossings_of_crowded_cells_are_those_of_the_join(spark, monkeypatch):
+    """Pairs of a crowded cell were joined row by row; parts, quarters and borders of cells count as before."""
+    from waymesh.operators import spatial
+
+    rng = np.random.default_rng(2)
+    at = np.vstack([rng.uniform(0, 120, (150, 4)), [[0, 50, 120, 50], [50, 0, 50, 120], [20, 20, 80, 80]]]).tolist()
+    rows = [(k, f"e{k}", [{"x": a, "y": b}, {"x": c, "y": d}]) for k, (a, b, c, d) in enumerate(at)]
+    edges = spark.createDataFrame(rows, "ord long, edge_id string, polyline array<struct<x:double,y:double>>")
+    found = {}
+    for dense in (0, 10**9):
+        monkeypatch.setattr(spatial, "DENSE", dense)
+        for capacity in (2048, 16):
+            df = spatial.segment_crossings(edges, 50.0, capacity)
+            found[dense, capacity] = sorted(map(tuple, df.collect()))
+    assert len(found[0, 16]) > 1000 and all(v == found[0, 16] for v in found.values())

@@ -11,13 +11,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.geometry import crossing, distance, let, position_on_segment
 from waymesh.plans.components import connected_components
 from waymesh.plans.numbering import numbered
-from waymesh.session import materialize
+from waymesh.session import materialize, shuffle_partitions
 
 
 def segments(edges: DataFrame) -> DataFrame:
@@ -189,12 +192,14 @@ def coverage(snapped: DataFrame) -> DataFrame:
 
 #: Segments of a cell that meet as one key, and how often a cell with more is cut into quarters.
 CAPACITY, CUTS = 2048, 8
+#: Segments of a cell from which on numpy compares them, and pairs of them at a time.
+DENSE, AT_ONCE = 128, 1 << 21
 #: Metres around a segment in which a crossing may be placed by rounding.
 ROUNDING = 1e-6
 
 
 def cells_by_load(segs: DataFrame, size: float, capacity: int = CAPACITY) -> DataFrame:
-    """Segments once for each cell that they meet: level, cx, cy and parts, by which a cell deals out what it has too much of.
+    """Segments once for each cell that they meet: level, cx, cy, the cell's load and parts, by which it deals out what it has too much of.
 
     A cell of more than `capacity` segments is cut into quarters, and these again, up to
     CUTS times. What then still meets in one place is dealt over as many parts as make
@@ -206,7 +211,7 @@ def cells_by_load(segs: DataFrame, size: float, capacity: int = CAPACITY) -> Dat
         counted = materialize(wide.join(wide.groupBy("cx", "cy").agg(F.count("*").alias("_n")).hint("merge"), ["cx", "cy"]))
         last = level == CUTS
         parts = F.ceil(F.col("_n") / capacity).cast("int") if last else F.lit(1)
-        fit = counted.where(F.lit(last) | (F.col("_n") <= capacity)).withColumn("parts", parts).drop("_n")
+        fit = counted.where(F.lit(last) | (F.col("_n") <= capacity)).withColumn("parts", parts).withColumnRenamed("_n", "load")
         done = fit if done is None else done.unionByName(fit)
         full = counted.where(~(F.lit(last) | (F.col("_n") <= capacity)))
         if last or full.isEmpty():
@@ -227,11 +232,60 @@ def segment_crossings(edges: DataFrame, size: float = 100.0, capacity: int = CAP
     that crossings leave their task as they are and are not made distinct by a shuffle.
     """
     segs = segments(edges).select("edge_ord", "edge_id", "seg_ord", "ax", "ay", "bx", "by")
-    wide = cells_by_load(segs, size, capacity)
+    every = cells_by_load(segs, size, capacity)
+    return _joined_crossings(every.where(F.col("load") < DENSE), size).unionByName(_dense_crossings(every.where(F.col("load") >= DENSE), size))
+
+
+def _sides(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments as either side of the pairs of parts (_i, _j) of their cell."""
     own = F.pmod(F.xxhash64("edge_ord", "seg_ord"), F.col("parts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-    a = wide.withColumn("_i", own).withColumn("_j", every).alias("a")
-    b = wide.withColumn("_j", own).withColumn("_i", every).alias("b")
+    return wide.withColumn("_i", own).withColumn("_j", every), wide.withColumn("_j", own).withColumn("_i", every)
+
+
+def _dense_crossings(wide: DataFrame, size: float) -> DataFrame:
+    """Crossings in cells of many segments, whose pairs of boxes numpy compares a block at a time."""
+    keys, kept = ["level", "cx", "cy", "_i", "_j"], ["edge_ord", "edge_id", "seg_ord", "ax", "ay", "bx", "by"]
+    a, b = (side.select(*keys, *kept) for side in _sides(wide))
+    b = b.toDF(*(f"_{k}" for k in keys), *kept)
+    schema = f"edge_a string, seg_a {wide.schema['seg_ord'].dataType.simpleString()}, edge_b string, seg_b {wide.schema['seg_ord'].dataType.simpleString()}, ta double, tb double, x double, y double"
+
+    def searched(left: pa.Table, right: pa.Table) -> pa.Table:
+        p, q = ({c: t[c].to_numpy() for c in ("edge_ord", "seg_ord", "ax", "ay", "bx", "by")} for t in (left, right))
+        low = [{c: np.minimum(t[f"a{c}"], t[f"b{c}"]) for c in "xy"} for t in (p, q)]
+        high = [{c: np.maximum(t[f"a{c}"], t[f"b{c}"]) for c in "xy"} for t in (p, q)]
+        found, rows = [], max(1, AT_ONCE // max(1, right.num_rows))
+        for at in range(0, left.num_rows, rows):
+            some = slice(at, at + rows)
+            near = p["edge_ord"][some, None] < q["edge_ord"]
+            for c in "xy":
+                near &= low[0][c][some, None] <= high[1][c]
+                near &= low[1][c] <= high[0][c][some, None]
+            i, j = np.nonzero(near)
+            i += at
+            ax, ay, rx, ry = p["ax"][i], p["ay"][i], (p["bx"] - p["ax"])[i], (p["by"] - p["ay"])[i]
+            sx, sy, ex, ey = (q["bx"] - q["ax"])[j], (q["by"] - q["ay"])[j], q["ax"][j] - ax, q["ay"][j] - ay
+            # as in `crossing`
+            det = rx * sy - ry * sx
+            det = np.where(np.abs(det) < 1e-12, np.nan, det)
+            t, u = (ex * sy - ey * sx) / det, (ex * ry - ey * rx) / det
+            x, y = ax + t * rx, ay + t * ry
+            side = size / 2.0 ** int(left["level"][0].as_py())
+            own = (np.floor(x / side) == left["cx"][0].as_py()) & (np.floor(y / side) == left["cy"][0].as_py())
+            own &= (t > 1e-9) & (t < 1 - 1e-9) & (u > 1e-9) & (u < 1 - 1e-9)
+            found.append((i[own], j[own], t[own], u[own], x[own], y[own]))
+        i, j, t, u, x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else [np.zeros(0, int)] * 2 + [np.zeros(0)] * 4
+        names = [pc.take(table[c].combine_chunks(), pa.array(k)) for table, k in ((left, i), (right, j)) for c in ("edge_id", "seg_ord")]
+        return pa.table([*names, t, u, x, y], names=["edge_a", "seg_a", "edge_b", "seg_b", "ta", "tb", "x", "y"])
+
+    n = shuffle_partitions(wide.sparkSession)
+    a, b = a.repartition(n, *keys).groupBy(*keys), b.repartition(n, *b.columns[: len(keys)]).groupBy(*b.columns[: len(keys)])
+    return a.cogroup(b).applyInArrow(searched, schema)
+
+
+def _joined_crossings(wide: DataFrame, size: float) -> DataFrame:
+    """Crossings in cells of few segments, which are joined."""
+    a, b = (side.alias(name) for side, name in zip(_sides(wide), "ab", strict=True))
     col = lambda t, c: F.col(f"{t}.{c}")
     same = [col("a", c) == col("b", c) for c in ("level", "cx", "cy", "_i", "_j")]
     sides = {c: tuple(col(t, e + c) for t in "ab" for e in "ab") for c in "xy"}
